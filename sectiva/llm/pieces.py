@@ -27,7 +27,9 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Distinct segments that a worker remembers at most; then it starts afresh.
-MEMO = 400_000
+MEMO = 120_000
+#: Distinct segments that one call to the library encodes.
+SLICE = 8192
 #: Texts on which parity is verified before a run.
 PARITY_ROWS = 200
 
@@ -159,8 +161,8 @@ class Pieces:
             self.forget()
         cut = [self.segments(t or "") for t in texts]
         new = list({s for x in cut for s in x if s not in self.memo})
-        if new:
-            self.learn(new)
+        for k in range(0, len(new), SLICE):
+            self.learn(new[k : k + SLICE])
         at = np.fromiter((k for x in cut for k in map(self.memo.__getitem__, x)), np.int64)
         text_of = np.concatenate(([0], np.cumsum([len(x) for x in cut])))
         n = self.lengths[at]
