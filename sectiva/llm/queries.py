@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from sectiva.llm._common import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sectiva.llm.substring_dedup import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sectiva.llm.simhash import simhash_groups
 
