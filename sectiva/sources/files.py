@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LIMIT = 32765
-RESPONSE = T.StructType.fromDDL(
+RESPONSE = (
     "id bigint, prompt_version string, model string, temperature double, raw_response string, "
     "parsed struct<prediction:int,confidence:double,reasoning:string>, error string, timestamp string, "
     "sample_index int, retries_used int, latency_seconds double, prompt_tokens bigint, completion_tokens bigint"
 )
-FOLDS = T.StructType.fromDDL("train_idx array<int>, val_idx array<int>")
+FOLDS = "array<struct<train_idx:array<int>,val_idx:array<int>>>"
 
 
 def binary(spark: SparkSession, path: str) -> DataFrame:
@@ -83,7 +83,7 @@ def question_guard(df: DataFrame, columns: list[str], limit: float = 0.05) -> Da
 
 def read_folds(spark: SparkSession, path: str) -> DataFrame:
     """(fold, row): validation rows of a fold file."""
-    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", T.ArrayType(FOLDS))).alias("fold", "f"))
+    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", FOLDS)).alias("fold", "f"))
     return raw.select("fold", F.explode("f.val_idx").alias("row"))
 
 
