@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 
 import numpy as np
@@ -33,6 +34,8 @@ THRESHOLD = 0.3
 MEMO = 400_000
 #: Words longer than this are compared piecewise.
 PIECE = 24
+#: Words whose kernel values are held at once.
+CHUNK = 4000
 ROUNDS = 3
 #: Weight of the losses against the ridge.
 COST = 2000.0
@@ -102,9 +105,9 @@ class Kernel:
 
     def __call__(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.landmarks)))
-        for at in range(0, len(words) if len(self.keys) else 0, 4000):
-            own, h, weight = triples(words[at : at + 4000])
-            n = min(4000, len(words) - at)
+        for at in range(0, len(words) if len(self.keys) else 0, CHUNK):
+            own, h, weight = triples(words[at : at + CHUNK])
+            n = min(CHUNK, len(words) - at)
             norm = np.sqrt(np.bincount(own, weight**2, n))
             near = np.flatnonzero(self.seen[h & np.uint64((1 << 20) - 1)])
             k = np.minimum(np.searchsorted(self.keys, h[near]), len(self.keys) - 1)
@@ -159,10 +162,13 @@ class Machine:
 
     def decide(self, words: list[str]) -> np.ndarray:
         """Decision value of each word; a long one is as toxic as its most toxic piece."""
-        parts = [_pieces(w) for w in words]
-        flat = self.kernel([p for x in parts for p in x]) @ self.direction + self.b
-        n = np.array([len(x) for x in parts])
-        return np.maximum.reduceat(flat, np.cumsum(n) - n) if len(words) else np.zeros(0)
+        out = [np.zeros(0)]
+        for at in range(0, len(words), CHUNK):
+            parts = [_pieces(w) for w in words[at : at + CHUNK]]
+            flat = self.kernel([p for x in parts for p in x]) @ self.direction + self.b
+            n = np.array([len(x) for x in parts])
+            out.append(np.maximum.reduceat(flat, np.cumsum(n) - n))
+        return np.concatenate(out)
 
     def calibrate(self, f: np.ndarray, y: np.ndarray):
         """Logistic weights of the TOP highest decision values of documents, by Newton steps on smoothed targets."""
@@ -187,36 +193,59 @@ class Machine:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, f))))
 
 
-def _grams(word: str):
-    """Substrings of four to nine characters of a marked word, and the whole of it."""
-    word = f"^{word}$"
-    yield word
-    for n in range(4, 10):
-        for i in range(len(word) - n + 1):
-            yield word[i : i + n]
-
-
-def _seed(bags: list[set[str]], y: np.ndarray) -> dict[str, tuple[float, str]]:
-    """Words of toxic documents: the strongest log-likelihood ratio of their substrings, and that substring.
+def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word index, hash) of all substrings of four to nine characters of marked words, and of the whole words."""
+    marked = [f"^{w}$" for w in words]
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.array([len(m) for m in marked], np.int64)
+    owner, starts = np.repeat(np.arange(len(words)), sizes), np.cumsum(sizes) - sizes
+    rolled, own, found = codes * MIX[1], [], []
+    for n in range(2, 10):
+        if len(codes) < n:
+            break
+        rolled = rolled[:-1] * MIX[0] + codes[n - 1 :] * MIX[1]
+        if n > 3:
+            inside = owner[: len(rolled)] == owner[n - 1 :]
+            own.append(owner[: len(rolled)][inside]), found.append((rolled[inside] ^ np.uint64(n)) * MIX[2])
+    weights = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(int(sizes.max(initial=1)), MIX[0]))))
+    place = np.arange(len(codes)) - starts[owner] if len(codes) else np.zeros(0, np.int64)
+    whole = np.add.reduceat(codes * weights[place], starts) if len(words) else np.zeros(0, np.uint64)
+    return np.concatenate([*own, np.arange(len(words))]), np.concatenate([*found, whole * MIX[2] ^ MIX[1]])
+
+
+def _counts(bags: list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Documents that contain each substring, by hash."""
+    found = [np.unique(_grams(sorted(b))[1]) for b in bags if b]
+    return np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _seed(bags: list[set[str]], y: np.ndarray) -> dict[str, tuple[float, int]]:
+    """Words of toxic documents: the strongest log-likelihood ratio of their substrings, and that substring's hash.
 
     Only substrings that are at least PURITY times as frequent in toxic documents count.
     """
-    n1, n0 = int((y > 0).sum()), int((y <= 0).sum())
-    pos, neg = Counter(), Counter()
-    for bag, v in zip(bags, y, strict=True):
-        if v > 0:
-            pos.update({g for w in bag for g in _grams(w)})
-    pos = Counter({g: k for g, k in pos.items() if k > 2})
-    for bag, v in zip(bags, y, strict=True):
-        if v <= 0:
-            neg.update({g for w in bag for g in _grams(w)} & pos.keys())
-    part = lambda k, n, p: (k * math.log(k / (n * p)) if k else 0.0) + ((n - k) * math.log((n - k) / (n * (1 - p))) if n > k else 0.0)
-    rate = {}
-    for g, k in pos.items():
-        p = (k + neg[g]) / max(n1 + n0, 1)
-        if 0 < p < 1 and k * n0 > PURITY * (neg[g] + 0.3) * n1:
-            rate[g] = 2 * (part(k, n1, p) + part(neg[g], n0, p))
-    return {w: max(((rate.get(g, 0.0), g) for g in _grams(w)), key=lambda x: (x[0], -len(x[1]), x[1])) for w in {w for b, v in zip(bags, y, strict=True) if v > 0 for w in b}}
+    toxic, clean = [b for b, v in zip(bags, y, strict=True) if v > 0], [b for b, v in zip(bags, y, strict=True) if v <= 0]
+    n1, n0 = len(toxic), len(clean)
+    grams, k = _counts(toxic)
+    grams, k = grams[k > 2], k[k > 2].astype(float)
+    other, m = _counts(clean)
+    at = np.minimum(np.searchsorted(other, grams), max(len(other) - 1, 0))
+    neg = np.where(other[at] == grams, m[at], 0).astype(float) if len(other) else np.zeros(len(grams))
+    pure = k * n0 > PURITY * (neg + 0.3) * n1
+    grams, k, neg = grams[pure], k[pure], neg[pure]
+    p = np.clip((k + neg) / max(n1 + n0, 1), 1e-9, 1 - 1e-9)
+    term = lambda a, b: a * np.log(np.maximum(a, 1e-9) / np.maximum(b, 1e-9))
+    rate = 2 * (term(k, n1 * p) + term(n1 - k, n1 * (1 - p)) + term(neg, n0 * p) + term(n0 - neg, n0 * (1 - p)))
+    words = sorted({w for b in toxic for w in b})
+    out = dict.fromkeys(words, (0.0, 0))
+    for lo in range(0, len(words) if len(grams) else 0, 20_000):
+        own, h = _grams(words[lo : lo + 20_000])
+        at = np.minimum(np.searchsorted(grams, h), len(grams) - 1)
+        hit = grams[at] == h
+        own, at = own[hit], at[hit]
+        for i in np.lexsort((-h[hit].astype(float), rate[at], own)):
+            out[words[lo + own[i]]] = (float(rate[at[i]]), int(grams[at[i]]))
+    return out
 
 
 def train(texts_words: list[set[str]], labels: list[int]) -> Machine:
@@ -232,7 +261,7 @@ def train(texts_words: list[set[str]], labels: list[int]) -> Machine:
     often, harmless = Counter(w for b in toxic for w in b), Counter(w for b in clean for w in b)
     for w in seed:
         if harmless[w] and often[w] * len(clean) < PURITY * (harmless[w] + 0.3) * len(toxic):
-            seed[w] = (0.0, "")
+            seed[w] = (0.0, 0)
     ranked = sorted((w for w, x in seed.items() if x[0] > STRONG), key=lambda w: (-often[w], w))
     common, of = [], Counter()
     for w in ranked:
@@ -286,7 +315,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
     rows = labelled(docs, labels, "toxic", crc_mod("k", 4) != 2, train_rows, doc_id, text)
     got = rows.select("text", "y").mapInArrow(_bags, "words array<string>, y int").collect()
     got.sort(key=lambda r: (r.y, len(r.words), r.words))
-    return train([set(r.words) for r in got], [r.y for r in got])
+    return train([set(map(sys.intern, r.words)) for r in got], [r.y for r in got])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
