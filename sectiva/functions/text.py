@@ -142,7 +142,7 @@ def hits(c: Column, token: Column) -> Column:
     """Offsets of a token in a text, overlapping ones included."""
     pieces = F.split(c, F.concat(F.lit("(?=\\Q"), token, F.lit("\\E)")), -1)
     lengths = F.transform(pieces, lambda p: F.length(p))
-    ends = F.aggregate(lengths, F.array().cast("array<int>"), lambda a, n: F.concat(a, F.array(F.coalesce(F.element_at(a, -1), F.lit(0)) + n)))
+    ends = F.aggregate(lengths, F.array().cast("array<int>"), lambda a, n: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + n)))
     inner = F.slice(ends, 1, F.greatest(F.size(ends) - 1, F.lit(0)))
     return F.when(F.length(token) == 0, F.array().cast("array<int>")).otherwise(F.filter(F.concat(F.when(c.startswith(token), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), inner), lambda i: i >= 0))
 

@@ -66,10 +66,10 @@ def auc(df: DataFrame, label: str, score: str, by: list[str] | None = None) -> D
     """
     by = by or []
     y = F.col(label)
-    per = df.groupBy(*by, score).agg(F.count_if(y == 1).alias("p"), F.count_if(y == 0).alias("q"))
-    below = F.sum("q").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1))
-    area = per.withColumn("_a", F.col("p") * (F.coalesce(below, F.lit(0)) + F.col("q") / 2))
-    return area.groupBy(*by).agg(F.try_divide(F.sum("_a"), F.sum("p").cast("double") * F.sum("q")).alias("auc"), (F.sum("p") + F.sum("q")).alias("n"))
+    per = df.groupBy(*by, score).agg(F.count_if(y == 1).alias("_p"), F.count_if(y == 0).alias("_q"))
+    below = F.sum("_q").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1))
+    area = per.withColumn("_a", F.col("_p") * (F.coalesce(below, F.lit(0)) + F.col("_q") / 2))
+    return area.groupBy(*by).agg(F.try_divide(F.sum("_a"), F.sum("_p").cast("double") * F.sum("_q")).alias("auc"), (F.sum("_p") + F.sum("_q")).alias("n"))
 
 
 def weighted_auc(df: DataFrame, label: str, score: str, by: str) -> DataFrame:

@@ -19,15 +19,24 @@ def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFram
     return df.join(F.broadcast(w), F.col(label) == F.col("_y")).drop("_y")
 
 
-def logistic(df: DataFrame, label: str = "label", features: str = "features", c: float = 1.0, max_iter: int = 200):
-    """L2 logistic regression whose penalty is 1 / C against the summed weighted loss."""
-    rows = balanced_weights(df.withColumn("_label", F.col(label).cast("double")), "_label", "_weight").persist()
+#: Rows of one partition while a model is fitted: each step is a pass over all partitions.
+FIT_ROWS = 50_000
+
+
+def logistic(df: DataFrame, label: str = "label", features: str = "features", c: float = 1.0, max_iter: int = 200, tol: float = 1e-7):
+    """L2 logistic regression whose penalty is 1 / C against the summed weighted loss.
+
+    Balanced weights add up to the number of rows, so that number is the penalty's scale.
+    """
+    kept = df.select(F.col(label).cast("double").alias("_label"), features).persist()
+    n = kept.count()
+    rows = balanced_weights(kept, "_label", "_weight").coalesce(1 + n // FIT_ROWS).persist()
     try:
-        total = rows.agg(F.sum("_weight")).first()[0]
-        model = LogisticRegression(featuresCol=features, labelCol="_label", weightCol="_weight", regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-9)
+        model = LogisticRegression(featuresCol=features, labelCol="_label", weightCol="_weight", regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=tol)
         return model.fit(rows)
     finally:
         rows.unpersist()
+        kept.unpersist()
 
 
 def linear_svc(df: DataFrame, label: str = "label", features: str = "features", c: float = 1.0):

@@ -594,3 +594,19 @@ def decoded_lines(spark, d):
     index = lines.select(F.regexp_replace("p_name", "[a-z]", "?").alias("masked"), F.col("p_name").alias("clean")).distinct().withColumn("source", F.lit(None).cast("bigint"))
     asked = index.select("masked").distinct().withColumn("id", F.xxhash64("masked"))
     return decode.decode_audit(decode.decode_lines(asked, index, "id", "masked"))
+
+
+@register("applicability_oof")
+def applicability_oof(spark, d):
+    from sectiva.plans import applicability
+
+    rows = applicability.stage2_frame(formula_records(spark, d)).withColumn("label", ((F.col("severity_match") == 1) & (F.col("age_contradiction") == 0)).cast("int"))
+    return applicability.evaluate(rows, applicability.stage2_spec(), k=3)
+
+
+@register("general_titles_oof")
+def general_titles_oof(spark, d):
+    from sectiva.plans import applicability
+
+    rows = applicability.stage1_frame(formula_records(spark, d)).withColumn("label", F.col("title_text").contains("простаты").cast("int"))
+    return applicability.evaluate(rows, applicability.stage1_spec(), k=3)
