@@ -128,7 +128,7 @@ class Pieces:
         self.forget()
 
     def forget(self):
-        self.memo, self.ids, self.sound = {}, [], []
+        self.memo, self.sound = {}, np.zeros(0, bool)
         self.lengths = np.zeros(0, np.int64)
         self.flat, self.starts = np.zeros(0, np.int32), np.zeros(0, np.int64)
 

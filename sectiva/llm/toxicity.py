@@ -173,6 +173,9 @@ class Machine:
     def calibrate(self, f: np.ndarray, y: np.ndarray):
         """Logistic weights of the TOP highest decision values of documents, by Newton steps on smoothed targets."""
         n1, n0 = (y > 0).sum(), (y <= 0).sum()
+        if not n1:
+            self.a, self.c = np.zeros(TOP), -5.0
+            return
         target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
         z, theta = np.hstack([f, np.ones((len(f), 1))]), np.zeros(TOP + 1)
         for _ in range(100):

@@ -1,0 +1,147 @@
+"""Rules, decontamination, tokens, classifiers, secrets and personal data."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from sectiva.llm import decontaminate, pieces, pii, quality_classifier, quality_rules, secrets, toxicity
+from tests.llm.data import documents, frame, sentence
+
+
+def brute_rules(text):
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    grams = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    covered = {i + k for i in range(len(w) - 4) if grams[tuple(w[i : i + 5])] > 1 for k in range(5)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_rules(spark):
+    rows = documents() + [(500, "# a | b\n" * 5, "en", "s", 1), (501, "one two three four five one two three four five six", "en", "s", 1)]
+    got = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality_rules.quality_rules(frame(spark, rows)).collect())
+    want = Counter()
+    for r in rows:
+        m = brute_rules(r[1])
+        want[(r[0], *m, m[0] < 10 or 100 * m[4] > 20 * m[0])] += 1
+    assert got == want
+    assert quality_rules.quality_rules(frame(spark, [])).count() == 0
+
+
+def test_exact_windows_agree(spark, monkeypatch):
+    df = frame(spark).select("doc_id", "text")
+    fast = df.select("doc_id", quality_rules.let(quality_rules.words(F.col("text")), quality_rules.n_repeat_words).alias("n")).collect()
+    monkeypatch.setattr(quality_rules, "INDEX_BITS", 2)
+    exact = df.select("doc_id", quality_rules.let(quality_rules.words(F.col("text")), quality_rules.n_repeat_words).alias("n")).collect()
+    assert Counter(fast) == Counter(exact)
+
+
+def test_first_failure(spark):
+    got = {r.doc_id: r.rejected_by for r in quality_rules.first_failure(frame(spark, [(1, "abc defg", "en", "s", 1), (2, sentence(80), "en", "s", 1), (3, "x% " * 40 + sentence(40), "en", "s", 1)])).collect()}
+    assert got[1] == "few_words" and got[2] is None and got[3] in ("symbols", "repeated_words", "word_length")
+
+
+def test_decontamination(spark):
+    item = "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
+    swapped = item.lower().replace("epsilon", "WRONG").replace("xi", "other").split()
+    rows = [(1, f"{sentence(20)}\n{item}, {sentence(9)}", "en", "s", 1), (2, sentence(50), "en", "s", 1), (3, f"{sentence(5)} {' '.join(swapped)} {sentence(5)}", "en", "s", 1), (4, "short exact phrase", "en", "s", 1), (5, None, "en", "s", 1), (6, item[:40], "en", "s", 1)]
+    rows += [rows[0], (None, item, "en", "s", 1)]
+    bench = spark.createDataFrame([(10, item), (11, "short exact phrase"), (12, None), (13, "")], "item_id bigint, text string")
+    for block in (decontaminate.BLOCK_WORDS, 5):
+        got = {(r.doc_id, r.item_id): (r.n_tokens, r.n_equal) for r in decontaminate.overlaps(frame(spark, rows), bench, block_words=block).collect()}
+        assert got == {(1, 10): (20, 20), (3, 10): (20, 18), (4, 11): (3, 3)}
+    assert {r.doc_id for r in decontaminate.drop_contaminated(frame(spark, rows), bench).collect()} == {2, 5, 6, None}
+    assert decontaminate.overlaps(frame(spark, []), bench).count() == 0
+    assert decontaminate.overlaps(frame(spark, rows), bench.limit(0)).count() == 0
+
+
+def test_pieces(spark):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    theirs = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL_PATH)
+    rows = documents() + [(600 + i, t, "en", "s", 1) for i, t in enumerate([" a  b ", "▁x", "日本 ﬁ 😀", "<s> </s>", "tab\tnew\nline 12.5", "\x01"])]
+    got = pieces.encode_documents(frame(spark, rows))
+    for r, text in [(r, dict((x[0], x[1]) for x in rows)[r.doc_id]) for r in got.collect()]:
+        assert list(r.ids) == theirs.encode(text or "") and r.n_tokens == len(r.ids)
+        assert r.restored == ("▁" not in (text or ""))
+    back = {r.doc_id: r.text for r in pieces.decode_documents(got.filter("restored")).collect()}
+    assert all(back[r[0]] == (r[1] or "") for r in rows if "▁" not in (r[1] or ""))
+    assert pieces.encode_documents(frame(spark, [])).count() == 0
+
+
+def test_toxicity(spark):
+    bad = ["zorblax", "grimfuk", "zorblaxer"]
+    rows = [(i, f"{sentence(30)} {bad[i % 3] if i % 4 == 1 else ''} {sentence(10)}", "en", "s", 1) for i in range(240)] + [(900, None, "en", "s", 1), (901, "", "en", "s", 1), (None, "z-o-r-blax here", "en", "s", 1)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 1)) for i in range(240)] + [(3, None), (None, 1)], "doc_id bigint, toxic int")
+    got = toxicity.toxicity(frame(spark, rows), labels).collect()
+    held = [r for r in got if r.held_out]
+    assert all(r.predicted == int(r.doc_id % 4 == 1) for r in held) and len(held) > 30
+    assert {r.doc_id for r in held} == {i for i in [*range(240), 900, 901] if zlib.crc32(str(i).encode()) % 4 == 2}
+    assert next(r for r in got if r.doc_id == 901).predicted == 0 and next(r for r in got if r.doc_id is None).predicted == 1
+    left = {r.doc_id for r in toxicity.drop_toxic(frame(spark, rows), labels).collect()}
+    assert 2 in left and 1 not in left
+    assert toxicity.toxicity(frame(spark, rows[:3]), labels.limit(0)).filter("predicted = 1").count() == 0
+
+
+def test_kernel():
+    k = toxicity.Kernel(["idiot", "market"])
+    same, gapped, other = k(["idiot", "idxiot", "garden"])[:, 0]
+    assert same == pytest.approx(1) and same > gapped > other
+
+
+def test_quality_classifier(spark):
+    rows = [(i, sentence(60) if i % 3 else " | ".join(sentence(30).split()), "en", "s", 1) for i in range(180)] + [(500, None, "en", "s", 1), (501, "", "en", "s", 1)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(180)], "doc_id bigint, quality int")
+    got = quality_classifier.quality_scores(frame(spark, rows), labels).collect()
+    held = [r for r in got if r.held_out and r.doc_id < 180]
+    assert sum(r.predicted == int(r.doc_id % 3 > 0) for r in held) >= 0.9 * len(held) and len(held) > 20
+    assert all(0 <= r.score <= 1 for r in got) and len(got) == 182
+    none = quality_classifier.quality_scores(frame(spark, rows[:5]), labels.limit(0)).collect()
+    assert {r.score for r in none} == {0.5}
+
+
+def test_secrets(spark):
+    key = "AKIA" + "Q7WERTYU1OPASDF2"
+    rows = [(1, f"see {key} and mail a.b.22@mail7.example.com", "en", "s", 1), (2, 'token = "0beb58b8af68854f0e01b4ad40cdbb6ae7f578ae" end', "en", "s", 1), (3, "password=b7db7aa4a5fcc78305 x", "en", None, 1), (4, None, "en", "s", 1), (5, "plain 97.51.17.173 words", "en", "s", 1), (6, "", "en", "s", 1)]
+    found = secrets.secret_scan(frame(spark, rows)).filter("is_secret").collect()
+    assert {(r.doc_id, r.word_index, r.value) for r in found} == {(1, 1, key), (2, 2, "0beb58b8af68854f0e01b4ad40cdbb6ae7f578ae"), (3, 0, "b7db7aa4a5fcc78305")}
+
+
+def brute_spans(text):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub("[^0-9]", "", m[0])
+        if 16 <= len(d) <= 19 and pii.luhn(d):
+            out.append(("card", *m.span()))
+    out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return out
+
+
+TEXTS = ["mail a.b@c.de, x@y@z.org @q.com a@b", "1.2.3.4.5.6.7.8 and 300.1.1.1 or 001.2.3.4", "4111 1111 1111 1111 and 4111-1111-1111-1112", "+49 (30) 123-4567. +1 2", "7536784127813050 4845168114407329 x", "", "é 10.0.0.1 ünï a@b.c-d.e", "+" * 40 + "1" * 30]
+
+
+@pytest.mark.parametrize("text", TEXTS)
+def test_base_spans(text):
+    assert sorted(pii.base_spans(text)) == sorted(brute_spans(text))
+
+
+def test_personal_data(spark):
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(TEXTS)] + documents()
+    got = pii.personal_data(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    r = next(x for x in got if x.doc_id == 4 and any(y.start == 0 for y in x.found))
+    assert r.n_card == 0 and [(y.kind, y.start, y.end, y.base) for y in r.found] == [("card", 0, 16, False), ("card", 17, 33, False)]
+    assert next(x for x in got if x.doc_id == 900 or not x.found).base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_field_learned():
+    field, right, wrong, total = pii.trained_field(), 0, 0, 0
+    for text, truth in pii.sentences(150, seed=77):
+        tokens, found, x = pii.segments(text)
+        got = {(pii.KINDS[k], tokens[i][0], tokens[j - 1][1]) for i, j, k in field.best(len(tokens), found, x)} if found else set()
+        right, wrong, total = right + len(got & set(truth)), wrong + len(got - set(truth)), total + len(truth)
+    assert right > 0.65 * total and wrong < 0.3 * right
