@@ -164,7 +164,7 @@ class Pieces:
         for k in range(0, len(new), SLICE):
             self.learn(new[k : k + SLICE])
         at = np.fromiter((k for x in cut for k in map(self.memo.__getitem__, x)), np.int64)
-        text_of = np.concatenate(([0], np.cumsum([len(x) for x in cut])))
+        text_of = np.concatenate(([0], np.cumsum([len(x) for x in cut], dtype=np.int64)))
         n = self.lengths[at]
         ends = np.concatenate(([0], np.cumsum(n)))
         ids = self.flat[np.repeat(self.starts[at] - ends[:-1], n) + np.arange(ends[-1])]
