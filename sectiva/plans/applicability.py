@@ -22,6 +22,7 @@ from sectiva.operators import models, vectorize
 from sectiva.operators.metrics import best_threshold, first_best, sweep
 from sectiva.operators.relational import pair_key
 from sectiva.operators.validation import fold_scores, out_of_fold, paired_deltas, repeated_folds, stratified_folds
+from sectiva.sources.stages import written
 
 NUMERIC = ("age", "has_structured_header", "negation_count", "protocol_len")
 
@@ -148,12 +149,11 @@ def fit(train: DataFrame, spec: Spec, key: str = "id", label: str = "label") ->
     levels = {c: train.select(c).distinct() for c in spec.categories}
     got = Fitted(spec, key, tfidf, scaler, levels, None, 0)
     for t in tfidf.values():
-        t.vocabulary = t.vocabulary.persist()
-    long = got.long(train).persist()
-    got.index = vectorize.feature_index(long).persist()
+        t.vocabulary = written(t.vocabulary, "vocabulary")
+    long = written(got.long(train), "weights")
+    got.index = written(vectorize.feature_index(long), "features")
     got.size = got.index.count()
-    got.model = models.logistic(got.vectors(train, long).select("features", label), label, c=spec.c)
-    long.unpersist()
+    got.model = models.logistic(written(got.vectors(train.select(key, label), long).select("features", label), "vectors"), label, c=spec.c)
     return got
 
 
@@ -163,13 +163,13 @@ def fitter(spec: Spec, key: str = "id", label: str = "label") -> Callable[[DataF
 
 def evaluate(rows: DataFrame, spec: Spec, key: str = "id", label: str = "label", k: int = 5, seed: int = 0) -> DataFrame:
     """(key, label, fold, proba): out-of-fold scores on stratified folds."""
-    folded = stratified_folds(rows, key, label, k, seed).persist()
+    folded = written(stratified_folds(rows, key, label, k, seed), "folds")
     return out_of_fold(folded, fitter(spec, key, label), k).select(key, label, "fold", "proba")
 
 
 def nested(rows: DataFrame, spec: Spec, key: str = "id", label: str = "label", k: int = 5, inner: int = 5, seed: int = 0, metric: str = "m1") -> list[tuple[int, float, float]]:
     """(outer fold, threshold, score): thresholds tuned by inner folds, scored on outer ones."""
-    folded = stratified_folds(rows, key, label, k, seed).persist()
+    folded = written(stratified_folds(rows, key, label, k, seed), "folds")
     out = []
     for i in range(k):
         train, test = folded.filter(F.col("fold") != i).drop("fold"), folded.filter(F.col("fold") == i)
@@ -185,7 +185,7 @@ def select_strength(rows: DataFrame, spec: Spec, strengths=(1.0, 3.0, 10.0, 30.0
 
 def compare(rows: DataFrame, candidate: Spec, baseline: Spec, seeds=(0, 1, 2, 3, 4), k: int = 5, threshold: float = 0.5, key: str = "id", label: str = "label") -> DataFrame:
     """(seed, fold, n, delta): scores of two specifications on the same repeated folds."""
-    folded = repeated_folds(rows, key, label, seeds, k).persist()
+    folded = written(repeated_folds(rows, key, label, seeds, k), "folds")
     tables = []
     for spec in (candidate, baseline):
         parts = [out_of_fold(folded.filter(F.col("seed") == s), fitter(spec, key, label), k) for s in seeds]
