@@ -3,7 +3,9 @@
 Pages are grouped by host; a line's ratio is the number of the host's pages that contain it over
 the number of the host's pages; lines above a ratio are dropped.  Lines are counted by 64-bit hash,
 partial counts come before the shuffle, and what joins back is one short list of hashes a host:
-no more than (lines a page) / ratio of them, however many pages the host has.
+no more than (lines a page) / ratio of them, however many pages the host has.  The lists are
+written first, so that Spark knows their size: small ones are broadcast and texts are not
+shuffled; larger ones are joined by a shuffle whose hot hosts can be split.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sectiva.llm._common import materialise
+
 #: A line on more than this share of a host's pages is boilerplate.
 RATIO = 0.1
 #: Hosts with fewer pages are left alone.
@@ -59,7 +63,7 @@ def drop_boilerplate(pages: DataFrame, host: str | Column = "source", text: str
     ``_host``, ``_drop``, ``_n_lines`` and ``_n_dropped`` are reserved names.
     """
     key = F.col(host) if isinstance(host, str) else host
-    found = boilerplate(pages, key, text, ratio, min_pages).select(F.col("host").alias("_host"), F.col("drop").alias("_drop"))
+    found = materialise(boilerplate(pages, key, text, ratio, min_pages), "boilerplate").select(F.col("host").alias("_host"), F.col("drop").alias("_drop"))
     joined = pages.join(found, key.eqNullSafe(F.col("_host")), "left")
     lines = _lines(F.col(text))
     kept = F.when(F.col("_drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("_drop"), _key(x)) | _blank(x)))
