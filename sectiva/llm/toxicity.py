@@ -31,11 +31,13 @@ LANDMARKS = 256
 TRAIN_ROWS = 1500
 THRESHOLD = 0.3
 #: Distinct words that a worker remembers at most.
-MEMO = 400_000
+MEMO = 150_000
 #: Words longer than this are compared piecewise.
 PIECE = 24
 #: Words whose kernel values are held at once.
 CHUNK = 4000
+#: Substring hashes that are gathered before they are counted.
+MERGE = 1_000_000
 ROUNDS = 3
 #: Weight of the losses against the ridge.
 COST = 2000.0
@@ -216,10 +218,27 @@ def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*own, np.arange(len(words))]), np.concatenate([*found, whole * MIX[2] ^ MIX[1]])
 
 
-def _counts(bags: list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
-    """Documents that contain each substring, by hash."""
-    found = [np.unique(_grams(sorted(b))[1]) for b in bags if b]
-    return np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and their summed counts."""
+    key, count = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key)
+    key, count = key[order], count[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return key[first], np.add.reduceat(count, first)
+
+
+def _counts(bags: list[set[str]], among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Documents that contain each substring, by hash; only those ``among`` sorted hashes, if given."""
+    total, keys, held = (np.zeros(0, np.uint64), np.zeros(0, np.int32)), [], 0
+    for bag in filter(None, bags):
+        own = np.unique(_grams(sorted(bag))[1])
+        if among is not None and len(among):
+            own = own[among[np.minimum(np.searchsorted(among, own), len(among) - 1)] == own]
+        keys.append(own)
+        held += len(own)
+        if held > MERGE:
+            total, keys, held = _added([total[0], *keys], [total[1], np.ones(held, np.int32)]), [], 0
+    return _added([total[0], *keys], [total[1], np.ones(held, np.int32)]) if held else total
 
 
 def _seed(bags: list[set[str]], y: np.ndarray) -> dict[str, tuple[float, int]]:
@@ -231,7 +250,7 @@ def _seed(bags: list[set[str]], y: np.ndarray) -> dict[str, tuple[float, int]]:
     n1, n0 = len(toxic), len(clean)
     grams, k = _counts(toxic)
     grams, k = grams[k > 2], k[k > 2].astype(float)
-    other, m = _counts(clean)
+    other, m = _counts(clean, grams)
     at = np.minimum(np.searchsorted(other, grams), max(len(other) - 1, 0))
     neg = np.where(other[at] == grams, m[at], 0).astype(float) if len(other) else np.zeros(len(grams))
     pure = k * n0 > PURITY * (neg + 0.3) * n1
@@ -252,8 +271,13 @@ def _seed(bags: list[set[str]], y: np.ndarray) -> dict[str, tuple[float, int]]:
 
 
 def train(texts_words: list[set[str]], labels: list[int]) -> Machine:
-    """Fit on bags of words with document labels; a quarter of the bags serves calibration alone."""
-    bags = [{p for w in b for p in _pieces(w) if p} for b in texts_words]
+    """Fit on bags of words with document labels; a quarter of the bags serves calibration alone.
+
+    The list is reused: its bags become bags of compared forms.
+    """
+    bags = texts_words
+    for k, b in enumerate(bags):
+        bags[k] = {sys.intern(p) for w in b for p in _pieces(w) if p}
     y = np.array(labels)
     rng = np.random.default_rng(7)
     held = np.arange(len(bags)) % 4 == 3 if len(bags) >= 40 else np.zeros(len(bags), bool)
@@ -318,7 +342,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
     rows = labelled(docs, labels, "toxic", crc_mod("k", 4) != 2, train_rows, doc_id, text)
     got = rows.select("text", "y").mapInArrow(_bags, "words array<string>, y int").collect()
     got.sort(key=lambda r: (r.y, len(r.words), r.words))
-    return train([set(map(sys.intern, r.words)) for r in got], [r.y for r in got])
+    bags, y = [], [r.y for r in got]
+    for k, r in enumerate(got):
+        bags.append(set(map(sys.intern, r.words)))
+        got[k] = None
+    return train(bags, y)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
