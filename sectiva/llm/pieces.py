@@ -9,6 +9,7 @@ library of the model format is verified on a sample before a run.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 from dataclasses import dataclass, field
@@ -27,9 +28,11 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Distinct segments that a worker remembers at most; then it starts afresh.
-MEMO = 120_000
+MEMO = 80_000
 #: Distinct segments that one call to the library encodes.
 SLICE = 8192
+#: Threads of one worker's calls, unless RAYON_NUM_THREADS says otherwise.
+THREADS = 2
 #: Texts on which parity is verified before a run.
 PARITY_ROWS = 200
 
@@ -184,6 +187,7 @@ class Pieces:
 
 
 def _encode(batches, blob):
+    os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
     pieces = Pieces(blob)
     for batch in batches:
         ids, offsets, sound = pieces.encode(batch.column(1).to_pylist())
