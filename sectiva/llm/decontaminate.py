@@ -1,10 +1,15 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Both sides become token sequences.  A fixed mask over ``SPAN`` tokens reads some positions and
-ignores the others, so a substituted token spoils only the seeds that read it.  Hashes of the
-benchmark are joined with hashes of the documents; around every hit the benchmark item is laid
-along the same diagonal and the best-scoring stretch (matches against substitutions) is verified.
-The benchmark is read in blocks of bounded size, each a pass over all documents.
+Both sides become token sequences.  A fixed mask reads some positions and ignores the others, so
+a substituted token spoils only the seeds that read it.  Hashes of the benchmark are joined with
+hashes of the documents; around every hit the benchmark item is laid along the same diagonal, and
+the longest stretch that meets length and identity is taken.  The benchmark is read in blocks of
+bounded size, each a pass over all documents.
+
+The seeds miss no stretch of at least 13 tokens of which at most a fifth are substituted: with s
+substitutions and no four equal tokens in a row it has at most 3 (s + 1) + s tokens and at least
+5 s, so s is 3, the length 15 and every run 3 long, which the second mask reads.  A shorter item
+is cut into one part more than it may have substitutions; one of the parts is left whole.
 """
 
 from __future__ import annotations
@@ -18,15 +23,18 @@ from pyspark.sql import functions as F
 
 from sectiva.llm._common import small_batches
 
-#: Fixed masks: 1 reads a token, 0 ignores it.  Any two of twelve tokens may differ under one of them.
-MASKS = ("110110110111", "101101111011", "111011011101", "011111001111")
-SPAN = 12
+#: Fixed masks: 1 reads a token, 0 ignores it.
+MASKS = ("1111", "1110111")
 #: A verified stretch has at least this many tokens (or the whole of a shorter item) ...
 MIN_TOKENS = 13
 #: ... of which at least this share are equal.
 MIN_IDENTITY = 0.8
-#: Score of a substitution where an equal token scores 1.
-PENALTY = 2
+#: Score of a substitution where an equal token scores 1: a stretch is equal enough if its sum isn't negative.
+PENALTY = 4
+#: Score of a position outside the document; no stretch can make up for it.
+OUTSIDE = -(1 << 40)
+#: Hits that are held at once, and positions that one block of diagonals compares.
+BLOCK_CELLS = 1 << 20
 #: Benchmark words that one pass holds; a larger benchmark takes more passes.
 BLOCK_WORDS = 4_000_000
 #: ASCII punctuation becomes a blank.
@@ -59,14 +67,18 @@ class Index:
             if own:
                 self.ids.append(item_id)
                 self.seqs.append(np.array(own, np.int64))
-        short = sorted({len(s) for s in self.seqs if len(s) < SPAN})
-        self.seeds = [*((x, SPAN, False) for x in _seeds(masks)), *((np.arange(n), n, True) for n in short)]
-        self.weights = _weights(SPAN)
+        self.sizes = np.array([len(s) for s in self.seqs], np.int64)
+        self.words = np.concatenate([*self.seqs, np.zeros(0, np.int64)])
+        self.first = np.concatenate(([0], np.cumsum(self.sizes)))
+        short = sorted({len(s) for s in self.seqs if len(s) < MIN_TOKENS})
+        parts = ((part, n) for n in short for part in np.array_split(np.arange(n), n // (PENALTY + 1) + 1))
+        self.seeds = [*((x, len(m), False) for m, x in zip(masks, _seeds(masks), strict=True)), *((x, n, True) for x, n in parts)]
+        self.weights = _weights(MIN_TOKENS)
         self.tables = []
         for pos, span, whole in self.seeds:
             h, item, at = [], [], []
             for k, s in enumerate(self.seqs):
-                if len(s) == span if whole else len(s) >= span:
+                if len(s) == span if whole else len(s) >= MIN_TOKENS:
                     own = self.hashes(s, pos, span)
                     h.append(own), item.append(np.full(len(own), k)), at.append(np.arange(len(own)))
             h, item, at = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((h, np.uint64), (item, np.int64), (at, np.int64)))
@@ -82,58 +94,76 @@ class Index:
         return h
 
     def hits(self, ids: np.ndarray):
-        """(item, offset in the item, offset in ids), every seed that both hold."""
+        """(positions read, item, offset in the item, offset in ids), every seed that both hold."""
         for (pos, span, _), (table, item, at) in zip(self.seeds, self.tables, strict=True):
             if len(ids) < span or not len(table):
                 continue
-            known = np.concatenate(([0], np.cumsum(ids > 0)))
-            where = np.flatnonzero(known[span:] - known[:-span] >= len(pos))
-            where = where[(ids[where[:, None] + pos] > 0).all(axis=1)] if len(where) else where
+            read = np.ones(len(ids) - span + 1, bool)
+            for p in pos:
+                read &= ids[p : len(ids) - span + 1 + p] > 0
+            where = np.flatnonzero(read)
             h = self.hashes(ids, pos, span, where)
             low, high = np.searchsorted(table, h, "left"), np.searchsorted(table, h, "right")
-            n = high - low
-            if n.any():
-                k = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-                yield item[k], at[k], np.repeat(where, n)
+            some = np.flatnonzero(high > low)
+            block = np.cumsum((high - low)[some]) // BLOCK_CELLS
+            for own in np.split(some, np.flatnonzero(np.diff(block)) + 1) if len(some) else ():
+                n = (high - low)[own]
+                k = np.repeat(low[own] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+                yield pos, item[k], at[k], np.repeat(where[own], n)
 
     def verify(self, doc: np.ndarray, k: int, diagonal: int) -> tuple[int, int, int, int] | None:
-        """Best stretch of item ``k`` laid on ``doc`` at ``diagonal``: (start in doc, in item, tokens, equal)."""
+        """Longest stretch of item ``k`` laid on ``doc`` at ``diagonal`` that meets length and identity: (start in doc, in item, tokens, equal)."""
         s = self.seqs[k]
         lo, hi = max(0, -diagonal), min(len(s), len(doc) - diagonal)
         same = s[lo:hi] == doc[lo + diagonal : hi + diagonal]
         total = np.concatenate(([0], np.cumsum(np.where(same, 1, -PENALTY))))
-        least = np.minimum.accumulate(total)
-        end = int(np.argmax(total - least))
-        start = int(np.flatnonzero(total[: end + 1] == least[end])[-1])
-        n, equal = end - start, int(same[start:end].sum())
-        if n < min(MIN_TOKENS, len(s)) or equal < MIN_IDENTITY * n:
+        start = np.searchsorted(-np.minimum.accumulate(total), -total, "left")
+        sizes = np.arange(len(total)) - start
+        if sizes.max() < min(MIN_TOKENS, len(s)):
             return None
-        return lo + diagonal + start, lo + start, n, equal
+        ends = np.flatnonzero(sizes == sizes.max())
+        end = int(ends[np.argmax((total[ends] - total[start[ends]]))])
+        start = int(start[end])
+        return lo + diagonal + start, lo + start, end - start, int(same[start:end].sum())
+
+    def worth(self, ids: np.ndarray, item: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Which items laid at ``at`` in ``ids``, within ``low`` to ``high``, hold a stretch that meets length and identity."""
+        keep = np.zeros(len(item), bool)
+        order = np.argsort(self.sizes[item], kind="stable")
+        sizes = self.sizes[item[order]]
+        i = 0
+        while i < len(order):
+            j = int(np.searchsorted(sizes, sizes[i], "right"))
+            j = min(j, i + max(1, BLOCK_CELLS // int(sizes[i])))
+            own, n = order[i:j], np.arange(sizes[i])
+            spot = at[own, None] + n
+            inside = (spot >= low[own, None]) & (spot < high[own, None])
+            same = ids[np.where(inside, spot, 0)] == self.words[self.first[item[own], None] + n]
+            total = np.zeros((j - i, len(n) + 1), np.int64)
+            np.cumsum(np.where(inside, np.where(same, 1, -PENALTY), OUTSIDE), axis=1, out=total[:, 1:])
+            least = min(MIN_TOKENS, len(n))
+            keep[own] = (total[:, least:] >= np.minimum.accumulate(total, axis=1)[:, :-least]).any(axis=1)
+            i = j
+        return keep
 
     def search(self, texts: list[str | None]):
         """(row, item id, stretch) of each text and item that overlap, the longest stretch of each."""
         get = self.vocab.get
         seqs = [np.fromiter(map(get, t, repeat(0)), np.int64, len(t)) for t in map(tokens, texts)]
-        gap = np.zeros(SPAN, np.int64)
+        gap = np.zeros(MIN_TOKENS, np.int64)
         ids = np.concatenate([x for s in seqs for x in (s, gap)]) if seqs else gap
-        starts = np.concatenate(([0], np.cumsum([len(s) + SPAN for s in seqs])))
+        starts = np.concatenate(([0], np.cumsum([len(s) + MIN_TOKENS for s in seqs]))).astype(np.int64)
         found: dict[tuple[int, int], tuple] = {}
-        seen = [np.unique(np.stack((item, where - at)), axis=1) for item, at, where in self.hits(ids)]
-        for k, at in (np.unique(np.concatenate(seen, axis=1), axis=1).T if seen else ()):
-            row = self.row_of(starts, at, k)
-            for r in row:
-                got = self.verify(seqs[r], k, int(at - starts[r]))
+        for pos, item, at, where in self.hits(ids):
+            row, item, at = np.unique(np.stack((np.searchsorted(starts, where + pos[0], "right") - 1, item, where - at)), axis=1)
+            keep = self.worth(ids, item, at, starts[row], starts[row + 1] - MIN_TOKENS)
+            for r, k, x in zip(row[keep].tolist(), item[keep].tolist(), at[keep].tolist(), strict=True):
+                got = self.verify(seqs[r], k, x - int(starts[r]))
                 if got and got[2:] > found.get((r, k), (0, 0, 0, 0))[2:]:
                     found[r, k] = got
         for (r, k), got in sorted(found.items()):
             yield r, self.ids[k], got
 
-    def row_of(self, starts, at, k):
-        """Texts that the item covers when laid at ``at``."""
-        first = max(0, int(np.searchsorted(starts, at, "right")) - 1)
-        last = int(np.searchsorted(starts, at + len(self.seqs[k]) - 1, "right")) - 1
-        return range(first, min(last, len(starts) - 2) + 1)
-
 
 def _search(batches, index):
     for batch in batches:
@@ -155,7 +185,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
     """(doc_id, item_id, doc_token, item_token, n_tokens, n_equal): each document and item that overlap.
 
     The longest verified stretch of each pair is given, once even where rows repeat.  Null or empty
-    texts and items hold no seed; an item shorter than the span of a seed matches only whole; rows
+    texts and items hold no seed; an item of fewer than 13 tokens matches only whole; rows
     with a null doc_id are left out, since a pair must name its document; other columns are
     ignored; an empty table gives no rows.
     """

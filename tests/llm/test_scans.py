@@ -1,6 +1,8 @@
 """Rules, decontamination, tokens, classifiers, secrets and personal data."""
 
 import hashlib
+import itertools
+import random
 import re
 import zlib
 from collections import Counter
@@ -59,6 +61,35 @@ def test_decontamination(spark):
     assert decontaminate.overlaps(frame(spark, rows), bench.limit(0)).count() == 0
 
 
+def brute_overlap(doc, item):
+    """Length of the longest stretch on any diagonal of at least 13 tokens, or the whole of a shorter item, at least 80 % equal."""
+    best = 0
+    for diagonal in range(1 - len(item), len(doc)):
+        lo, hi = max(0, -diagonal), min(len(item), len(doc) - diagonal)
+        same = [item[i] == doc[i + diagonal] for i in range(lo, hi)]
+        for i in range(len(same)):
+            for j in range(i + max(best + 1, min(13, len(item))), len(same) + 1):
+                if 5 * sum(same[i:j]) >= 4 * (j - i):
+                    best = j - i
+    return best
+
+
+def test_decontamination_against_brute_force():
+    rng = random.Random(7)
+    items = {n: [f"w{rng.randrange(40)}" for _ in range(n)] for n in (1, 4, 5, 9, 10, 12, 13, 14, 15, 17, 20, 25)}
+    docs = []
+    for n, item in items.items():
+        places = [c for k in range(n // 5 + 2) for c in itertools.combinations(range(n), k)]
+        for gone in rng.sample(places, min(len(places), 40)) + [x for x in [(3, 7, 11)] if n == 15]:
+            own = ["changed" if i in gone else w for i, w in enumerate(item)]
+            docs.append([f"w{rng.randrange(40)}" for _ in range(rng.randrange(6))] + own + [f"w{rng.randrange(40)}" for _ in range(rng.randrange(6))])
+    docs += [d[1:-1] for d in docs[::7]] + [[f"w{rng.randrange(4)}" for _ in range(30)] for _ in range(20)]
+    index = decontaminate.Index([(n, " ".join(x)) for n, x in items.items()])
+    got = {(r, n): found[2] for r, n, found in index.search([" ".join(d) for d in docs])}
+    want = {(r, n): best for r, d in enumerate(docs) for n, x in items.items() if (best := brute_overlap(d, x))}
+    assert got == want and len(want) > 300
+
+
 def test_pieces(spark):
     sentencepiece = pytest.importorskip("sentencepiece")
     theirs = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL_PATH)
