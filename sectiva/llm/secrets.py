@@ -29,6 +29,8 @@ THRESHOLD = 0.5
 KEY_NAME = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)"
 ASSIGNED = KEY_NAME + r"[\"']?[:=]+.+"
 PROVIDER = r"^(AKIA|ASIA|gh[pousr]_|github_pat_|xox[abprs]-|sk-|sk_live_|rk_live_|AIza|ya29\.|glpat-|npm_|eyJ)"
+#: Texts without any of these hold no candidate.
+PREFILTER = "[0-9]|" + PROVIDER.removeprefix("^") + "|" + KEY_NAME
 HARMLESS = r"(?i)(md5|sha1|sha256|checksum|digest|commit|etag|uuid|guid|hash|isbn|example|placeholder|changeme|your|dummy|sample|xxxx|<|\$\{)"
 TEST_PATH = r"(?i)(test|example|sample|fixture|mock|doc)"
 DICTIONARY = (
@@ -92,7 +94,7 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path
         return F.filter(rows, lambda r: _is_candidate(r["word"], r["p1"], r["p2"]))
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(path).cast("string").alias("path"), F.col(text).cast("string").alias("text"))
-    hit = rows.filter(F.col("text").rlike("[0-9]|" + KEY_NAME)).select("doc_id", "path", F.explode(let(words(F.col("text")), found)).alias("c"))
+    hit = rows.filter(F.col("text").rlike(PREFILTER)).select("doc_id", "path", F.explode(let(words(F.col("text")), found)).alias("c"))
     return hit.select("doc_id", "path", "c.word_index", "c.word", F.concat_ws(" ", "c.p3", "c.p2", "c.p1").alias("left"))
 
 
