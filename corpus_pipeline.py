@@ -16,6 +16,10 @@ from sectiva.llm.pieces import encode_documents
 from sectiva.llm.simhash import keep_one_per_group
 from sectiva.llm.toxicity import drop_toxic
 
+#: A line on more than this share of a source's pages, and on at least so many, is boilerplate, however large the source.
+LINE_RATIO = 0.01
+LINE_PAGES = 5
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity machine does not reject; it learns from this stage's own documents."""
@@ -24,7 +28,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the boilerplate lines of their source; n_chars follows the text."""
-    kept = drop_boilerplate(docs, "source", "text")
+    kept = drop_boilerplate(docs, "source", "text", LINE_RATIO, 1, LINE_PAGES)
     changed = F.when(F.col("_n_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", changed).select(*docs.columns)
 

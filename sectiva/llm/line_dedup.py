@@ -19,6 +19,8 @@ from sectiva.llm._common import materialise
 RATIO = 0.1
 #: Hosts with fewer pages are left alone.
 MIN_PAGES = 10
+#: Lines on fewer pages of a host stay.
+MIN_COUNT = 2
 SPACES = " \t\x0b\f\r"
 
 
@@ -46,15 +48,15 @@ def line_counts(pages: DataFrame, host: Column, text: str) -> DataFrame:
     return pages.select(host.alias("host"), F.explode(marked).alias("h")).groupBy("host", "h").agg(F.count("*").alias("n"))
 
 
-def boilerplate(pages: DataFrame, host: Column, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, host: Column, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, min_count: int = MIN_COUNT) -> DataFrame:
     """(host, drop): each host's list of the hashes of its boilerplate lines."""
     counts = line_counts(pages, host, text)
     totals = counts.filter("h is null").select(F.col("host").alias("site"), F.col("n").alias("pages")).filter(F.col("pages") >= min_pages)
-    over = counts.filter("h is not null and n > 1").join(totals, F.col("host").eqNullSafe(F.col("site")))
+    over = counts.filter("h is not null").filter(F.col("n") >= min_count).join(totals, F.col("host").eqNullSafe(F.col("site")))
     return over.filter(F.col("n") > ratio * F.col("pages")).groupBy("host").agg(F.collect_list("h").alias("drop"))
 
 
-def drop_boilerplate(pages: DataFrame, host: str | Column = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host: str | Column = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, min_count: int = MIN_COUNT) -> DataFrame:
     """``pages`` with boilerplate lines removed from ``text``, plus ``_n_lines`` and ``_n_dropped``.
 
     Blank lines are neither counted nor dropped; lines compare by every character.  A null text
@@ -63,7 +65,7 @@ def drop_boilerplate(pages: DataFrame, host: str | Column = "source", text: str
     ``_host``, ``_drop``, ``_n_lines`` and ``_n_dropped`` are reserved names.
     """
     key = F.col(host) if isinstance(host, str) else host
-    found = materialise(boilerplate(pages, key, text, ratio, min_pages), "boilerplate").select(F.col("host").alias("_host"), F.col("drop").alias("_drop"))
+    found = materialise(boilerplate(pages, key, text, ratio, min_pages, min_count), "boilerplate").select(F.col("host").alias("_host"), F.col("drop").alias("_drop"))
     joined = pages.join(found, key.eqNullSafe(F.col("_host")), "left")
     lines = _lines(F.col(text))
     kept = F.when(F.col("_drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("_drop"), _key(x)) | _blank(x)))

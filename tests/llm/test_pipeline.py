@@ -36,6 +36,17 @@ def test_stages(spark, folder):
     assert set(out) == set(seen["benchmark_decontamination"]) and all(r.restored for r in out.values())
 
 
+def test_line_dedup_rates(spark):
+    """Lines on 2 to 9 % of a source's pages and footers of small sources go; clean lines and copied pages stay."""
+    rows = [(i, f"own {i}\n" + "\n".join(f"on {p}" for p in (2, 3, 9) if i % 100 < p), "en", "large", 0) for i in range(1000)]
+    rows += [(2000 + i, "copied\npage", "en", "large", 0) for i in range(4)]
+    rows += [(3000 + i, f"small {i}\nfooter" + "\nthird" * (i < 3), "en", "small", 0) for i in range(9)]
+    got = {r.doc_id: r.text.split("\n") for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
+    assert not any(x.startswith("on ") or x == "footer" for t in got.values() for x in t)
+    assert all(got[i][0] == f"own {i}" for i in range(1000)) and all(got[2000 + i] == ["copied", "page"] for i in range(4))
+    assert all(got[3000 + i] == [f"small {i}"] + ["third"] * (i < 3) for i in range(9))
+
+
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() > 90
     assert len(corpus_pipeline.STAGES) == 5
