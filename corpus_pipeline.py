@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from sectiva.llm._common import materialise, table
 from sectiva.llm.decontaminate import drop_contaminated
 from sectiva.llm.line_dedup import drop_boilerplate
+from sectiva.llm.near_dup import keep_one_per_group
 from sectiva.llm.pieces import encode_documents
-from sectiva.llm.simhash import keep_one_per_group
 from sectiva.llm.toxicity import drop_toxic
 
 #: A line on more than this share of a source's pages, and on at least so many, is boilerplate, however large the source.
@@ -34,7 +34,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near duplicates."""
+    """One document, the one with the smallest id, of each group of near duplicates: five-word shingles, similarity 0.8."""
     return keep_one_per_group(docs).select(*docs.columns)
 
 

@@ -44,13 +44,20 @@ def table_masks() -> list[int]:
     return [_mask(b for i in keep for b in blocks[i]) for keep in combinations(range(len(WIDTHS)), len(WIDTHS) - RADIUS)]
 
 
-def fingerprint(text: str | None, n: int = SHINGLE) -> int:
-    """Unsigned 64-bit SimHash of a whole text; 0 for a text without words or a null one."""
+def gram_hashes(text: str | None, n: int = SHINGLE) -> np.ndarray:
+    """64-bit hashes of a text's word shingles in order; a text of fewer words is one, one without words has none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     grams = map(b" ".join, zip(*(words[i:] for i in range(n)), strict=False)) if len(words) >= n else [b" ".join(words)]
-    h = np.frombuffer(b"".join(map(xxhash.xxh64_digest, grams, repeat(SEED))), ">u8").astype("<u8")
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, grams, repeat(SEED))), ">u8").astype("<u8")
+
+
+def fingerprint(text: str | None, n: int = SHINGLE) -> int:
+    """Unsigned 64-bit SimHash of a whole text; 0 for a text without words or a null one."""
+    h = gram_hashes(text, n)
+    if not len(h):
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 15):
         bits = np.unpackbits(h[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -210,9 +217,3 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     component = rooted.join(smallest, "root").select("fp", "component_id")
     return rows.join(component, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Documents without those whose group has a smaller doc_id; a row with a null doc_id stays."""
-    gone = simhash_groups(docs, doc_id, text).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(gone, doc_id, "left_anti")

@@ -122,6 +122,42 @@ def test_dense_buckets(monkeypatch):
     assert same(simhash.bucket_labels(fps, list(range(64)))) == same(label)
 
 
+@pytest.mark.parametrize("sample", [64, 1])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, sample):
+    """The pipeline's near-duplicate stage against every pair's Jaccard similarity of five-word shingles."""
+    import corpus_pipeline
+    from sectiva.llm import near_dup
+
+    monkeypatch.setattr(near_dup, "SAMPLE", sample)
+    rng = random.Random(9)
+    texts = [r[1] for r in documents() if r[0] is not None and r[0] != 5]
+    for n in (8, 20, 60, 150):
+        for _ in range(12):
+            words = [f"w{rng.randrange(500)}" for _ in range(n)]
+            texts.append(" ".join(words))
+            for k in (0, 1, 2, 3):
+                own = words[:]
+                for i in rng.sample(range(n), k):
+                    own[i] = "changed"
+                texts.append(" ".join(own[rng.randrange(3) :]))
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    label = list(range(len(rows)))
+    near = 0
+    for j in range(len(rows)):
+        for i in range(j):
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                near += sets[i] != sets[j]
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    assert near > 40
+    got = {r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, frame(spark, rows), "").collect()}
+    assert got == set(label)
+
+
 def test_lines(spark):
     rows = [(i, f"header\nbody {i}\n\nfooter" if i % 2 else f"body {i}", "en", "a", 1) for i in range(30)] + [(99, None, "en", "a", 0), (100, "header", "en", "b", 0), (101, "header\nheader", "en", None, 0), (102, "", "en", "a", 0)]
     got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in line_dedup.line_dedup(frame(spark, rows)).collect()}
