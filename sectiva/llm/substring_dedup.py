@@ -5,20 +5,25 @@ of LENGTH bytes is assigned to one anchor, the least-hashed ``GRAM``-byte string
 windows share an anchor at the same place.  The windows of an anchor lie in one stretch of text,
 its context.
 
-1. Contexts that are equal as a whole are settled by order alone: all but the first are repeats.
-   Batches settle their own first, so a frequent passage is sent once a batch at most.
+1. Contexts that are equal as a whole, by a 128-bit BLAKE2 digest of their bytes, are settled by
+   order alone: all but the first are repeats.  Batches settle their own first, so a frequent
+   passage is sent once a batch at most.
 2. The first context of each kind still may share windows with other contexts around the same
    anchor.  Those contexts, the edges of repeated passages, are dealt to shards by anchor; frequent
    anchors are dealt to several.  A shard sorts all suffixes of its contexts (Larsson-Sadakane
    refinement in numpy), takes common prefixes (Kasai's, in its form by irreducible positions) and
    reads repeated windows off runs of prefixes of LENGTH or more.
-3. Windows of anchors that were dealt to several shards are merged across them: every shard sends
-   its sorted distinct windows, and each is looked up among the merged ones by binary search.
+3. Where an anchor went to several shards, what a shard has found no earlier copy of is merged
+   with the others by a search over how far a window reaches left of its anchor: a row for each
+   stretch of windows, cut into ranges a quarter as wide (two steps of a binary search), is dealt by
+   the bytes that all windows of its range share, and solved again.  Stretches that agree with no
+   other are alone after a round; ranges end at single windows.  Rows are linear in contexts.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +39,10 @@ GRAM = 32
 SHARD_BYTES = 2_000_000
 #: Anchors over this share of the anchors of a sample of documents are dealt to several shards.
 FREQUENT, SAMPLE, SALTS = 1 / 3000, 64, 64
+#: Rows of one key in a round of the merge that go to one shard: so many, or this share of all.
+HOT_ROWS, HOT_SHARE = 500, 1 / 10_000
 
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-#: An odd multiplier and its inverse modulo 2**64.
-P = 0x5851F42D4C957F2D
-P_INVERSE = pow(P, -1, 1 << 64)
 BYTES = np.random.default_rng(1).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
 
@@ -47,30 +51,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-class Powers:
-    """Powers of the multiplier and of its inverse, as many as asked for so far."""
-
-    def __init__(self):
-        self.up = self.down = np.zeros(0, np.uint64)
-
-    def upto(self, n: int):
-        if len(self.up) < n:
-            n = max(n, 1 << 16)
-            self.up, self.down = _powers(P, n), _powers(P_INVERSE, n)
-        return self.up, self.down
-
-
-def anchors(data: np.ndarray, powers: Powers, length: int = LENGTH, gram: int = GRAM):
-    """(first window, last window, anchor offset in the context, anchor hash, context hash) of a text's anchors."""
-    n = len(data)
+def anchors(raw: bytes, length: int = LENGTH, gram: int = GRAM):
+    """(first window, last window, anchor offset in the context, anchor hash, both halves of the context's digest) of a text's anchors."""
+    data, n = np.frombuffer(raw, np.uint8), len(raw)
     if n < length:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 3
     value = BYTES[data]
     g, width = value.copy(), 1
     while width < gram:
@@ -88,12 +73,9 @@ def anchors(data: np.ndarray, powers: Powers, length: int = LENGTH, gram: int =
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     last = np.concatenate((first[1:], [len(at)])) - 1
     p = at[first].astype(np.int64)
-    up, down = powers.upto(n + 1)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value * up[:n], dtype=np.uint64)))
-    whole = (total[last + length] - total[first]) * down[first]
-    off = p - first
-    whole = mix(whole + mix((last - first).astype(np.uint64) * M1 + off.astype(np.uint64)))
-    return first, last, off, g[p], whole
+    digest = b"".join(hashlib.blake2b(raw[a : b + length], digest_size=16).digest() for a, b in zip(first.tolist(), last.tolist(), strict=True))
+    low, high = np.frombuffer(digest, "<u8").reshape(-1, 2).T
+    return first, last, p - first, g[p], low, high
 
 
 def _bytes(text: str | None) -> bytes:
@@ -104,12 +86,11 @@ def _pack(lo: np.ndarray, hi: np.ndarray) -> bytes:
     return np.stack((lo, hi), axis=1).astype("<i4").tobytes()
 
 
-ROW = "doc_id {0}, tkey bigint, lo int, hi int, off int, h bigint, c bigint, packed binary"
+ROW = "doc_id {0}, tkey bigint, lo int, hi int, off int, h bigint, c bigint, d bigint, packed binary"
 
 
 def _anchor_rows(batches):
     """A row for each first context of a batch, and a row of packed window ranges for a text's repeats in it."""
-    powers = Powers()
     for batch in batches:
         order = pc.sort_indices(pa.table(batch), sort_keys=[("doc_id", "ascending"), ("tkey", "ascending")], null_placement="at_start").to_numpy()
         keys = batch.column(1).to_numpy()
@@ -118,12 +99,12 @@ def _anchor_rows(batches):
         for i in order:
             now = (ids[int(i)].as_py(), keys[i])
             if now != before:
-                found = anchors(np.frombuffer(_bytes(texts[int(i)].as_py()), np.uint8), powers)
+                found = anchors(_bytes(texts[int(i)].as_py()))
                 parts.append((np.full(len(found[0]), i), *found))
             before = now
-        row, lo, hi, off, h, c = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 6
-        by = np.lexsort((np.arange(len(c)), h, c))
-        new = np.concatenate(([True], (c[by][1:] != c[by][:-1]) | (h[by][1:] != h[by][:-1]))) if len(by) else np.zeros(0, bool)
+        row, lo, hi, off, h, c, d = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 7
+        by = np.lexsort((np.arange(len(c)), d, c))
+        new = np.concatenate(([True], (c[by][1:] != c[by][:-1]) | (d[by][1:] != d[by][:-1]))) if len(by) else np.zeros(0, bool)
         first = np.zeros(len(c), bool)
         first[by[new]] = True
         own = np.flatnonzero(first)
@@ -134,20 +115,20 @@ def _anchor_rows(batches):
         at = pa.array(np.concatenate((row[own], row[heads])).astype(np.int64))
         none = pa.nulls(len(heads))
         ints = [pa.chunked_array([pa.array(x[own], pa.int32()), none.cast(pa.int32())]).combine_chunks() for x in (lo, hi, off)]
-        longs = [pa.chunked_array([pa.array(x[own].view(np.int64)), none.cast(pa.int64())]).combine_chunks() for x in (h, c)]
+        longs = [pa.chunked_array([pa.array(x[own].view(np.int64)), none.cast(pa.int64())]).combine_chunks() for x in (h, c, d)]
         packed = pa.chunked_array([pa.nulls(len(own), pa.binary()), pa.array(packs, pa.binary())]).combine_chunks()
-        yield pa.RecordBatch.from_arrays([ids.take(at), batch.column(1).take(at), *ints, *longs, packed], names=["doc_id", "tkey", "lo", "hi", "off", "h", "c", "packed"])
+        yield pa.RecordBatch.from_arrays([ids.take(at), batch.column(1).take(at), *ints, *longs, packed], names=["doc_id", "tkey", "lo", "hi", "off", "h", "c", "d", "packed"])
 
 
 def _settle(batches, frequent):
-    """Rows sorted by (h, c, document, place): ``state`` 1 for a repeat of a whole context, 2 for a first one to look into.
+    """Rows sorted by (h, c, d, document, place): ``state`` 1 for a repeat of a whole context, 2 for a first one to look into.
 
     The last context of a batch is held back, until it is known whether its anchor has another one;
     where that would hold back more than a batch, it is looked into at once.
     """
     frequent = np.array(sorted(frequent), np.int64)
     held = None
-    last_h = last_c = last_doc = None
+    last_h = last_c = last_d = last_doc = None
     was_shared = False
 
     def out(t, keep, state):
@@ -155,13 +136,13 @@ def _settle(batches, frequent):
         return t.select(["doc_id", "tkey", "lo", "hi", "off", "h", "state", "packed"]).combine_chunks().to_batches()
 
     def solve(t, more):
-        nonlocal last_h, last_c, last_doc, was_shared
+        nonlocal last_h, last_c, last_d, last_doc, was_shared
         through = pc.is_valid(t["packed"]).to_numpy(zero_copy_only=False)
         if through.all():
             return out(t, through, np.ones(len(through), np.int32))
-        h, c = (t[x].combine_chunks().fill_null(0).to_numpy() for x in ("h", "c"))
+        h, c, d = (t[x].combine_chunks().fill_null(0).to_numpy() for x in ("h", "c", "d"))
         new_h = np.concatenate(([last_h is None or h[0] != last_h], h[1:] != h[:-1]))
-        new_c = new_h | np.concatenate(([last_c is None or c[0] != last_c], c[1:] != c[:-1]))
+        new_c = new_h | np.concatenate(([last_c is None or c[0] != last_c or d[0] != last_d], (c[1:] != c[:-1]) | (d[1:] != d[:-1])))
         first_of = np.maximum.accumulate(np.where(new_c, np.arange(len(h)), -1))
         keys = [t[x].combine_chunks() for x in ("doc_id", "tkey", "lo")]
         same = np.ones(len(h), bool)
@@ -187,7 +168,7 @@ def _settle(batches, frequent):
         keep = through | (state == 1) | (shared & new_c)
         last = int(np.flatnonzero(~through)[-1])
         was_shared = bool(shared[last])
-        last_h, last_c = h[last], c[last]
+        last_h, last_c, last_d = h[last], c[last], d[last]
         if first_of[last] >= 0:
             last_doc = tuple(x[int(first_of[last])].as_py() for x in keys)
         return out(t, keep, state.astype(np.int32))
@@ -200,8 +181,8 @@ def _settle(batches, frequent):
         if t.num_rows == 1:
             held = t
             continue
-        h, c = (t[x].combine_chunks().fill_null(0).to_numpy() for x in ("h", "c"))
-        change = np.flatnonzero(np.concatenate(([False], (h[1:] != h[:-1]) | (c[1:] != c[:-1]))))
+        h, c, d = (t[x].combine_chunks().fill_null(0).to_numpy() for x in ("h", "c", "d"))
+        change = np.flatnonzero(np.concatenate(([False], (h[1:] != h[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1]))))
         cut = int(change[-1]) if len(change) else t.num_rows - 1
         yield from solve(t.slice(0, cut).combine_chunks(), (h[cut], c[cut]))
         held = t.slice(cut).combine_chunks()
@@ -274,7 +255,7 @@ class Shard:
         self.bytes += len(row[4])
 
     def solve(self, length: int = LENGTH):
-        """(row, first window, repeats) per context, and the windows with their content's run number."""
+        """(row, place, whether it repeats) of every window of every context."""
         starts, text, at = [], [], 0
         for k, r in enumerate(self.rows):
             starts.append(at)
@@ -298,79 +279,109 @@ class Shard:
         head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
         again = np.zeros(len(order), bool)
         again[order] = (doc[order] != doc[head]) | (place[order] != place[head])
-        return row, place, window, again
+        return row, place, again
+
+
+LEVEL = "key bigint, salt int, doc_id {0}, tkey bigint, lo int, off int, n int, data binary"
 
 
 def _contexts(batches, frequent):
+    """Contexts with their bytes: windows ``lo`` to ``lo + n - 1`` of a document, their anchor ``off`` bytes from the first."""
     for batch in batches:
         out = []
         for doc, tkey, text, found in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             data = _bytes(text)
             for x in found:
-                salt = (tkey ^ x["lo"]) % SALTS if x["h"] in frequent else -1
-                out.append((x["h"], salt, doc, tkey, x["lo"], x["hi"] - x["lo"] + 1, data[x["lo"] : x["hi"] + LENGTH]))
-        cols = list(zip(*out, strict=True)) if out else [()] * 7
-        kinds = (pa.int64(), pa.int32(), batch.schema.field(0).type, pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["h", "salt", "doc_id", "tkey", "lo", "n", "data"])
+                salt = zlib.crc32(f"{doc} {tkey} {x['lo']}".encode()) % SALTS if x["h"] in frequent else -1
+                out.append((x["h"], salt, doc, tkey, x["lo"], x["off"], x["hi"] - x["lo"] + 1, data[x["lo"] : x["hi"] + LENGTH]))
+        cols = list(zip(*out, strict=True)) if out else [()] * 8
+        kinds = (pa.int64(), pa.int32(), batch.schema.field(0).type, pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["key", "salt", "doc_id", "tkey", "lo", "off", "n", "data"])
 
 
-def _shards(batches, doc_type):
-    """Contexts sorted by (h, salt): repeated windows as ranges; digests of the windows of anchors in several shards."""
+def ranges_of(row, first: int, last: int, width: int):
+    """Rows (key, lo, off, n, data) for the windows ``first`` to ``last`` of a row, one for each range of ``width``.
 
-    def ranges(row, place, again, rows):
-        at = np.flatnonzero(again)
+    A window that starts ``j`` bytes left of the anchor is in the range of ``j // width``; equal
+    windows have an equal ``j``, and all windows of a range share the bytes that make its key.
+    """
+    _, _, lo, _, data, _, off = row
+    at = lo + off
+    while first <= last:
+        low = (at - first) // width * width
+        end = min(last, at - low)
+        shared = data[at - low - lo : at - low - lo + LENGTH + 1 - width]
+        key = int.from_bytes(hashlib.blake2b(shared + bytes([low]), digest_size=8).digest(), "little", signed=True)
+        yield key, first, at - first, end - first + 1, data[first - lo : end - lo + LENGTH]
+        first = end + 1
+
+
+def _shards(batches, doc_type, width):
+    """Contexts sorted by (key, salt): repeated windows as ranges (lo, hi); rows of the next round for what is left of keys in several shards."""
+
+    def runs(row, place, chosen):
+        at = np.flatnonzero(chosen)
         cut = np.flatnonzero((np.diff(row[at]) != 0) | (np.diff(place[at]) != 1)) + 1
         for part in np.split(at, cut):
             if len(part):
-                r = rows[row[part[0]]]
-                yield (r[0], r[1], int(place[part[0]]), int(place[part[-1]]), None)
+                yield row[part[0]], int(place[part[0]]), int(place[part[-1]])
 
     def solve(shard, split):
-        row, place, window, again = shard.solve()
-        out = list(ranges(row, place, again, shard.rows))
+        row, place, again = shard.solve()
+        rows = shard.rows
+        out = [(rows[k][0], rows[k][1], a, b, None, None, None, None) for k, a, b in runs(row, place, again)]
         if split:
-            for k in np.flatnonzero(~again):
-                r = shard.rows[row[k]]
-                if r[5] in split:
-                    digest = hashlib.blake2b(r[4][window[k] : window[k] + LENGTH], digest_size=16).digest()
-                    out.append((r[0], r[1], int(place[k]), int(place[k]), digest))
+            whole = np.array([r[5] in split for r in rows])
+            for k, a, b in runs(row, place, ~again & whole[row]):
+                out += [(rows[k][0], rows[k][1], lo, None, key, off, n, data) for key, lo, off, n, data in ranges_of(rows[k], a, b, width)]
         return out
 
     def emit(out):
-        cols = list(zip(*out, strict=True)) if out else [()] * 5
-        kinds = (doc_type, pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "tkey", "lo", "hi", "digest"])
+        cols = list(zip(*out, strict=True)) if out else [()] * 8
+        kinds = (doc_type, pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "tkey", "lo", "hi", "key", "off", "n", "data"])
 
     shard, split, current = Shard(), set(), None
     for batch in batches:
-        for h, salt, doc, tkey, lo, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for key, salt, doc, tkey, lo, off, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if shard.bytes >= SHARD_BYTES:
-                whole = (h, salt) != current
+                whole = (key, salt) != current
                 if not whole:
-                    split.add(h)
+                    split.add(key)
                 yield emit(solve(shard, split))
-                shard, split = Shard(), set() if whole else {h}
-            current = (h, salt)
+                shard, split = Shard(), set() if whole else {key}
+            current = (key, salt)
             if salt >= 0:
-                split.add(h)
-            shard.add((doc, tkey, lo, n, data, h))
+                split.add(key)
+            shard.add((doc, tkey, lo, n, data, key, off))
     if shard.rows:
         yield emit(solve(shard, split))
 
 
-def _merge(batches):
-    """Windows of all shards sorted by (digest, document, place): each is looked up by binary search, and what
-    isn't the first of its digest is a repeat."""
-    before = None
-    for batch in batches:
-        high, low = np.frombuffer(b"".join(batch.column(4).to_pylist()), ">u8").astype(np.uint64).reshape(-1, 2).T
-        head = np.searchsorted(high, high, "left")
-        again = (head < np.arange(len(high))) & (low == low[head])
-        if len(high):
-            if before is not None:
-                again |= (high == before[0]) & (low == before[1])
-            before = high[-1], low[-1]
-        yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(again)) for k in range(4)], names=["doc_id", "tkey", "lo", "hi"])
+def merged(rows: DataFrame, kind: str) -> DataFrame:
+    """(doc_id, tkey, lo, hi): repeated windows of contexts (the columns of LEVEL), round by round.
+
+    Each round deals rows by key, hot keys to as many shards as they need; a round without a key
+    in several shards is the last.  The list of hot keys has at most 1 / HOT_SHARE entries.
+    """
+    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    schema = f"doc_id {kind}, tkey bigint, lo int, hi int, key bigint, off int, n int, data binary"
+    found, width = None, LENGTH - GRAM + 1
+    while True:
+        width = -(-width // 4)
+        dealt = rows.repartition("key", "salt").sortWithinPartitions("key", "salt")
+        solved = materialise(dealt.mapInArrow(lambda it, width=width: _shards(it, arrow, width), schema), "shards")
+        marks = solved.filter("key is null").select("doc_id", "tkey", "lo", "hi")
+        found = marks if found is None else found.unionByName(marks)
+        left = solved.filter("key is not null").drop("hi")
+        counts = left.groupBy("key").agg(F.count("*").alias("rows"))
+        total = counts.agg(F.sum("rows")).first()[0] or 0
+        if not total:
+            return found
+        many = max(HOT_ROWS, total * HOT_SHARE)
+        hot = F.broadcast(counts.filter(F.col("rows") > many).select(F.col("key").alias("k"), F.ceil(F.col("rows") / many).alias("shards")))
+        salt = F.coalesce(F.pmod(F.xxhash64("doc_id", "tkey", "lo"), F.col("shards")).cast("int"), F.lit(-1))
+        rows = left.join(hot, F.col("key") == F.col("k"), "left").withColumn("salt", salt).select("key", "salt", "doc_id", "tkey", "lo", "off", "n", "data")
 
 
 def removed_runs(n: int, lo: np.ndarray, hi: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -404,7 +415,10 @@ def _results(batches):
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("tkey"), F.col(text).cast("string").alias("text"))
+    """(doc_id, tkey, text): ``tkey`` tells rows apart that share an id, and is 0 where none do."""
+    shared = docs.groupBy(F.col(doc_id).alias("k")).agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
+    key = row_key(doc_id, text) if shared else F.lit(0).cast("long")
+    return docs.select(F.col(doc_id).alias("doc_id"), key.alias("tkey"), F.col(text).cast("string").alias("text"))
 
 
 def frequent_anchors(rows: DataFrame, schema: str) -> list[int]:
@@ -418,30 +432,22 @@ def frequent_anchors(rows: DataFrame, schema: str) -> list[int]:
     return [r.h for r in counts.filter(F.col("n") > max(20.0, FREQUENT * total)).collect()]
 
 
-def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, tkey, lo, hi, packed): ranges of the starts of repeated windows, or such ranges packed."""
-    small_batches(docs.sparkSession)
-    rows = _keyed(docs, doc_id, text)
+def repeated_windows(rows: DataFrame) -> DataFrame:
+    """(doc_id, tkey, lo, hi, packed) from (doc_id, tkey, text): ranges of the starts of repeated windows, or such ranges packed."""
     kind = dict(rows.dtypes)["doc_id"]
     frequent = set(frequent_anchors(rows, ROW.format(kind)))
     dealt = F.col("h")
     if frequent:
         dealt = F.when(F.col("h").isin(*frequent), F.col("c")).otherwise(F.col("h"))
     dealt = F.coalesce(dealt, F.xxhash64("doc_id", "tkey"))
-    found = rows.mapInArrow(_anchor_rows, ROW.format(kind)).withColumn("dealt", dealt)
-    found = found.repartition("dealt").sortWithinPartitions("h", "c", "doc_id", "tkey", "lo").drop("dealt")
+    found = rows.mapInArrow(_anchor_rows, ROW.format(kind))
+    found = found.repartition(dealt).sortWithinPartitions("h", "c", "d", "doc_id", "tkey", "lo")
     settled = materialise(found.mapInArrow(lambda it: _settle(it, frequent), f"doc_id {kind}, tkey bigint, lo int, hi int, off int, h bigint, state int, packed binary"), "settled")
-    open_ = settled.filter("state = 2").groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("h", "lo", "hi")).alias("found"))
+    open_ = settled.filter("state = 2").groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("h", "lo", "hi", "off")).alias("found"))
     joined = rows.join(open_.select(F.col("doc_id").alias("d"), F.col("tkey").alias("k"), "found"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tkey") == F.col("k")))
-    context = joined.select("doc_id", "tkey", "text", "found").mapInArrow(lambda it: _contexts(it, frequent), f"h bigint, salt int, doc_id {kind}, tkey bigint, lo int, n int, data binary")
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    sorted_ = context.repartition("h", "salt").sortWithinPartitions("h", "salt")
-    solved = materialise(sorted_.mapInArrow(lambda it: _shards(it, arrow), f"doc_id {kind}, tkey bigint, lo int, hi int, digest binary"), "shards")
-    across = solved.filter("digest is not null").repartition("digest").sortWithinPartitions("digest", "doc_id", "tkey", "lo")
-    across = across.mapInArrow(_merge, f"doc_id {kind}, tkey bigint, lo int, hi int")
-    none = F.lit(None).cast("binary").alias("packed")
+    context = joined.select("doc_id", "tkey", "text", "found").mapInArrow(lambda it: _contexts(it, frequent), LEVEL.format(kind))
     whole = settled.filter("state = 1").select("doc_id", "tkey", "lo", "hi", "packed")
-    return whole.unionByName(solved.filter("digest is null").select("doc_id", "tkey", "lo", "hi", none)).unionByName(across.select("doc_id", "tkey", "lo", "hi", none))
+    return whole.unionByName(merged(context, kind).withColumn("packed", F.lit(None).cast("binary")))
 
 
 def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -452,9 +458,10 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     text, and rows that repeat both are one document, each with its result.  Other columns are
     ignored; an empty table gives no rows.  doc_id may be int, bigint or string.
     """
-    marks = repeated_windows(docs, doc_id, text)
-    per_doc = marks.groupBy("doc_id", "tkey").agg(F.collect_list(F.when(F.col("lo").isNotNull(), F.struct("lo", "hi"))).alias("ranges"), F.collect_list("packed").alias("packs"))
+    small_batches(docs.sparkSession)
     rows = _keyed(docs, doc_id, text)
+    marks = repeated_windows(rows)
+    per_doc = marks.groupBy("doc_id", "tkey").agg(F.collect_list(F.when(F.col("lo").isNotNull(), F.struct("lo", "hi"))).alias("ranges"), F.collect_list("packed").alias("packs"))
     per_doc = per_doc.select(F.col("doc_id").alias("d"), F.col("tkey").alias("k"), "ranges", "packs")
     joined = rows.join(per_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tkey") == F.col("k")), "left").select("doc_id", "text", "ranges", "packs")
     schema = f"doc_id {dict(rows.dtypes)['doc_id']}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, spans array<struct<start:bigint,end:bigint>>"

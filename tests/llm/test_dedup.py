@@ -46,6 +46,7 @@ def overlapping(n=120):
 def test_substrings(spark, monkeypatch, small):
     if small:
         monkeypatch.setattr(substring_dedup, "SHARD_BYTES", 2000)
+        monkeypatch.setattr(substring_dedup, "HOT_ROWS", 5)
         monkeypatch.setattr(substring_dedup, "frequent_anchors", lambda rows, schema: [r.h for r in rows.mapInArrow(substring_dedup._anchor_rows, schema).filter("h is not null").groupBy("h").count().filter("count > 3").collect()])
     rows = [r for r in documents() if r[0] is not None] + [(1000 + r[0], *r[1:]) for r in overlapping()]
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup.substring_dedup(frame(spark, rows)).collect()}
