@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +51,22 @@ def discard(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def rows_kept(docs: DataFrame, text: str, keep) -> DataFrame:
+    """Rows of ``docs``, with all their columns, that ``keep`` holds for; nothing is shuffled or joined.
+
+    ``keep()`` is called once a task and gives a function from a list of texts to a list of booleans.
+    """
+    small_batches(docs.sparkSession)
+    at = docs.columns.index(text)
+
+    def run(batches):
+        judge = keep()
+        for batch in batches:
+            yield batch.filter(pa.array(judge(batch.column(at).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def row_key(doc_id: str, text: str) -> Column:
     """Tells apart rows that share a doc_id but not a text."""
     return F.xxhash64(F.col(doc_id).cast("string"), F.coalesce(F.col(text), F.lit("")))

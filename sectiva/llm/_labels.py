@@ -10,7 +10,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, fold: F.Column, lim
     """(doc_id, text, y): at most ``limit`` labelled rows of each class from the rows where ``fold`` holds.
 
     The choice is by hash of the id, the same in every run.  The chosen ids are few by construction,
-    so they are broadcast; texts are read whole.
+    so they are broadcast; texts are read whole.  Repeated rows count once; an id
+    that different texts share is left out, since its label may be of either.
     """
     rows = labels.select(F.col(doc_id).alias("k"), F.col(label).cast("int").alias("y")).filter(F.col("k").isNotNull() & F.col("y").isNotNull() & fold)
     rows = rows.groupBy("k").agg(F.max("y").alias("y"))
@@ -18,4 +19,4 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, fold: F.Column, lim
     chosen = [rows.filter(F.col("y") == y).orderBy(*order).limit(limit) for y in (0, 1)]
     chosen = chosen[0].unionByName(chosen[1])
     found = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return found.join(F.broadcast(chosen), F.col("doc_id") == F.col("k")).select("doc_id", "text", "y")
+    return found.join(F.broadcast(chosen), F.col("doc_id") == F.col("k")).groupBy("doc_id", "y").agg(F.min("text").alias("text"), F.max("text").alias("other")).filter(F.col("text").eqNullSafe(F.col("other"))).select("doc_id", "text", "y")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sectiva.llm._common import small_batches
+from sectiva.llm._common import materialise, rows_kept, small_batches
 
 #: Fixed masks: 1 reads a token, 0 ignores it.
 MASKS = ("1111", "1110111")
@@ -173,12 +173,15 @@ def _search(batches, index):
         yield pa.RecordBatch.from_arrays([rows, pa.array([x[1] for x in got], pa.int64()), *cols], names=["doc_id", "item_id", "doc_token", "item_token", "n_tokens", "n_equal"])
 
 
-def _blocks(benchmark: DataFrame, block_words: int):
-    """The benchmark in blocks of about ``block_words`` words each."""
+def _indexes(benchmark: DataFrame, block_words: int):
+    """(index that every task gets, whether it is the last), one for about ``block_words`` words; the one before is given up."""
     words = benchmark.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     n = max(1, -(-words // block_words))
     for k in range(n):
-        yield [tuple(r) for r in benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()]
+        index = benchmark.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()]))
+        yield index, k == n - 1
+        if k < n - 1:
+            index.destroy()
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -194,15 +197,28 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).filter("item_id is not null")
     schema = f"doc_id {dict(rows.dtypes)['doc_id']}, item_id bigint, doc_token bigint, item_token bigint, n_tokens bigint, n_equal bigint"
     found = None
-    for block in _blocks(items, block_words):
-        index = docs.sparkSession.sparkContext.broadcast(Index(block))
+    for index, last in _indexes(items, block_words):
         part = rows.mapInArrow(lambda it, index=index: _search(it, index.value), schema)
+        if not last or found is not None:
+            part = materialise(part, "overlaps")
         found = part if found is None else found.unionByName(part)
     best = F.max(F.struct("n_tokens", "n_equal", "doc_token", "item_token")).alias("b")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.doc_token", "b.item_token", "b.n_tokens", "b.n_equal")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Documents that overlap no benchmark item; rows with a null doc_id stay."""
-    hit = overlaps(docs, benchmark, doc_id, text).select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(hit, doc_id, "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Rows whose own text overlaps no benchmark item, whatever their id; null and empty texts stay."""
+    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).filter("item_id is not null")
+    for index, last in _indexes(items, block_words):
+
+        def keep(index=index):
+            def judge(texts):
+                hit = {r for r, *_ in index.value.search(texts)}
+                return [r not in hit for r in range(len(texts))]
+
+            return judge
+
+        docs = rows_kept(docs, text, keep)
+        if not last:
+            docs = materialise(docs, "uncontaminated")
+    return docs

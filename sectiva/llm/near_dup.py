@@ -1,37 +1,46 @@
-"""Near-duplicate documents: shingles of five words whose sets have a Jaccard similarity of at least 0.8.
+"""Near-duplicate documents by SimHash at a similarity: five-word shingle sets with a Jaccard similarity of 0.8 or more.
 
-At that similarity 64-bit SimHash fingerprints differ in 9.7 bits on average with a deviation of
-2.9, so no radius that tables can serve covers it.  Candidates come from the sets themselves: with
-all sets in one order, two that are similar enough share an element of their prefixes, the first
-n - ceil(0.8 n) + 1 of n.  Rare elements come first.  Only bounds that hold for every similar
-pair are applied, then the similarity is computed, so no pair is missed and none is guessed.
+At that similarity fingerprints differ in about 15 of 100 bits, too many for tables of equal
+blocks.  So fingerprints of BITS bits are compared inside buckets that similar texts share: pairs
+of minimum hashes of the shingle set.  Bit planes lie vertically, carry-save counters add many
+distances at once, and a comparison is abandoned once every lane has passed the radius (the radius
+is over five deviations from the mean distance at 0.8; a pair of that similarity has no common
+bucket with a probability of 0.36 ** KEYS, 8e-8).  Links of a bucket only make families of
+candidates: the members of a family are compared by their exact similarity.
+
+Buckets and families send on spanning forests, never all pairs.  A member is compared with all
+others only until it is in the largest class, so dense groups cost little.  Large ones are dealt in
+blocks, a task for each pair of blocks.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sectiva.llm._common import materialise, small_batches
+from sectiva.llm._common import materialise, row_key, small_batches
 from sectiva.llm._graph import connected_components
 from sectiva.llm.simhash import gram_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: One text in so many shows which shingles are frequent; they come last (the order decides time only).
-SAMPLE = 64
-#: Frequent shingles that are known at most, each in at least FREQUENT texts of the sample.
-LATE = 50_000
-FREQUENT = 3
-#: Pairs of one bucket that are held at once.
-BLOCK_PAIRS = 1 << 20
+#: Bits of a fingerprint, and bits that may differ between candidates.
+BITS, RADIUS = 256, 72
+#: Buckets of a text, each keyed by two minimum hashes.
+KEYS = 16
+#: Members of a bucket or family, and elements of a family, that one task holds; more are dealt in blocks.
+MEMBERS, ELEMENTS = 4096, 4_000_000
+#: Buckets and families of at most so many members are compared many at once.
+SMALL = 48
+#: Shingles that are sketched at once.
+CHUNK = 1 << 13
 #: Guards bounds against rounding.
 EPS = 1e-9
+STEPS = np.random.default_rng(5).integers(1, 1 << 63, 2 * KEYS, dtype=np.uint64) | np.uint64(1)
+M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def shingle_set(text: str | None, n: int = SHINGLE) -> np.ndarray:
@@ -39,123 +48,269 @@ def shingle_set(text: str | None, n: int = SHINGLE) -> np.ndarray:
     return np.unique(gram_hashes(text, n))
 
 
-def prefix(own: np.ndarray, late: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
-    """The first n - ceil(similarity n) + 1 elements of a set: rare ones by hash, then those of ``late`` by rank."""
-    if len(late):
-        at = np.minimum(np.searchsorted(late, own), len(late) - 1)
-        own = own[np.lexsort((own, np.where(late[at] == own, rank[at], 0)))]
-    return own[: len(own) - math.ceil(similarity * len(own) - EPS) + 1]
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * M2
+    return x ^ (x >> np.uint64(29))
+
+
+def sketch(own: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """(keys of the buckets, fingerprint) of a shingle set; none and zero for an empty one."""
+    if not len(own):
+        return np.zeros(0, np.int64), bytes(BITS // 8)
+    least, ones = np.full(2 * KEYS, ~np.uint64(0)), np.zeros(BITS, np.int64)
+    for at in range(0, len(own), CHUNK):
+        h = own[at : at + CHUNK]
+        spread = h ^ (h >> np.uint64(32))
+        least = np.minimum(least, (spread[None] * STEPS[:, None]).min(axis=1))
+        streams = np.stack([_mixed(h + M1 * np.uint64(k)) for k in range(BITS // 64)], axis=1)
+        ones += np.unpackbits(streams.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    keys = _mixed(least[::2] * M1 + least[1::2]) ^ np.arange(KEYS, dtype=np.uint64)
+    return keys.view(np.int64), np.packbits(2 * ones > len(own), bitorder="little").tobytes()
+
+
+def _node(own: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(own.tobytes())
 
 
-def _prefixes(batches, n, similarity, order):
-    late = order.value
-    at = np.argsort(late)
-    late, rank = late[at], at + 1
+def _sketches(batches, n):
     for batch in batches:
-        sets = [shingle_set(t, n) for t in batch.column(1).to_pylist()]
-        node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-        firsts = [prefix(s, late, rank, similarity).view(np.int64) for s in sets]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array([len(s) for s in sets], pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=["doc_id", "node", "n", "prefix"])
+        sets = [shingle_set(t, n) for t in batch.column(2).to_pylist()]
+        keys, prints = zip(*map(sketch, sets), strict=True) if sets else ((), ())
+        cols = [pa.array([_node(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(prints, pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["doc_id", "tkey", "node", "n", "keys", "fp"])
 
 
 def _sets(batches, n):
     for batch in batches:
         sets = [shingle_set(t, n) for t in batch.column(0).to_pylist()]
-        node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "own"])
-
-
-def _possible(n, at, i, j, similarity):
-    """Whether sets of these sizes that meet first at these places may be similar enough."""
-    a, b = n[i], n[j]
-    left = np.minimum(a - at[i], b - at[j])
-    return (np.minimum(a, b) >= similarity * np.maximum(a, b) - EPS) & (left >= similarity / (1 + similarity) * (a + b) - EPS)
-
-
-def _pairs(batches, similarity):
-    """Rows (w, n, node, at) sorted by w, then n, to candidate pairs; a bucket may span batches."""
-
-    def block(a, b):
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        low, high = np.unique(np.stack((low, high)), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
-
-    def solve(w, n, node, at):
-        cut = np.flatnonzero(np.diff(w)) + 1
-        starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(w)]))
-        # A member meets those before it whose sets aren't too small.
-        group = np.repeat(np.arange(len(starts)), ends - starts)
-        first = starts[group]
-        for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
-            first[s:e] = s + np.searchsorted(n[s:e], similarity * n[s:e] - EPS, "left")
-        count = np.arange(len(w)) - first
-        some = np.flatnonzero(count > 0)
-        parts = np.cumsum(count[some]) // BLOCK_PAIRS
-        for own in np.split(some, np.flatnonzero(np.diff(parts)) + 1) if len(some) else ():
-            m = count[own]
-            j = np.repeat(own, m)
-            i = np.repeat(first[own] - np.concatenate(([0], np.cumsum(m)[:-1])), m) + np.arange(m.sum())
-            near = _possible(n, at, i, j, similarity) & (node[i] != node[j])
-            if near.any():
-                yield block(node[i[near]], node[j[near]])
+        yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "own"])
+
+
+def above(counters: list[np.ndarray], radius: int) -> np.ndarray:
+    """Lanes whose bit-sliced counter exceeds ``radius``, as packed bytes."""
+    more, equal = np.zeros_like(counters[0]), np.full_like(counters[0], 255)
+    for k in range(max(len(counters), radius.bit_length()) - 1, -1, -1):
+        c = counters[k] if k < len(counters) else np.zeros_like(more)
+        if radius >> k & 1:
+            equal &= c
+        else:
+            more |= equal & c
+            equal &= ~c
+    return more
+
+
+def within(planes, radius: int = RADIUS) -> np.ndarray:
+    """Lanes whose set bits over all planes (an even number of XOR planes, one bit a lane) number at most ``radius``, as packed bytes.
+
+    Two planes at a time enter the lowest counter by carry-save addition, whose carry ripples on.
+    """
+    planes, counters = iter(planes), []
+    for k, x in enumerate(planes):
+        y = next(planes)
+        if not counters:
+            counters.append(np.zeros_like(x))
+        ones = counters[0]
+        carry = (ones & x) | (y & (ones ^ x))
+        counters[0] = ones ^ x ^ y
+        at = 1
+        while carry.any():
+            if at == len(counters):
+                counters.append(np.zeros_like(x))
+            counters[at], carry, at = counters[at] ^ carry, counters[at] & carry, at + 1
+        if k % 16 == 15 and 2 * k > radius and (above(counters, radius) == 255).all():
+            return np.zeros_like(x)
+    return ~above(counters, radius)
+
+
+def _vertical(prints: np.ndarray) -> np.ndarray:
+    """Bit planes of rows of bytes, packed along the rows."""
+    return np.ascontiguousarray(np.packbits(np.unpackbits(prints, axis=1, bitorder="little"), axis=0, bitorder="little").T)
+
+
+def _unpacked(lanes: np.ndarray, n: int) -> np.ndarray:
+    return np.unpackbits(lanes, count=n, bitorder="little").astype(bool)
+
+
+def forest(n: int, linked) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of ``n`` members; ``linked(i)`` says which members are linked with member i.
+
+    Every pair of members in different classes has been compared in the end: all outside the largest class were asked.
+    """
+    label, asked, edges = np.arange(n), np.zeros(n, bool), []
+    while True:
+        largest = np.bincount(label, minlength=n).argmax()
+        open_ = np.flatnonzero(~asked & (label != largest))
+        if not len(open_):
+            return edges
+        i = int(open_[0])
+        asked[i] = True
+        near = np.flatnonzero(linked(i) & (label != label[i]))
+        others, first = np.unique(label[near], return_index=True)
+        edges += [(i, int(j)) for j in near[first]]
+        label[np.isin(label, others)] = label[i]
+
+
+def _union(i: np.ndarray, j: np.ndarray) -> list[int]:
+    """Indices of those pairs that connect what was not connected yet."""
+    root: dict[int, int] = {}
 
+    def find(x):
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    kept = []
+    for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+        a, b = find(a), find(b)
+        if a != b:
+            root[b] = a
+            kept.append(k)
+    return kept
+
+
+def _sizes_fit(a, b, similarity):
+    return np.minimum(a, b) >= similarity * np.maximum(a, b) - EPS
+
+
+def bucket_edges(prints: np.ndarray, n: np.ndarray, sizes: np.ndarray, similarity: float, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """Forest edges (row, row) of consecutive buckets of the given sizes; links are within the radius and of possible sizes."""
+    starts, out = np.cumsum(sizes) - sizes, []
+    few = (sizes > 1) & (sizes <= SMALL)
+    for size in np.unique(sizes[few]):
+        p, q = np.triu_indices(size, 1)
+        at = starts[few & (sizes == size)][:, None]
+        left, right = (at + p).ravel(), (at + q).ravel()
+        fit = _sizes_fit(n[left], n[right], similarity)
+        left, right = left[fit], right[fit]
+        for k in range(0, len(left), 1 << 15):
+            i, j = left[k : k + (1 << 15)], right[k : k + (1 << 15)]
+            near = _unpacked(within(_vertical(prints[i] ^ prints[j]), radius), len(i))
+            out += zip(i[near].tolist(), j[near].tolist(), strict=True)
+    if out:
+        i, j = np.array(out).T
+        out = [out[k] for k in _union(i, j)]
+    for s, m in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+        own, planes, bits = n[s : s + m], _vertical(prints[s : s + m]), np.unpackbits(prints[s : s + m], axis=1, bitorder="little")
+
+        def linked(i, own=own, planes=planes, bits=bits, m=m):
+            lanes = within((x ^ np.uint8(255) if b else x for x, b in zip(planes, bits[i], strict=True)), radius)
+            return _unpacked(lanes, m) & _sizes_fit(own, own[i], similarity)
+
+        out += [(s + a, s + b) for a, b in forest(m, linked)]
+    return out
+
+
+def family_edges(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Forest edges of one family by the exact similarity of its sets."""
+    n = np.array([len(s) for s in sets])
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum(n)
+    mark = np.zeros(int(codes.max()) + 1, bool)
+
+    def linked(i):
+        own = codes[ends[i] - n[i] : ends[i]]
+        mark[own] = True
+        common = np.add.reduceat(mark[codes], ends - n, dtype=np.int64)
+        mark[own] = False
+        return common >= similarity * (n + n[i] - common) - EPS
+
+    return forest(len(n), linked)
+
+
+def _groups(batches, keys: int):
+    """Tables of whole groups from rows sorted by their first ``keys`` columns: (table, sizes of its groups)."""
     held = None
     for batch in batches:
-        now = [batch.column(i).to_numpy() for i in range(4)]
-        if held is not None:
-            now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-        if not len(now[0]):
+        t = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+        if not t.num_rows:
             continue
-        cut = int(np.searchsorted(now[0], now[0][-1], "left"))
-        if cut:
-            yield from solve(*(x[:cut] for x in now))
-        held = [x[cut:] for x in now]
-    if held is not None and len(held[0]):
-        yield from solve(*held)
+        cols = [t.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in range(keys)]
+        cut = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols])) + 1
+        if len(cut):
+            yield t.slice(0, int(cut[-1])).combine_chunks(), np.diff(cut, prepend=0)
+            held = t.slice(int(cut[-1]))
+        else:
+            held = t
+    if held is not None and held.num_rows:
+        yield held.combine_chunks(), np.array([held.num_rows])
+
+
+def _edges(t: pa.Table, pairs) -> pa.RecordBatch:
+    node = t.column("node").combine_chunks()
+    a, b = (pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1))
+    return pa.RecordBatch.from_arrays([node.take(a), node.take(b)], names=["a", "b"])
+
 
+def _bucket_links(batches, similarity):
+    for t, sizes in _groups(batches, 2):
+        prints = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint8).reshape(-1, BITS // 8)
+        yield _edges(t, bucket_edges(prints, t.column("n").to_numpy(), sizes, similarity))
 
-def frequent(rows: DataFrame, shingle: int) -> np.ndarray:
-    """Hashes of the shingles that many texts of a sample hold, the rarest first."""
-    sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text")
-    found = sample.mapInArrow(lambda it: _sets(it, shingle), "node bigint, own array<bigint>").select(F.explode("own").alias("w"))
-    top = found.groupBy("w").count().filter(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "w").limit(LATE).select("w").toArrow()
-    return top.column(0).to_numpy().view(np.uint64)[::-1].copy()
+
+def _family_links(batches, similarity):
+    for t, sizes in _groups(batches, 2):
+        own, at, pairs = t.column("own").combine_chunks(), 0, []
+        for m in sizes.tolist():
+            if m > 1:
+                sets = [own[at + k].values.to_numpy() for k in range(m)]
+                pairs += [(at + a, at + b) for a, b in family_edges(sets, similarity)]
+            at += m
+        yield _edges(t, pairs)
+
+
+def dealt(rows: DataFrame, key: str, parts: DataFrame) -> DataFrame:
+    """``rows`` with ``pair``: 0, or for keys in ``parts`` (key, parts) a copy for every pair of blocks that a row's block is in."""
+    joined = rows.join(parts, key, "left")
+    block = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    other = F.sequence(F.lit(0), F.col("parts").cast("int") - 1)
+    pairs = F.transform(other, lambda x: F.least(x, block) * F.col("parts").cast("int") + F.greatest(x, block) + 1)
+    return joined.withColumn("pair", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(pairs))).drop("parts")
 
 
 def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id) for every row: the smallest doc_id reachable over pairs that are similar enough.
+    """(doc_id, tkey, component_id, first) for every row: the smallest doc_id reachable over pairs that are similar enough.
 
-    Words are split at white space and lower-cased; a text of fewer words than a shingle is one
-    shingle; texts that are null, empty or without words are copies of each other.  Texts with
-    equal sets are one node.  Rows repeated in ``docs`` are returned as often; a null doc_id is
-    kept and never the smallest unless all are null; other columns of ``docs`` are ignored.
+    ``tkey`` hashes id and text and ``first`` is the tkey of the group's first row: the one with the
+    smallest doc_id, null last, then the smallest tkey.  Words are split at white space and
+    lower-cased; a text of fewer words than a shingle is one shingle; texts that are null, empty or
+    without words are copies of each other.  Texts with equal sets are one node.  Rows repeated in
+    ``docs`` are returned as often; other columns are ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("tkey"), F.col(text).cast("string").alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
-    order = spark.sparkContext.broadcast(frequent(rows, shingle))
-    known = materialise(rows.mapInArrow(lambda it: _prefixes(it, shingle, similarity, order), f"doc_id {kind}, node bigint, n int, prefix array<bigint>"), "prefixes")
-    nodes = known.groupBy("node").agg(F.min("doc_id").alias("least"))
-    # Sets are rebuilt from one text of a node, so only prefixes are written and shuffled.
-    firsts = known.dropDuplicates(["node"]).select("node", "n", F.posexplode("prefix").alias("at", "w"))
-    keyed = firsts.select("w", "n", "node", "at").repartition("w").sortWithinPartitions("w", "n", "node")
-    pairs = materialise(keyed.mapInArrow(lambda it: _pairs(it, similarity), "a bigint, b bigint").distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    reps = materialise(wanted.join(nodes, "node").select("node", F.col("least").alias("rep")), "candidates")
-    some = rows.join(reps.select("rep").distinct(), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
-    sets = materialise(some.mapInArrow(lambda it: _sets(it, shingle), "node bigint, own array<bigint>").join(reps.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    edges = both.filter(common >= similarity * (F.size("x") + F.size("y") - common) - EPS).select("a", "b")
-    roots = connected_components(edges)
-    rooted = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    component = rooted.join(smallest, "root").select("node", "component_id")
-    return known.select("doc_id", "node").join(component, "node").select("doc_id", "component_id")
+    known = materialise(rows.mapInArrow(lambda it: _sketches(it, shingle), f"doc_id {kind}, tkey bigint, node binary, n int, keys array<bigint>, fp binary"), "sketches")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")
+    nodes = materialise(known.groupBy("node").agg(F.min(order).alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("fp").alias("fp")), "nodes")
+    keyed = nodes.select(F.explode("keys").alias("k"), "n", "node", "fp")
+    large = nodes.select(F.explode("keys").alias("k")).groupBy("k").agg(F.count("*").alias("m")).filter(F.col("m") > MEMBERS)
+    keyed = dealt(keyed, "k", large.select("k", F.ceil(F.col("m") / (MEMBERS // 2)).alias("parts")))
+    keyed = keyed.select("k", "pair", "n", "node", "fp").repartition("k", "pair").sortWithinPartitions("k", "pair", "n", "node")
+    family = materialise(connected_components(keyed.mapInArrow(lambda it: _bucket_links(it, similarity), "a binary, b binary")).join(nodes.select("node", "n", "least"), "node"), "families")
+    large = family.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / MEMBERS, F.sum("n") / ELEMENTS)).alias("m")).filter("m > 1")
+    # Sets are rebuilt from one text of a node.
+    reps = family.select(F.col("least.doc_id").alias("d"), F.col("least.tkey").alias("k")).distinct()
+    some = rows.join(reps, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tkey") == F.col("k")), "left_semi").select("text")
+    sets = some.mapInArrow(lambda it: _sets(it, shingle), "node binary, own array<bigint>").dropDuplicates(["node"]).join(family.select("node", "root"), "node")
+    sets = dealt(sets, "root", large.select("root", (2 * F.col("m")).alias("parts"))).select("root", "pair", "node", "own")
+    edges = sets.repartition("root", "pair").sortWithinPartitions("root", "pair", "node").mapInArrow(lambda it: _family_links(it, similarity), "a binary, b binary")
+    rooted = nodes.select("node", "least").join(connected_components(edges), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("least"))
+    component = rooted.select("node", "root").join(smallest, "root").select("node", F.col("least.doc_id").alias("component_id"), F.col("least.tkey").alias("first"))
+    return known.select("doc_id", "tkey", "node").join(component, "node").select("doc_id", "tkey", "component_id", "first")
 
 
 def keep_one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """Documents without those whose group has a smaller doc_id; a row with a null doc_id stays."""
-    gone = near_duplicate_groups(docs, doc_id, text, shingle, similarity).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(gone, doc_id, "left_anti")
+    """One row of each group: that of the smallest doc_id, null last; of rows that share it, that of the smallest hash of the text.
+
+    Rows that repeat id and text count as copies, of which one stays.
+    """
+    groups = materialise(near_duplicate_groups(docs, doc_id, text, shingle, similarity), "groups")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("tkey") == F.col("first"))
+    gone = groups.filter(~first).select(F.col("doc_id").alias("_gone_id"), F.col("tkey").alias("_gone_key")).distinct()
+    keyed = docs.withColumn("_row_key", row_key(doc_id, text))
+    kept = keyed.join(gone, F.col(doc_id).eqNullSafe(F.col("_gone_id")) & (F.col("_row_key") == F.col("_gone_key")), "left_anti")
+    if groups.filter(first).groupBy("doc_id", "tkey").count().filter("count > 1").limit(1).count():
+        kept = kept.dropDuplicates([doc_id, "_row_key"])
+    return kept.select(*docs.columns)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sectiva.llm._common import crc_mod, small_batches
+from sectiva.llm._common import crc_mod, rows_kept, small_batches
 from sectiva.llm._labels import labelled
 
 SPAN = 5
@@ -32,7 +32,7 @@ TRAIN_ROWS = 1500
 THRESHOLD = 0.3
 #: Distinct words that a worker remembers at most.
 MEMO = 150_000
-#: Words longer than this are compared piecewise.
+#: Words are compared by their windows of at most so many characters, which overlap by half.
 PIECE = 24
 #: Words whose kernel values are held at once.
 CHUNK = 4000
@@ -125,10 +125,10 @@ class Kernel:
 
 
 def _pieces(word: str) -> list[str]:
+    """Windows of a word as it is compared, and of the word without signs inside it; a short word is one window."""
     word = normal(word)
-    if len(word) <= PIECE:
-        return [word] if word.isalnum() or not word else [word, "".join(filter(str.isalnum, word))]
-    return [word[i : i + PIECE] for i in range(0, len(word) - PIECE // 2, PIECE // 2)]
+    forms = [word] if word.isalnum() or not word else [word, "".join(filter(str.isalnum, word))]
+    return [f[i : i + PIECE] for f in forms for i in range(0, max(len(f) - PIECE // 2, 1), PIECE // 2)]
 
 
 class Machine:
@@ -319,15 +319,25 @@ def train(texts_words: list[set[str]], labels: list[int]) -> Machine:
     return machine
 
 
+class Scorer:
+    """Scores of whole texts; values of words are remembered."""
+
+    def __init__(self, machine: Machine):
+        self.machine, self.memo = machine, {}
+
+    def __call__(self, texts: list[str | None]) -> list[float]:
+        bags = [doc_words(t) for t in texts]
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        new = sorted(set().union(*bags).difference(self.memo)) if bags else []
+        self.memo.update(zip(new, self.machine.decide(new).tolist(), strict=True))
+        return [self.machine.score(self.machine.top(map(self.memo.__getitem__, b))) for b in bags]
+
+
 def _scores(batches, machine):
-    memo: dict[str, float] = {}
+    score = Scorer(machine)
     for batch in batches:
-        bags = [doc_words(t) for t in batch.column(1).to_pylist()]
-        if len(memo) > MEMO:
-            memo.clear()
-        new = sorted(set().union(*bags).difference(memo)) if bags else []
-        memo.update(zip(new, machine.decide(new).tolist(), strict=True))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([machine.score(machine.top(map(memo.__getitem__, b))) for b in bags], pa.float64())], names=["doc_id", "held_out", "score"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score(batch.column(1).to_pylist()), pa.float64())], names=["doc_id", "held_out", "score"])
 
 
 def _bags(batches):
@@ -355,7 +365,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     Null or empty texts get the score of a document without words.  Repeated rows and null ids are
     kept (a null id is not held out); only ids and texts are read; labels that are null are left
     out of training, and of an id labelled twice the higher one counts.  Without any labels every
-    document scores alike, below the threshold.
+    document scores alike, below the threshold.  Long texts are read whole, columns of other names
+    are ignored, and an empty table gives no rows.
     """
     spark = docs.sparkSession
     machine = spark.sparkContext.broadcast(fit_toxicity(docs, labels, doc_id, text))
@@ -365,6 +376,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Documents without those predicted toxic; a row with a null doc_id stays."""
-    gone = toxicity(docs, labels, doc_id, text).filter("predicted = 1 and doc_id is not null").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(gone, doc_id, "left_anti")
+    """Rows not predicted toxic, each by its own text, whatever its id; null and empty texts stay unless a text without words is predicted toxic."""
+    machine = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, doc_id, text))
+
+    def keep():
+        score = Scorer(machine.value)
+        return lambda texts: [s < THRESHOLD for s in score(texts)]
+
+    return rows_kept(docs, text, keep)

@@ -123,13 +123,14 @@ def test_dense_buckets(monkeypatch):
     assert same(simhash.bucket_labels(fps, list(range(64)))) == same(label)
 
 
-@pytest.mark.parametrize("sample", [64, 1])
-def test_near_duplicates_against_brute_force(spark, monkeypatch, sample):
+@pytest.mark.parametrize("members", [4096, 6])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, members):
     """The pipeline's near-duplicate stage against every pair's Jaccard similarity of five-word shingles."""
     import corpus_pipeline
     from sectiva.llm import near_dup
 
-    monkeypatch.setattr(near_dup, "SAMPLE", sample)
+    monkeypatch.setattr(near_dup, "MEMBERS", members)
+    monkeypatch.setattr(near_dup, "SMALL", min(near_dup.SMALL, members))
     rng = random.Random(9)
     texts = [r[1] for r in documents() if r[0] is not None and r[0] != 5]
     for n in (8, 20, 60, 150):
@@ -161,11 +162,18 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, sample):
 
 def test_lines(spark):
     rows = [(i, f"header\nbody {i}\n\nfooter" if i % 2 else f"body {i}", "en", "a", 1) for i in range(30)] + [(99, None, "en", "a", 0), (100, "header", "en", "b", 0), (101, "header\nheader", "en", None, 0), (102, "", "en", "a", 0)]
-    got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in line_dedup.line_dedup(frame(spark, rows)).collect()}
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in line_dedup.line_dedup(frame(spark, rows + rows[:1])).collect()}
     assert got[1] == (4, 2, "body 1\n") and got[2] == (1, 0, "body 2")
     assert got[99] == (0, 0, None) and got[100] == (1, 0, "header") and got[101] == (2, 0, "header\nheader") and got[102] == (1, 0, "")
-    edge = [(i, "same" if i < 3 else f"l{i}", "en", "a", 1) for i in range(30)]
+    edge = [(i, "same\n" * 3000 if i < 5 else f"l{i}", "en", "a", 1) for i in range(500)]
     assert line_dedup.line_dedup(frame(spark, edge)).filter("n_dropped > 0").count() == 0
+    assert {r.n_dropped for r in line_dedup.line_dedup(frame(spark, edge[:-1])).filter("doc_id < 5").collect()} == {3000}
+    clash = frame(spark, edge[:-1]).withColumnsRenamed({"lang": "host", "n_chars": "drop"}).selectExpr("*", "1 AS row", "2 AS site", "3 AS kept", "4 AS _n_lines")
+    got = line_dedup.drop_boilerplate(clash)
+    assert got.columns == [*clash.columns[:-1], "_n_lines", "_n_dropped"] and got.filter("_n_dropped > 0").count() == 5
+    # A small site's footer goes as well, whatever the number of its pages.
+    small = [(i, f"page {i}\nfooter", "en", "tiny", 1) for i in range(5)]
+    assert all(r.n_dropped == 1 for r in line_dedup.line_dedup(frame(spark, small)).collect())
     assert line_dedup.line_dedup(frame(spark, [])).count() == 0
 
 
@@ -180,3 +188,29 @@ def test_extra_columns_do_not_clash(spark):
     df = frame(spark).withColumns({"fp": F.lit(1), "h": F.lit(2), "tkey": F.lit(3), "root": F.lit(4)})
     assert simhash.simhash_groups(df).count() == substring_dedup.substring_dedup(df).count() == len(documents())
     assert SCHEMA.count(",") == 4
+
+
+def test_bit_sliced_counters():
+    from sectiva.llm import near_dup
+
+    rng = np.random.default_rng(8)
+    prints = rng.integers(0, 256, (70, near_dup.BITS // 8), dtype=np.uint8)
+    prints[1::2] = prints[::2] ^ (rng.random((35, near_dup.BITS // 8)) < 0.5).astype(np.uint8)
+    apart = np.unpackbits(prints[:, None] ^ prints[None], axis=2).sum(axis=2)
+    for radius in (3, 14, 72, 128):
+        for i in range(70):
+            planes = near_dup._vertical(prints ^ prints[i])
+            assert near_dup._unpacked(near_dup.within(planes, radius), 70).tolist() == (apart[i] <= radius).tolist()
+
+
+def test_repeated_rows_leave_one(spark):
+    """Rows that share an id but not a text are told apart; repeated rows leave one; a null id gives way to any other."""
+    from sectiva.llm import near_dup
+
+    a, b = sentence(40), sentence(40)
+    rows = [(1, a, "en", "s", 1), (1, a, "en", "s", 1), (1, b, "en", "s", 1), (2, b, "en", "s", 1), (None, a, "en", "s", 1), (None, "alone " + sentence(20), "en", "s", 1)]
+    df = frame(spark, rows).withColumn("n", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(1))
+    got = near_dup.keep_one_per_group(df)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted([(0, rows[-1][1]), (1, a), (1, b)])
+    assert near_dup.keep_one_per_group(frame(spark, [])).count() == 0

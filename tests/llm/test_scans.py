@@ -56,7 +56,11 @@ def test_decontamination(spark):
     for block in (decontaminate.BLOCK_WORDS, 5):
         got = {(r.doc_id, r.item_id): (r.n_tokens, r.n_equal) for r in decontaminate.overlaps(frame(spark, rows), bench, block_words=block).collect()}
         assert got == {(1, 10): (20, 20), (3, 10): (20, 18), (4, 11): (3, 3)}
-    assert {r.doc_id for r in decontaminate.drop_contaminated(frame(spark, rows), bench).collect()} == {2, 5, 6, None}
+        # A clean row that shares an id with a contaminated one stays; a contaminated one without an id goes.
+        both = frame(spark, [*rows, (1, sentence(30), "en", "s", 1)]).selectExpr("*", "1 AS item_id", "2 AS hit")
+        left = decontaminate.drop_contaminated(both, bench, block_words=block)
+        assert left.columns == both.columns and sorted(r.doc_id for r in left.collect()) == [1, 2, 5, 6]
+    assert decontaminate.drop_contaminated(frame(spark, []), bench).count() == 0
     assert decontaminate.overlaps(frame(spark, []), bench).count() == 0
     assert decontaminate.overlaps(frame(spark, rows), bench.limit(0)).count() == 0
 
@@ -113,7 +117,12 @@ def test_toxicity(spark):
     assert {r.doc_id for r in held} == {i for i in [*range(240), 900, 901] if zlib.crc32(str(i).encode()) % 4 == 2}
     assert next(r for r in got if r.doc_id == 901).predicted == 0 and next(r for r in got if r.doc_id is None).predicted == 1
     left = {r.doc_id for r in toxicity.drop_toxic(frame(spark, rows), labels).collect()}
-    assert 2 in left and 1 not in left
+    assert 2 in left and 1 not in left and None not in left
+    shared = frame(spark, [rows[1], (1, sentence(40), "en", "s", 1), rows[2], rows[2], (905, "word " * 30000, "en", "s", 1)]).selectExpr("*", "1 AS score", "2 AS held_out")
+    again = toxicity.drop_toxic(frame(spark, rows).selectExpr("*", "1 AS score", "2 AS held_out").unionByName(shared), labels)
+    counts = Counter(r.doc_id for r in again.collect())
+    assert again.columns == shared.columns and counts[1] == 1 and counts[2] == 3 and counts[905] == 1
+    assert toxicity.drop_toxic(frame(spark, []), labels).count() == 0 and toxicity.toxicity(frame(spark, []), labels).count() == 0
     assert toxicity.toxicity(frame(spark, rows[:3]), labels.limit(0)).filter("predicted = 1").count() == 0
 
 
