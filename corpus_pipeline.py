@@ -16,31 +16,27 @@ from sectiva.llm.near_dup import keep_one_per_group
 from sectiva.llm.pieces import encode_documents
 from sectiva.llm.toxicity import drop_toxic
 
-#: A line on more than this share of a source's pages, and on at least so many, is boilerplate, however large the source.
-LINE_RATIO = 0.01
-LINE_PAGES = 5
-
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity machine does not reject; it learns from this stage's own documents."""
+    """Rows that the toxicity machine does not reject, each by its own text; it learns from this stage's own documents."""
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the boilerplate lines of their source; n_chars follows the text."""
-    kept = drop_boilerplate(docs, "source", "text", LINE_RATIO, 1, LINE_PAGES)
+    kept = drop_boilerplate(docs, "source")
     changed = F.when(F.col("_n_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", changed).select(*docs.columns)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near duplicates: five-word shingles, similarity 0.8."""
-    return keep_one_per_group(docs).select(*docs.columns)
+    """One row, that of the smallest id, of each group of near duplicates: five-word shingles, similarity 0.8."""
+    return keep_one_per_group(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
-    return drop_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    """Rows whose text holds no passage of the benchmark."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
