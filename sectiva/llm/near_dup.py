@@ -8,7 +8,7 @@ is over five deviations from the mean distance at 0.8; a pair of that similarity
 bucket with a probability of 0.36 ** KEYS, 8e-8).  Links of a bucket only make families of
 candidates: the members of a family are compared by their exact similarity.
 
-Buckets and families send on spanning forests, never all pairs.  A member is compared with all
+Buckets and families send on an edge a member, to the first of its class, never all pairs.  A member is compared with all
 others only until it is in the largest class, so dense groups cost little.  Large ones are dealt in
 blocks, a task for each pair of blocks.
 """
@@ -131,27 +131,26 @@ def _unpacked(lanes: np.ndarray, n: int) -> np.ndarray:
     return np.unpackbits(lanes, count=n, bitorder="little").astype(bool)
 
 
-def forest(n: int, linked) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of ``n`` members; ``linked(i)`` says which members are linked with member i.
+def classes(n: int, linked) -> list[tuple[int, int]]:
+    """An edge from every member to the first of its class; ``linked(i)`` says which of ``n`` members are linked with member i.
 
     Every pair of members in different classes has been compared in the end: all outside the largest class were asked.
     """
-    label, asked, edges = np.arange(n), np.zeros(n, bool), []
+    label, asked = np.arange(n), np.zeros(n, bool)
     while True:
         largest = np.bincount(label, minlength=n).argmax()
         open_ = np.flatnonzero(~asked & (label != largest))
         if not len(open_):
-            return edges
+            least = np.unique(label, return_index=True, return_inverse=True)
+            first = least[1][least[2]]
+            return [(i, int(first[i])) for i in np.flatnonzero(first != np.arange(n)).tolist()]
         i = int(open_[0])
         asked[i] = True
-        near = np.flatnonzero(linked(i) & (label != label[i]))
-        others, first = np.unique(label[near], return_index=True)
-        edges += [(i, int(j)) for j in near[first]]
-        label[np.isin(label, others)] = label[i]
+        label[np.isin(label, label[linked(i)])] = label[i]
 
 
-def _union(i: np.ndarray, j: np.ndarray) -> list[int]:
-    """Indices of those pairs that connect what was not connected yet."""
+def _stars(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """An edge from every member of the pairs to the least of its class."""
     root: dict[int, int] = {}
 
     def find(x):
@@ -160,13 +159,11 @@ def _union(i: np.ndarray, j: np.ndarray) -> list[int]:
             x = up
         return x
 
-    kept = []
-    for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+    for a, b in pairs:
         a, b = find(a), find(b)
         if a != b:
-            root[b] = a
-            kept.append(k)
-    return kept
+            root[max(a, b)] = min(a, b)
+    return [(x, find(x)) for x in list(root)]
 
 
 def _sizes_fit(a, b, similarity):
@@ -174,7 +171,7 @@ def _sizes_fit(a, b, similarity):
 
 
 def bucket_edges(prints: np.ndarray, n: np.ndarray, sizes: np.ndarray, similarity: float, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Forest edges (row, row) of consecutive buckets of the given sizes; links are within the radius and of possible sizes."""
+    """Edges (row, first row of its class) in consecutive buckets of the given sizes; links are within the radius and of possible sizes."""
     starts, out = np.cumsum(sizes) - sizes, []
     few = (sizes > 1) & (sizes <= SMALL)
     for size in np.unique(sizes[few]):
@@ -187,9 +184,7 @@ def bucket_edges(prints: np.ndarray, n: np.ndarray, sizes: np.ndarray, similarit
             i, j = left[k : k + (1 << 15)], right[k : k + (1 << 15)]
             near = _unpacked(within(_vertical(prints[i] ^ prints[j]), radius), len(i))
             out += zip(i[near].tolist(), j[near].tolist(), strict=True)
-    if out:
-        i, j = np.array(out).T
-        out = [out[k] for k in _union(i, j)]
+    out = _stars(out)
     for s, m in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
         own, planes, bits = n[s : s + m], _vertical(prints[s : s + m]), np.unpackbits(prints[s : s + m], axis=1, bitorder="little")
 
@@ -197,12 +192,12 @@ def bucket_edges(prints: np.ndarray, n: np.ndarray, sizes: np.ndarray, similarit
             lanes = within((x ^ np.uint8(255) if b else x for x, b in zip(planes, bits[i], strict=True)), radius)
             return _unpacked(lanes, m) & _sizes_fit(own, own[i], similarity)
 
-        out += [(s + a, s + b) for a, b in forest(m, linked)]
+        out += [(s + a, s + b) for a, b in classes(m, linked)]
     return out
 
 
 def family_edges(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Forest edges of one family by the exact similarity of its sets."""
+    """Edges (member, first member of its class) of one family by the exact similarity of its sets."""
     n = np.array([len(s) for s in sets])
     codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
     ends = np.cumsum(n)
@@ -215,7 +210,7 @@ def family_edges(sets: list[np.ndarray], similarity: float) -> list[tuple[int, i
         mark[own] = False
         return common >= similarity * (n + n[i] - common) - EPS
 
-    return forest(len(n), linked)
+    return classes(len(n), linked)
 
 
 def _groups(batches, keys: int):

@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +24,11 @@ from pyspark.sql import functions as F
 from sectiva.llm._common import small_batches
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_TOKENS = 24
+MAX_TOKENS, MAX_DIGITS = 24, 24
 #: A segment is added only if it beats the same tokens read as no entity by this log score.
 MARGIN = 2.0
+#: Characters between a spelled-out at and dot at most.
+GAP = 255
 TRAIN_SENTENCES, EPOCHS, SEED = 900, 12, 11
 
 # The base patterns.
@@ -36,8 +40,13 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|.", re.S)
-REGION = re.compile(r"\S*[0-9@]\S*(?:\x20\S*[0-9@]\S*)*")
-SPELLED = re.compile(r"\S+\x20?[\[(]?\bat\b[\])]?\x20?\S+(?:\x20?[\[(]?\bdot\b[\])]?\x20?\S+)+")
+WORD = re.compile(r"\S+")
+HIT = re.compile("[0-9@]")
+SPELLED = re.compile(r"\b(?:at|dot)\b")
+MAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+SPOKEN = re.compile(r"\w+(?:\x20?[\[(]?\bdot\b[\])]?\x20?\w+)*\x20?[\[(]?\bat\b[\])]?\x20?\w+(?:\x20?[\[(]?\bdot\b[\])]?\x20?\w+)+")
+#: Usual last parts of host names.
+ENDS = frozenset("com org net edu gov info io co uk de fr es it nl eu ch at us ca".split())
 #: Cue words before a number or address, by kind.
 CUES = {
     "phone": frozenset("phone tel telephone mobile call fax cell telefon handy anruf rufnummer téléphone portable appelez teléfono móvil llame".split()),
@@ -87,7 +96,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 FEATURES = (
     "bias digits<7 digits7-9 digits10-11 digits12-15 digits16-19 digits>19 luhn octets plus zeros bracket spaces dashes dots mixed fours "
-    "groups2-4 groups5+ at spelled_at spelled_dot letters bare glued_left glued_right assigned cue_email cue_ip cue_card cue_phone tokens"
+    "groups2-4 groups5+ at spelled_at spelled_dot letters bare glued_left glued_right assigned cue_email cue_ip cue_card cue_phone mail_shape spelled_shape known_end tokens"
 ).split()
 AT = {name: k for k, name in enumerate(FEATURES)}
 
@@ -131,33 +140,64 @@ def features(text: str, a: int, b: int, left_words: list[str]) -> np.ndarray:
     if before and before in "=\"'":
         on.append("assigned")
     on += [f"cue_{k}" for k in KINDS if any(w in CUES[k] for w in left_words)]
+    on += ["mail_shape"] * bool(MAIL.fullmatch(s)) + ["spelled_shape"] * bool(SPOKEN.fullmatch(low)) + ["known_end"] * (re.split(r"[\W_]", low)[-1] in ENDS)
     for name in on:
         x[AT[name]] = 1
     x[AT["tokens"]] = len(TOKEN.findall(s)) / 10
     return x
 
 
-def segments(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]], np.ndarray]:
-    """(token offsets, candidate segments as token ranges, their features) of one region."""
+def segments(text: str, free=None) -> tuple[list[tuple[int, int]], list[tuple[int, int]], np.ndarray]:
+    """(token offsets, candidate segments as token ranges, their features) of one region.
+
+    A candidate is a run of digit groups, an address with a sign, or one that is spelled out: it
+    ends behind a dot, or the word, that follows an at.  ``free(start, end)`` says where one may be.
+    """
     tokens = [m.span() for m in TOKEN.finditer(text)]
+    said = [text[a:b].lower() if b - a < 4 and text[a].isalpha() else "" for a, b in tokens]
     kind = ["w" if text[a].isalpha() else "d" if text[a].isdigit() else text[a] for a, _ in tokens]
     found, x = [], []
+    far = len(tokens) + MAX_TOKENS
+    next_at = [far] * (len(tokens) + 1)
+    for i in range(len(tokens) - 1, -1, -1):
+        next_at[i] = i if kind[i] == "@" or said[i] == "at" else next_at[i + 1]
     for i, (a, _) in enumerate(tokens):
-        if kind[i] not in ("w", "d", "+", "("):
+        wordy = next_at[i + 1] < i + MAX_TOKENS
+        if kind[i] not in ("w", "d", "+", "(") or kind[i] == "w" and (not wordy or said[i] in ("at", "dot")):
             continue
-        left = [w.strip(":.,").lower() for w in text[max(0, a - 40) : a].split()[-3:]]
-        n = 0
+        left = None
+        n = words = dots = 0
+        sign = spelled = after = ends = False
         for j in range(i, min(i + MAX_TOKENS, len(tokens))):
-            if kind[j] not in ("w", "d") and kind[j] not in " +-.()@_[]":
-                break
-            if kind[j] == "d":
+            k = kind[j]
+            if k == "d":
                 n += tokens[j][1] - tokens[j][0]
-            if kind[j] not in ("w", "d"):
+            elif k == "w":
+                if not wordy:
+                    break
+                words += 1
+                if said[j] == "at":
+                    spelled, ends = True, False
+                    continue
+                if said[j] == "dot":
+                    ends = spelled
+                    continue
+            elif k in " +-.()@_[]":
+                dots += k == "."
+                after = after or sign and k == "."
+                sign = sign or k == "@"
                 continue
-            s = text[a : tokens[j][1]]
-            if (n >= 7 and not any(k == "w" for k in kind[i : j + 1])) or "@" in s[1:-1] or (kind[j] == "w" and re.search(r"\bat\b.+\bdot\b", s[1:])) or s.count(".") == 3 and n > 3:
+            else:
+                break
+            if n > MAX_DIGITS:
+                break
+            if (not words and (n >= 7 or dots == 3 and n > 3) or sign and after or ends) and (free is None or free(a, tokens[j][1])):
+                if left is None:
+                    left = [w.strip(":.,").lower() for w in text[max(0, a - 40) : a].split()[-3:]]
                 found.append((i, j + 1))
                 x.append(features(text, a, tokens[j][1], left))
+            if k == "w":
+                ends = False
     return tokens, found, np.array(x).reshape(-1, len(FEATURES))
 
 
@@ -284,9 +324,16 @@ def trained_field() -> Field:
 
 def regions(text: str):
     """Stretches worth reading: digits or at-signs with words around them, and spelled-out addresses."""
-    hits = [m.span() for m in REGION.finditer(text)] if DIGIT.search(text) or "@" in text else []
-    if "dot" in text:
-        hits += [m.span() for m in SPELLED.finditer(text)]
+    spelled = [m.span() for m in SPELLED.finditer(text)] if "dot" in text and "at" in text else []
+    if not spelled and not HIT.search(text):
+        return
+    words = [m.span() for m in WORD.finditer(text)]
+    hits = [(a, b) for a, b in words if HIT.search(text, a, b)]
+    starts = [a for a, _ in words]
+    for (a, b), (c, d) in pairwise(spelled):
+        # An "at" and the "dot" behind it have at most two blanks between them, one to either side of a word.
+        if text[b - 1] == "t" and text[b - 2] == "a" and text[d - 3] == "d" and c - b < GAP and len(text[b:c].split(" ")) <= 3:
+            hits.append((words[max(bisect_right(starts, a) - 2, 0)][0], words[min(bisect_right(starts, c), len(words) - 1)][1]))
     if not hits:
         return
     hits.sort()
@@ -301,12 +348,14 @@ def regions(text: str):
 
 def added_spans(text: str, base: list[tuple[str, int, int]], field: Field) -> list[tuple[str, int, int]]:
     """Spans that the field finds and no base span touches."""
-    out = []
+    out, taken = [], sorted((a, b) for _, a, b in base)
+    starts, ends = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+    free = lambda a, b: not (k := bisect_left(starts, b)) or ends[k - 1] <= a
     for lo, hi in regions(text):
-        tokens, found, x = segments(text[lo:hi])
+        tokens, found, x = segments(text[lo:hi], lambda a, b, lo=lo: free(lo + a, lo + b))
         for i, j, kind in field.best(len(tokens), found, x) if found else ():
             a, b = lo + tokens[i][0], lo + tokens[j - 1][1]
-            if all(b <= s or a >= e for _, s, e in base) and (not out or a >= out[-1][2]):
+            if not out or a >= out[-1][2]:
                 out.append((KINDS[kind], a, b))
     return out
 
