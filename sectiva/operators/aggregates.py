@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sectiva.sources.stages import written
+
 
 def value_shares(df: DataFrame, column: str) -> DataFrame:
     """Count and share of each value."""
@@ -106,6 +109,44 @@ def synergy(df: DataFrame, a: str, b: str, label: str) -> DataFrame:
     return reduce(lambda x, y: x.crossJoin(y), each).select((F.col("ab") - F.col("a") - F.col("b")).alias("synergy"), "ab", "a", "b")
 
 
+def synergies(df: DataFrame, columns: list[str], label: str) -> DataFrame:
+    """(a, b, synergy) for every pair of columns; rows are read once, all pairs are taken from their joint counts."""
+    joint = written(df.groupBy(*columns, label).agg(F.count("*").alias("_n")), "joint")
+    sets = [(c,) for c in columns] + list(combinations(columns, 2))
+
+    def bits(keys):
+        per = joint.groupBy(*keys, label).agg(F.sum("_n").alias("n"))
+        parts = (per.groupBy(*keys).agg(F.sum("n").alias("n")), per.groupBy(label).agg(F.sum("n").alias("n")), per)
+        return [_entropy(x).select(F.lit("|".join(keys)).alias("k"), (F.col("h") * s).alias("bits")) for x, s in zip(parts, (1, 1, -1), strict=True)]
+
+    each = reduce(lambda x, y: x.unionByName(y), (p for k in sets for p in bits(k))).groupBy("k").agg(F.sum("bits").alias("bits"))
+    pairs = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(f"{a}|{b}").alias("ab")) for a, b in combinations(columns, 2))))
+    named = lambda c: each.select(F.col("k").alias(c), F.col("bits").alias(f"{c}_bits"))
+    rows = each.limit(1).select(pairs.alias("x")).select("x.*").join(named("a"), "a").join(named("b"), "b").join(named("ab"), "ab")
+    return rows.select("a", "b", (F.col("ab_bits") - F.col("a_bits") - F.col("b_bits")).alias("synergy"))
+
+
+def varied(df: DataFrame, by: str, value: str, min_rows: int = 2, min_values: int = 2) -> DataFrame:
+    """(by, n, n_values): groups of at least so many rows and distinct values."""
+    got = df.groupBy(by).agg(F.count("*").alias("n"), F.count_distinct(value).alias("n_values"))
+    return got.filter((F.col("n") >= min_rows) & (F.col("n_values") >= min_values))
+
+
+def error_lift(df: DataFrame, flags: list[str], label: str, pred: str) -> DataFrame:
+    """(flag, kind, rate, right_rate, lift): rate of each flag among false negatives and false positives against right rows."""
+    y, p = F.col(label), F.col(pred)
+    kinds = {"fn": (y == 1) & (p == 0), "fp": (y == 0) & (p == 1), "right": y == p}
+    aggs = [F.avg(F.when(c, F.col(f))).alias(f"{k}{i}") for i, f in enumerate(flags) for k, c in kinds.items()]
+    rows = [F.struct(F.lit(f).alias("flag"), F.lit(k).alias("kind"), F.col(f"{k}{i}").alias("rate"), F.col(f"right{i}").alias("right_rate"), F.try_divide(F.col(f"{k}{i}"), F.col(f"right{i}")).alias("lift")) for i, f in enumerate(flags) for k in ("fn", "fp")]
+    return df.agg(*aggs).select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+
+
+def coverage_by_role(df: DataFrame, role: str, value: str) -> DataFrame:
+    """(role, n, coverage, gap): mean of a value by role, and the widest gap between roles."""
+    per = df.groupBy(role).agg(F.count("*").alias("n"), F.avg(F.col(value).cast("double")).alias("coverage"))
+    return per.crossJoin(F.broadcast(per.agg((F.max("coverage") - F.min("coverage")).alias("gap"))))
+
+
 def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     """Counts in equal bins of [0, 1], the last one closed."""
     return df.select(F.least(F.width_bucket(F.col(column), F.lit(0.0), F.lit(1.0), F.lit(bins)), F.lit(bins)).alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
@@ -146,12 +187,12 @@ def coverage_gap(df: DataFrame, split: str, flags: list[str]) -> DataFrame:
 
 def vocabulary_transfer(tokens: DataFrame, split: str, key: str, token: str) -> DataFrame:
     """One row: how much of the vocabulary and of the tokens of side 1 side 0 knows, and rows of side 1 that it knows nothing of."""
-    known = tokens.filter(F.col(split) == 0).select(token).distinct().withColumn("_k", F.lit(1))
-    rows = tokens.filter(F.col(split) == 1).join(known, token, "left").withColumn("_k", F.coalesce("_k", F.lit(0)))
-    vocab = rows.groupBy(token).agg(F.max("_k").alias("k")).agg(F.avg("k").alias("vocabulary_coverage"))
-    mass = rows.agg(F.avg("_k").alias("token_coverage"))
-    zero = rows.groupBy(key).agg(F.sum("_k").alias("k")).agg(F.count_if(F.col("k") == 0).alias("zero_rows"), F.avg("k").alias("active_per_row"))
-    return vocab.crossJoin(mass).crossJoin(zero)
+    each = written(tokens.groupBy(F.col(split).alias("_s"), F.col(key).alias("_r"), F.col(token).alias("_t")).agg(F.count("*").alias("_n")), "tokens")
+    known = each.filter("_s = 0").select("_t").distinct().withColumn("_k", F.lit(1))
+    rows = each.filter("_s = 1").join(known, "_t", "left").withColumn("_k", F.coalesce("_k", F.lit(0)))
+    vocab = rows.groupBy("_t").agg(F.max("_k").alias("k"), F.sum("_n").alias("n")).agg(F.avg("k").alias("vocabulary_coverage"), (F.sum(F.col("k") * F.col("n")) / F.sum("n")).alias("token_coverage"))
+    zero = rows.groupBy("_r").agg(F.sum(F.col("_k") * F.col("_n")).alias("k")).agg(F.count_if(F.col("k") == 0).alias("zero_rows"), F.avg("k").alias("active_per_row"))
+    return vocab.crossJoin(zero)
 
 
 def integrity(df: DataFrame, key: str, required: list[str], label: str | None = None) -> DataFrame:

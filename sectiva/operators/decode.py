@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,29 @@ def line_index(titles: DataFrame, key: str, title: str) -> DataFrame:
     return got.withColumn("source", F.when(F.col("n_sources") == 1, F.col("source")))
 
 
+def decoder(key: str, title: str, **frames: DataFrame) -> DataFrame:
+    """``line_index`` over several tables; a source is the table's name and the row's key, so equal keys of two tables stay apart."""
+    tagged = [f.select(F.concat_ws(":", F.lit(name), F.col(key).cast("string")).alias("source_key"), F.col(title).alias("title")) for name, f in frames.items()]
+    return line_index(reduce(lambda a, b: a.unionByName(b), tagged), "source_key", "title")
+
+
+def provenance(lines: DataFrame, attested: DataFrame, key: str, line: str, origin: str) -> DataFrame:
+    """(key, same_origin, other_origin): whether some line of a row is attested by rows of its own origin, or of another one.
+
+    ``lines`` and ``attested`` hold (key, line, origin), a key in one origin; a row's own lines attest
+    nothing for it.  Rows are counted by line and origin, so a line that many share makes no pairs.
+    """
+    a = attested.select(F.col(key).alias("_k"), F.col(line).alias("_l"), F.col(origin).alias("_o")).distinct()
+    per = a.groupBy("_l", "_o").agg(F.count_distinct("_k").alias("_n"))
+    total = a.groupBy(F.col("_l").alias("_t")).agg(F.count_distinct("_k").alias("_all"))
+    own = a.select(F.col("_k").alias("_own"), F.col("_l").alias("_own_l")).distinct()
+    d = lines.select(key, line, origin).distinct()
+    d = d.join(per, (F.col(line) == F.col("_l")) & F.col(origin).eqNullSafe(F.col("_o")), "left").join(total, F.col(line) == F.col("_t"), "left")
+    d = d.join(own, (F.col(key) == F.col("_own")) & (F.col(line) == F.col("_own_l")), "left")
+    n = F.coalesce("_n", F.lit(0))
+    return d.groupBy(key).agg(F.bool_or(n > F.when(F.col("_own").isNull(), 0).otherwise(1)).alias("same_origin"), F.bool_or(F.coalesce("_all", F.lit(0)) > n).alias("other_origin"))
+
+
 def resolve(candidates: Column) -> Column:
     """STRUCT<text, ambiguous> of an array of clean lines: the only one; else the words that all share, in order of the first; else nothing."""
     ordered = F.array_sort(candidates)

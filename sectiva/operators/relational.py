@@ -52,8 +52,25 @@ def factorise(df: DataFrame, column: str, out: str = "code") -> DataFrame:
     return df.join(ranked, column, "left")
 
 
-def first_code(values: DataFrame, column: str) -> DataFrame:
-    return factorise(values, column)
+def suffixed_join(a: DataFrame, b: DataFrame, *keys: str, suffixes: tuple[str, str] = ("_x", "_y"), how: str = "inner") -> DataFrame:
+    """Join on keys; columns of both sides that share a name get a suffix."""
+    shared = (set(a.columns) & set(b.columns)) - set(keys)
+    named = lambda df, suffix: df.withColumnsRenamed({c: f"{c}{suffix}" for c in shared})
+    return named(a, suffixes[0]).join(named(b, suffixes[1]), list(keys), how)
+
+
+def hard_override(df: DataFrame, pred: str, rules: list[tuple[Column, int]]) -> DataFrame:
+    """Predictions replaced by the value of the first rule that holds; a null condition doesn't hold."""
+    case = F.when(F.lit(False), F.col(pred))
+    for holds, value in rules:
+        case = case.when(holds, F.lit(value))
+    return df.withColumn(pred, case.otherwise(F.col(pred)))
+
+
+def label_differences(a: DataFrame, b: DataFrame, key: str, label: str, by: list[str] | None = None) -> DataFrame:
+    """How often two sets of labels have each pair of values, by group; a key that one side lacks counts with null."""
+    joined = a.select(key, *(by or []), F.col(label).alias("a")).join(b.select(key, *(by or []), F.col(label).alias("b")), [key, *(by or [])], "full")
+    return joined.groupBy(*(by or []), "a", "b").agg(F.count("*").alias("n"))
 
 
 def assert_unique(df: DataFrame, *keys: str) -> DataFrame:

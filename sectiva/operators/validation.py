@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sectiva.operators.metrics import best_threshold, counts, m2, macro_f_beta, rescaled, sweep
+from sectiva.operators.metrics import auc, best_threshold, counts, m2, macro_f_beta, rescaled, sweep
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 0) -> DataFrame:
@@ -128,6 +128,45 @@ def apply_centering(df: DataFrame, offsets: DataFrame, group: str, score: str, s
     return d.withColumn(out, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(score) - strength * F.coalesce("offset", F.lit(0.0))))).drop("_g", "offset")
 
 
+def cross_fitted_centering(df: DataFrame, group: str, score: str, fold: str = "fold", shrink: float = 5.0, strength: float = 1.0, out: str = "centred") -> DataFrame:
+    """Scores less offsets that were learned on the other folds, from one table of sums by group and fold."""
+    part = df.groupBy(F.col(group).alias("_g"), F.col(fold).alias("_f")).agg(F.count("*").alias("_n"), F.sum(score).alias("_s"))
+    folds = part.groupBy("_f").agg(F.sum("_n").alias("_fn"), F.sum("_s").alias("_fs"))
+    all_ = folds.agg(F.sum("_fn").alias("_an"), F.sum("_fs").alias("_as"))
+    groups = part.groupBy("_g").agg(F.sum("_n").alias("_gn"), F.sum("_s").alias("_gs"))
+    n, s = F.col("_gn") - F.col("_n"), F.col("_gs") - F.col("_s")
+    overall = (F.col("_as") - F.col("_fs")) / (F.col("_an") - F.col("_fn"))
+    offset = F.when(n > 0, (s / n - overall) * n / (n + shrink)).otherwise(0.0)
+    offsets = part.join(groups, part["_g"].eqNullSafe(groups["_g"])).drop(groups["_g"]).join(F.broadcast(folds), "_f").crossJoin(F.broadcast(all_)).select("_g", "_f", offset.alias("_o"))
+    d = df.join(offsets, F.col(group).eqNullSafe(F.col("_g")) & F.col(fold).eqNullSafe(F.col("_f")))
+    return d.withColumn(out, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(score) - strength * F.coalesce("_o", F.lit(0.0))))).drop("_g", "_f", "_o")
+
+
+def summarise(oof: DataFrame, label: str, pred: str, score: str, fold: str, group: str) -> DataFrame:
+    """One row: mean and deviation of folds' scores, AUC, errors, positive rate, and groups whose predictions are all alike."""
+    per = fold_scores(oof, label, pred, [fold]).agg(F.avg("m2").alias("m2_mean"), F.stddev_samp("m2").alias("m2_sd"), F.sum("fn").alias("fn"), F.sum("fp").alias("fp"))
+    alike = oof.groupBy(group).agg(F.count("*").alias("n"), F.min(pred).alias("a"), F.max(pred).alias("b"), F.sum(pred).alias("p"))
+    groups = alike.agg(F.count_if((F.col("n") > 1) & (F.col("a") == F.col("b"))).alias("collapsed"), (F.sum("p") / F.sum("n")).alias("positive_rate"))
+    return per.crossJoin(auc(oof, label, score).select("auc")).crossJoin(groups)
+
+
+def reproduced(row: DataFrame, reference: dict[str, float], tolerance: float = 1e-6) -> DataFrame:
+    """(metric, value, expected, ok): a row of results against stored ones; a missing value is not ok."""
+    checks = [F.struct(F.lit(k).alias("metric"), F.col(k).cast("double").alias("value"), F.lit(float(v)).alias("expected"), F.coalesce(F.abs(F.col(k) - v) <= tolerance, F.lit(False)).alias("ok")) for k, v in reference.items()]
+    return row.select(F.explode(F.array(*checks)).alias("x")).select("x.*")
+
+
+def submission_checks(df: DataFrame, template: DataFrame, shipped: DataFrame, key: list[str], position: str, label: str, frozen: Column) -> DataFrame:
+    """One row: rows against a template, rows in another place, labels that aren't 0 or 1, and changed labels where ``frozen`` holds."""
+    t = template.select(*key, F.col(position).alias("_p"))
+    s = shipped.select(*key, F.col(label).alias("_l"))
+    d = df.withColumn("_mine", F.lit(1)).join(t, key, "full").join(s, key, "left")
+    return d.agg(
+        F.count("_mine").alias("n_rows"), F.count_if(F.col("_mine").isNull()).alias("missing"), F.count_if(F.col("_p").isNull()).alias("unknown"), F.count_if(F.col(position) != F.col("_p")).alias("moved"),
+        F.count_if(F.col("_mine").isNotNull() & ~F.coalesce(F.col(label).isin(0, 1), F.lit(False))).alias("not_binary"), F.count_if(frozen & ~F.col(label).eqNullSafe(F.col("_l"))).alias("changed"),
+    )
+
+
 def selective_centering(df: DataFrame, offsets: DataFrame, group_auc: DataFrame, group: str, score: str, gate: float = 0.5, out: str = "centred") -> DataFrame:
     """Centring only for groups whose training AUC is at least ``gate``."""
     return apply_centering(df, offsets.join(group_auc.filter(F.col("auc") >= gate).select(group), group, "left_semi"), group, score, out=out)

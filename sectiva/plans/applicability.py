@@ -7,12 +7,15 @@ the training rows alone, so folds never leak; ``evaluate`` gives out-of-fold sco
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+import json
+from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
 
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from sectiva.functions.conditions import CONTRADICTION, applicability_frame
 from sectiva.functions.records import clean_record, diagnosis_text, icd_category, icd_code
@@ -132,15 +135,44 @@ class Fitted:
         return reduce(lambda a, b: a.unionByName(b), parts)
 
     def vectors(self, rows: DataFrame, long: DataFrame | None = None) -> DataFrame:
-        """``rows`` with sparse ``features``; the one place where a row-wise function builds a vector."""
-        size = max(self.size, 1)
-        build = F.udf(lambda xs: SparseVector(size, sorted((x.i, x.v) for x in xs or ())), VectorUDT())
-        packed = (self.long(rows) if long is None else long).join(F.broadcast(self.index) if self.size < 200_000 else self.index, "term").groupBy(self.key).agg(F.collect_list(F.struct(F.col("index").alias("i"), F.col("weight").alias("v"))).alias("_x"))
-        return rows.join(packed, self.key, "left").withColumn("features", build("_x")).drop("_x")
+        """``rows`` with sparse ``features``.
+
+        A vector's parts are written as the structure that the vector type is stored as and read
+        back as vectors, so no Python runs for a row.
+        """
+        index = F.broadcast(self.index) if self.size < 200_000 else self.index
+        packed = (self.long(rows) if long is None else long).join(index, "term").groupBy(F.col(self.key).alias("_k")).agg(F.array_sort(F.collect_list(F.struct(F.col("index").cast("int").alias("i"), F.col("weight").alias("v")))).alias("_x"))
+        x = F.coalesce("_x", F.array().cast("array<struct<i:int,v:double>>"))
+        parts = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(max(self.size, 1)).alias("size"), F.transform(x, lambda e: e["i"]).alias("indices"), F.transform(x, lambda e: e["v"]).alias("values"))
+        keys = rows.select(F.col(self.key).alias("_key")).distinct()
+        built = keys.join(packed, F.col("_key").eqNullSafe(F.col("_k")), "left").select("_key", parts.alias("features"))
+        vectors = written(built, "vectors", StructType([built.schema["_key"], StructField("features", VectorUDT())]))
+        return rows.join(vectors, F.col(self.key).eqNullSafe(F.col("_key"))).drop("_key")
 
     def score(self, rows: DataFrame, out: str = "proba") -> DataFrame:
         return models.score(self.model, self.vectors(rows), out).drop("features")
 
+    def save(self, path: str) -> None:
+        """Write the specification, tables and model under ``path``; what is there is replaced."""
+        spark = self.index.sparkSession
+        told = {"spec": asdict(self.spec) | {"off": sorted(self.spec.off)}, "key": self.key, "size": self.size, "scaler": self.scaler.stats if self.scaler else None, "tables": [*self.tfidf, *self.levels]}
+        spark.createDataFrame([(json.dumps(told),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/specification")
+        tables = {f"terms-{n}": t.vocabulary for n, t in self.tfidf.items()} | {f"levels-{n}": t for n, t in self.levels.items()} | {"index": self.index}
+        for name, t in tables.items():
+            t.write.mode("overwrite").parquet(f"{path}/{name}")
+        self.model.write().overwrite().save(f"{path}/model")
+
+    @classmethod
+    def load(cls, spark, path: str) -> Fitted:
+        """What ``save`` wrote; it scores as it did."""
+        told = json.loads(spark.read.text(f"{path}/specification").first().value)
+        own = told["spec"]
+        spec = Spec(tuple(TextBlock(**b) for b in own["texts"]), tuple(own["numbers"]), tuple(own["categories"]), own["c"], frozenset(own["off"]), own["weights"])
+        read = lambda name: spark.read.parquet(f"{path}/{name}")
+        tfidf = {b.name: vectorize.TfIdf(read(f"terms-{b.name}"), b.sublinear) for b in spec.texts}
+        scaler = vectorize.Scaler({k: tuple(v) for k, v in told["scaler"].items()}) if told["scaler"] else None
+        return cls(spec, told["key"], tfidf, scaler, {c: read(f"levels-{c}") for c in spec.categories}, read("index"), told["size"], LogisticRegressionModel.load(f"{path}/model"))
+
 
 def fit(train: DataFrame, spec: Spec, key: str = "id", label: str = "label") -> Fitted:
     """Vocabularies, scales and levels, then the balanced logistic model, from ``train`` alone."""
@@ -153,7 +185,7 @@ def fit(train: DataFrame, spec: Spec, key: str = "id", label: str = "label") ->
     long = written(got.long(train), "weights")
     got.index = written(vectorize.feature_index(long), "features")
     got.size = got.index.count()
-    got.model = models.logistic(written(got.vectors(train.select(key, label), long).select("features", label), "vectors"), label, c=spec.c)
+    got.model = models.logistic(got.vectors(train.select(key, label), long).select("features", label), label, c=spec.c)
     return got
 
 
@@ -178,6 +210,48 @@ def nested(rows: DataFrame, spec: Spec, key: str = "id", label: str = "label", k
     return out
 
 
+def grid_search(rows: DataFrame, specs: dict[str, Spec], metric: str = "m1", **kw) -> list[tuple[str, float, float]]:
+    """(name, threshold, score) of every specification on the same folds, best first; ties keep the given order."""
+    key, label = kw.get("key", "id"), kw.get("label", "label")
+    out = []
+    for name, spec in specs.items():
+        best = best_threshold(sweep(evaluate(rows, spec, **kw), label, "proba"), metric).first()
+        out.append((name, best["threshold"], best[metric]))
+    return sorted(out, key=lambda x: -x[2])
+
+
+def stage1_grid(strengths=(1.0, 3.0, 10.0, 30.0), min_dfs=(1, 2, 3), grams=((3, 4), (3, 5), (2, 5), (3, 6))) -> dict[str, Spec]:
+    """First-stage specifications over character n-grams, minimum frequency and strength; ``gram_frame`` adds their columns."""
+    named = {}
+    for lo, hi in grams:
+        for m in min_dfs:
+            for c in strengths:
+                base = stage1_spec(c)
+                texts = (*base.texts[:2], TextBlock("char", f"char_{lo}_{hi}", min_df=m, sublinear=True))
+                named[f"{lo}-{hi}/{m}/{c:g}"] = replace(base, texts=texts)
+    return named
+
+
+def gram_frame(df: DataFrame, title: str = "title_text", grams=((3, 4), (3, 5), (2, 5), (3, 6)), lemmas: dict[str, str] | None = None) -> DataFrame:
+    """``stage1_frame`` with a column of character n-grams for each range of lengths."""
+    body = parse_title(F.col(title))["body"]
+    return stage1_frame(df, title, lemmas).withColumns({f"char_{lo}_{hi}": vectorize.char_wb_ngrams(body, lo, hi) for lo, hi in grams})
+
+
+def decoded_frame(df: DataFrame, decoded: DataFrame, key: str = "id", lemmas: dict[str, str] | None = None) -> DataFrame:
+    """``df`` with first-stage words from decoded titles (``decode_titles``), condition words, and coverage.
+
+    A row without a decoded title has no words and coverage 0.
+    """
+    words = lambda c: lemma_map(title_words(F.coalesce(c, F.lit(""))), lemmas or {})
+    context = F.concat_ws(" ", "guideline", "age_category", F.array_join(F.coalesce("hierarchy", F.array().cast("array<string>")), " "))
+    parts = decoded.select(F.col(key).alias("_k"), "body", "coverage", context.alias("_context"))
+    joined = df.join(parts, F.col(key) == F.col("_k"), "left")
+    terms = {"sub_terms": vectorize.word_ngrams(words(F.col("body")), 1, 2), "ctx_terms": vectorize.word_ngrams(words(F.col("_context")), 1, 2), "char_terms": vectorize.char_wb_ngrams(F.coalesce("body", F.lit("")))}
+    groups = F.size(F.split(F.regexp_replace(F.coalesce("body", F.lit("")), "[^,;()]", ""), "")) - 1
+    return joined.withColumns({**terms, "s_coverage": F.coalesce("coverage", F.lit(0.0)), "s_decoded_chars": F.length(F.coalesce("body", F.lit(""))), "s_clauses": groups}).drop("_k", "body", "coverage", "_context")
+
+
 def select_strength(rows: DataFrame, spec: Spec, strengths=(1.0, 3.0, 10.0, 30.0), **kw) -> dict[float, float]:
     """Mean nested score by strength of the model."""
     return {c: sum(s for *_, s in got) / len(got) for c in strengths for got in [nested(rows, replace(spec, c=c), **kw)]}

@@ -440,10 +440,10 @@ def scaled_numbers(spark, d):
     return vectorize.Scaler.fit(rows, ["price"]).transform(rows).withColumn("price", F.round("price", 4))
 
 
-@register("one_hot", "SELECT doc_id, 'lang=' || lang AS term, 1.0::DOUBLE AS weight FROM documents WHERE lang IN (SELECT lang FROM documents WHERE doc_id < 2)")
+@register("one_hot", "SELECT doc_id, 'lang=' || lang AS term, 1.0::DOUBLE AS weight FROM documents WHERE lang IS NOT NULL")
 def one_hot(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang")
-    return vectorize.one_hot(docs, "doc_id", "lang", docs.filter("doc_id < 2"))
+    return vectorize.one_hot(docs, "doc_id", "lang", docs)
 
 
 # --- validation ----------------------------------------------------------------------------------
@@ -610,3 +610,6 @@ def general_titles_oof(spark, d):
 
     rows = applicability.stage1_frame(formula_records(spark, d)).withColumn("label", F.col("title_text").contains("простаты").cast("int"))
     return applicability.evaluate(rows, applicability.stage1_spec(), k=3)
+
+
+from sectiva.plans import reports  # noqa: E402, F401

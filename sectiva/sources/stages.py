@@ -5,16 +5,23 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: ``df`` written as Parquet under ``spark.checkpoint.dir`` (a local folder only if unset) and read back."""
+def written(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
+    """Cut lineage: ``df`` written as Parquet under ``spark.checkpoint.dir`` and read back, as ``schema`` if one is given.
+
+    Only in local mode, where all tasks share a disk, an unset folder falls back on a local one.
+    """
     spark = df.sparkSession
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if not found.isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "file:///tmp/checkpoints"))
+        shared = spark.conf.get("spark.checkpoint.dir", "file:///tmp/checkpoints" if sc.master.startswith("local[") or sc.master == "local" else None)
+        if not shared:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared)
         found = sc._jsc.sc().getCheckpointDir()
     path = f"{found.get()}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
