@@ -24,11 +24,14 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset, a local one in local mode, else an error."""
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if not found.isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "file:///tmp/checkpoints"))
+        shared = spark.conf.get("spark.checkpoint.dir", "file:///tmp/checkpoints" if sc.master == "local" or sc.master.startswith("local[") else None)
+        if not shared:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared)
         found = sc._jsc.sc().getCheckpointDir()
     return found.get()
 
