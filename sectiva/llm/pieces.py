@@ -4,7 +4,7 @@ The model protobuf is parsed here and rebuilt as a tokenizers pipeline: normalis
 marker, BPE merges by piece score or unigram scores, byte fallback, and the decoder.  Texts are
 cut where no piece can span the cut, so each distinct segment of a batch is encoded once, in one
 multithreaded call, and texts are reassembled from segment ids.  Parity with the reference
-library of the model format is verified on a sample before a run.
+library of the model format is verified on a sample before a run, and on a row of every batch in it.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from sectiva.llm._common import small_batches
 #: Where the model lies unless a caller names another.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
+BLANKS = re.compile(" {2,}")
 #: Fixed values of the model format: piece types, model types, field numbers with their defaults.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -115,14 +116,11 @@ class Pieces:
     """Encoder and decoder of one model."""
 
     def __init__(self, blob: bytes):
-        from tokenizers import Regex, normalizers
+        from tokenizers import normalizers
 
         self.model = m = parse(blob)
         self.tokenizer = backend(m)
-        steps = [normalizers.Precompiled(m.charsmap)] if m.charsmap else []
-        if m.squeeze:
-            steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
-        self.normalizer = normalizers.Sequence(steps) if steps else None
+        self.normalizer = normalizers.Precompiled(m.charsmap) if m.charsmap else None
         usual = [p for p, _, kind in m.pieces if kind in (NORMAL, USER)]
         joined = {c for p in usual if len(p) > 1 for c in p}
         alone = re.escape("".join(chr(c) for c in range(128) if chr(c) not in joined))
@@ -135,16 +133,25 @@ class Pieces:
         self.lengths = np.zeros(0, np.int64)
         self.flat, self.starts = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
-    def normalize(self, text: str) -> str:
+    def plain(self, text: str) -> str:
+        """A text after the model's character map; blanks at its ends and repeated ones go if the model says so, other white space stays."""
         if self.normalizer:
             text = self.normalizer.normalize_str(text)
+        if self.model.squeeze:
+            text = text.strip(" ")
+            if "  " in text:
+                text = BLANKS.sub(" ", text)
+        return text
+
+    def marked(self, text: str) -> str:
+        """A plain text with the marker for blanks and before it."""
         if not text:
             return ""
         text = (" " if self.model.dummy_prefix else "") + text
         return text.replace(" ", MARK) if self.model.escape else text
 
-    def segments(self, text: str) -> list[str]:
-        text = self.normalize(text)
+    def segments(self, plain: str) -> list[str]:
+        text = self.marked(plain)
         return self.cut.findall(text) if self.cut else [text] if text else []
 
     def learn(self, new: list[str]):
@@ -162,7 +169,8 @@ class Pieces:
         """(ids of all texts, offsets of each text, whether decoding gives each text back)."""
         if len(self.memo) > MEMO:
             self.forget()
-        cut = [self.segments(t or "") for t in texts]
+        clean = [self.plain(t or "") for t in texts]
+        cut = [self.segments(t) for t in clean]
         new = list({s for x in cut for s in x if s not in self.memo})
         for k in range(0, len(new), SLICE):
             self.learn(new[k : k + SLICE])
@@ -173,12 +181,8 @@ class Pieces:
         ids = self.flat[np.repeat(self.starts[at] - ends[:-1], n) + np.arange(ends[-1])]
         unsound = np.concatenate(([0], np.cumsum(~self.sound[at].astype(bool))))
         sound = unsound[text_of[1:]] == unsound[text_of[:-1]]
-        plain = np.array([MARK not in (t or "") and self.restored(t or "") for t in texts], bool)
-        return ids, ends[text_of], sound & plain
-
-    def restored(self, text: str) -> bool:
-        """Whether the normaliser loses nothing of a text."""
-        return self.normalizer is None or self.normalizer.normalize_str(text) == text
+        same = np.array([MARK not in p and p == (t or "") for p, t in zip(clean, texts, strict=True)], bool)
+        return ids, ends[text_of], sound & same
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         """Texts of whole sequences; the marker put before a text is taken off."""
@@ -188,13 +192,34 @@ class Pieces:
 
 def _encode(batches, blob):
     os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
-    pieces = Pieces(blob)
-    for batch in batches:
-        ids, offsets, sound = pieces.encode(batch.column(1).to_pylist())
+    pieces, theirs = Pieces(blob), None
+    for k, batch in enumerate(batches):
+        texts = batch.column(1).to_pylist()
+        ids, offsets, sound = pieces.encode(texts)
+        if texts:
+            theirs = theirs or reference(blob)
+            at = k % len(texts)
+            check_parity(pieces, theirs, texts[at] or "", ids[offsets[at] : offsets[at + 1]].tolist(), bool(sound[at]))
         values = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), values, pa.array(sound)], names=["doc_id", "n_tokens", "ids", "restored"])
 
 
+def reference(blob: bytes):
+    """The model format's own library."""
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_proto=blob)
+
+
+def check_parity(pieces: Pieces, theirs, text: str, ids: list[int], restored: bool) -> None:
+    """Raise unless ids, decoded text and the ``restored`` flag of a text agree with the model's own library."""
+    if ids != theirs.encode(text):
+        raise ValueError("the rebuilt tokenizer's ids differ from those of the model's own library")
+    back = pieces.decode([ids])[0]
+    if back != theirs.decode(ids) or restored and back != text:
+        raise ValueError("a decoded text differs from that of the model's own library, or from the text")
+
+
 def _decode(batches, blob):
     pieces = Pieces(blob)
     for batch in batches:
@@ -203,16 +228,13 @@ def _decode(batches, blob):
 
 def verify_parity(docs: DataFrame, text: str = "text", model_path: str = MODEL_PATH, rows: int = PARITY_ROWS) -> int:
     """Compare ids and decoded texts with the reference library on ``rows`` rows; raises where they differ."""
-    import sentencepiece
-
     with open(model_path, "rb") as f:
         blob = f.read()
-    theirs, ours = sentencepiece.SentencePieceProcessor(model_proto=blob), Pieces(blob)
+    theirs, ours = reference(blob), Pieces(blob)
     texts = [r[0] or "" for r in docs.select(F.col(text).cast("string")).limit(rows).collect()]
-    ids, ends, _ = ours.encode(texts)
-    own = [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    if texts and (own != theirs.encode(texts) or ours.decode(own) != theirs.decode(own)):
-        raise ValueError("the rebuilt tokenizer differs from the model's own library on the sample")
+    ids, ends, sound = ours.encode(texts)
+    for k, t in enumerate(texts):
+        check_parity(ours, theirs, t, ids[ends[k] : ends[k + 1]].tolist(), bool(sound[k]))
     return len(texts)
 
 

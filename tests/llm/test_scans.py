@@ -144,6 +144,85 @@ def test_pieces(spark):
     assert pieces.encode_documents(frame(spark, [])).count() == 0
 
 
+def written_model(pieces_, kind, byte_fallback=True, charsmap=b"", squeeze=True):
+    """A model file of the format, written field by field."""
+    import struct
+
+    def number(x):
+        out = b""
+        while True:
+            x, low = x >> 7, x & 127
+            if not x:
+                return out + bytes([low])
+            out += bytes([low | 128])
+
+    field = lambda n, value: number(n << 3 | 2) + number(len(value)) + value if isinstance(value, bytes) else number(n << 3) + number(value)
+    out = b"".join(field(1, field(1, p.encode()) + number(2 << 3 | 5) + struct.pack("<f", s) + field(3, k)) for p, s, k in pieces_)
+    out += field(2, field(3, kind) + field(4, len(pieces_)) + field(35, int(byte_fallback)) + field(40, 0) + field(41, 1) + field(42, 2) + field(43, (1 << 64) - 1))
+    return out + field(3, field(1, b"identity") + (field(2, charsmap) if charsmap else b"") + field(3, 1) + field(4, int(squeeze)) + field(5, 1))
+
+
+@pytest.mark.parametrize("kind", [pieces.UNIGRAM, pieces.BPE])
+@pytest.mark.parametrize("squeeze", [True, False])
+@pytest.mark.parametrize("own_charsmap", [False, True])
+def test_parity_of_written_models(kind, squeeze, own_charsmap):
+    """Models of both kinds, with and without a normaliser, against the model format's own library.
+
+    Scores are drawn at random: between segmentations of equal scores the libraries choose by rounding.
+    """
+    pytest.importorskip("sentencepiece")
+    rng = random.Random(3)
+    letters = "abcdehilnorstuw\u00e9"
+    words = sorted({"".join(rng.choice(letters) for _ in range(rng.randrange(2, 5))) for _ in range(300)})
+    marked = sorted({"\u2581" + w for w in words[::3]})
+    grown = sorted({w[:k] for w in [*words, *marked] for k in range(2, len(w) + 1)}, key=lambda w: (len(w), w))
+    vocabulary = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((f"<0x{b:02X}>", 0.0, 6) for b in range(256))]
+    vocabulary += [(w, -rng.uniform(3, 12), 1) for w in grown] + [(c, -30.0 - k, 1) for k, c in enumerate(["\u2581", *letters])]
+    charsmap = b""
+    if own_charsmap:
+        with open(pieces.MODEL_PATH, "rb") as f:
+            charsmap = pieces.parse(f.read()).charsmap
+    blob = written_model(vocabulary, kind, charsmap=charsmap, squeeze=squeeze)
+    theirs, ours = pieces.reference(blob), pieces.Pieces(blob)
+    texts = ["", " ", "  the  red  ", "\n\n lines \n and\ttabs \n", "\u65e5\u672c \ufb01 \U0001f600", "a" * 500, "\u00a0non breaking\u00a0", "caf\u00e9 \u212b \u2460"]
+    texts += ["".join(rng.choice(letters + "   \n.,5") for _ in range(rng.randrange(80))) for _ in range(200)]
+    ids, ends, sound = ours.encode(texts)
+    for k, t in enumerate(texts):
+        pieces.check_parity(ours, theirs, t, ids[ends[k] : ends[k + 1]].tolist(), bool(sound[k]))
+
+
+def test_parity_is_checked_in_the_run(spark, monkeypatch):
+    """A rebuilt tokenizer that differs on a text is refused."""
+    blob = open(pieces.MODEL_PATH, "rb").read()
+    ours, theirs = pieces.Pieces(blob), pieces.reference(blob)
+    ids = ours.encode(["a plain text"])[0].tolist()
+    pieces.check_parity(ours, theirs, "a plain text", ids, True)
+    for wrong in (ids[:-1], [*ids, ids[0]]):
+        with pytest.raises(ValueError, match="differ"):
+            pieces.check_parity(ours, theirs, "a plain text", wrong, True)
+    clash = frame(spark, [(1, sentence(2000), "en", "s", 1), (1, sentence(9), "en", "s", 1)]).selectExpr("*", "1 AS ids", "2 AS n_tokens")
+    assert {r.doc_id for r in pieces.encode_documents(clash).collect()} == {1}
+
+
+def test_secrets_recall(spark):
+    """Credentials planted in sentences, written by another generator than the training findings, and look-alikes."""
+    rng = random.Random(12)
+    some = lambda n, chars: "".join(rng.choice(chars) for _ in range(n))
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    secret = [
+        lambda: "AKIA" + some(16, up + "234567"), lambda: "ghp_" + some(36, low + up + digits), lambda: "xoxb-" + some(11, digits) + "-" + some(24, low + up + digits), lambda: "password=" + some(14, low + up + digits),
+        lambda: 'api_key = "' + some(32, "0123456789abcdef") + '"', lambda: "secret: " + some(40, low + up + digits + "/+"), lambda: "token=" + some(24, low + digits), lambda: "sk_live_" + some(24, low + up + digits),
+    ]
+    clean = [lambda: f"20{some(2, digits)}-01-{some(2, digits)}", lambda: some(12, low), lambda: f"+49 {some(3, digits)} {some(6, digits)}", lambda: f"{some(6, low)}.{some(2, digits)}@{some(5, low)}.org", lambda: "commit " + some(40, "0123456789abcdef"), lambda: f"https://{some(8, low)}.com/{some(5, low)}"]
+    rows = [(i, f"{sentence(8)} {(secret[i % 8] if i < 240 else clean[i % 6])()} {sentence(5)}", "en", "src", 1) for i in range(480)]
+    rows += [(900, f"{sentence(30000)} {secret[0]()}", "en", "src", 1), (901, None, None, None, None)] + [rows[0]]
+    scan = secrets.secret_scan(frame(spark, rows).selectExpr("*", "1 AS value", "2 AS word", "3 AS score"))
+    found = Counter(r.doc_id for r in scan.filter("is_secret").collect())
+    assert sum(i in found for i in range(240)) >= 0.9 * 240 and sum(i in found for i in range(240, 480)) <= 0.05 * 240
+    assert found[900] == 1 and found[0] == 2
+    assert secrets.secret_scan(frame(spark, [])).count() == 0
+
+
 def test_toxicity(spark):
     bad = ["zorblax", "grimfuk", "zorblaxer"]
     rows = [(i, f"{sentence(30)} {bad[i % 3] if i % 4 == 1 else ''} {sentence(10)}", "en", "s", 1) for i in range(240)] + [(900, None, "en", "s", 1), (901, "", "en", "s", 1), (None, "z-o-r-blax here", "en", "s", 1)]
