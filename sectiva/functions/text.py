@@ -112,8 +112,8 @@ def lemmatise(df: DataFrame, key: str, words: str, lemmas: DataFrame, out: str =
 
 def spans(c: Column, pattern: str) -> Column:
     """Array of (s, e): where a pattern matches, in characters from 0, end exclusive."""
-    parts, hits = F.split(c, pattern, -1), found(c, pattern)
-    sizes = F.transform(hits, lambda m, i: F.struct(F.length(F.get(parts, i)).alias("gap"), F.length(m).alias("n")))
+    pairs = F.filter(F.arrays_zip(F.split(c, pattern, -1).alias("gap"), found(c, pattern).alias("hit")), lambda x: x["hit"].isNotNull())
+    sizes = F.transform(pairs, lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("n")))
     none = F.array().cast("array<struct<s:int,e:int>>")
     start = F.struct(F.lit(0).alias("at"), none.alias("out"))
 

@@ -12,18 +12,17 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sectiva.functions.text import text
+from sectiva.functions.text import let, text
 
 
 def word_ngrams(tokens: Column, lo: int = 1, hi: int = 1, min_chars: int = 2) -> Column:
     """Space-joined n-grams of the tokens with at least ``min_chars`` characters."""
-    kept = F.filter(tokens, lambda t: F.length(t) >= min_chars)
 
-    def of(n: int) -> Column:
+    def of(kept: Column, n: int) -> Column:
         starts = F.when(F.size(kept) >= n, F.sequence(F.lit(1), F.size(kept) - n + 1)).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.array_join(F.slice(kept, i, F.lit(n)), " "))
 
-    return F.flatten(F.array(*map(of, range(lo, hi + 1))))
+    return let(F.filter(tokens, lambda t: F.length(t) >= min_chars), lambda kept: F.flatten(F.array(*(of(kept, n) for n in range(lo, hi + 1)))))
 
 
 def char_wb_ngrams(c: Column, lo: int = 3, hi: int = 5) -> Column:

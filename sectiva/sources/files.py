@@ -132,8 +132,8 @@ def label_digest(df: DataFrame, position: str, label: str, by: list[str] | None
 
 
 def write_submission(df: DataFrame, path: str, order: list[str], columns: list[str]) -> None:
-    """One ordered CSV with CRLF line ends."""
-    df.orderBy(*order).select(*columns).coalesce(1).write.mode("overwrite").option("header", True).option("lineSep", "\r\n").csv(path)
+    """One ordered CSV with CRLF line ends; quotes inside a value are doubled, as ``read_table`` takes them."""
+    df.orderBy(*order).select(*columns).coalesce(1).write.mode("overwrite").option("header", True).option("lineSep", "\r\n").option("escape", '"').csv(path)
 
 
 def write_manifest(df: DataFrame, path: str) -> None:

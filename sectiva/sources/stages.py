@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
-def written(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
-    """Cut lineage: ``df`` written as Parquet under ``spark.checkpoint.dir`` and read back, as ``schema`` if one is given.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``.
 
     Only in local mode, where all tasks share a disk, an unset folder falls back on a local one.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if not found.isDefined():
@@ -22,6 +21,12 @@ def written(df: DataFrame, name: str, schema: StructType | None = None) -> DataF
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared)
         found = sc._jsc.sc().getCheckpointDir()
-    path = f"{found.get()}/{name}-{uuid.uuid4().hex}"
+    return found.get()
+
+
+def written(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
+    """Cut lineage: ``df`` written as Parquet under ``spark.checkpoint.dir`` and read back, as ``schema`` if one is given."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(schema or df.schema).parquet(path)
