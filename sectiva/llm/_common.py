@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +49,27 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stage(df: DataFrame) -> None:
+    """Delete the files of a stage that ``materialise`` wrote and that nothing reads any more."""
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    shared = hadoop(shared_dir(spark)).toUri().getPath()
+    for where in {hadoop(f).getParent().toUri().toString() for f in df.inputFiles()}:
+        path = hadoop(where)
+        if path.toUri().getPath().startswith(f"{shared}/"):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ship(spark: SparkSession, value):
+    """A broadcast of ``value`` pickled with its classes, so that executors need not have this package; ``shipped`` reads it."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shipped(sent):
+    """The value of a broadcast made by ``ship``; call it once a task."""
+    return cloudpickle.loads(sent.value)
+
+
 def discard(spark: SparkSession) -> None:
     """Delete this session's materialised stages; call it once results have been written."""
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))

@@ -70,11 +70,17 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", span_string().alias("spans"))
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sectiva.llm.centroids import cluster_report, hamerly_clusters
+
+    return cluster_report(hamerly_clusters(table(spark, sf_dir, "embeddings")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from sectiva.llm import line_dedup, quality_rules
+    from sectiva.llm import centroids, line_dedup, quality_rules
 
-    return {"op3_quality_rules": quality_rules.SQL, "op5_line_dedup": line_dedup.SQL}
+    return {"op3_quality_rules": quality_rules.SQL, "op5_line_dedup": line_dedup.SQL, "op13_centroids": centroids.SQL}
