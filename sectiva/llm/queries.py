@@ -70,6 +70,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", span_string().alias("spans"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sectiva.llm.phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sectiva.llm.centroids import cluster_report, hamerly_clusters
 
@@ -81,6 +87,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from sectiva.llm import centroids, line_dedup, quality_rules
+    from sectiva.llm import centroids, line_dedup, phrases, quality_rules
 
-    return {"op3_quality_rules": quality_rules.SQL, "op5_line_dedup": line_dedup.SQL, "op13_centroids": centroids.SQL}
+    return {"op3_quality_rules": quality_rules.SQL, "op5_line_dedup": line_dedup.SQL, "op11_collocations": phrases.SQL, "op13_centroids": centroids.SQL}
