@@ -76,6 +76,12 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sectiva.llm.chat import format_conversations
+
+    return format_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sectiva.llm.centroids import cluster_report, hamerly_clusters
 
@@ -87,6 +93,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from sectiva.llm import centroids, line_dedup, phrases, quality_rules
+    from sectiva.llm import centroids, chat, line_dedup, phrases, quality_rules
 
-    return {"op3_quality_rules": quality_rules.SQL, "op5_line_dedup": line_dedup.SQL, "op11_collocations": phrases.SQL, "op13_centroids": centroids.SQL}
+    return {"op3_quality_rules": quality_rules.SQL, "op5_line_dedup": line_dedup.SQL, "op11_collocations": phrases.SQL, "op12_chat_trees": chat.SQL, "op13_centroids": centroids.SQL}
