@@ -8,10 +8,11 @@ and those that any are left of are extended first (depth-first).  The empty slot
 its piece.  A sparse bitmap is ANDed with all word bitmaps at once, by looking up which word holds each slot.
 
 Counts of shards are added up.  What is worth extending is known from two passes before the one
-that mines: words, then pairs of frequent words, are counted by 64-bit hash over all documents, and those
-that reach the threshold set bits in a filter of bounded size that is broadcast.  Two keys that
-share a hash, or a full filter, let through more than needed, never less; the mined counts
-themselves are of the phrases, so the result is exact.
+that mines: words, then pairs and triples of frequent words, are counted by hash in a table of
+counters over all documents, and counters that reach the threshold set bits in a filter of bounded size that is
+broadcast.  Keys that share a counter let through more than needed, never less; the mined
+counts themselves are of the phrases, so the result is exact.  Tasks send on the counters that they touched, in
+blocks, as two bytes of place and one of count (a count of the threshold is enough).
 """
 
 from __future__ import annotations
@@ -24,24 +25,24 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sectiva.llm._common import materialise, small_batches
+from sectiva.llm._common import drop_stage, materialise, small_batches
 
 MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
 #: Slots of a shard; a single piece longer than that makes a longer shard.
-SLOTS = 1 << 20
-#: Entries that a task holds before it sends counts on.
+SLOTS = 1 << 19
+#: Counted keys that a task holds before it sends them on.
 HELD = 1 << 21
 #: Words that a task remembers at most between shards.
-MEMO = 500_000
+MEMO = 400_000
 #: Packed when at least one slot in so many is set: then a slot's bit costs less than a four-byte number.
 DENSE = 32
-#: Bits of a filter for each key, at least and at most in all, and bits of a block that travels as a row.
-BITS_PER_KEY, LEAST_BITS, MOST_BITS, BLOCK_BITS = 16, 1 << 16, 1 << 28, 1 << 19
+#: Counters for words, and for pairs and for triples: a power of two near a quarter of the words, at least and at most; counters of a block.
+WORD_COUNTERS, LEAST_COUNTERS, MOST_COUNTERS, BLOCK = 1 << 24, 1 << 18, 1 << 28, 1 << 16
 #: Ranges that a language's candidates are ranked in before the last ranking.
 SALTS = 64
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 TABLE = bytes(ord(".") if c in SEPARATORS else c + 32 if 65 <= c <= 90 else c for c in range(256))
-COUNTS = "h bigint, c bigint"
+COUNTERS = "kind int, block bigint, places binary, counts binary"
 MINED = "lang string, phrase string, c bigint"
 
 
@@ -106,121 +107,131 @@ def lang_seed(lang: str) -> int:
     return xxhash.xxh64_intdigest(lang.encode())
 
 
-def pair_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hashes of pairs of words from those of the words."""
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of phrases from those of the phrases without the last word and of the last words."""
     x = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(32))
 
 
-# ---- filters of bounded size ----
+# ---- counters ----
 
 
 class Filter:
-    """Which hashes may be in a set: two bits each."""
+    """Which hashes have a counter that reached the threshold."""
 
     def __init__(self, bits: np.ndarray):
         self.bits, self.mask, self.raw = bits, np.uint64(8 * len(bits) - 1), memoryview(bits)
 
     def holds(self, h: int) -> bool:
-        for at in (h & int(self.mask), h >> 32 & int(self.mask)):
-            if not self.raw[at >> 3] >> (at & 7) & 1:
-                return False
-        return True
+        at = h & int(self.mask)
+        return bool(self.raw[at >> 3] >> (at & 7) & 1)
 
     def has(self, h: np.ndarray) -> np.ndarray:
-        found = np.ones(len(h), bool)
-        for at in places(h, self.mask):
-            found &= (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-        return found
-
+        at = h & self.mask
+        return (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def counter_rows(kind: int, h: np.ndarray, counters: int, most: int, counts: np.ndarray | None = None) -> pa.RecordBatch:
+    """The counters that hashes touch, a row for each block; a count beyond ``most`` is sent as ``most``."""
+    at = h & np.uint64(counters - 1)
+    if counts is None:
+        at, n = np.unique(at, return_counts=True)
+    else:
+        at, back = np.unique(at, return_inverse=True)
+        n = np.bincount(back, counts)
+    n = np.minimum(n, most).astype(np.uint8)
+    block = (at // np.uint64(BLOCK)).astype(np.int64)
+    first = np.flatnonzero(np.diff(block, prepend=-1))
+    places = (at % np.uint64(BLOCK)).astype(np.uint16)
+    cut = lambda x: pa.array([y.tobytes() for y in np.split(x, first[1:])] if len(first) else [], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), kind, np.int32)), pa.array(block[first]), cut(places), cut(n)], names=["kind", "block", "places", "counts"])
+
+
+def _reached(batches, least: int):
+    """Bits of the counters that reach ``least``, from all rows of each block."""
+    total: dict[tuple[int, int], np.ndarray] = {}
+    for b in batches:
+        for kind, block, places, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+            own = total.setdefault((kind, block), np.zeros(BLOCK, np.uint16))
+            at = np.frombuffer(places.as_buffer(), np.uint16)
+            own[at] = np.minimum(own[at] + np.frombuffer(counts.as_buffer(), np.uint8).astype(np.uint16), least)
+    bits = [np.packbits(x >= least, bitorder="little").tobytes() for x in total.values()]
+    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in total], pa.int32()), pa.array([b for _, b in total], pa.int64()), pa.array(bits, pa.binary())], names=["kind", "block", "bits"])
+
+
+def filters(counted: DataFrame, counters: int, kinds: list[int], least: int) -> list[np.ndarray]:
+    """The bits of a Filter for each kind of key; their size is that of the tables of counters, whatever was counted."""
+    found = {k: np.zeros(max(counters, BLOCK) // 8, np.uint8) for k in kinds}
+    parts = max(len(kinds), len(kinds) * counters // BLOCK // 16)
+    for r in counted.repartition(parts, "kind", "block").mapInArrow(lambda it: _reached(it, least), "kind int, block bigint, bits binary").collect():
+        found[r.kind][r.block * (BLOCK // 8) : (r.block + 1) * (BLOCK // 8)] = np.frombuffer(r.bits, np.uint8)
+    return [found[k][: counters // 8] for k in kinds]
 
-def places(h: np.ndarray, mask: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    return h & mask, (h >> np.uint64(32)) & mask
 
+# ---- bitmaps ----
 
-def _set_bits(batches, mask: np.uint64):
-    blocks: dict[int, np.ndarray] = {}
-    for batch in batches:
-        at = np.concatenate(places(batch.column(0).to_numpy().view(np.uint64), mask))
-        for block in np.unique(at // np.uint64(BLOCK_BITS)).tolist():
-            bits = blocks.setdefault(block, np.zeros(BLOCK_BITS // 8, np.uint8))
-            own = at[at // np.uint64(BLOCK_BITS) == block] % np.uint64(BLOCK_BITS)
-            np.bitwise_or.at(bits, own >> np.uint64(3), np.uint8(1) << (own & np.uint64(7)).astype(np.uint8))
-    yield _blocks(blocks)
 
+class Layer:
+    """Words by slot (-1: none) that may extend a phrase ending in the slot before, and packed bitmaps of the dense ones."""
 
-def _merge_bits(batches):
-    blocks: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, bits in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            bits = np.frombuffer(bits.as_buffer(), np.uint8)
-            blocks[block] = blocks[block] | bits if block in blocks else bits
-    yield _blocks(blocks)
+    def __init__(self, words: np.ndarray):
+        self.n, self.words = len(words), words
+        dense = np.bincount(words[words >= 0], minlength=1) * DENSE >= max(self.n, 1)
+        self.dense = {int(w): pack(np.flatnonzero(words == w), self.n) for w in np.flatnonzero(dense)}
+        self.rest = pack(np.flatnonzero((words >= 0) & ~dense[words]), self.n) if self.dense else None
 
 
-def _blocks(blocks: dict[int, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), pa.array([x.tobytes() for x in blocks.values()], pa.binary())], names=["block", "bits"])
+def pack(slots: np.ndarray, n: int) -> np.ndarray:
+    """The bitmap of a shard's slots as 64-bit words."""
+    flags = np.zeros((n + 63) // 64 * 64, bool)
+    flags[slots] = True
+    return np.packbits(flags, bitorder="little").view(np.uint64)
 
 
-def filter_bits(hashes: DataFrame) -> np.ndarray:
-    """The bits of a Filter over a written table of distinct hashes ``h``; at most ``MOST_BITS`` of them, however many hashes there are."""
-    n = hashes.count()
-    size = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_KEY * max(n, 1) - 1).bit_length()))
-    mask, bits = np.uint64(size - 1), np.zeros(max(size, BLOCK_BITS) // 8, np.uint8)
-    rows = hashes.select("h").mapInArrow(lambda it: _set_bits(it, mask), "block bigint, bits binary")
-    for r in rows.repartition(max(1, size // BLOCK_BITS), "block").mapInArrow(_merge_bits, "block bigint, bits binary").collect():
-        bits[r.block * (BLOCK_BITS // 8) : (r.block + 1) * (BLOCK_BITS // 8)] |= np.frombuffer(r.bits, np.uint8)
-    return bits[: size // 8]
+def unpack(bits: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(bits.view(np.uint8), bitorder="little"))
 
 
-# ---- bitmaps ----
+def compressed(bits: np.ndarray, count: int, n: int) -> np.ndarray:
+    return bits if count * DENSE >= n else unpack(bits)
 
 
 class Bitmaps:
     """Bitmaps of a shard's words.
 
-    ``ids`` has the word of each slot or -1; ``follows`` the same where the word may extend the phrase that ends in the slot before, else -1.
+    ``ids`` has the word of each slot or -1, ``second`` and ``later`` the same where the word may be a phrase's second, or any later, word after what stands before it.
     """
 
-    def __init__(self, ids: np.ndarray, follows: np.ndarray):
-        self.n, self.follows = len(ids), follows
-        self.words, self.slots = _grouped(ids)
-        dense = np.bincount(follows[follows >= 0], minlength=1) * DENSE >= max(self.n, 1)
-        self.dense = {int(w): self.pack(np.flatnonzero(follows == w)) for w in np.flatnonzero(dense)}
-        self.rest = self.pack(np.flatnonzero((follows >= 0) & ~dense[follows])) if self.dense else None
-
-    def pack(self, slots: np.ndarray) -> np.ndarray:
-        flags = np.zeros((self.n + 63) // 64 * 64, bool)
-        flags[slots] = True
-        return np.packbits(flags, bitorder="little").view(np.uint64)
-
-    def unpack(self, bits: np.ndarray) -> np.ndarray:
-        return np.flatnonzero(np.unpackbits(bits.view(np.uint8), bitorder="little"))
+    def __init__(self, ids: np.ndarray, second: np.ndarray, later: np.ndarray):
+        self.n, self.ids = len(ids), ids
+        self.layers = Layer(second), Layer(later)
 
-    def compressed(self, bits: np.ndarray, count: int) -> np.ndarray:
-        return bits if count * DENSE >= self.n else self.unpack(bits)
+    def firsts(self):
+        """(word, bitmap) of the words that another may follow, at those slots."""
+        begins = np.where(np.append(self.layers[0].words[1:] >= 0, False), self.ids, -1) if self.n else self.ids
+        for w, slots in zip(*_grouped(begins), strict=True):
+            yield w, pack(slots, self.n) if self.layers[0].dense and len(slots) * DENSE >= self.n else slots
 
-    def of_words(self):
-        """(word, count, bitmap) of every word in the shard."""
-        for w, slots in zip(self.words, self.slots, strict=True):
-            yield w, len(slots), self.pack(slots) if self.dense and len(slots) * DENSE >= self.n else slots
-
-    def extend(self, bitmap: np.ndarray):
-        """(word, count, bitmap) of each word that follows the phrase of a bitmap."""
+    def extend(self, bitmap: np.ndarray, length: int):
+        """(word, count, bitmap) of each word that follows a phrase of ``length`` words with that bitmap."""
+        layer = self.layers[length > 1]
         if bitmap.dtype == np.uint64:
             moved = bitmap << np.uint64(1)
             moved[1:] |= bitmap[:-1] >> np.uint64(63)
-            for w, own in self.dense.items():
+            for w, own in layer.dense.items():
                 both = moved & own
                 if count := int(np.bitwise_count(both).sum()):
-                    yield w, count, self.compressed(both, count)
-            moved = self.unpack(moved & self.rest)
+                    yield w, count, compressed(both, count, self.n)
+            if layer.rest is not None:
+                moved = moved & layer.rest
+            moved = unpack(moved)
+            moved = moved[moved < self.n]
         else:
             moved = bitmap + 1
             if len(moved) and moved[-1] >= self.n:
                 moved = moved[:-1]
-        held = self.follows[moved]
+        held = layer.words[moved]
         if len(moved) == 1:
             if held[0] >= 0:
                 yield int(held[0]), 1, moved
@@ -240,13 +251,12 @@ def _grouped(words: np.ndarray, slots: np.ndarray | None = None) -> tuple[list[i
 
 
 def mined(maps: Bitmaps, most: int = MAX_WORDS):
-    """(phrase as a tuple of word numbers, count) of every phrase of the shard that ``follows`` admits, depth-first."""
-    for w, count, bitmap in maps.of_words():
-        yield (w,), count
-        open_ = [((w,), bitmap)]
+    """(phrase as a tuple of word numbers, count) of every phrase of two or more words that the layers admit, depth-first."""
+    for w, bitmap in maps.firsts():
+        open_ = [((w,), bitmap)] if most > 1 else []
         while open_:
             phrase, bitmap = open_.pop()
-            for x, n, longer in maps.extend(bitmap):
+            for x, n, longer in maps.extend(bitmap, len(phrase)):
                 yield (*phrase, x), n
                 if len(phrase) + 1 < most:
                     open_.append(((*phrase, x), longer))
@@ -255,31 +265,31 @@ def mined(maps: Bitmaps, most: int = MAX_WORDS):
 # ---- passes over the documents ----
 
 
-def _hashed(counts: dict[int, int]) -> pa.RecordBatch:
-    keys = np.fromiter(counts.keys(), np.uint64, len(counts)).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.fromiter(counts.values(), np.int64, len(counts)))], names=["h", "c"])
-
-
-def _words(batches):
-    """Counts of words by hash."""
-    total = defaultdict(Counter)
+def _words(batches, most: int):
+    """Counters of words; a row of kind 0 has the number of words in ``block``."""
+    total, n = defaultdict(Counter), 0
     for lang, found in shards(batches):
         total[lang].update(found)
+        n += len(found) - found.count(b".")
         if sum(map(len, total.values())) > HELD:
-            yield from _word_rows(total)
+            yield _word_rows(total, most)
             total = defaultdict(Counter)
-    yield from _word_rows(total)
+    yield _word_rows(total, most)
+    yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([n], pa.int64()), pa.array([b""]), pa.array([b""])], names=["kind", "block", "places", "counts"])
 
 
-def _word_rows(total):
-    for lang, counts in total.items():
-        counts.pop(b".", None)
+def _word_rows(total, most: int) -> pa.RecordBatch:
+    hashes, counts = [], []
+    for lang, own in total.items():
+        own.pop(b".", None)
         seed = lang_seed(lang)
-        yield _hashed({xxhash.xxh64_intdigest(w, seed): c for w, c in counts.items()})
+        hashes += [xxhash.xxh64_intdigest(w, seed) for w in own]
+        counts += own.values()
+    return counter_rows(1, np.array(hashes, np.uint64), WORD_COUNTERS, most, np.array(counts, np.int64))
 
 
 def _numbered(batches, keep: np.ndarray):
-    """(lang, words, ids) for each shard, with numbers for words that pass the filter."""
+    """(lang, words, ids, number of words) for each shard, with numbers for words that pass the filter."""
     keep, known = Filter(keep), {}
     for lang, found in shards(batches):
         if lang not in known or len(known[lang]) > MEMO:
@@ -289,48 +299,45 @@ def _numbered(batches, keep: np.ndarray):
         yield lang, known[lang], known[lang].ids(found), len(found) - found.count(b".")
 
 
-def _after_word(ids: np.ndarray) -> np.ndarray:
-    """The words of slots after a slot with a word."""
-    return np.where(np.concatenate(([False], ids[:-1] >= 0)), ids, -1).astype(np.int32)
+def runs(words: Words, ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(slots, hashes) of the last words and hashes of pairs, then of triples, of numbered words in adjacent slots."""
+    own = np.array([*words.hashes, 0], np.uint64)[ids]
+    at = np.flatnonzero((ids[1:] >= 0) & (ids[:-1] >= 0)) + 1
+    pairs = joined(own[at - 1], own[at])
+    longer = np.flatnonzero(np.diff(at) == 1)
+    return [(at, pairs), (at[longer + 1], joined(pairs[longer], own[at[longer + 1]]))]
 
 
-def _pairs(batches, keep: np.ndarray):
-    """Counts of pairs of frequent words by hash, from the popcounts of phrases of two words."""
-    held, size = [], 0
+def _runs(batches, keep: np.ndarray, counters: int, most: int):
+    """Counters of pairs (kind 2) and triples (kind 3) of words that pass the filter."""
+    held, size = ([], []), 0
     for _, words, ids, _ in _numbered(batches, keep):
-        hashes, maps = np.array(words.hashes, np.uint64), Bitmaps(ids, _after_word(ids))
-        for w, _, bitmap in maps.of_words():
-            found = [(x, n) for x, n, _ in maps.extend(bitmap)]
-            if found:
-                x, n = np.array(found, np.int64).T
-                held.append((pair_hashes(hashes[[w]], hashes[x]), n))
-                size += len(x)
+        for own, (_, hashes) in zip(held, runs(words, ids), strict=True):
+            own.append(hashes)
+            size += len(hashes)
         if size > HELD:
-            yield _pair_rows(held)
-            held, size = [], 0
-    if held:
-        yield _pair_rows(held)
+            yield from (counter_rows(2 + i, np.concatenate(x), counters, most) for i, x in enumerate(held))
+            held, size = ([], []), 0
+    yield from (counter_rows(2 + i, np.concatenate(x), counters, most) for i, x in enumerate(held) if x)
 
 
-def _pair_rows(held) -> pa.RecordBatch:
-    h, at = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
-    c = np.bincount(at, np.concatenate([c for _, c in held])).astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["h", "c"])
-
-
-def _phrases(batches, keep: np.ndarray, pairs: np.ndarray, most: int):
-    """Counts of words and of phrases whose adjacent pairs all pass the filter; a null phrase counts all words of a language."""
-    pairs, total = Filter(pairs), defaultdict(Counter)
+def _phrases(batches, keep: np.ndarray, pairs: np.ndarray, triples: np.ndarray, most: int):
+    """Counts of words and of phrases whose adjacent pairs and triples all pass their filters; a null phrase counts all words of a language."""
+    filters, total = (Filter(pairs), Filter(triples)), defaultdict(Counter)
     for lang, words, ids, n in _numbered(batches, keep):
-        hashes = np.array([*words.hashes, 0], np.uint64)
-        follows = _after_word(ids)
-        at = np.flatnonzero(follows >= 0)
-        follows[at[~pairs.has(pair_hashes(hashes[ids[at - 1]], hashes[ids[at]]))]] = -1
+        layers = []
+        for accepts, (at, hashes) in zip(filters, runs(words, ids), strict=True):
+            layers.append(np.full(len(ids), -1, np.int32))
+            at = at[accepts.has(hashes)]
+            layers[-1][at] = ids[at]
         own, counts = words.words, total[lang]
         counts[None] += n
-        for phrase, c in mined(Bitmaps(ids, follows), most):
+        each = np.bincount(ids[ids >= 0], minlength=1)
+        for w in np.flatnonzero(each).tolist():
+            counts[own[w]] += int(each[w])
+        for phrase, c in mined(Bitmaps(ids, *layers), most):
             counts[b" ".join([own[x] for x in phrase])] += c
-        if sum(map(len, total.values())) > HELD:
+        if sum(map(len, total.values())) > HELD // 4:
             yield from _phrase_rows(total)
             total = defaultdict(Counter)
     yield from _phrase_rows(total)
@@ -348,12 +355,15 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", min_c
     small_batches(spark)
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
 
-    def frequent(counts: DataFrame, name: str) -> DataFrame:
-        return materialise(counts.groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= min_count).select("h"), name)
-
-    keep = spark.sparkContext.broadcast(filter_bits(frequent(rows.mapInArrow(_words, COUNTS), "words")))
-    pairs = spark.sparkContext.broadcast(filter_bits(frequent(rows.mapInArrow(lambda it: _pairs(it, keep.value), COUNTS), "pairs")))
-    found = rows.mapInArrow(lambda it: _phrases(it, keep.value, pairs.value, most), MINED)
+    enough = min(min_count, 255)
+    counted = materialise(rows.mapInArrow(lambda it: _words(it, enough), COUNTERS), "words")
+    n = counted.filter("kind = 0").agg(F.sum("block")).first()[0] or 0
+    (words,) = filters(counted.filter("kind = 1"), WORD_COUNTERS, [1], enough)
+    drop_stage(counted)
+    counters = min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << (n // 4).bit_length()))
+    keep = spark.sparkContext.broadcast(words)
+    pairs, triples = map(spark.sparkContext.broadcast, filters(rows.mapInArrow(lambda it: _runs(it, keep.value, counters, enough), COUNTERS), counters, [2, 3], enough))
+    found = rows.mapInArrow(lambda it: _phrases(it, keep.value, pairs.value, triples.value, most), MINED)
     return materialise(found.groupBy("lang", "phrase").agg(F.sum("c").alias("f")).filter((F.col("f") >= min_count) | F.col("phrase").isNull()), "phrases")
 
 

@@ -75,7 +75,9 @@ def test_small_shards_and_full_filters_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(phrases, "SLOTS", 64)
     monkeypatch.setattr(phrases, "HELD", 50)
     monkeypatch.setattr(phrases, "MEMO", 5)
-    monkeypatch.setattr(phrases, "MOST_BITS", 8)
+    monkeypatch.setattr(phrases, "WORD_COUNTERS", 8)
+    monkeypatch.setattr(phrases, "LEAST_COUNTERS", 8)
+    monkeypatch.setattr(phrases, "MOST_COUNTERS", 8)
     assert run(spark, rows, min_count=5) == brute(rows, 5)
 
 
@@ -87,25 +89,34 @@ def test_nothing_to_find(spark):
 def test_mined_counts_of_a_shard():
     """Packed and sorted bitmaps, and both mixed, give the counts of all phrases within pieces."""
     rng = np.random.default_rng(4)
+    packed = 0
     for n, words in ((1, 1), (64, 2), (1000, 3), (5000, 60), (3000, 400)):
         ids = np.where(rng.random(n) < 0.1, -1, (words * rng.random(n) ** 3).astype(int)).astype(np.int32)
-        maps = phrases.Bitmaps(ids, phrases._after_word(ids))
+        after = np.where(np.concatenate(([False], ids[:-1] >= 0)), ids, -1).astype(np.int32)
+        maps = phrases.Bitmaps(ids, after, after)
         expected, at = Counter(), ids.tolist()
-        for m in range(1, 6):
+        for m in range(2, 6):
             expected.update(tuple(at[i : i + m]) for i in range(n - m + 1) if min(at[i : i + m]) >= 0)
         found = list(phrases.mined(maps, 5))
         assert dict(found) == expected and len(found) == len(expected)
-    assert maps.dense and maps.rest is not None
+        packed += sum(b.dtype == np.uint64 for _, b in maps.firsts())
+    assert packed and maps.layers[0].rest is not None
 
 
-def test_filter_admits_every_member(spark):
-    rng = random.Random(1)
-    held = [rng.getrandbits(64) - (1 << 63) for _ in range(3000)]
-    bits = phrases.filter_bits(spark.createDataFrame([(h,) for h in held], "h bigint"))
-    got = phrases.Filter(bits)
-    assert got.has(np.array(held, np.int64).view(np.uint64)).all() and all(got.holds(h % (1 << 64)) for h in held)
-    others = np.array([rng.getrandbits(64) for _ in range(20000)], np.uint64)
-    assert got.has(others).mean() < 0.05
+def test_filters_admit_every_frequent_key(spark):
+    rng = np.random.default_rng(1)
+    often, rare = rng.integers(0, 1 << 63, 300, np.uint64), rng.integers(0, 1 << 63, 30_000, np.uint64)
+
+    def counted(batches):
+        for b in batches:
+            for _ in range(b.num_rows):
+                yield phrases.counter_rows(2, np.repeat(often, 3), 1 << 18, 9)
+                yield phrases.counter_rows(3, rare, 1 << 18, 9, np.ones(len(rare), np.int64))
+
+    rows = spark.range(0, 3, 1, 3).mapInArrow(counted, phrases.COUNTERS)
+    two, three = map(phrases.Filter, phrases.filters(rows, 1 << 18, [2, 3], 9))
+    assert two.has(often).all() and all(two.holds(int(h)) for h in often) and two.has(rare).mean() < 0.01
+    assert three.has(rare).mean() < 0.05, "3 of 9 is not enough, but for counters that several keys share"
 
 
 def test_long_texts_are_cut_at_ends_of_pieces():
