@@ -17,6 +17,7 @@ blocks, as two bytes of place and one of count (a count of the threshold is enou
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from sectiva.llm._common import drop_stage, materialise, small_batches
 
 MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
-#: Slots of a shard; a single piece longer than that makes a longer shard.
-SLOTS = 1 << 19
+#: Slots of a shard, and bytes of a text that are split at a time; a single longer piece makes a longer shard.
+SLOTS, CHUNK = 1 << 21, 1 << 22
 #: Counted keys that a task holds before it sends them on.
 HELD = 1 << 21
 #: Words that a task remembers at most between shards.
@@ -43,7 +44,9 @@ SALTS = 64
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 TABLE = bytes(ord(".") if c in SEPARATORS else c + 32 if 65 <= c <= 90 else c for c in range(256))
 COUNTERS = "kind int, block bigint, places binary, counts binary"
-MINED = "lang string, phrase string, c bigint"
+MINED = "lang string, block int, phrases binary, counts binary"
+#: Blocks that mined phrases are dealt to, a row each for a task and language: one for so many words of the corpus, at least and at most.
+WORDS_A_BLOCK, LEAST_BLOCKS, MOST_BLOCKS = 1 << 20, 16, 1 << 16
 
 
 # ---- shards ----
@@ -54,7 +57,7 @@ def tokens(text: bytes) -> list[bytes]:
     return text.translate(TABLE).replace(b".", b" . ").split()
 
 
-def chunks(text: bytes, size: int = 4 * SLOTS):
+def chunks(text: bytes, size: int = CHUNK):
     """A long text cut at ends of pieces."""
     if len(text) <= size:
         yield text
@@ -67,20 +70,14 @@ def chunks(text: bytes, size: int = 4 * SLOTS):
         start = end
 
 
-def shards(batches):
-    """(lang, tokens) for each shard of a task's (lang, text) rows; the languages of a task share the size limit."""
-    held, size = defaultdict(list), 0
+def parts(batches):
+    """(lang, tokens) of the texts of a task's (lang, text) rows, long texts in parts; each ends with the end of a piece."""
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             for part in chunks(text.as_buffer().to_pybytes()):
                 found = tokens(part)
-                held[lang].extend(found)
-                held[lang].append(b".")
-                size += len(found) + 1
-                if size >= SLOTS:
-                    yield from held.items()
-                    held, size = defaultdict(list), 0
-    yield from held.items()
+                found.append(b".")
+                yield lang, found
 
 
 class Words(dict):
@@ -268,10 +265,10 @@ def mined(maps: Bitmaps, most: int = MAX_WORDS):
 def _words(batches, most: int):
     """Counters of words; a row of kind 0 has the number of words in ``block``."""
     total, n = defaultdict(Counter), 0
-    for lang, found in shards(batches):
+    for k, (lang, found) in enumerate(parts(batches)):
         total[lang].update(found)
         n += len(found) - found.count(b".")
-        if sum(map(len, total.values())) > HELD:
+        if not k % 64 and sum(map(len, total.values())) > HELD:
             yield _word_rows(total, most)
             total = defaultdict(Counter)
     yield _word_rows(total, most)
@@ -288,15 +285,21 @@ def _word_rows(total, most: int) -> pa.RecordBatch:
     return counter_rows(1, np.array(hashes, np.uint64), WORD_COUNTERS, most, np.array(counts, np.int64))
 
 
-def _numbered(batches, keep: np.ndarray):
-    """(lang, words, ids, number of words) for each shard, with numbers for words that pass the filter."""
-    keep, known = Filter(keep), {}
-    for lang, found in shards(batches):
-        if lang not in known or len(known[lang]) > MEMO:
-            if sum(map(len, known.values())) > MEMO:
-                known.clear()
+def shards(batches, keep: np.ndarray):
+    """(lang, words, ids, number of words) for each shard, words numbered that pass the filter; the languages of a task share the size limit."""
+    keep, known, held, size, n = Filter(keep), {}, defaultdict(list), 0, Counter()
+    for lang, found in parts(batches):
+        if lang not in known:
             known[lang] = Words(lang, keep)
-        yield lang, known[lang], known[lang].ids(found), len(found) - found.count(b".")
+        held[lang].append(known[lang].ids(found))
+        n[lang] += len(found) - found.count(b".")
+        size += len(found)
+        if size >= SLOTS:
+            yield from ((x, known[x], np.concatenate(ids), n[x]) for x, ids in held.items())
+            held, size, n = defaultdict(list), 0, Counter()
+            if sum(map(len, known.values())) > MEMO:
+                known = {}
+    yield from ((x, known[x], np.concatenate(ids), n[x]) for x, ids in held.items())
 
 
 def runs(words: Words, ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -311,7 +314,7 @@ def runs(words: Words, ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
 def _runs(batches, keep: np.ndarray, counters: int, most: int):
     """Counters of pairs (kind 2) and triples (kind 3) of words that pass the filter."""
     held, size = ([], []), 0
-    for _, words, ids, _ in _numbered(batches, keep):
+    for _, words, ids, _ in shards(batches, keep):
         for own, (_, hashes) in zip(held, runs(words, ids), strict=True):
             own.append(hashes)
             size += len(hashes)
@@ -321,10 +324,10 @@ def _runs(batches, keep: np.ndarray, counters: int, most: int):
     yield from (counter_rows(2 + i, np.concatenate(x), counters, most) for i, x in enumerate(held) if x)
 
 
-def _phrases(batches, keep: np.ndarray, pairs: np.ndarray, triples: np.ndarray, most: int):
-    """Counts of words and of phrases whose adjacent pairs and triples all pass their filters; a null phrase counts all words of a language."""
-    filters, total = (Filter(pairs), Filter(triples)), defaultdict(Counter)
-    for lang, words, ids, n in _numbered(batches, keep):
+def _phrases(batches, keep: np.ndarray, pairs: np.ndarray, triples: np.ndarray, most: int, blocks: int):
+    """Counts of words and of phrases whose adjacent pairs and triples all pass their filters; block -1 counts all words of a language."""
+    filters, total, size = (Filter(pairs), Filter(triples)), defaultdict(Counter), 0
+    for lang, words, ids, n in shards(batches, keep):
         layers = []
         for accepts, (at, hashes) in zip(filters, runs(words, ids), strict=True):
             layers.append(np.full(len(ids), -1, np.int32))
@@ -338,15 +341,31 @@ def _phrases(batches, keep: np.ndarray, pairs: np.ndarray, triples: np.ndarray,
         for phrase, c in mined(Bitmaps(ids, *layers), most):
             counts[b" ".join([own[x] for x in phrase])] += c
         if sum(map(len, total.values())) > HELD // 4:
-            yield from _phrase_rows(total)
+            yield from _phrase_rows(total, blocks)
             total = defaultdict(Counter)
-    yield from _phrase_rows(total)
+    yield from _phrase_rows(total, blocks)
 
 
-def _phrase_rows(total):
+def _phrase_rows(total, blocks: int):
     for lang, counts in total.items():
-        phrases = pa.array(list(counts), pa.binary()).cast(pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), phrases, pa.array(list(counts.values()), pa.int64())], names=["lang", "phrase", "c"])
+        dealt = defaultdict(list)
+        for phrase, c in counts.items():
+            dealt[-1 if phrase is None else zlib.crc32(phrase) % blocks].append((phrase or b"", c))
+        rows = [(lang, block, b"\n".join(p for p, _ in own), np.array([c for _, c in own], np.int64).tobytes()) for block, own in dealt.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["lang", "block", "phrases", "counts"])
+
+
+def _summed(batches, least: int):
+    """(lang, phrase, f) of the phrases of each block that reach ``least``; a null phrase counts all words."""
+    total = defaultdict(Counter)
+    for b in batches:
+        for lang, block, phrases, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+            own = total[lang, block < 0]
+            for phrase, c in zip(phrases.split(b"\n"), np.frombuffer(counts.as_buffer(), np.int64).tolist(), strict=True):
+                own[phrase] += c
+    for (lang, whole), own in total.items():
+        kept = [(None if whole else p, c) for p, c in own.items() if whole or c >= least]
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(kept), pa.string()), pa.array([p for p, _ in kept], pa.binary()).cast(pa.string()), pa.array([c for _, c in kept], pa.int64())], names=["lang", "phrase", "f"])
 
 
 def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", min_count: int = MIN_COUNT, most: int = MAX_WORDS) -> DataFrame:
@@ -363,8 +382,9 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", min_c
     counters = min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << (n // 4).bit_length()))
     keep = spark.sparkContext.broadcast(words)
     pairs, triples = map(spark.sparkContext.broadcast, filters(rows.mapInArrow(lambda it: _runs(it, keep.value, counters, enough), COUNTERS), counters, [2, 3], enough))
-    found = rows.mapInArrow(lambda it: _phrases(it, keep.value, pairs.value, triples.value, most), MINED)
-    return materialise(found.groupBy("lang", "phrase").agg(F.sum("c").alias("f")).filter((F.col("f") >= min_count) | F.col("phrase").isNull()), "phrases")
+    blocks = min(MOST_BLOCKS, max(LEAST_BLOCKS, n // WORDS_A_BLOCK))
+    found = rows.mapInArrow(lambda it: _phrases(it, keep.value, pairs.value, triples.value, most, blocks), MINED)
+    return materialise(found.repartition(blocks, "lang", "block").mapInArrow(lambda it: _summed(it, min_count), "lang string, phrase string, f bigint"), "phrases")
 
 
 # ---- scores ----

@@ -74,6 +74,7 @@ def test_small_shards_and_full_filters_change_nothing(spark, monkeypatch):
     rows = corpus(50, 9)
     monkeypatch.setattr(phrases, "SLOTS", 64)
     monkeypatch.setattr(phrases, "HELD", 50)
+    monkeypatch.setattr(phrases, "WORDS_A_BLOCK", 20)
     monkeypatch.setattr(phrases, "MEMO", 5)
     monkeypatch.setattr(phrases, "WORD_COUNTERS", 8)
     monkeypatch.setattr(phrases, "LEAST_COUNTERS", 8)
