@@ -8,6 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sectiva.operators.quantiles import quantiles
 from sectiva.sources.stages import written
 
 
@@ -27,9 +28,10 @@ def crosstab(df: DataFrame, row: str, column: str, values: list, shares: bool =
 
 def describe(df: DataFrame, column: str, percentiles=(0.5, 0.9)) -> DataFrame:
     """Count, mean, sample deviation, least, exact percentiles and most."""
-    c = F.col(column)
-    ps = [F.percentile(c, F.lit(p)).alias(f"p{round(100 * p)}") for p in percentiles]
-    return df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), F.min(c).alias("least"), *ps, F.max(c).alias("most"))
+    c, names = F.col(column), [f"p{round(100 * p)}" for p in percentiles]
+    whole = df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), F.min(c).alias("least"), F.max(c).alias("most"))
+    found = quantiles(df, column, list(percentiles)).select(*(F.col(f"q{i}").alias(n) for i, n in enumerate(names)))
+    return whole.crossJoin(found).select("n", "mean", "sd", "least", *names, "most")
 
 
 def group_rates(df: DataFrame, key: str, label: str) -> DataFrame:
@@ -68,8 +70,9 @@ def flag_lift(df: DataFrame, flags: list[str], wrong: Column) -> DataFrame:
 
 def category_table(df: DataFrame, category: str, value: str) -> DataFrame:
     """Count, share, median, p10, p90 and mean of a value by category."""
-    v = F.col(value)
-    t = df.groupBy(category).agg(F.count("*").alias("n"), F.median(v).alias("median"), F.percentile(v, F.lit(0.1)).alias("p10"), F.percentile(v, F.lit(0.9)).alias("p90"), F.avg(v).alias("mean"))
+    t = df.groupBy(category).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+    found = quantiles(df, value, [0.5, 0.1, 0.9], [category]).select(F.col(category).alias("_g"), F.col("q0").alias("median"), F.col("q1").alias("p10"), F.col("q2").alias("p90"))
+    t = t.join(found, F.col(category).eqNullSafe(F.col("_g")), "left")
     return t.crossJoin(t.agg(F.sum("n").alias("_t"))).select(category, "n", (F.col("n") / F.col("_t")).alias("share"), "median", "p10", "p90", "mean")
 
 
@@ -205,7 +208,7 @@ def integrity(df: DataFrame, key: str, required: list[str], label: str | None =
 
 def quantile_bins(df: DataFrame, column: str, q: int = 4, out: str = "bin") -> DataFrame:
     """Bin by exact quantile edges, equal edges merged; values on an edge fall below it."""
-    edges = df.agg(F.array_distinct(F.percentile(F.col(column).cast("double"), F.array(*(F.lit(i / q) for i in range(q + 1))))).alias("_e"))
+    edges = quantiles(df, column, [i / q for i in range(q + 1)]).select(F.array_distinct(F.array(*(F.col(f"q{i}") for i in range(q + 1)))).alias("_e"))
     spot = F.size(F.filter(F.slice(F.col("_e"), F.lit(1), F.size("_e") - 1), lambda e: F.col(column) > e))
     return df.crossJoin(F.broadcast(edges)).withColumn(out, F.greatest(spot, F.lit(1))).drop("_e")
 
@@ -224,9 +227,16 @@ def fold_composition(df: DataFrame, fold: str, label: str, group: str) -> DataFr
 
 
 def group_mean(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
+    """``df`` with the mean of a value over each row's group, its rows added up in one place and in one order; ``joined_mean`` splits hot groups."""
     return df.withColumn(out, F.avg(value).over(Window.partitionBy(key)))
 
 
+def joined_mean(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
+    """``group_mean`` from partial sums joined back, so that no task gathers a frequent key; the last bits depend on how rows are dealt."""
+    means = df.groupBy(F.col(key).alias("_k")).agg(F.avg(value).alias(out))
+    return df.join(means, F.col(key).eqNullSafe(F.col("_k")), "left").drop("_k")
+
+
 def recurrence(df: DataFrame, key: str, out: str = "times") -> DataFrame:
     """How often a row's key occurs: counts joined back, so a frequent key isn't gathered in one task."""
     counts = df.groupBy(key).agg(F.count("*").alias(out))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sectiva.operators.ordered import ranged, running
+from sectiva.operators.quantiles import quantiles
+
 # The floor and the range of both scores, the share of each in the total.
 FLOOR, RANGE = 0.5, 0.45
 TOTAL, WEIGHT_1, WEIGHT_2 = 70.0, 0.3, 0.7
@@ -62,23 +65,25 @@ def class_report(df: DataFrame, label: str, pred: str, beta: float = 1.0) -> Dat
 def auc(df: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
     """Exact area under the ROC curve, ties averaged; null where a group has one class only.
 
-    Scores are counted first, so what is ranked are distinct scores of a group.
+    Scores are counted first, so what is ordered are distinct scores; they are dealt to ranges, whatever the group, and each
+    range adds up its own (``ordered``).
     """
     by = by or []
     y = F.col(label)
     per = df.groupBy(*by, score).agg(F.count_if(y == 1).alias("_p"), F.count_if(y == 0).alias("_q"))
-    below = F.sum("_q").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1))
-    area = per.withColumn("_a", F.col("_p") * (F.coalesce(below, F.lit(0)) + F.col("_q") / 2))
+    upto = running(ranged(per, *by, score), [score], {"_upto": F.col("_q")}, by)
+    area = upto.withColumn("_a", F.col("_p") * (F.col("_upto") - F.col("_q") / 2))
     return area.groupBy(*by).agg(F.try_divide(F.sum("_a"), F.sum("_p").cast("double") * F.sum("_q")).alias("auc"), (F.sum("_p") + F.sum("_q")).alias("n"))
 
 
 def weighted_auc(df: DataFrame, label: str, score: str, by: str) -> DataFrame:
     """Mean, median and size-weighted AUC over groups with both classes, how many are below chance, how many are left out."""
     per = auc(df, label, score, [by])
-    return per.agg(
-        F.avg("auc").alias("mean"), F.median("auc").alias("median"), F.try_divide(F.sum(F.col("auc") * F.col("n")), F.sum(F.when(F.col("auc").isNotNull(), F.col("n")))).alias("weighted"),
+    found = per.agg(
+        F.avg("auc").alias("mean"), F.try_divide(F.sum(F.col("auc") * F.col("n")), F.sum(F.when(F.col("auc").isNotNull(), F.col("n")))).alias("weighted"),
         F.count_if(F.col("auc") < 0.5).alias("below_half"), F.count_if(F.col("auc").isNull()).alias("one_class"),
     )
+    return found.crossJoin(quantiles(per, "auc", [0.5]).select(F.col("q0").alias("median"))).select("mean", "median", "weighted", "below_half", "one_class")
 
 
 def grid(lo: float = 0.05, hi: float = 0.95, step: float = 0.01) -> list[float]:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sectiva.functions.text import capped_levenshtein, flag
+from sectiva.operators.ordered import dense_ranks
 
 
 def at_least(score: Column, threshold: float) -> Column:
@@ -45,11 +46,10 @@ def pair_key(*parts: Column) -> Column:
 def factorise(df: DataFrame, column: str, out: str = "code") -> DataFrame:
     """Dense codes of a column's values by value; nulls get none.
 
-    Codes are joined to distinct values, so no task ranks all rows.
+    Distinct values are numbered in ranges (``ordered``) and joined back, so no task ranks all of them.
     """
     values = df.select(column).filter(F.col(column).isNotNull()).distinct()
-    ranked = values.withColumn(out, F.dense_rank().over(Window.orderBy(column)) - 1)
-    return df.join(ranked, column, "left")
+    return df.join(dense_ranks(values, column, out), column, "left")
 
 
 def suffixed_join(a: DataFrame, b: DataFrame, *keys: str, suffixes: tuple[str, str] = ("_x", "_y"), how: str = "inner") -> DataFrame:

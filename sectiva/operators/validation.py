@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sectiva.operators.metrics import auc, best_threshold, counts, m2, macro_f_beta, rescaled, sweep
+from sectiva.operators.ordered import ranged, running
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 0) -> DataFrame:
@@ -31,12 +32,41 @@ def repeated_folds(df: DataFrame, key: str, label: str, seeds, k: int = 5) -> Da
     return reduce(lambda a, b: a.unionByName(b), (stratified_folds(df, key, label, k, s).withColumn("seed", F.lit(s)) for s in seeds))
 
 
+def deal_equal(loads: list[int], size: int, n: int) -> list[tuple[int, list[int]]]:
+    """Deal ``n`` groups of one size to the lightest fold each (ties: smaller number): (first, cycle) stretches; ``loads`` are brought up to date.
+
+    Group number r of a stretch that begins at ``first`` goes to ``cycle[(r - first) % len(cycle)]``.  The folds that take turns stay the same until
+    they have caught up with another one, so there are at most as many stretches as folds.
+    """
+    out, done = [], 0
+    while done < n:
+        order = sorted(range(len(loads)), key=lambda j: (loads[j], j))
+        turn = [j for j in order if (loads[j], j) < (loads[order[0]] + size, order[0])]
+        rest = [(loads[j], j) for j in order if j not in turn]
+        rounds = min((-(-(rest[0][0] - loads[j] + (j < rest[0][1])) // size) for j in turn), default=1) if rest else -(-(n - done) // len(turn))
+        take = min(max(rounds, 1) * len(turn), n - done)
+        out.append((done, turn))
+        for k, j in enumerate(turn):
+            loads[j] += size * (take // len(turn) + (k < take % len(turn)))
+        done += take
+    return out
+
+
 def group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
-    """``df`` with ``fold``: groups, largest first, dealt back and forth over the folds, so no group is split."""
-    sizes = df.groupBy(group).agg(F.count("*").alias("_n"))
-    rank = F.row_number().over(Window.orderBy(F.desc("_n"), group)) - 1
-    turn, spot = F.floor(rank / k), F.pmod(rank, F.lit(k))
-    folds = sizes.withColumn("fold", F.when(turn % 2 == 0, spot).otherwise(k - 1 - spot).cast("int")).select(F.col(group).alias("_g"), "fold")
+    """``df`` with ``fold``: groups, the largest first and equal ones by name, each to the fold that has the fewest rows so far.
+
+    The driver sees how many groups there are of each size; groups of one size are numbered in ranges, so no task ranks all
+    groups.  No group is split; null is a group.
+    """
+    sizes = df.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"))
+    dealt = ranged(sizes, "_n", "_g")
+    loads, plan = [0] * k, []
+    for r in sorted(dealt.groupBy("_n").agg(F.count("*").alias("m")).collect(), key=lambda r: -r["_n"]):
+        plan.append((r["_n"], [{"first": a, "cycle": c} for a, c in deal_equal(loads, r["_n"], r.m)]))
+    plans = df.sparkSession.createDataFrame(plan, "_s bigint, plan array<struct<first:bigint,cycle:array<int>>>")
+    numbered = running(dealt, ["_g"], {"_r": F.lit(1)}, ["_n"]).withColumn("_r", F.col("_r") - 1)
+    own = F.element_at(F.filter("plan", lambda x: x["first"] <= F.col("_r")), -1)
+    folds = numbered.join(plans, F.col("_n") == F.col("_s")).withColumn("_own", own).select("_g", F.get(F.col("_own.cycle"), ((F.col("_r") - F.col("_own.first")) % F.size("_own.cycle")).cast("int")).alias("fold"))
     return df.join(folds, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
 
 

@@ -9,10 +9,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sectiva.functions.text import let, text
+from sectiva.operators.ordered import dense_ranks
+from sectiva.operators.quantiles import quantiles
 
 
 def word_ngrams(tokens: Column, lo: int = 1, hi: int = 1, min_chars: int = 2) -> Column:
@@ -64,8 +66,8 @@ class TfIdf:
 
 
 def feature_index(long: DataFrame, feature: str = "term") -> DataFrame:
-    """(feature, index): features numbered by name.  The list of features, not the rows, is ranked."""
-    return long.select(feature).distinct().withColumn("index", F.row_number().over(Window.orderBy(feature)) - 1)
+    """(feature, index): features numbered by name, in ranges."""
+    return dense_ranks(long.select(feature).distinct(), feature, "index")
 
 
 def to_vectors(long: DataFrame, key: str, index: DataFrame, size: int, feature: str = "term", value: str = "weight", out: str = "features") -> DataFrame:
@@ -77,14 +79,16 @@ def to_vectors(long: DataFrame, key: str, index: DataFrame, size: int, feature:
 
 @dataclass
 class Scaler:
-    """Medians for missing values, then means and population deviations."""
+    """Medians for missing values (found only if some are missing), then means and population deviations."""
 
     stats: dict[str, tuple[float, float, float]]
 
     @classmethod
     def fit(cls, df: DataFrame, columns: list[str]) -> Scaler:
-        med = df.agg(*(F.median(c).alias(c) for c in columns)).first()
-        medians = {c: med[c] if med[c] is not None else 0.0 for c in columns}
+        gaps = df.agg(*(F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(columns))).first()
+        values = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("x")) for i, c in enumerate(columns)))).alias("v")
+        found = {r.i: r.q0 for r in quantiles(df.select(values).select("v.i", "v.x"), "x", [0.5], ["i"]).collect()} if any(gaps) else {}
+        medians = {c: found.get(i) or 0.0 for i, c in enumerate(columns)}
         filled = df.select(*(F.coalesce(F.col(c).cast("double"), F.lit(float(medians[c]))).alias(c) for c in columns))
         got = filled.agg(*(f(c).alias(f"{c}_{n}") for c in columns for f, n in ((F.avg, "m"), (F.stddev_pop, "s")))).first()
         return cls({c: (float(medians[c]), got[f"{c}_m"] or 0.0, got[f"{c}_s"] or 1.0) for c in columns})

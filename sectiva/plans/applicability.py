@@ -22,9 +22,11 @@ from sectiva.functions.records import clean_record, diagnosis_text, icd_category
 from sectiva.functions.text import lemma_map, record_words, title_words
 from sectiva.functions.titles import guideline_name, invariant_tokens, parse_title, skeleton_features, struct_features, title_context
 from sectiva.operators import models, vectorize
-from sectiva.operators.metrics import best_threshold, first_best, sweep
+from sectiva.operators.design import Terms, design, fold_masks
+from sectiva.operators.metrics import best_threshold, first_best, m1, m2, sweep
 from sectiva.operators.relational import pair_key
-from sectiva.operators.validation import fold_scores, out_of_fold, paired_deltas, repeated_folds, stratified_folds
+from sectiva.operators.solver import LOG, Fit, Problem, held_out, solve
+from sectiva.operators.validation import fold_scores, paired_deltas, stratified_folds
 from sectiva.sources.stages import written
 
 NUMERIC = ("age", "has_structured_header", "negation_count", "protocol_len")
@@ -49,6 +51,7 @@ class Spec:
     numbers: tuple[str, ...] = ()
     categories: tuple[str, ...] = ()
     c: float = 1.0
+    loss: str = LOG
     off: frozenset[str] = frozenset()
     weights: dict[str, float] = field(default_factory=dict)
 
@@ -78,17 +81,26 @@ CANDIDATES: dict[str, Spec] = {
 }
 
 
+def once_per_text(df: DataFrame, texts: str, columns: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``df`` with columns that depend on one text alone, computed once for each distinct text and joined back by digest.
+
+    ``columns`` takes a frame with the column ``texts`` and adds to it.
+    """
+    found = columns(df.select(texts).distinct())
+    found = found.select(F.md5(texts).alias("_digest"), *(c for c in found.columns if c != texts))
+    return df.join(found, F.md5(texts).eqNullSafe(F.col("_digest"))).drop("_digest")
+
+
 def stage1_frame(df: DataFrame, title: str = "title_text", lemmas: dict[str, str] | None = None) -> DataFrame:
-    """``df`` with the inputs of the first stage."""
+    """``df`` with the inputs of the first stage; titles repeat, so each distinct one is parsed once."""
     t = F.col(title)
     p = parse_title(t)
     words = lambda c: lemma_map(title_words(c), lemmas or {})
-    return df.withColumns(
-        {
-            "sub_terms": vectorize.word_ngrams(words(p["body"]), 1, 2), "ctx_terms": vectorize.word_ngrams(words(title_context(p)), 1, 2), "char_terms": vectorize.char_wb_ngrams(p["body"]),
-            **{f"s_{k}": c for k, c in struct_features(t, lemmas).items()},
-        }
-    )
+    inputs = {
+        "sub_terms": vectorize.word_ngrams(words(p["body"]), 1, 2), "ctx_terms": vectorize.word_ngrams(words(title_context(p)), 1, 2), "char_terms": vectorize.char_wb_ngrams(p["body"]),
+        **{f"s_{k}": c for k, c in struct_features(t, lemmas).items()},
+    }
+    return once_per_text(df, title, lambda d: d.withColumns(inputs))
 
 
 def masked_frame(df: DataFrame, title: str = "title_text") -> DataFrame:
@@ -104,9 +116,7 @@ def stage2_frame(df: DataFrame, lemmas: dict[str, str] | None = None, record: st
     """
     r = F.col(record)
     cut = lambda c: lemma_map(record_words(c), lemmas or {})
-    once = df.select(record).distinct().withColumns({"icd": icd_code(r), "diagnosis_lemma": cut(diagnosis_text(r)), "full_lemma": cut(clean_record(r))})
-    d = applicability_frame(df, title, record, lemmas)
-    d = d.join(once.withColumnRenamed(record, "_r"), F.col(record) == F.col("_r")).drop("_r")
+    d = once_per_text(applicability_frame(df, title, record, lemmas), record, lambda x: x.withColumns({"icd": icd_code(r), "diagnosis_lemma": cut(diagnosis_text(r)), "full_lemma": cut(clean_record(r))}))
     d = d.withColumn("icd_cat", icd_category(F.col("icd")))
     return d.withColumns({"guideline": guideline_name(F.col(title)), "title_x_icd": pair_key(F.col(title), F.col("icd")), "title_x_icd_cat": pair_key(F.col(title), F.col("icd_cat")), "has_icd": (F.col("icd") != "NA").cast("int")})
 
@@ -167,7 +177,7 @@ class Fitted:
         """What ``save`` wrote; it scores as it did."""
         told = json.loads(spark.read.text(f"{path}/specification").first().value)
         own = told["spec"]
-        spec = Spec(tuple(TextBlock(**b) for b in own["texts"]), tuple(own["numbers"]), tuple(own["categories"]), own["c"], frozenset(own["off"]), own["weights"])
+        spec = Spec(tuple(TextBlock(**b) for b in own["texts"]), tuple(own["numbers"]), tuple(own["categories"]), own["c"], own["loss"], frozenset(own["off"]), own["weights"])
         read = lambda name: spark.read.parquet(f"{path}/{name}")
         tfidf = {b.name: vectorize.TfIdf(read(f"terms-{b.name}"), b.sublinear) for b in spec.texts}
         scaler = vectorize.Scaler({k: tuple(v) for k, v in told["scaler"].items()}) if told["scaler"] else None
@@ -193,31 +203,98 @@ def fitter(spec: Spec, key: str = "id", label: str = "label") -> Callable[[DataF
     return lambda train: fit(train, spec, key, label).score
 
 
+def _shared(rows: DataFrame, specs: list[Spec], key: str, label: str, sets: int) -> Problem:
+    """One problem for specifications that may differ in blocks, weights and strength, over rows with training and test masks."""
+    texts = {_block(b): Terms(_block(b), b.terms, b.min_df, b.max_features, b.sublinear) for s in specs for b in s.texts if b.name not in s.off}
+    numbers = list(dict.fromkeys(x for s in specs if "numbers" not in s.off for x in s.numbers))
+    categories = list(dict.fromkeys(c for s in specs for c in s.categories if c not in s.off))
+    if len({frozenset(s.numbers) for s in specs if "numbers" not in s.off}) > 1:
+        raise ValueError("specifications that are fitted together must share their numbers")
+    return design(rows, key, label, sets, list(texts.values()), categories, numbers)
+
+
+def _block(b: TextBlock) -> str:
+    return f"{b.name}|{b.terms}|{b.min_df}|{b.max_features}|{b.sublinear}"
+
+
+def _fit(problem: Problem, spec: Spec, group: int) -> Fit:
+    """The model of a specification on one training set: blocks that it lacks or switches off weigh 0."""
+    own = {_block(b): spec.weights.get(b.name, 1.0) for b in spec.texts if b.name not in spec.off}
+    own |= {c: spec.weights.get(c, 1.0) for c in spec.categories if c not in spec.off}
+    if spec.numbers and "numbers" not in spec.off:
+        own["numbers"] = spec.weights.get("numbers", 1.0)
+    return Fit(group, spec.c, tuple((b, own.get(b, 0.0)) for b in problem.blocks), spec.loss)
+
+
+def _together(rows: DataFrame, specs: list[Spec], key: str, label: str, sets: int) -> DataFrame:
+    """(key, y, fit, proba): test rows scored by every specification on every training set, all fitted at once; ``fit`` is specification * sets + set.
+
+    Specifications whose numbers differ are designed apart.
+    """
+    by_numbers: dict[tuple, list[int]] = {}
+    for i, s in enumerate(specs):
+        by_numbers.setdefault(() if "numbers" in s.off else tuple(s.numbers), []).append(i)
+    scored = []
+    for own in by_numbers.values():
+        problem = _shared(rows, [specs[i] for i in own], key, label, sets)
+        fits = [_fit(problem, specs[i], g) for i in own for g in range(sets)]
+        numbered = F.element_at(F.array(*(F.lit(i * sets) for i in own)), F.floor(F.col("fit") / sets).cast("int") + 1) + F.col("fit") % sets
+        found = held_out(problem, fits, solve(problem, fits))
+        # A margin without a probability: what is thresholded is the margin itself.
+        found = found.withColumn("proba", F.when(F.element_at(F.array(*(F.lit(f.loss == LOG) for f in fits)), F.col("fit") + 1), F.col("proba")).otherwise(F.col("margin")))
+        scored.append(written(found.select("key", "y", numbered.alias("fit"), "proba"), "scores"))
+        problem.packed.unpersist()
+    return reduce(lambda a, b: a.unionByName(b), scored)
+
+
 def evaluate(rows: DataFrame, spec: Spec, key: str = "id", label: str = "label", k: int = 5, seed: int = 0) -> DataFrame:
-    """(key, label, fold, proba): out-of-fold scores on stratified folds."""
+    """(key, label, fold, proba): out-of-fold scores on stratified folds, all folds fitted at once; ``key`` must be unique."""
+    folded = written(stratified_folds(rows, key, label, k, seed), "folds")
+    got = _together(folded.withColumns(fold_masks("fold", k)), [spec], key, label, k)
+    return got.select(F.col("key").alias(key), F.col("y").cast(dict(rows.dtypes)[label]).alias(label), F.col("fit").cast("int").alias("fold"), "proba")
+
+
+def nested_folds(rows: DataFrame, key: str, label: str, k: int, inner: int, seed: int) -> DataFrame:
+    """``rows`` with ``fold`` and the masks of nested validation: sets 0 to k - 1 are the outer ones, then ``inner`` for each outer fold's training rows."""
     folded = written(stratified_folds(rows, key, label, k, seed), "folds")
-    return out_of_fold(folded, fitter(spec, key, label), k).select(key, label, "fold", "proba")
+    light = folded.select(key, label, "fold")
+    parts = (stratified_folds(light.filter(F.col("fold") != i).drop("fold"), key, label, inner, seed + 1).select(F.col(key).alias("key_"), F.lit(i).alias("outer"), F.col("fold").alias("inner")) for i in range(k))
+    whole, own = F.expr(f"shiftleft({(1 << inner) - 1}L, {k} + outer * {inner})"), F.expr(f"shiftleft(1L, {k} + outer * {inner} + inner)")
+    masks = reduce(lambda a, b: a.unionByName(b), parts).groupBy("key_").agg(F.bit_or(own).alias("tests"), F.bit_or(whole).alias("sets"))
+    outer = fold_masks("fold", k)
+    joined = folded.join(masks, F.col(key) == F.col("key_"), "left").drop("key_")
+    tests, sets = (F.coalesce(c, F.lit(0).cast("bigint")) for c in ("tests", "sets"))
+    return joined.withColumns({"train": outer["train"].bitwiseOR(sets.bitwiseXOR(tests)), "test": outer["test"].bitwiseOR(tests)}).drop("tests", "sets")
+
+
+def nested_scores(rows: DataFrame, specs: list[Spec], key: str = "id", label: str = "label", k: int = 5, inner: int = 5, seed: int = 0, metric: str = "m1") -> DataFrame:
+    """(spec, fold, threshold, m1, m2, tp, fp, fn, tn): thresholds tuned by inner folds, scored on outer ones, for every specification at once."""
+    sets = k + k * inner
+    got = written(_together(nested_folds(rows, key, label, k, inner, seed), specs, key, label, sets).select(F.floor(F.col("fit") / sets).cast("int").alias("spec"), (F.col("fit") % sets).cast("int").alias("set"), "y", "proba"), "nested")
+    outer = F.when(F.col("set") < k, F.col("set")).otherwise(F.floor((F.col("set") - k) / inner)).cast("int")
+    inside = sweep(got.filter(F.col("set") >= k).withColumn("fold", outer), "y", "proba", by=["spec", "fold"])
+    chosen = best_threshold(inside, metric, ["spec", "fold"]).select("spec", "fold", "threshold")
+    tested = sweep(got.filter(F.col("set") < k).withColumn("fold", outer), "y", "proba", by=["spec", "fold"])
+    return tested.join(chosen, ["spec", "fold", "threshold"]).select("spec", "fold", "threshold", "m1", "m2", "tp", "fp", "fn", "tn")
 
 
 def nested(rows: DataFrame, spec: Spec, key: str = "id", label: str = "label", k: int = 5, inner: int = 5, seed: int = 0, metric: str = "m1") -> list[tuple[int, float, float]]:
     """(outer fold, threshold, score): thresholds tuned by inner folds, scored on outer ones."""
+    return [(r.fold, r.threshold, r[metric]) for r in nested_scores(rows, [spec], key, label, k, inner, seed, metric).orderBy("fold").collect()]
+
+
+def grid_scores(rows: DataFrame, specs: list[Spec], metric: str = "m1", key: str = "id", label: str = "label", k: int = 5, seed: int = 0) -> DataFrame:
+    """(spec, threshold, metric): the best threshold of every specification's out-of-fold scores, on the same folds, all fitted at once."""
     folded = written(stratified_folds(rows, key, label, k, seed), "folds")
-    out = []
-    for i in range(k):
-        train, test = folded.filter(F.col("fold") != i).drop("fold"), folded.filter(F.col("fold") == i)
-        t = best_threshold(sweep(evaluate(train, spec, key, label, inner, seed + 1), label, "proba"), metric).first()["threshold"]
-        out.append((i, t, sweep(fit(train, spec, key, label).score(test), label, "proba", [t]).first()[metric]))
-    return out
+    got = _together(folded.withColumns(fold_masks("fold", k)), specs, key, label, k)
+    return best_threshold(sweep(got.withColumn("spec", F.floor(F.col("fit") / k).cast("int")), "y", "proba", by=["spec"]), metric, ["spec"])
 
 
 def grid_search(rows: DataFrame, specs: dict[str, Spec], metric: str = "m1", **kw) -> list[tuple[str, float, float]]:
     """(name, threshold, score) of every specification on the same folds, best first; ties keep the given order."""
-    key, label = kw.get("key", "id"), kw.get("label", "label")
-    out = []
-    for name, spec in specs.items():
-        best = best_threshold(sweep(evaluate(rows, spec, **kw), label, "proba"), metric).first()
-        out.append((name, best["threshold"], best[metric]))
-    return sorted(out, key=lambda x: -x[2])
+    names = list(specs)
+    found = sorted(grid_scores(rows, list(specs.values()), metric, **kw).collect(), key=lambda r: r.spec)
+    return sorted(((names[r.spec], r.threshold, r[metric]) for r in found), key=lambda x: -x[2])
 
 
 def stage1_grid(strengths=(1.0, 3.0, 10.0, 30.0), min_dfs=(1, 2, 3), grams=((3, 4), (3, 5), (2, 5), (3, 6))) -> dict[str, Spec]:
@@ -235,7 +312,7 @@ def stage1_grid(strengths=(1.0, 3.0, 10.0, 30.0), min_dfs=(1, 2, 3), grams=((3,
 def gram_frame(df: DataFrame, title: str = "title_text", grams=((3, 4), (3, 5), (2, 5), (3, 6)), lemmas: dict[str, str] | None = None) -> DataFrame:
     """``stage1_frame`` with a column of character n-grams for each range of lengths."""
     body = parse_title(F.col(title))["body"]
-    return stage1_frame(df, title, lemmas).withColumns({f"char_{lo}_{hi}": vectorize.char_wb_ngrams(body, lo, hi) for lo, hi in grams})
+    return once_per_text(stage1_frame(df, title, lemmas), title, lambda d: d.withColumns({f"char_{lo}_{hi}": vectorize.char_wb_ngrams(body, lo, hi) for lo, hi in grams}))
 
 
 def decoded_frame(df: DataFrame, decoded: DataFrame, key: str = "id", lemmas: dict[str, str] | None = None) -> DataFrame:
@@ -253,18 +330,33 @@ def decoded_frame(df: DataFrame, decoded: DataFrame, key: str = "id", lemmas: di
 
 
 def select_strength(rows: DataFrame, spec: Spec, strengths=(1.0, 3.0, 10.0, 30.0), **kw) -> dict[float, float]:
-    """Mean nested score by strength of the model."""
-    return {c: sum(s for *_, s in got) / len(got) for c in strengths for got in [nested(rows, replace(spec, c=c), **kw)]}
+    """Mean nested score by strength of the model; all strengths are fitted at once."""
+    metric = kw.get("metric", "m1")
+    found = nested_scores(rows, [replace(spec, c=c) for c in strengths], **kw).groupBy("spec").agg(F.avg(metric).alias("score")).collect()
+    return {strengths[r.spec]: r.score for r in sorted(found, key=lambda r: r.spec)}
+
+
+def pooled_selection(rows: DataFrame, spec: Spec, strengths=(1.0, 3.0, 10.0, 30.0), **kw) -> DataFrame:
+    """(c, pooled, mean, sd, threshold): the nested score of all test rows together, mean and deviation over folds, and the median threshold, by strength."""
+    metric = kw.get("metric", "m1")
+    per = nested_scores(rows, [replace(spec, c=c) for c in strengths], **kw)
+    pooled = per.groupBy("spec").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")), F.avg(metric).alias("mean"), F.stddev_pop(metric).alias("sd"), F.median("threshold").alias("threshold"))
+    strength = F.element_at(F.array(*(F.lit(float(c)) for c in strengths)), F.col("spec") + 1)
+    return pooled.select(strength.alias("c"), (m1() if metric == "m1" else m2()).alias("pooled"), "mean", "sd", "threshold")
 
 
 def compare(rows: DataFrame, candidate: Spec, baseline: Spec, seeds=(0, 1, 2, 3, 4), k: int = 5, threshold: float = 0.5, key: str = "id", label: str = "label") -> DataFrame:
-    """(seed, fold, n, delta): scores of two specifications on the same repeated folds."""
-    folded = written(repeated_folds(rows, key, label, seeds, k), "folds")
-    tables = []
-    for spec in (candidate, baseline):
-        parts = [out_of_fold(folded.filter(F.col("seed") == s), fitter(spec, key, label), k) for s in seeds]
-        oof = reduce(lambda a, b: a.unionByName(b), parts).withColumn("pred", (F.col("proba") >= threshold).cast("int"))
-        tables.append(fold_scores(oof, label, "pred", ["seed", "fold"]))
+    """(seed, fold, n, delta): scores of two specifications on the same repeated folds, all fitted at once."""
+    seeds = list(seeds)
+    parts = (stratified_folds(rows.select(key, label), key, label, k, s).select(F.col(key).alias("key_"), (F.lit(i * k) + F.col("fold")).alias("set")) for i, s in enumerate(seeds))
+    masks = reduce(lambda a, b: a.unionByName(b), parts).groupBy("key_").agg(F.bit_or(F.expr("shiftleft(1L, set)")).alias("test"))
+    sets = len(seeds) * k
+    folded = written(rows.join(masks, F.col(key) == F.col("key_")).drop("key_").withColumn("train", F.lit((1 << sets) - 1).cast("bigint").bitwiseXOR(F.col("test"))), "folds")
+    got = _together(folded, [candidate, baseline], key, label, sets).withColumn("pred", (F.col("proba") >= threshold).cast("int"))
+    at = F.col("fit") % sets
+    seed = F.element_at(F.array(*map(F.lit, seeds)), F.floor(at / k).cast("int") + 1)
+    named = got.select(F.floor(F.col("fit") / sets).alias("spec"), seed.alias("seed"), (at % k).cast("int").alias("fold"), F.col("y").alias("label"), "pred")
+    tables = [fold_scores(named.filter(F.col("spec") == i), "label", "pred", ["seed", "fold"]) for i in (0, 1)]
     return paired_deltas(*tables, ["seed", "fold"])
 
 

@@ -454,7 +454,13 @@ def stratified_fold_sizes(spark, d):
     return validation.stratified_folds(judged(spark, d), "doc_id", "quality").groupBy("quality", "fold").agg(F.count("*").alias("n"))
 
 
-@register("group_folds", "WITH g AS (SELECT source, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, source) - 1 AS r FROM documents GROUP BY source) SELECT source, n, CAST(CASE WHEN (r // 5) % 2 = 0 THEN r % 5 ELSE 4 - r % 5 END AS INT) AS fold FROM g")
+@register(
+    "group_folds",
+    "WITH RECURSIVE g AS (SELECT source, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, source) AS r FROM documents GROUP BY source), "
+    "a AS (SELECT CAST(0 AS BIGINT) AS r, CAST(NULL AS VARCHAR) AS source, CAST(0 AS BIGINT) AS n, CAST([0, 0, 0, 0, 0] AS BIGINT[]) AS loads, CAST(0 AS BIGINT) AS p "
+    "UNION ALL SELECT g.r, g.source, g.n, list_transform(a.loads, lambda x, i: x + CASE WHEN i = list_position(a.loads, list_min(a.loads)) THEN g.n ELSE 0 END), CAST(list_position(a.loads, list_min(a.loads)) AS BIGINT) FROM a JOIN g ON g.r = a.r + 1) "
+    "SELECT source, n, CAST(p - 1 AS INT) AS fold FROM a WHERE r > 0",
+)
 def group_folds(spark, d):
     return validation.group_folds(table(spark, d, "documents").select("source"), "source").groupBy("source", "fold").agg(F.count("*").alias("n"))
 
