@@ -1,7 +1,7 @@
 """Training-data pipeline operators: deduplication, filtering, decontamination, tokenisation, scans.
 
-Nothing outside this subpackage imports it.  Python stages are shipped to executors by value, so
-executors need only numpy, pyarrow and the tokenizer libraries, not this package.
+Nothing outside this subpackage imports it.  Functions, and models in broadcasts, are shipped to executors by
+value, so executors need only numpy, pyarrow, xxhash and the tokenizer libraries, not this package.
 """
 
 import sys

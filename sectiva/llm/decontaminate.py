@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sectiva.llm._common import materialise, rows_kept, small_batches
+from sectiva.llm._common import materialise, rows_kept, ship, shipped, small_batches
 
 #: Fixed masks: 1 reads a token, 0 ignores it.
 MASKS = ("1111", "1110111")
@@ -178,7 +178,7 @@ def _indexes(benchmark: DataFrame, block_words: int):
     words = benchmark.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     n = max(1, -(-words // block_words))
     for k in range(n):
-        index = benchmark.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()]))
+        index = ship(benchmark.sparkSession, Index([tuple(r) for r in benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()]))
         yield index, k == n - 1
         if k < n - 1:
             index.destroy()
@@ -198,7 +198,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
     schema = f"doc_id {dict(rows.dtypes)['doc_id']}, item_id bigint, doc_token bigint, item_token bigint, n_tokens bigint, n_equal bigint"
     found = None
     for index, last in _indexes(items, block_words):
-        part = rows.mapInArrow(lambda it, index=index: _search(it, index.value), schema)
+        part = rows.mapInArrow(lambda it, index=index: _search(it, shipped(index)), schema)
         if not last or found is not None:
             part = materialise(part, "overlaps")
         found = part if found is None else found.unionByName(part)
@@ -212,8 +212,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
     for index, last in _indexes(items, block_words):
 
         def keep(index=index):
+            own = shipped(index)
+
             def judge(texts):
-                hit = {r for r, *_ in index.value.search(texts)}
+                hit = {r for r, *_ in own.search(texts)}
                 return [r not in hit for r in range(len(texts))]
 
             return judge

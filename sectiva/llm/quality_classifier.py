@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sectiva.llm._common import crc_mod, small_batches
+from sectiva.llm._common import crc_mod, ship, shipped, small_batches
 from sectiva.llm._labels import labelled
 
 BUCKETS = 1 << 14
@@ -204,8 +204,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     got = rows.select("text", "doc_id", "y").mapInArrow(lambda it: _pooled(it, vectors.value), f"doc_id {kind}, y int, x array<double>").collect()
     got.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.x))
     y = np.array([r.y for r in got], float)
-    network = spark.sparkContext.broadcast(Network(np.array([r.x for r in got]), y) if len(set(y)) == 2 else None)
+    network = ship(spark, Network(np.array([r.x for r in got]), y) if len(set(y)) == 2 else None)
     held = F.coalesce(crc_mod(doc_id, 5) == 0, F.lit(False)).alias("held_out")
     scored = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), held)
-    scored = scored.mapInArrow(lambda it: _scores(it, vectors.value, network.value), f"doc_id {kind}, held_out boolean, score double")
+    scored = scored.mapInArrow(lambda it: _scores(it, vectors.value, shipped(network)), f"doc_id {kind}, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sectiva.llm._common import crc_mod, rows_kept, small_batches
+from sectiva.llm._common import crc_mod, rows_kept, ship, shipped, small_batches
 from sectiva.llm._labels import labelled
 
 SPAN = 5
@@ -369,18 +369,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     are ignored, and an empty table gives no rows.
     """
     spark = docs.sparkSession
-    machine = spark.sparkContext.broadcast(fit_toxicity(docs, labels, doc_id, text))
+    machine = ship(spark, fit_toxicity(docs, labels, doc_id, text))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.coalesce(crc_mod(doc_id, 4) == 2, F.lit(False)).alias("held_out"))
-    scored = rows.mapInArrow(lambda it: _scores(it, machine.value), f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, score double")
+    scored = rows.mapInArrow(lambda it: _scores(it, shipped(machine)), f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows not predicted toxic, each by its own text, whatever its id; null and empty texts stay unless a text without words is predicted toxic."""
-    machine = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, doc_id, text))
+    machine = ship(docs.sparkSession, fit_toxicity(docs, labels, doc_id, text))
 
     def keep():
-        score = Scorer(machine.value)
+        score = Scorer(shipped(machine))
         return lambda texts: [s < THRESHOLD for s in score(texts)]
 
     return rows_kept(docs, text, keep)
