@@ -426,7 +426,7 @@ def frequent_anchors(rows: DataFrame, schema: str) -> list[int]:
 
     It only decides how rows are dealt to tasks, never what is found.
     """
-    some = rows.filter(F.pmod(F.xxhash64("tkey"), F.lit(SAMPLE)) == 0).mapInArrow(_anchor_rows, schema).filter("h is not null")
+    some = rows.filter(F.pmod(F.xxhash64("doc_id", "tkey"), F.lit(SAMPLE)) == 0).mapInArrow(_anchor_rows, schema).filter("h is not null")
     counts = some.groupBy("h").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 0
     return [r.h for r in counts.filter(F.col("n") > max(20.0, FREQUENT * total)).collect()]
