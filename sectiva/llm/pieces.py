@@ -190,16 +190,18 @@ class Pieces:
         return [x[1:] if self.model.dummy_prefix and x[:1] == " " else x for x in out]
 
 
-def _encode(batches, blob):
+def _encode(batches, blob, rebuilt=True):
     os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
     pieces, theirs = Pieces(blob), None
     for k, batch in enumerate(batches):
         texts = batch.column(1).to_pylist()
-        ids, offsets, sound = pieces.encode(texts)
         if texts:
             theirs = theirs or reference(blob)
+        ids, offsets, sound = pieces.encode(texts) if rebuilt else by_reference(theirs, texts)
+        if texts and rebuilt:
             at = k % len(texts)
-            check_parity(pieces, theirs, texts[at] or "", ids[offsets[at] : offsets[at + 1]].tolist(), bool(sound[at]))
+            if differs(pieces, theirs, texts[at] or "", ids[offsets[at] : offsets[at + 1]].tolist(), bool(sound[at])):
+                ids, offsets, sound = by_reference(theirs, texts)
         values = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), values, pa.array(sound)], names=["doc_id", "n_tokens", "ids", "restored"])
 
@@ -211,13 +213,28 @@ def reference(blob: bytes):
     return sentencepiece.SentencePieceProcessor(model_proto=blob)
 
 
-def check_parity(pieces: Pieces, theirs, text: str, ids: list[int], restored: bool) -> None:
-    """Raise unless ids, decoded text and the ``restored`` flag of a text agree with the model's own library."""
+def by_reference(theirs, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``Pieces.encode`` gives, by the model's own library."""
+    got = [theirs.encode(t or "") for t in texts]
+    ids = np.array([i for x in got for i in x], np.int32)
+    sound = np.array([theirs.decode(x) == (t or "") for x, t in zip(got, texts, strict=True)], bool)
+    return ids, np.concatenate(([0], np.cumsum([len(x) for x in got], dtype=np.int64))), sound
+
+
+def differs(pieces: Pieces, theirs, text: str, ids: list[int], restored: bool) -> str:
+    """How ids, decoded text or the ``restored`` flag of a text differ from the model's own library; empty if they don't."""
     if ids != theirs.encode(text):
-        raise ValueError("the rebuilt tokenizer's ids differ from those of the model's own library")
+        return "the rebuilt tokenizer's ids differ from those of the model's own library"
     back = pieces.decode([ids])[0]
     if back != theirs.decode(ids) or restored and back != text:
-        raise ValueError("a decoded text differs from that of the model's own library, or from the text")
+        return "a decoded text differs from that of the model's own library, or from the text"
+    return ""
+
+
+def check_parity(pieces: Pieces, theirs, text: str, ids: list[int], restored: bool) -> None:
+    """Raise unless ids, decoded text and the ``restored`` flag of a text agree with the model's own library."""
+    if found := differs(pieces, theirs, text, ids, restored):
+        raise ValueError(found)
 
 
 def _decode(batches, blob):
@@ -226,16 +243,14 @@ def _decode(batches, blob):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pieces.decode([x or [] for x in batch.column(1).to_pylist()]), pa.string())], names=["doc_id", "text"])
 
 
-def verify_parity(docs: DataFrame, text: str = "text", model_path: str = MODEL_PATH, rows: int = PARITY_ROWS) -> int:
-    """Compare ids and decoded texts with the reference library on ``rows`` rows; raises where they differ."""
+def verify_parity(docs: DataFrame, text: str = "text", model_path: str = MODEL_PATH, rows: int = PARITY_ROWS) -> tuple[int, int]:
+    """(rows compared, rows that differ): ids and decoded texts against the model's own library on ``rows`` rows."""
     with open(model_path, "rb") as f:
         blob = f.read()
     theirs, ours = reference(blob), Pieces(blob)
     texts = [r[0] or "" for r in docs.select(F.col(text).cast("string")).limit(rows).collect()]
     ids, ends, sound = ours.encode(texts)
-    for k, t in enumerate(texts):
-        check_parity(ours, theirs, t, ids[ends[k] : ends[k + 1]].tolist(), bool(sound[k]))
-    return len(texts)
+    return len(texts), sum(bool(differs(ours, theirs, t, ids[ends[k] : ends[k + 1]].tolist(), bool(sound[k]))) for k, t in enumerate(texts))
 
 
 def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model_path: str = MODEL_PATH) -> DataFrame:
@@ -244,14 +259,16 @@ def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     Null and empty texts have no ids; ``restored`` is false where the text holds the marker
     character itself or the model's normaliser changes it.  Repeated rows and null ids are kept;
     other columns are ignored; an empty table gives no rows.  The model is read on the driver and
-    sent along, so executors need no file.
+    sent along, so executors need no file.  Where the model's own library segments a text differently (segmentations of
+    equal score), its ids count: if a row of the sample differs, that library encodes everything, and if the row looked at
+    in a batch differs, it encodes that batch; no difference ends a run.
     """
     small_batches(docs.sparkSession)
-    verify_parity(docs, text, model_path)
+    rebuilt = not verify_parity(docs, text, model_path)[1]
     with open(model_path, "rb") as f:
         blob = f.read()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(lambda it: _encode(it, blob), f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens bigint, ids array<int>, restored boolean")
+    return rows.mapInArrow(lambda it: _encode(it, blob, rebuilt), f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens bigint, ids array<int>, restored boolean")
 
 
 def decode_documents(encoded: DataFrame, doc_id: str = "doc_id", ids: str = "ids", model_path: str = MODEL_PATH) -> DataFrame:
