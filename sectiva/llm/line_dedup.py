@@ -54,17 +54,16 @@ def boilerplate(pages: DataFrame, host: Column, text: str, ratio: float = RATIO,
     return over.filter(F.col("n") > ratio * F.col("pages")).groupBy("host").agg(F.collect_list("h").alias("drop"))
 
 
-def drop_boilerplate(pages: DataFrame, host: str | Column = "source", text: str = "text", ratio: float = RATIO, min_count: int = MIN_COUNT) -> DataFrame:
-    """``pages`` with boilerplate lines removed from ``text``, plus ``_n_lines`` and ``_n_dropped``.
+def drop_boilerplate(pages: DataFrame, host: str | Column = "source", text: str = "text", ratio: float = RATIO, min_count: int = MIN_COUNT, counts: tuple[str, str] = ("_n_lines", "_n_dropped")) -> DataFrame:
+    """``pages`` with boilerplate lines removed from ``text``, plus two columns named by ``counts``: lines, and lines dropped.
 
     Blank lines are neither counted nor dropped; lines compare by every character.  A null text
     stays null with no lines; pages without a host form one host; repeated rows count as pages
     each; a line at exactly the ratio stays; a text all of whose lines go becomes empty; an empty
-    table gives no rows.  Other columns may have any name; one called ``_n_lines`` or ``_n_dropped``
-    is replaced.
+    table gives no rows.  Other columns may have any name but those of ``counts``, which are replaced; ``spare`` finds free ones.
     """
     key = F.col(host) if isinstance(host, str) else host
-    names = [c for c in pages.columns if c not in ("_n_lines", "_n_dropped")]
+    names = [c for c in pages.columns if c not in counts]
     found = materialise(boilerplate(pages, key, text, ratio, min_count), "boilerplate")
     row = F.struct(*(F.col(c) for c in names))
     joined = pages.select(row.alias("row"), key.alias("site")).join(found, F.col("site").eqNullSafe(F.col("host")), "left")
@@ -73,7 +72,17 @@ def drop_boilerplate(pages: DataFrame, host: str | Column = "source", text: str
     n = joined.select("row", F.coalesce(F.size(F.when(whole.isNotNull(), lines)), F.lit(0)).cast("long").alias("n_lines"), kept.alias("kept"))
     n = n.withColumn("n_dropped", F.when(whole.isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("kept")).cast("long"))
     cleaned = F.when(F.col("n_dropped") == 0, whole).otherwise(F.array_join("kept", "\n"))
-    return n.select(*((cleaned if c == text else F.col("row").getField(c)).alias(c) for c in names), F.col("n_lines").alias("_n_lines"), F.col("n_dropped").alias("_n_dropped"))
+    return n.select(*((cleaned if c == text else F.col("row").getField(c)).alias(c) for c in names), F.col("n_lines").alias(counts[0]), F.col("n_dropped").alias(counts[1]))
+
+
+def spare(pages: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, with underscores after those that ``pages`` has, whatever their case."""
+    taken, out = {c.lower() for c in pages.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return tuple(out)
 
 
 def line_dedup(pages: DataFrame, doc_id: str = "doc_id", host: str | Column = "source", text: str = "text") -> DataFrame:

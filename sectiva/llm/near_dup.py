@@ -299,13 +299,13 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
 def keep_one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each group: that of the smallest doc_id, null last; of rows that share it, that of the smallest hash of the text.
 
-    Rows that repeat id and text count as copies, of which one stays.
+    Rows that repeat id and text count as copies, of which one stays: the first by its columns as JSON.  Columns may have any name.
     """
     groups = materialise(near_duplicate_groups(docs, doc_id, text, shingle, similarity), "groups")
     first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("tkey") == F.col("first"))
-    gone = groups.filter(~first).select(F.col("doc_id").alias("_gone_id"), F.col("tkey").alias("_gone_key")).distinct()
-    keyed = docs.withColumn("_row_key", row_key(doc_id, text))
-    kept = keyed.join(gone, F.col(doc_id).eqNullSafe(F.col("_gone_id")) & (F.col("_row_key") == F.col("_gone_key")), "left_anti")
+    gone = groups.filter(~first).select(F.col("doc_id").alias("gone_id"), F.col("tkey").alias("gone_key")).distinct()
+    keyed = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), F.col(doc_id).alias("id"), row_key(doc_id, text).alias("key"))
+    kept = keyed.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_key")), "left_anti")
     if groups.filter(first).groupBy("doc_id", "tkey").count().filter("count > 1").limit(1).count():
-        kept = kept.dropDuplicates([doc_id, "_row_key"])
-    return kept.select(*docs.columns)
+        kept = kept.groupBy("id", "key").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return kept.select("row.*")
