@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sectiva.llm._common import materialise, table
 from sectiva.llm.decontaminate import drop_contaminated
-from sectiva.llm.line_dedup import drop_boilerplate
+from sectiva.llm.line_dedup import drop_boilerplate, spare
 from sectiva.llm.near_dup import keep_one_per_group
 from sectiva.llm.pieces import encode_documents
 from sectiva.llm.toxicity import drop_toxic
@@ -24,8 +24,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the boilerplate lines of their source; n_chars follows the text."""
-    kept = drop_boilerplate(docs, "source")
-    changed = F.when(F.col("_n_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
+    counts = spare(docs, "n_lines", "n_dropped")
+    kept = drop_boilerplate(docs, "source", counts=counts)
+    changed = F.when(F.col(counts[1]) > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", changed).select(*docs.columns)
 
 
