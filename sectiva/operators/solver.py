@@ -327,7 +327,7 @@ class Descent:
         return q
 
 
-def solve(problem: Problem, fits: list[Fit], tol: float = 1e-6, max_steps: int = 300, warm: np.ndarray | None = None) -> np.ndarray:
+def solve(problem: Problem, fits: list[Fit], tol: float = 1e-5, max_steps: int = 300, warm: np.ndarray | None = None) -> np.ndarray:
     """(fits, columns + numbers + 1) coefficients of every model, the intercept last.
 
     Coefficients are those of the scaled columns.  Fits of one training set and choice of features that differ in strength start from the

@@ -29,6 +29,8 @@ from sectiva.operators.solver import LOG, Fit, Problem, held_out, solve
 from sectiva.operators.validation import fold_scores, paired_deltas, stratified_folds
 from sectiva.sources.stages import written
 
+#: Relative step at which a fit has settled.
+TOLERANCE = 1e-5
 NUMERIC = ("age", "has_structured_header", "negation_count", "protocol_len")
 
 
@@ -226,7 +228,7 @@ def _fit(problem: Problem, spec: Spec, group: int) -> Fit:
     return Fit(group, spec.c, tuple((b, own.get(b, 0.0)) for b in problem.blocks), spec.loss)
 
 
-def _together(rows: DataFrame, specs: list[Spec], key: str, label: str, sets: int) -> DataFrame:
+def _together(rows: DataFrame, specs: list[Spec], key: str, label: str, sets: int, tol: float = TOLERANCE) -> DataFrame:
     """(key, y, fit, proba): test rows scored by every specification on every training set, all fitted at once; ``fit`` is specification * sets + set.
 
     Specifications whose numbers differ are designed apart.
@@ -239,7 +241,7 @@ def _together(rows: DataFrame, specs: list[Spec], key: str, label: str, sets: in
         problem = _shared(rows, [specs[i] for i in own], key, label, sets)
         fits = [_fit(problem, specs[i], g) for i in own for g in range(sets)]
         numbered = F.element_at(F.array(*(F.lit(i * sets) for i in own)), F.floor(F.col("fit") / sets).cast("int") + 1) + F.col("fit") % sets
-        found = held_out(problem, fits, solve(problem, fits))
+        found = held_out(problem, fits, solve(problem, fits, tol))
         # A margin without a probability: what is thresholded is the margin itself.
         found = found.withColumn("proba", F.when(F.element_at(F.array(*(F.lit(f.loss == LOG) for f in fits)), F.col("fit") + 1), F.col("proba")).otherwise(F.col("margin")))
         scored.append(written(found.select("key", "y", numbered.alias("fit"), "proba"), "scores"))
@@ -250,8 +252,14 @@ def _together(rows: DataFrame, specs: list[Spec], key: str, label: str, sets: in
 def evaluate(rows: DataFrame, spec: Spec, key: str = "id", label: str = "label", k: int = 5, seed: int = 0) -> DataFrame:
     """(key, label, fold, proba): out-of-fold scores on stratified folds, all folds fitted at once; ``key`` must be unique."""
     folded = written(stratified_folds(rows, key, label, k, seed), "folds")
-    got = _together(folded.withColumns(fold_masks("fold", k)), [spec], key, label, k)
-    return got.select(F.col("key").alias(key), F.col("y").cast(dict(rows.dtypes)[label]).alias(label), F.col("fit").cast("int").alias("fold"), "proba")
+    got = evaluate_folds(folded, [spec], "fold", k, key, label)
+    return got.select(key, label, F.col("fold").cast("int").alias("fold"), "proba")
+
+
+def evaluate_folds(rows: DataFrame, specs: list[Spec], fold: str, k: int, key: str = "id", label: str = "label", tol: float = TOLERANCE) -> DataFrame:
+    """(spec, key, label, fold, proba): out-of-fold scores of several specifications on given folds 0 to k - 1, all fitted at once."""
+    got = _together(rows.withColumns(fold_masks(fold, k)), specs, key, label, k, tol)
+    return got.select(F.floor(F.col("fit") / k).cast("int").alias("spec"), F.col("key").alias(key), F.col("y").cast(dict(rows.dtypes)[label]).alias(label), (F.col("fit") % k).alias("fold"), "proba")
 
 
 def nested_folds(rows: DataFrame, key: str, label: str, k: int, inner: int, seed: int) -> DataFrame:
@@ -267,10 +275,23 @@ def nested_folds(rows: DataFrame, key: str, label: str, k: int, inner: int, seed
     return joined.withColumns({"train": outer["train"].bitwiseOR(sets.bitwiseXOR(tests)), "test": outer["test"].bitwiseOR(tests)}).drop("tests", "sets")
 
 
-def nested_scores(rows: DataFrame, specs: list[Spec], key: str = "id", label: str = "label", k: int = 5, inner: int = 5, seed: int = 0, metric: str = "m1") -> DataFrame:
-    """(spec, fold, threshold, m1, m2, tp, fp, fn, tn): thresholds tuned by inner folds, scored on outer ones, for every specification at once."""
+def given_nested_folds(rows: DataFrame, outer: str, k: int, inside: str, inner: int) -> DataFrame:
+    """``rows`` with the masks of nested validation on given folds: ``outer`` from 0 to k - 1, and ``inside`` from 0 to inner - 1, used within each outer fold's training rows."""
+    others = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda o: o != F.col(outer))
+    tests = F.aggregate(others, F.lit(0).cast("bigint"), lambda acc, o: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.lit(k) + o * inner + F.col(inside)).cast("int"))))
+    sets = F.aggregate(others, F.lit(0).cast("bigint"), lambda acc, o: acc.bitwiseOR(F.call_function("shiftleft", F.lit((1 << inner) - 1).cast("bigint"), (F.lit(k) + o * inner).cast("int"))))
+    own = fold_masks(outer, k)
+    return rows.withColumns({"train": own["train"].bitwiseOR(sets.bitwiseXOR(tests)), "test": own["test"].bitwiseOR(tests)})
+
+
+def nested_scores(rows: DataFrame, specs: list[Spec], key: str = "id", label: str = "label", k: int = 5, inner: int = 5, seed: int = 0, metric: str = "m1", folds: tuple[str, str] | None = None) -> DataFrame:
+    """(spec, fold, threshold, m1, m2, tp, fp, fn, tn): thresholds tuned by inner folds, scored on outer ones, for every specification at once.
+
+    Folds are stratified, by ``seed``, unless ``folds`` names columns with those to use.
+    """
     sets = k + k * inner
-    got = written(_together(nested_folds(rows, key, label, k, inner, seed), specs, key, label, sets).select(F.floor(F.col("fit") / sets).cast("int").alias("spec"), (F.col("fit") % sets).cast("int").alias("set"), "y", "proba"), "nested")
+    masked = given_nested_folds(rows, folds[0], k, folds[1], inner) if folds else nested_folds(rows, key, label, k, inner, seed)
+    got = written(_together(masked, specs, key, label, sets).select(F.floor(F.col("fit") / sets).cast("int").alias("spec"), (F.col("fit") % sets).cast("int").alias("set"), "y", "proba"), "nested")
     outer = F.when(F.col("set") < k, F.col("set")).otherwise(F.floor((F.col("set") - k) / inner)).cast("int")
     inside = sweep(got.filter(F.col("set") >= k).withColumn("fold", outer), "y", "proba", by=["spec", "fold"])
     chosen = best_threshold(inside, metric, ["spec", "fold"]).select("spec", "fold", "threshold")

@@ -618,4 +618,4 @@ def general_titles_oof(spark, d):
     return applicability.evaluate(rows, applicability.stage1_spec(), k=3)
 
 
-from sectiva.plans import reports, texts  # noqa: E402, F401
+from sectiva.plans import fits, reports, texts  # noqa: E402, F401
