@@ -94,10 +94,14 @@ def contradiction_features(df: DataFrame, title="title_text", title_lemmas="titl
     return d.select(*(keep or df.columns), *CONTRADICTION)
 
 
-def applicability_frame(df: DataFrame, title="title_text", record="protocol_text", lemmas: dict[str, str] | None = None) -> DataFrame:
-    """``df`` with lemmas, record fields and contradiction features: the input of the second stage."""
-    d = df.withColumns({"title_lemma": lemma_map(record_words(F.col(title)), lemmas or {}), **record_fields(F.col(record))})
-    d = d.withColumns({"narrative_lemma": lemma_map(record_words(F.col("narrative_text")), lemmas or {}), "gender": F.coalesce("gender_raw", F.lit("unknown"))})
+def applicability_frame(df: DataFrame, title="title_text", record="protocol_text", lemmas: dict[str, str] | Column | None = None, record_lemmas: Column | None = None) -> DataFrame:
+    """``df`` with lemmas, record fields and contradiction features: the input of the second stage.
+
+    ``lemmas`` is a dictionary, or a column with a map of the title's words; then ``record_lemmas`` is one of the record's.
+    """
+    of_record = lemmas if record_lemmas is None else record_lemmas
+    d = df.withColumns({"title_lemma": lemma_map(record_words(F.col(title)), lemmas), **record_fields(F.col(record))})
+    d = d.withColumns({"narrative_lemma": lemma_map(record_words(F.col("narrative_text")), of_record), "gender": F.coalesce("gender_raw", F.lit("unknown"))})
     return contradiction_features(d, title)
 
 

@@ -90,12 +90,14 @@ def mask_cyrillic(c: Column) -> Column:
     return F.regexp_replace(text(c), CYRILLIC, "?")
 
 
-def lemma_map(words: Column, lemmas: Mapping[str, str]) -> Column:
-    """Words through a small dictionary; unknown words stay."""
+def lemma_map(words: Column, lemmas: Mapping[str, str] | Column | None) -> Column:
+    """Words through a small dictionary, or through a column with a map; unknown words stay."""
+    if isinstance(lemmas, Column):
+        return F.transform(words, lambda w: F.coalesce(F.try_element_at(lemmas, w), w))
     if not lemmas:
         return words
     table = F.create_map(*(F.lit(x) for kv in lemmas.items() for x in kv))
-    return F.transform(words, lambda w: F.coalesce(F.element_at(table, w), w))
+    return F.transform(words, lambda w: F.coalesce(F.try_element_at(table, w), w))
 
 
 def lemmatise(df: DataFrame, key: str, words: str, lemmas: DataFrame, out: str = "lemmas") -> DataFrame:

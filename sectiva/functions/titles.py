@@ -63,11 +63,11 @@ def n_groups(lemmas: Column) -> Column:
     return sum(touched[1:], touched[0])
 
 
-def struct_features(c: Column, lemmas: dict[str, str] | None = None) -> dict[str, Column]:
+def struct_features(c: Column, lemmas: dict[str, str] | Column | None = None) -> dict[str, Column]:
     """The 13 layout and condition features of a title."""
     p, s = parse_title(c), text(c)
     body = p["body"]
-    known = lambda x: lemma_map(title_words(x), lemmas or {})
+    known = lambda x: lemma_map(title_words(x), lemmas)
     return {
         "depth": p["depth"], "n_lines": p["n_lines"], "len_title": F.length(s), "len_subsection": F.length(body), "n_words_subsection": F.size(split_words(body)),
         "n_words_guideline": F.size(split_words(p["guideline"])), "has_latin": flag(body.rlike(LATIN_RUN)), "has_digit": flag(body.rlike(ANY_DIGIT)),

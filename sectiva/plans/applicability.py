@@ -13,7 +13,7 @@ from functools import reduce
 
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -23,6 +23,7 @@ from sectiva.functions.text import lemma_map, record_words, title_words
 from sectiva.functions.titles import guideline_name, invariant_tokens, parse_title, skeleton_features, struct_features, title_context
 from sectiva.operators import models, vectorize
 from sectiva.operators.design import Terms, design, fold_masks
+from sectiva.operators.lemmas import own_lemmas
 from sectiva.operators.metrics import best_threshold, first_best, m1, m2, sweep
 from sectiva.operators.relational import pair_key
 from sectiva.operators.solver import LOG, Fit, Problem, held_out, solve
@@ -47,7 +48,10 @@ class TextBlock:
 
 @dataclass(frozen=True)
 class Spec:
-    """Feature blocks and the strength of the model; ``off`` drops blocks by name, ``weights`` scales them."""
+    """Feature blocks, the strength and the loss of the model; ``off`` drops blocks by name, ``weights`` scales them.
+
+    The squared-hinge machine has its intercept in the penalty, as the usual toolkit has.
+    """
 
     texts: tuple[TextBlock, ...] = ()
     numbers: tuple[str, ...] = ()
@@ -93,15 +97,22 @@ def once_per_text(df: DataFrame, texts: str, columns: Callable[[DataFrame], Data
     return df.join(found, F.md5(texts).eqNullSafe(F.col("_digest"))).drop("_digest")
 
 
-def stage1_frame(df: DataFrame, title: str = "title_text", lemmas: dict[str, str] | None = None) -> DataFrame:
-    """``df`` with the inputs of the first stage; titles repeat, so each distinct one is parsed once."""
+def stage1_frame(df: DataFrame, title: str = "title_text", lemmas: dict[str, str] | DataFrame | None = None) -> DataFrame:
+    """``df`` with the inputs of the first stage; titles repeat, so each distinct one is parsed once.
+
+    ``lemmas`` is a small dictionary, or a table (token, lemma) of any size, from which the lemmas of unknown words are guessed.
+    """
     t = F.col(title)
+    if isinstance(lemmas, DataFrame):
+        return stage1_frame(own_lemmas(df, title, title_words(t), lemmas, "_lemmas"), title, F.col("_lemmas")).drop("_lemmas")
     p = parse_title(t)
-    words = lambda c: lemma_map(title_words(c), lemmas or {})
+    words = lambda c: lemma_map(title_words(c), lemmas)
     inputs = {
         "sub_terms": vectorize.word_ngrams(words(p["body"]), 1, 2), "ctx_terms": vectorize.word_ngrams(words(title_context(p)), 1, 2), "char_terms": vectorize.char_wb_ngrams(p["body"]),
         **{f"s_{k}": c for k, c in struct_features(t, lemmas).items()},
     }
+    if isinstance(lemmas, Column):
+        return df.withColumns(inputs)
     return once_per_text(df, title, lambda d: d.withColumns(inputs))
 
 
@@ -111,14 +122,20 @@ def masked_frame(df: DataFrame, title: str = "title_text") -> DataFrame:
     return df.withColumns({"shape_terms": vectorize.word_ngrams(shapes, 1, 3, min_chars=1), **{f"k_{k}": c for k, c in skeleton_features(F.col(title)).items()}})
 
 
-def stage2_frame(df: DataFrame, lemmas: dict[str, str] | None = None, record: str = "protocol_text", title: str = "title_text") -> DataFrame:
+def stage2_frame(df: DataFrame, lemmas: dict[str, str] | DataFrame | None = None, record: str = "protocol_text", title: str = "title_text") -> DataFrame:
     """``df`` with the inputs of the second stage and of its candidates.
 
-    Records repeat across titles, so what is costly about a record is computed once per record.
+    Records repeat across titles, so what is costly about a record is computed once per record.  ``lemmas`` is a small
+    dictionary, or a table (token, lemma) of any size, from which the lemmas of unknown words are guessed.
     """
-    r = F.col(record)
-    cut = lambda c: lemma_map(record_words(c), lemmas or {})
-    d = once_per_text(applicability_frame(df, title, record, lemmas), record, lambda x: x.withColumns({"icd": icd_code(r), "diagnosis_lemma": cut(diagnosis_text(r)), "full_lemma": cut(clean_record(r))}))
+    r, of_title, of_record = F.col(record), lemmas, lemmas
+    if isinstance(lemmas, DataFrame):
+        df = own_lemmas(own_lemmas(df, title, record_words(F.col(title)), lemmas, "_title_lemmas"), record, record_words(r), lemmas, "_record_lemmas")
+        of_title, of_record = F.col("_title_lemmas"), F.col("_record_lemmas")
+    cut = lambda c: lemma_map(record_words(c), of_record)
+    costly = {"icd": icd_code(r), "diagnosis_lemma": cut(diagnosis_text(r)), "full_lemma": cut(clean_record(r))}
+    d = applicability_frame(df, title, record, of_title, of_record if isinstance(of_record, Column) else None)
+    d = d.withColumns(costly).drop("_title_lemmas", "_record_lemmas") if isinstance(lemmas, DataFrame) else once_per_text(d, record, lambda x: x.withColumns(costly))
     d = d.withColumn("icd_cat", icd_category(F.col("icd")))
     return d.withColumns({"guideline": guideline_name(F.col(title)), "title_x_icd": pair_key(F.col(title), F.col("icd")), "title_x_icd_cat": pair_key(F.col(title), F.col("icd_cat")), "has_icd": (F.col("icd") != "NA").cast("int")})
 
@@ -225,7 +242,7 @@ def _fit(problem: Problem, spec: Spec, group: int) -> Fit:
     own |= {c: spec.weights.get(c, 1.0) for c in spec.categories if c not in spec.off}
     if spec.numbers and "numbers" not in spec.off:
         own["numbers"] = spec.weights.get("numbers", 1.0)
-    return Fit(group, spec.c, tuple((b, own.get(b, 0.0)) for b in problem.blocks), spec.loss)
+    return Fit(group, spec.c, tuple((b, own.get(b, 0.0)) for b in problem.blocks), spec.loss, spec.loss == LOG)
 
 
 def _together(rows: DataFrame, specs: list[Spec], key: str, label: str, sets: int, tol: float = TOLERANCE) -> DataFrame:

@@ -11,9 +11,10 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from sectiva.operators import metrics
+from sectiva.operators.lemmas import lemma_table
 from sectiva.operators.solver import SQUARED_HINGE
 from sectiva.plans.applicability import Spec, evaluate_folds, nested_scores
-from sectiva.plans.catalog import CLASS_COUNTS, JUDGED, fb, judged, register, scaled
+from sectiva.plans.catalog import CLASS_COUNTS, JUDGED, fb, judged, register, scaled, table
 
 STEPS = 25
 NUMBER = Spec(numbers=("n_chars",))
@@ -56,7 +57,7 @@ def fold_strengths(spark, d):
     return got.select(F.element_at(F.array(*map(F.lit, strengths)), F.col("spec") + 1).alias("c"), "doc_id", F.col("fold").cast("bigint").alias("fold"), F.round("proba", 4).alias("proba"))
 
 
-@register("fold_squared_hinge", f"WITH {JUDGED}, {FOLDED.format(cs='0.01, 1.0')}, {newton_sql('hinge')} SELECT c, k AS doc_id, round(margin, 4) AS margin FROM z WHERE test")
+@register("fold_squared_hinge", f"WITH {JUDGED}, {FOLDED.format(cs='0.01, 1.0')}, {newton_sql('hinge', False)} SELECT c, k AS doc_id, round(margin, 4) AS margin FROM z WHERE test")
 def fold_squared_hinge(spark, d):
     strengths = (0.01, 1.0)
     got = evaluate_folds(_folded(spark, d), [replace(NUMBER, c=c, loss=SQUARED_HINGE) for c in strengths], "own_fold", 3, "doc_id", "quality", 1e-9)
@@ -89,3 +90,26 @@ def nested_thresholds(spark, d):
     rows = _folded(spark, d).withColumn("inside", (F.floor(F.col("doc_id") / 3) % 2).cast("int"))
     got = nested_scores(rows, [replace(NUMBER, c=0.1)], "doc_id", "quality", 3, 2, metric="m2", folds=("own_fold", "inside"))
     return got.select("fold", "threshold", F.round("m2", 4).alias("m2"), "tp", "fp", "fn", "tn")
+
+
+# --- lemmas ---------------------------------------------------------------------------------------
+
+ENDINGS = "tion|ing|ed|ly|er|es|en|ent|able"
+#: Words of the texts; those whose digest begins with a digit are the dictionary, their lemmas the words without an ending.
+_KNOWN = f"t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')) AS token FROM documents), l AS (SELECT token, regexp_replace(token, '({ENDINGS})$', 'e') AS lemma FROM t WHERE md5(token) < 'a')"
+
+
+@register(
+    "guessed_lemmas",
+    f"WITH {_KNOWN}, p AS (SELECT token, lemma, len(list_filter(range(1, least(length(token), length(lemma)) + 1), lambda i: substr(token, 1, i) = substr(lemma, 1, i))) AS p FROM l), "
+    "e AS (SELECT token, substr(token, p + 1) AS strip, substr(lemma, p + 1) AS add_ FROM p), "
+    "r AS (SELECT right(token, n) AS suffix, strip, add_, count(*) AS c FROM e, (SELECT CAST(unnest(range(0, 7)) AS INT) AS n) WHERE n <= length(token) AND n >= length(strip) GROUP BY ALL), "
+    "b AS (SELECT suffix, strip, add_ FROM r QUALIFY row_number() OVER (PARTITION BY suffix ORDER BY c DESC, strip, add_) = 1), "
+    "u AS (SELECT t.token, n, right(t.token, n) AS suffix FROM t LEFT JOIN l ON t.token = l.token, (SELECT CAST(unnest(range(0, 7)) AS INT) AS n) WHERE l.token IS NULL AND n <= length(t.token)), "
+    "g AS (SELECT token, strip, add_ FROM u JOIN b USING (suffix) QUALIFY row_number() OVER (PARTITION BY token ORDER BY n DESC) = 1) "
+    "SELECT token, lemma, true AS known FROM l UNION ALL SELECT token, coalesce(nullif(left(token, length(token) - length(strip)) || add_, ''), token), false FROM g",
+)
+def guessed_lemmas(spark, d):
+    tokens = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})"))).alias("token")).distinct()
+    known = tokens.filter(F.md5("token") < "a").withColumn("lemma", F.regexp_replace("token", f"({ENDINGS})$", "e"))
+    return lemma_table(tokens, known).withColumn("known", F.md5("token") < "a")
