@@ -190,14 +190,24 @@ def coverage_gap(df: DataFrame, split: str, flags: list[str]) -> DataFrame:
 
 def vocabulary_transfer(tokens: DataFrame, split: str, key: str, token: str) -> DataFrame:
     """One row: how much of the vocabulary and of the tokens of side 1 side 0 knows, and rows of side 1 that it knows nothing of."""
-    each = written(tokens.groupBy(F.col(split).alias("_s"), F.col(key).alias("_r"), F.col(token).alias("_t")).agg(F.count("*").alias("_n")), "tokens")
-    known = each.filter("_s = 0").select("_t").distinct().withColumn("_k", F.lit(1))
-    rows = each.filter("_s = 1").join(known, "_t", "left").withColumn("_k", F.coalesce("_k", F.lit(0)))
-    vocab = rows.groupBy("_t").agg(F.max("_k").alias("k"), F.sum("_n").alias("n")).agg(F.avg("k").alias("vocabulary_coverage"), (F.sum(F.col("k") * F.col("n")) / F.sum("n")).alias("token_coverage"))
-    zero = rows.groupBy("_r").agg(F.sum(F.col("_k") * F.col("_n")).alias("k")).agg(F.count_if(F.col("k") == 0).alias("zero_rows"), F.avg("k").alias("active_per_row"))
+    per = written(tokens.groupBy(F.col(token).alias("_t")).agg(F.count_if(F.col(split) == 0).alias("n0"), F.count_if(F.col(split) == 1).alias("n1")), "vocabulary")
+    known, there = F.col("n0") > 0, per.filter("n1 > 0")
+    vocab = there.agg(F.avg(known.cast("int")).alias("vocabulary_coverage"), (F.sum(F.when(known, F.col("n1")).otherwise(0)) / F.sum("n1")).alias("token_coverage"))
+    rows = tokens.filter(F.col(split) == 1).select(F.col(key).alias("_r"), F.col(token).alias("_w")).join(per.filter("n0 > 0 and n1 > 0").select("_t"), F.col("_w") == F.col("_t"), "left")
+    zero = rows.groupBy("_r").agg(F.count("_t").alias("k")).agg(F.count_if(F.col("k") == 0).alias("zero_rows"), F.avg("k").alias("active_per_row"))
     return vocab.crossJoin(zero)
 
 
+def marked_mass(weights: DataFrame, rows: DataFrame, key: str, split: str, marked: Column) -> DataFrame:
+    """(split, mass, active, zero_rows, n): share of the weight on marked terms, known terms per row, rows without any, by side.
+
+    ``weights`` is (key, term, weight); rows without weights count.
+    """
+    per = weights.groupBy(F.col(key).alias("_k")).agg(F.sum("weight").alias("_w"), F.sum(F.when(marked, F.col("weight")).otherwise(0.0)).alias("_m"), F.count("*").alias("_n"))
+    d = rows.select(key, split).join(per, F.col(key).eqNullSafe(F.col("_k")), "left")
+    return d.groupBy(split).agg(F.try_divide(F.sum("_m"), F.sum("_w")).alias("mass"), F.avg(F.coalesce("_n", F.lit(0))).alias("active"), F.count_if(F.col("_n").isNull()).alias("zero_rows"), F.count("*").alias("n"))
+
+
 def integrity(df: DataFrame, key: str, required: list[str], label: str | None = None) -> DataFrame:
     """One row of checks: rows, nulls, distinct keys, whether labels are 0 or 1."""
     checks = [F.count("*").alias("n_rows"), F.count_distinct(key).alias("n_keys"), F.sum(sum((F.col(c).isNull().cast("int") for c in required[1:]), F.col(required[0]).isNull().cast("int"))).alias("n_nulls")]
@@ -250,6 +260,14 @@ def feature_checks(df: DataFrame, columns: list[str]) -> DataFrame:
     return aggs.select(F.explode(F.array(*map(row, columns))).alias("x")).select("x.*")
 
 
+def duplicate_columns(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(feature, same_as): columns that equal an earlier one in every row, nulls included, with the first that they equal; one pass."""
+    pairs = [(a, b) for i, b in enumerate(columns) for a in columns[:i]]
+    got = df.agg(*(F.coalesce(F.bool_and(F.col(a).eqNullSafe(F.col(b))), F.lit(False)).alias(f"s{i}") for i, (a, b) in enumerate(pairs)), F.count("*").alias("_n"))
+    rows = F.filter(F.array(*(F.when(F.col(f"s{i}"), F.struct(F.lit(b).alias("feature"), F.lit(a).alias("same_as"), F.lit(columns.index(a)).alias("i"))) for i, (a, b) in enumerate(pairs))), lambda x: x.isNotNull())
+    return got.select(F.explode(rows).alias("x")).groupBy("x.feature").agg(F.min_by("x.same_as", "x.i").alias("same_as"))
+
+
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation of every pair of columns, in one pass."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]

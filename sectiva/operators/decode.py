@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sectiva.functions.text import mask_cyrillic, split_words, strip, text, title_words
 from sectiva.functions.titles import parse_title
+from sectiva.operators.relational import near_pairs
 
 
 def line_index(titles: DataFrame, key: str, title: str) -> DataFrame:
@@ -90,3 +91,24 @@ def decode_quality(pairs: DataFrame, truth: str, guess: str) -> DataFrame:
     a, b = split_words(F.lower(F.col(truth))), split_words(F.lower(F.col(guess)))
     shared = F.size(F.array_intersect(a, b))
     return pairs.agg(F.avg((F.col(truth) == F.col(guess)).cast("int")).alias("exact"), F.avg(F.try_divide(shared, F.size(F.array_union(a, b)))).alias("jaccard"), F.avg(F.try_divide(shared, F.size(F.array_distinct(a)))).alias("recall"))
+
+
+def fuzzy_simulation(lines: DataFrame, masked: str, clean: str, cap: int = 6) -> DataFrame:
+    """(distance, n, jaccard, recall, exact): how well lines without another exact match would be read from the nearest masked line.
+
+    ``lines`` are distinct (masked, clean) lines.  A line's own text never counts: its candidates are the other texts of the masked
+    lines nearest to it; of those the one that shares most words is taken (ties: the first by text).  Lines with another text under the same mask are left out, and so are lines
+    with nothing within ``cap`` edits.
+    """
+    known = lines.select(F.col(masked).alias("m"), F.col(clean).alias("c")).distinct()
+    sizes = known.groupBy("m").agg(F.count("*").alias("texts"))
+    alone = known.join(sizes.filter("texts = 1").select("m"), "m")
+    pairs = near_pairs(alone, known, "m", "m", cap).filter("q <> k")
+    least = pairs.groupBy("q").agg(F.min("d").alias("least"))
+    nearest = pairs.join(least, "q").filter("d = least").select(F.col("q").alias("m"), F.col("k"), "d")
+    words = lambda c: F.array_distinct(split_words(F.lower(c)))
+    found = alone.join(nearest, "m").join(known.select(F.col("m").alias("k"), F.col("c").alias("other")), "k")
+    found = found.withColumns({"shared": F.size(F.array_intersect(words(F.col("c")), words(F.col("other")))), "either": F.size(F.array_union(words(F.col("c")), words(F.col("other")))), "own": F.size(words(F.col("c")))})
+    best = found.groupBy("m", "c", "d").agg(F.min(F.struct((-F.col("shared")).alias("s"), "other", "either", "own")).alias("x"))
+    shared = -F.col("x.s")
+    return best.groupBy(F.col("d").alias("distance")).agg(F.count("*").alias("n"), F.avg(shared / F.greatest("x.either", F.lit(1))).alias("jaccard"), F.avg(shared / F.greatest("x.own", F.lit(1))).alias("recall"), F.avg((shared == F.col("x.either")).cast("int")).alias("exact"))

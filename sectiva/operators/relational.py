@@ -134,8 +134,8 @@ def overlap_counts(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
     return reduce(lambda x, y: x.crossJoin(y), parts)
 
 
-def nearest_edit(queries: DataFrame, corpus: DataFrame, query: str, key: str, cap: int = 6) -> DataFrame:
-    """(query, distance): least capped edit distance of each query to a corpus of keys.
+def near_pairs(queries: DataFrame, corpus: DataFrame, query: str, key: str, cap: int = 6) -> DataFrame:
+    """(q, k, d): distinct queries and keys within ``cap`` edits, with their distance.
 
     A key within ``cap`` edits shares one of ``cap`` + 1 pieces of the query with it, shifted by at
     most ``cap``; so candidates come from an equi-join of pieces, and only those are compared.
@@ -150,8 +150,14 @@ def nearest_edit(queries: DataFrame, corpus: DataFrame, query: str, key: str, ca
     spots = spots.select("k", "size", "at", F.col("k").substr(F.col("at") + 1, F.col("size")).alias("piece"))
     near = pieces.select("q", "size", "p.*").join(spots.withColumnRenamed("at", "at_k"), ["size", "piece"]).filter(F.abs(F.col("at") - F.col("at_k")) <= cap).select("q", "k").distinct()
     short = q.filter(F.length("q") < 2 * n).join(k.filter(F.length("k") < 2 * n + cap), F.abs(F.length("q") - F.length("k")) <= cap)
-    best = near.unionByName(short.select("q", "k")).groupBy("q").agg(F.min(capped_levenshtein(F.col("q"), F.col("k"), cap)).alias("d"))
-    return q.join(best, "q", "left").select(F.col("q").alias(query), F.coalesce("d", F.lit(n)).alias("distance"))
+    return near.unionByName(short.select("q", "k")).select("q", "k", capped_levenshtein(F.col("q"), F.col("k"), cap).alias("d")).filter(F.col("d") <= cap)
+
+
+def nearest_edit(queries: DataFrame, corpus: DataFrame, query: str, key: str, cap: int = 6) -> DataFrame:
+    """(query, distance): least capped edit distance of each query to a corpus of keys; ``cap`` + 1 if none is within ``cap``."""
+    best = near_pairs(queries, corpus, query, key, cap).groupBy("q").agg(F.min("d").alias("d"))
+    q = queries.select(F.col(query).alias("q")).distinct()
+    return q.join(best, "q", "left").select(F.col("q").alias(query), F.coalesce("d", F.lit(cap + 1)).alias("distance"))
 
 
 def top(df: DataFrame, k: int, *order) -> DataFrame:

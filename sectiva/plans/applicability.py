@@ -398,6 +398,12 @@ def compare(rows: DataFrame, candidate: Spec, baseline: Spec, seeds=(0, 1, 2, 3,
     return paired_deltas(*tables, ["seed", "fold"])
 
 
-def threshold_gap(oof: DataFrame, label: str = "label", score: str = "proba", metric: str = "m2") -> DataFrame:
-    """Per fold: the best threshold of that fold itself, an upper bound for tuning."""
-    return first_best(sweep(oof, label, score, by=["fold"]), metric, ["fold"])
+def threshold_gap(oof: DataFrame, label: str = "label", score: str = "proba", metric: str = "m2", shipped: float = 0.5, thresholds: list[float] | None = None) -> DataFrame:
+    """(fold, threshold, best, at_shipped, gap): the lowest best threshold of each fold itself, an upper bound for tuning, against a shipped one.
+
+    ``shipped`` must be on the grid.
+    """
+    swept = sweep(oof, label, score, thresholds, ["fold"])
+    own = first_best(swept, metric, ["fold"]).select("fold", "threshold", F.col(metric).alias("best"))
+    at = swept.filter(F.abs(F.col("threshold") - shipped) < 1e-9).select("fold", F.col(metric).alias("at_shipped"))
+    return own.join(at, "fold").withColumn("gap", F.col("best") - F.col("at_shipped"))

@@ -389,10 +389,14 @@ def tag_union(spark, d):
     return got.groupBy("tag").agg(F.count("*").alias("n"))
 
 
-@register("shared_tokens", "WITH t AS (SELECT DISTINCT p_brand, p_partkey, unnest(string_split(lower(p_name), ' ')) AS token FROM part), n AS (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand) SELECT p_brand, token FROM t JOIN n USING (p_brand) GROUP BY p_brand, token, n HAVING count(*) = n")
+@register(
+    "shared_tokens",
+    "WITH l AS (SELECT l_orderkey, list_distinct([l_returnflag, l_linestatus, CAST(year(l_shipdate) AS VARCHAR)]) AS ts FROM lineitem), t AS (SELECT l_orderkey, unnest(ts) AS token FROM l), n AS (SELECT l_orderkey, count(*) AS n FROM l GROUP BY l_orderkey) "
+    "SELECT l_orderkey, token FROM t JOIN n USING (l_orderkey) GROUP BY l_orderkey, token, n HAVING count(*) = n",
+)
 def shared_tokens(spark, d):
-    rows = table(spark, d, "part").select("p_brand", F.split(F.lower("p_name"), " ").alias("t"))
-    return relational.shared_tokens(rows, "p_brand", "t")
+    rows = table(spark, d, "lineitem").select("l_orderkey", F.array("l_returnflag", "l_linestatus", F.year("l_shipdate").cast("string")).alias("t"))
+    return relational.shared_tokens(rows, "l_orderkey", "t")
 
 
 # --- text and vectors ----------------------------------------------------------------------------

@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from sectiva.functions import conditions, records, text, titles
-from sectiva.operators import decode, metrics, models, relational, validation, vectorize
-from sectiva.plans.catalog import JUDGED, fb, formula_records, judged, register, rounded, scaled, table
+from sectiva.operators import aggregates, decode, metrics, models, relational, validation, vectorize
+from sectiva.plans.catalog import CLASS_COUNTS, JUDGED, fb, formula_records, judged, register, rounded, scaled, table
 from sectiva.sources import files
 from sectiva.sources.stages import shared_dir
 
@@ -266,11 +266,61 @@ def ablation(spark, d):
     return rounded(got.withColumnRenamed("tag", "variant"), "m2", "delta")
 
 
-@register("selective_centering", f"WITH {JUDGED}, g AS (SELECT source, count(*) AS n, avg(score) AS m FROM b GROUP BY source), o AS (SELECT source, (m - (SELECT sum(n * m) / sum(n) FROM g)) * n / (n + 5) AS off FROM g WHERE n >= 15) SELECT doc_id, round(greatest(0, least(1, score - coalesce(off, 0))), 6) AS centred FROM b LEFT JOIN o USING (source)")
+@register(
+    "selective_centering",
+    f"WITH {JUDGED}, g AS (SELECT source, count(*) AS n, avg(score) AS m FROM b GROUP BY source), u AS (SELECT p.source, avg(CASE WHEN p.score > q.score THEN 1.0 WHEN p.score = q.score THEN 0.5 ELSE 0 END) AS auc FROM b p JOIN b q ON p.source = q.source AND p.quality = 1 AND q.quality = 0 GROUP BY p.source), "
+    "o AS (SELECT source, (m - (SELECT sum(n * m) / sum(n) FROM g)) * n / (n + 5) AS off FROM g JOIN u USING (source) WHERE round(auc, 9) >= 0.5) SELECT doc_id, round(greatest(0, least(1, score - coalesce(off, 0))), 6) AS centred FROM b LEFT JOIN o USING (source)",
+)
 def selective_centering(spark, d):
     rows = judged(spark, d)
-    sure = rows.groupBy("source").agg((F.count("*") / 30).alias("auc"))
-    return rounded(validation.selective_centering(rows, validation.group_offsets(rows, "source", "score"), sure, "source", "score").select("doc_id", "centred"), "centred")
+    per = metrics.auc(rows, "quality", "score", ["source"]).withColumn("auc", F.round("auc", 9))
+    return rounded(validation.selective_centering(rows, validation.group_offsets(rows, "source", "score"), per, "source", "score").select("doc_id", "centred"), "centred")
+
+
+@register(
+    "threshold_gap",
+    f"WITH {JUDGED}, th AS (SELECT unnest(range(5, 96)) / 100 AS t), x AS (SELECT doc_id % 5 AS fold, t, {CLASS_COUNTS.replace('pred = 1', 'score >= t').replace('pred = 0', 'score < t')} FROM b, th GROUP BY 1, 2), m AS (SELECT fold, t, {scaled(fb(2))} AS m2 FROM x), "
+    "p AS (SELECT fold, t, m2 FROM m QUALIFY row_number() OVER (PARTITION BY fold ORDER BY round(m2, 12) DESC, t) = 1) "
+    "SELECT p.fold, round(p.t, 2) AS threshold, round(p.m2, 6) AS best, round(s.m2, 6) AS at_shipped, round(p.m2 - s.m2, 6) AS gap FROM p JOIN m s ON s.fold = p.fold AND round(s.t, 2) = 0.45",
+)
+def threshold_gap(spark, d):
+    from sectiva.plans import applicability
+
+    rows = judged(spark, d).withColumn("fold", F.col("doc_id") % 5)
+    return rounded(applicability.threshold_gap(rows, "quality", "score", "m2", 0.45), "best", "at_shipped", "gap")
+
+
+@register(
+    "marked_mass",
+    "WITH t AS (SELECT doc_id, doc_id % 2 AS side, unnest(list_filter(string_split(lower(text), ' '), lambda x: x <> '')) AS w FROM documents), n AS (SELECT count(*) AS n FROM documents WHERE doc_id % 2 = 0), "
+    "f AS (SELECT doc_id, side, w, count(*) AS tf FROM t GROUP BY ALL), v AS (SELECT w, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM f, n WHERE side = 0 GROUP BY w HAVING count(*) >= 2), "
+    "x AS (SELECT doc_id, w, tf * idf AS x FROM f JOIN v USING (w)), y AS (SELECT doc_id, w, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS x FROM x), "
+    "r AS (SELECT doc_id, sum(x) AS s, sum(CASE WHEN regexp_matches(w, '[^ -~]') THEN x ELSE 0 END) AS m, count(*) AS k FROM y GROUP BY doc_id) "
+    "SELECT d.doc_id % 2 AS side, round(sum(m) / sum(s), 6) AS mass, round(avg(coalesce(k, 0)), 6) AS active, count(*) FILTER (k IS NULL) AS zero_rows, count(*) AS n FROM documents d LEFT JOIN r USING (doc_id) GROUP BY 1",
+)
+def marked_mass(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 2).alias("side"), F.filter(F.split(F.lower("text"), " "), lambda x: x != "").alias("terms"))
+    fitted = vectorize.TfIdf.fit(rows.filter("side = 0"), "doc_id", "terms", 2)
+    return rounded(aggregates.marked_mass(fitted.weights(rows, "doc_id", "terms"), rows, "doc_id", "side", F.col("term").rlike("[^ -~]")), "mass", "active")
+
+
+@register(
+    "fuzzy_simulation",
+    "WITH l AS (SELECT DISTINCT regexp_replace(substr(p_name, 1, 20), '[a-h]', '?', 'g') AS m, substr(p_name, 1, 20) AS c FROM part), a AS (SELECT m FROM l GROUP BY m HAVING count(*) = 1), k AS (SELECT DISTINCT m FROM l), "
+    "p AS (SELECT a.m, k.m AS o, levenshtein(a.m, k.m) AS d FROM a, k WHERE a.m <> k.m AND abs(length(a.m) - length(k.m)) <= 4), q AS (SELECT m, o, d FROM p WHERE d <= 4 QUALIFY d = min(d) OVER (PARTITION BY m)), "
+    "w AS (SELECT l.m, l.c, q.d, r.c AS other, list_distinct(list_filter(string_split(lower(l.c), ' '), lambda x: x <> '')) AS x, list_distinct(list_filter(string_split(lower(r.c), ' '), lambda x: x <> '')) AS y FROM l JOIN q ON q.m = l.m JOIN l r ON r.m = q.o), "
+    "s AS (SELECT m, d, len(list_intersect(x, y)) AS shared, len(list_distinct(list_concat(x, y))) AS either_, len(x) AS own FROM w QUALIFY row_number() OVER (PARTITION BY m ORDER BY len(list_intersect(x, y)) DESC, other) = 1) "
+    "SELECT d AS distance, count(*) AS n, round(avg(shared / greatest(either_, 1)), 6) AS jaccard, round(avg(shared / greatest(own, 1)), 6) AS recall, round(avg(CAST(shared = either_ AS INT)), 6) AS exact FROM s GROUP BY d",
+)
+def fuzzy_simulation(spark, d):
+    lines = table(spark, d, "part").select(F.substring("p_name", 1, 20).alias("c")).withColumn("m", F.regexp_replace("c", "[a-h]", "?"))
+    return rounded(decode.fuzzy_simulation(lines, "m", "c", 4), "jaccard", "recall", "exact")
+
+
+@register("duplicate_columns", "SELECT 'again' AS feature, 'n_chars' AS same_as UNION ALL SELECT 'n_letters', 'n_chars' WHERE (SELECT bool_and(n_chars IS NOT DISTINCT FROM length(text)) FROM documents) UNION ALL SELECT 'origin', 'lang' WHERE (SELECT bool_and(lang IS NOT DISTINCT FROM source) FROM documents)")
+def duplicate_columns(spark, d):
+    rows = table(spark, d, "documents").select("n_chars", F.length("text").cast("bigint").alias("n_letters"), "lang", F.col("source").alias("origin"), F.col("n_chars").alias("again"))
+    return aggregates.duplicate_columns(rows.select(*(F.col(c).cast("string").alias(c) for c in rows.columns)), rows.columns)
 
 
 @register("metric_shares", "SELECT c_custkey AS id, round((c_custkey % 30) / 49.0, 6) AS m2, round((c_custkey % 50 - c_custkey % 30) / 21.0, 6) AS m1 FROM customer")
