@@ -143,3 +143,31 @@ def decomposition(total_zero_1: Column, total: Column) -> dict[str, Column]:
     """Stage scores out of a total with an all-zero first stage and a total with both."""
     s2 = WEIGHT_2 * TOTAL
     return {"m2": total_zero_1 / s2, "m1": (total - total_zero_1) / (TOTAL - s2)}
+
+
+def reachable(targets: DataFrame, key: str, beta: float = 2.0, positives: str = "p", negatives: str = "n", low: str = "low", high: str = "high") -> DataFrame:
+    """(key, fn, fp_from, fp_to): all confusion counts whose macro F-beta lies in [low, high], for given class sizes.
+
+    For a number of misses the score falls as false alarms rise, so those in the interval are a range, found by halving; a row is a number of
+    misses, and nothing is enumerated but those.  Class sizes must not be null.
+    """
+    each = targets.select(F.col(key), F.col(positives).cast("bigint").alias("_p"), F.col(negatives).cast("bigint").alias("_n"), F.col(low).cast("double").alias("_low"), F.col(high).cast("double").alias("_high")).withColumn("fn", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_p"))))
+
+    def score(fp: Column) -> Column:
+        tp, tn, fn, b = F.col("_p") - F.col("fn"), F.col("_n") - fp, F.col("fn"), beta * beta
+        one = lambda hit, alarm, miss: F.coalesce(F.try_divide((1 + b) * hit, (1 + b) * hit + b * miss + alarm), F.lit(0.0))
+        return (one(tp, fp, fn) + one(tn, fn, fp)) / 2
+
+    def below(bound: Column, strict: bool) -> Column:
+        """How many false alarms keep the score over the bound (``strict``) or at it: the least number that doesn't."""
+        start = F.struct(F.lit(0).cast("bigint").alias("lo"), (F.col("_n") + 1).alias("hi"))
+
+        def halve(acc: Column, _: Column) -> Column:
+            mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("bigint")
+            kept = score(mid) > bound if strict else score(mid) >= bound
+            return F.when(acc["lo"] >= acc["hi"], acc).when(kept, F.struct((mid + 1).alias("lo"), acc["hi"].alias("hi"))).otherwise(F.struct(acc["lo"].alias("lo"), mid.alias("hi")))
+
+        return F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(F.col("_n") + 2)).cast("int")), start, halve, lambda acc: acc["lo"])
+
+    found = each.withColumns({"fp_from": below(F.col("_high"), True), "fp_to": below(F.col("_low"), False) - 1})
+    return found.filter("fp_from <= fp_to").select(key, "fn", "fp_from", "fp_to")

@@ -1,11 +1,11 @@
-"""Linear models with balanced classes on Spark's own optimisers, their scores, and dimension reduction."""
+"""A logistic model with balanced classes on Spark's own optimiser, its scores, target statistics and cached tables; ``solver``, ``boosting`` and ``svd`` have the others."""
 
 from __future__ import annotations
 
 import hashlib
 import json
 
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,18 +39,6 @@ def logistic(df: DataFrame, label: str = "label", features: str = "features", c:
         kept.unpersist()
 
 
-def linear_svc(df: DataFrame, label: str = "label", features: str = "features", c: float = 1.0):
-    """Linear machine with hinge loss and balanced classes: an analogue of the squared-hinge one."""
-    rows = balanced_weights(df.withColumn("_label", F.col(label).cast("double")), "_label", "_weight")
-    total = rows.agg(F.sum("_weight")).first()[0]
-    return LinearSVC(featuresCol=features, labelCol="_label", weightCol="_weight", regParam=1.0 / (c * total), standardization=False).fit(rows)
-
-
-def boosted_trees(df: DataFrame, label: str = "label", features: str = "features", rounds: int = 50, depth: int = 4, seed: int = 0):
-    """Gradient-boosted trees: an analogue of ordered boosting, to be fed ordered target statistics."""
-    return GBTClassifier(featuresCol=features, labelCol=label, maxIter=rounds, maxDepth=depth, seed=seed).fit(df.withColumn(label, F.col(label).cast("double")))
-
-
 def score(model, df: DataFrame, out: str = "proba") -> DataFrame:
     """``df`` with the probability of class 1, or the raw margin of a model without probabilities."""
     got = model.transform(df)
@@ -64,18 +52,6 @@ def ordered_target_statistics(df: DataFrame, key: str, label: str, order: str, p
     return df.withColumn(out, (F.coalesce(F.sum(label).over(w), F.lit(0)) + prior) / (F.count(label).over(w) + 1))
 
 
-def truncated_svd(df: DataFrame, key: str, features: str, k: int) -> DataFrame:
-    """(key, svd): rows on the leading right singular vectors of the uncentred matrix."""
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    matrix = RowMatrix(df.select(vector_to_array(features).alias("x")).rdd.map(lambda r: Vectors.dense(r.x)))
-    v = matrix.computeSVD(k, False).V.toArray().T.tolist()
-    x = vector_to_array(F.col(features))
-    dots = [F.aggregate(F.zip_with(x, F.array(*map(F.lit, row)), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b) for row in v]
-    return df.select(key, F.array(*dots).alias("svd"))
-
-
 def spec_hash(spec: dict, data_hash: str = "") -> str:
     """Cache key of a specification and its data."""
     return hashlib.sha256((json.dumps(spec, sort_keys=True, ensure_ascii=False) + data_hash).encode()).hexdigest()

@@ -11,8 +11,10 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from sectiva.operators import metrics
+from sectiva.operators.boosting import boosted_scores, ordered_boosting
 from sectiva.operators.lemmas import lemma_table
 from sectiva.operators.solver import SQUARED_HINGE
+from sectiva.operators.svd import truncated_svd
 from sectiva.plans.applicability import Spec, evaluate_folds, nested_scores
 from sectiva.plans.catalog import CLASS_COUNTS, JUDGED, fb, judged, register, scaled, table
 
@@ -113,3 +115,40 @@ def guessed_lemmas(spark, d):
     tokens = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})"))).alias("token")).distinct()
     known = tokens.filter(F.md5("token") < "a").withColumn("lemma", F.regexp_replace("token", f"({ENDINGS})$", "e"))
     return lemma_table(tokens, known).withColumn("known", F.md5("token") < "a")
+
+
+# --- decomposition, boosting, reachable scores -----------------------------------------------------
+
+
+@register(
+    "singular_values",
+    "WITH a AS (SELECT source, lang, CAST(count(*) AS DOUBLE) AS w FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY ALL), g AS (SELECT x.lang AS a, y.lang AS b, sum(x.w * y.w) AS g FROM a x JOIN a y ON x.source = y.source GROUP BY ALL), "
+    "r AS (SELECT source, sum(w * w) AS s FROM a GROUP BY source) SELECT 'squares' AS what, round((SELECT sum(w * w) FROM a), 3) AS value UNION ALL SELECT 'fourth powers', round((SELECT sum(g * g) FROM g), 3) UNION ALL SELECT 'longest row', round((SELECT max(s) FROM r), 3)",
+)
+def singular_values(spark, d):
+    counts = table(spark, d, "documents").filter("lang is not null and source is not null").groupBy("source", "lang").agg(F.count("*").alias("weight"))
+    got = truncated_svd(counts, "source", "lang", 64, oversample=0, iterations=2)
+    longest = got.rows.agg(F.max(F.aggregate("svd", F.lit(0.0), lambda a, x: a + x * x)).alias("value")).select(F.lit("longest row").alias("what"), "value")
+    sums = spark.createDataFrame([("squares", sum(x**2 for x in got.values)), ("fourth powers", sum(x**4 for x in got.values))], "what string, value double")
+    return sums.unionByName(longest).withColumn("value", F.round("value", 3))
+
+
+@register("boosted_scores")
+def boosted_scores_query(spark, d):
+    """Ordered boosting of quality labels on length, language and source, scores of every labelled document."""
+    rows = judged(spark, d)
+    model = ordered_boosting(rows, "doc_id", "quality", ["n_chars"], ["lang", "source"], rounds=8, depth=3)
+    return boosted_scores(model, rows, "doc_id").select(F.col("key").alias("doc_id"), F.round("proba", 6).alias("proba"))
+
+
+@register(
+    "reachable_scores",
+    f"WITH {JUDGED}, c AS (SELECT source, {CLASS_COUNTS} FROM b GROUP BY source), t AS (SELECT source, tp + fn AS p, tn + fp AS n, round({fb(2)}, 2) AS told FROM c), "
+    "e AS (SELECT t.*, m AS fn, a AS fp, p - m AS tp, n - a AS tn FROM t, LATERAL (SELECT unnest(range(0, p + 1)) AS m), LATERAL (SELECT unnest(range(0, n + 1)) AS a)), "
+    f"s AS (SELECT source, fn, fp FROM e WHERE {fb(2)} BETWEEN told - 0.00500001 AND told + 0.00500001) SELECT source, CAST(fn AS BIGINT) AS fn, CAST(min(fp) AS BIGINT) AS fp_from, CAST(max(fp) AS BIGINT) AS fp_to FROM s GROUP BY source, fn",
+)
+def reachable_scores(spark, d):
+    c = metrics.scores(judged(spark, d), "quality", "pred", ["source"])
+    told = F.round("macro_f2", 2)
+    targets = c.select("source", (F.col("tp") + F.col("fn")).alias("p"), (F.col("tn") + F.col("fp")).alias("n"), (told - 0.00500001).alias("low"), (told + 0.00500001).alias("high"))
+    return metrics.reachable(targets, "source")
