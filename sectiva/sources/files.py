@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import uuid
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,14 +55,41 @@ def unchanged(before: DataFrame, after: DataFrame) -> bool:
     return not a.exceptAll(b).limit(1).count() and not b.exceptAll(a).limit(1).count()
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """CSV with quoted line breaks, in UTF-8 if the bytes are, else in Windows-1251; raises if neither fits."""
-    profile = byte_profile(binary(spark, path)).agg(F.bool_and("valid_utf8")).first()[0]
-    reader = spark.read.schema(schema).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
-    if profile:
-        return reader.option("encoding", "UTF-8").csv(path)
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    return reader.option("encoding", "windows-1251").csv(path)
+#: Encodings that a table is tried in, in this order.
+ENCODINGS = ("utf-8", "cp1251")
+
+
+def decoded(content: bytes, path: str, encodings: tuple[str, ...] = ENCODINGS) -> str:
+    """The text of a file in the first encoding that all its bytes fit, without a byte order mark; raises if none does."""
+    for name in encodings:
+        try:
+            return content.decode(name).removeprefix("\ufeff")
+        except UnicodeDecodeError:
+            continue
+    raise ValueError(f"{path}: its bytes are neither of {', '.join(encodings)}")
+
+
+def _parsed(batches, width: int, header: bool):
+    for batch in batches:
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            text = decoded(content.as_buffer().to_pybytes(), path).replace("\r\n", "\n")
+            lines = csv.reader(io.StringIO(text, newline=""), quoting=csv.QUOTE_NOTNULL)
+            if header:
+                next(lines, None)
+            while rows := [r for r in islice(lines, 1000)]:
+                cells = [(r + [None] * width)[:width] for r in rows if r]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in cells], pa.string()) for i in range(width)], names=[f"c{i}" for i in range(width)])
+
+
+def read_table(spark: SparkSession, path: str, schema: T.StructType | str, header: bool = True) -> DataFrame:
+    """CSV files with quoted line breaks, each in UTF-8 if its bytes are, else in Windows-1251; a file that neither fits is an error.
+
+    A folder may mix both.  A line end inside a value is read as one character, as Spark's own reader does.  Columns are those of ``schema`` in order; what is missing, empty and not quoted, or not of its column's type is null.
+    Spark opens the files, a task for each, and a file must fit in a task's memory.
+    """
+    kind = spark.createDataFrame([], schema).schema
+    texts = binary(spark, path).select("path", "content").mapInArrow(lambda it, n=len(kind): _parsed(it, n, header), ", ".join(f"c{i} string" for i in range(len(kind))))
+    return texts.select(*(F.col(f"c{i}").try_cast(f.dataType).alias(f.name) for i, f in enumerate(kind)))
 
 
 def assert_table(df: DataFrame, key: str, required: list[str], label: str | None = None, rows: int | None = None) -> DataFrame:
@@ -125,12 +158,50 @@ def attach(df: DataFrame, feature: DataFrame, key: str, columns: list[str]) -> D
     return got
 
 
-def label_digest(df: DataFrame, position: str, label: str, by: list[str] | None = None) -> DataFrame:
-    """SHA-256 of labels in order of position, per group: small groups of results, not corpora."""
+#: Rows of a group that ``label_digest`` takes at most.
+MOST_LABELS = 1_000_000
+
+
+def label_digest(df: DataFrame, position: str, label: str, by: list[str] | None = None, most: int = MOST_LABELS) -> DataFrame:
+    """SHA-256 of labels in order of position, per group; a group of over ``most`` rows is an error, since one task would hold it."""
+    sizes = df.groupBy(*(by or [])).agg(F.count("*").alias("n")).filter(F.col("n") > most)
+    if not sizes.isEmpty():
+        raise ValueError(f"a group has over {most} labels")
     packed = F.array_sort(F.collect_list(F.struct(F.col(position), F.col(label).cast("string").alias("l"))))
     return df.groupBy(*(by or [])).agg(F.sha2(F.array_join(F.transform(packed, lambda x: x["l"]), ""), 256).alias("sha256"))
 
 
+def _renamed(spark: SparkSession, folder: str, path: str) -> None:
+    """Move the only part file of a finished write to ``path`` and drop its folder."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    (part,) = [x.getPath() for x in fs.listStatus(hadoop(folder)) if x.getPath().getName().startswith("part-")]
+    fs.delete(hadoop(path), True)
+    if not fs.rename(part, hadoop(path)):
+        raise OSError(f"{path} can't be written")
+    fs.delete(hadoop(folder), True)
+
+
+def write_file(df: DataFrame, path: str, order: list[str], columns: list[str]) -> str:
+    """One ordered CSV file of exactly this name with CRLF line ends; gives its SHA-256.
+
+    It is written beside its place first and moved there when it is whole, so a run that fails leaves what was there.
+    """
+    spark, folder = df.sparkSession, f"{path}.{uuid.uuid4().hex}"
+    try:
+        write_submission(df, folder, order, columns)
+        _renamed(spark, folder, path)
+    finally:
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return binary(spark, path).select(F.sha2("content", 256).alias("d")).first().d
+
+
+def append_batch(df: DataFrame, path: str, batch: str) -> None:
+    """Rows added to a log under the name of their batch; the same batch again replaces its own rows, so a repeated run adds nothing."""
+    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
+
+
 def write_submission(df: DataFrame, path: str, order: list[str], columns: list[str]) -> None:
     """One ordered CSV with CRLF line ends; quotes inside a value are doubled, as ``read_table`` takes them."""
     df.orderBy(*order).select(*columns).coalesce(1).write.mode("overwrite").option("header", True).option("lineSep", "\r\n").option("escape", '"').csv(path)
