@@ -130,9 +130,10 @@ def synergies(df: DataFrame, columns: list[str], label: str) -> DataFrame:
 
 
 def varied(df: DataFrame, by: str, value: str, min_rows: int = 2, min_values: int = 2) -> DataFrame:
-    """(by, n, n_values): groups of at least so many rows and distinct values."""
-    got = df.groupBy(by).agg(F.count("*").alias("n"), F.count_distinct(value).alias("n_values"))
-    return got.filter((F.col("n") >= min_rows) & (F.col("n_values") >= min_values))
+    """(by, n, n_values): groups of at least so many rows and distinct values; a text to group by is shuffled as its digest, and once for each group."""
+    key = F.sha2(F.col(by), 256) if dict(df.dtypes)[by] == "string" else F.col(by)
+    got = df.groupBy(key.alias("_key")).agg(F.first(by).alias(by), F.count("*").alias("n"), F.count_distinct(value).alias("n_values"))
+    return got.filter((F.col("n") >= min_rows) & (F.col("n_values") >= min_values)).select(by, "n", "n_values")
 
 
 def error_lift(df: DataFrame, flags: list[str], label: str, pred: str) -> DataFrame:
