@@ -22,11 +22,13 @@ from sectiva.functions.records import clean_record, diagnosis_text, icd_category
 from sectiva.functions.text import lemma_map, record_words, title_words
 from sectiva.functions.titles import guideline_name, invariant_tokens, parse_title, skeleton_features, struct_features, title_context
 from sectiva.operators import models, vectorize
+from sectiva.operators.boosting import boosted_scores, ordered_boosting
 from sectiva.operators.design import Terms, design, fold_masks
 from sectiva.operators.lemmas import own_lemmas
 from sectiva.operators.metrics import best_threshold, first_best, m1, m2, sweep
 from sectiva.operators.relational import pair_key
 from sectiva.operators.solver import LOG, Fit, Problem, held_out, solve
+from sectiva.operators.svd import truncated_svd
 from sectiva.operators.validation import fold_scores, paired_deltas, stratified_folds
 from sectiva.sources.stages import written
 
@@ -84,7 +86,42 @@ CANDIDATES: dict[str, Spec] = {
     "B0": stage2_spec(extra_numbers=("noise",)), "B1": stage2_spec(extra_categories=("icd",)), "B2": stage2_spec(extra_categories=("icd_cat",)), "B3": stage2_spec(extra_categories=("title_x_icd",)),
     "B4": stage2_spec(extra_categories=("icd", "title_x_icd")), "B5": stage2_spec(extra_text=("diagnosis_lemma",)), "B6": stage2_spec(narrative="full_lemma"), "B7": stage2_spec(extra_text=("full_lemma",)),
     "C0": stage2_spec(extra_categories=("icd",), extra_text=("diagnosis_lemma",)), "D1": stage2_spec(extra_numbers=("p_llm",)), "D2": stage2_spec(extra_numbers=("logit_llm",)),
+    "C1": stage2_spec(extra_categories=("icd",), extra_text=("diagnosis_lemma", "title_copies")), "C5_0.3": stage2_spec(extra_categories=("icd",), extra_text=("diagnosis_lemma",), c=0.3),
+    "C5_3": stage2_spec(extra_categories=("icd",), extra_text=("diagnosis_lemma",), c=3.0),
 }
+#: Categories and components of the text for the candidates of trees (C2; C3 has the record's digest as a category, too).
+TREE_CATEGORIES, TREE_COMPONENTS = ("title_text", "guideline", "icd", "icd_cat", "gender", "title_x_icd"), 30
+
+
+def title_copies(df: DataFrame, title: str = "title_text", terms: str = "full_lemma") -> DataFrame:
+    """``df`` with ``title_copies``: each distinct term marked with the row's title, a block of features of that title's own (C1)."""
+    return df.withColumn("title_copies", F.transform(F.array_distinct(terms), lambda t: F.concat(F.md5(title), F.lit("§"), t)))
+
+
+def tree_scores(train: DataFrame, test: DataFrame, key: str = "id", label: str = "label", terms: str = "full_lemma", numbers: tuple[str, ...] = (*NUMERIC, *CONTRADICTION, "has_icd"), categories: tuple[str, ...] = TREE_CATEGORIES, components: int = TREE_COMPONENTS, rounds: int = 600, depth: int = 4, rate: float = 0.05, seed: int = 0) -> DataFrame:
+    """(key, proba) of ``test`` by ordered boosting fitted on ``train``: components of its words, numbers, and categories by ordered statistics (C2, C3).
+
+    Vocabulary, components and statistics are those of ``train`` alone.
+    """
+    words = vectorize.TfIdf.fit(train, key, terms, 2, 20_000)
+    words.vocabulary = written(words.vocabulary, "vocabulary")
+    parts = truncated_svd(words.weights(train, key, terms), key, "term", components, seed=seed)
+    n = len(parts.values)
+
+    def inputs(rows: DataFrame) -> DataFrame:
+        weights = words.weights(rows, key, terms).join(parts.terms.withColumnRenamed("term", "term_"), F.col("term") == F.col("term_"))
+        on = weights.groupBy(F.col(key).alias("key_")).agg(*(F.sum(F.col("weight") * F.col("v")[j]).alias(f"svd{j}") for j in range(n)))
+        return rows.join(on, F.col(key).eqNullSafe(F.col("key_")), "left").withColumns({f"svd{j}": F.coalesce(f"svd{j}", F.lit(0.0)) for j in range(n)})
+
+    model = ordered_boosting(inputs(train), key, label, [*(f"svd{j}" for j in range(n)), *numbers], list(categories), rounds, depth, rate, seed=seed)
+    return boosted_scores(model, inputs(test), key).select(F.col("key").alias(key), "proba")
+
+
+def tree_folds(rows: DataFrame, fold: str, k: int, key: str = "id", label: str = "label", **more) -> DataFrame:
+    """(key, label, fold, proba): out-of-fold scores of the candidates of trees on given folds."""
+    each = [tree_scores(rows.filter(F.col(fold) != i), rows.filter(F.col(fold) == i), key, label, **more).withColumn("fold", F.lit(i)) for i in range(k)]
+    scored = reduce(lambda a, b: a.unionByName(b), each)
+    return scored.join(rows.select(key, label), key).select(key, label, "fold", "proba")
 
 
 def once_per_text(df: DataFrame, texts: str, columns: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sectiva.operators import decode, metrics
+from sectiva.operators import decode, metrics, validation
 from sectiva.plans import applicability
 from sectiva.plans.applicability import Spec, TextBlock
 
@@ -108,3 +108,22 @@ def test_metrics_of_the_stage(rows):
     oof = applicability.evaluate(rows, SPEC, k=2)
     assert metrics.auc(oof, "label", "proba").first().auc > 0.7
     assert oof.filter(F.col("proba").isNull()).count() == 0
+
+
+def test_candidates_of_trees_copies_and_blends(spark):
+    """C1 to C5: trees find a conjunction of a word and a category, copies an exclusive one; members blend."""
+    rng = np.random.default_rng(8)
+    data = []
+    for i in range(240):
+        word, kind = rng.integers(0, 2), rng.integers(0, 2)
+        terms = ["red" if word else "blue"] + [f"w{int(k)}" for k in rng.integers(0, 6, 4)]
+        data.append((i, f"title {kind}", terms, float(rng.normal()), f"k{kind}", int(word ^ kind), i % 3, int(word and kind)))
+    rows = spark.createDataFrame(data, "id bigint, title_text string, full_lemma array<string>, x double, kind string, label int, own int, both int").cache()
+    trees = applicability.tree_folds(rows, "own", 3, label="both", numbers=("x",), categories=("kind",), components=3, rounds=12, depth=3, rate=0.4)
+    assert trees.count() == 240 and metrics.auc(trees, "both", "proba").first().auc > 0.8
+    plain, copies = Spec((TextBlock("t", "full_lemma"),), (), ("kind",)), Spec((TextBlock("t", "full_lemma"), TextBlock("title_copies", "title_copies")), (), ("kind",))
+    both = applicability.evaluate_folds(applicability.title_copies(rows), [plain, copies], "own", 3)
+    areas = {r.spec: r.auc for r in metrics.auc(both, "label", "proba", ["spec"]).collect()}
+    assert areas[0] < 0.7 and areas[1] > 0.95, "copies of a word for each title make the interaction linear"
+    blend = validation.mean_blend(trees.select("id", "proba").unionByName(both.filter("spec = 1").select("id", "proba")), "id", "proba")
+    assert blend.count() == 240 and {"C1", "C5_0.3", "C5_3"} <= set(applicability.CANDIDATES)
