@@ -230,11 +230,12 @@ def agreement(df: DataFrame, a: str, b: str, pa: str, pb: str) -> DataFrame:
     return df.agg(F.avg(same).alias("agree"), F.avg(1 - same).alias("disagree"), F.avg(F.abs(F.col(pa) - F.col(pb))).alias("mean_gap"))
 
 
-def fold_composition(df: DataFrame, fold: str, label: str, group: str) -> DataFrame:
-    """Per fold: rows, label rate, share of rows whose group other folds have, too."""
+def fold_composition(df: DataFrame, fold: str, label: str, group: str, coverage: str | None = None) -> DataFrame:
+    """Per fold: rows, label rate, share of rows whose group other folds have, too, and the mean of a coverage column if one is named."""
     spread = df.groupBy(group).agg(F.min(fold).alias("_lo"), F.max(fold).alias("_hi"))
     seen = df.join(spread, group).withColumn("_s", (F.col("_lo") < F.col("_hi")).cast("int"))
-    return seen.groupBy(fold).agg(F.count("*").alias("n"), F.avg(label).alias("rate"), F.avg("_s").alias("seen_group_share"))
+    more = [F.avg(coverage).alias("coverage")] if coverage else []
+    return seen.groupBy(fold).agg(F.count("*").alias("n"), F.avg(label).alias("rate"), F.avg("_s").alias("seen_group_share"), *more)
 
 
 def group_mean(df: DataFrame, key: str, value: str, out: str) -> DataFrame:

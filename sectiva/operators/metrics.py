@@ -54,6 +54,20 @@ def scores(df: DataFrame, label: str, pred: str, by: list[str] | None = None) ->
     return got.withColumns({"macro_f05": macro_f_beta(0.5), "macro_f2": macro_f_beta(2.0), "m1": m1(), "m2": m2()})
 
 
+def subgroup_scores(df: DataFrame, label: str, pred: str, value: str, optional: list[str], q: int = 4) -> DataFrame:
+    """``scores`` of overlapping subgroups: quantile bins of a value (``value:1`` and so on), and rows that lack a field or have it (``field:missing``, ``field:present``).
+
+    A row counts in each of its subgroups; sums are taken before anything is shuffled.  A null value is in no bin.
+    """
+    edges = quantiles(df, value, [i / q for i in range(1, q)]).select(F.array(*(F.col(f"q{i}") for i in range(q - 1))).alias("_e"))
+    binned = df.crossJoin(F.broadcast(edges))
+    over = 1 + F.size(F.filter("_e", lambda e: F.col(value) > e))
+    names = [F.when(F.col(value).isNotNull(), F.concat(F.lit(f"{value}:"), over.cast("string")))]
+    names += [F.concat(F.lit(f"{c}:"), F.when(F.col(c).isNull(), "missing").otherwise("present")) for c in optional]
+    each = binned.select(label, pred, F.explode(F.filter(F.array(*names), lambda x: x.isNotNull())).alias("subgroup"))
+    return scores(each, label, pred, ["subgroup"])
+
+
 def class_report(df: DataFrame, label: str, pred: str, beta: float = 1.0) -> DataFrame:
     """Precision, recall, F and support of both classes."""
     got = df.agg(*counts(F.col(label), F.col(pred)))

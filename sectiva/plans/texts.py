@@ -317,6 +317,27 @@ def fuzzy_simulation(spark, d):
     return rounded(decode.fuzzy_simulation(lines, "m", "c", 4), "jaccard", "recall", "exact")
 
 
+@register(
+    "subgroup_scores",
+    f"WITH {JUDGED}, e AS (SELECT quantile_cont(n_chars, 0.25) AS a, quantile_cont(n_chars, 0.5) AS m, quantile_cont(n_chars, 0.75) AS z FROM b), o AS (SELECT b.*, CASE WHEN toxic = 1 THEN NULL ELSE toxic END AS field FROM b), "
+    "s AS (SELECT quality, pred, 'n_chars:' || CASE WHEN n_chars <= a THEN 1 WHEN n_chars <= m THEN 2 WHEN n_chars <= z THEN 3 ELSE 4 END AS subgroup FROM o, e UNION ALL SELECT quality, pred, 'field:' || CASE WHEN field IS NULL THEN 'missing' ELSE 'present' END FROM o), "
+    f"c AS (SELECT subgroup, {CLASS_COUNTS} FROM s GROUP BY subgroup) SELECT subgroup, n, tp, fp, fn, tn, round({fb(0.5)}, 6) AS macro_f05, round({fb(2)}, 6) AS macro_f2, round({scaled(fb(0.5))}, 6) AS m1, round({scaled(fb(2))}, 6) AS m2 FROM c",
+)
+def subgroup_scores(spark, d):
+    rows = judged(spark, d).withColumn("field", F.when(F.col("toxic") == 0, F.col("toxic")))
+    return rounded(metrics.subgroup_scores(rows, "quality", "pred", "n_chars", ["field"]), "macro_f05", "macro_f2", "m1", "m2")
+
+
+@register(
+    "fold_coverage",
+    f"WITH {JUDGED}, f AS (SELECT *, doc_id % 5 AS fold, CAST(n_chars % 11 AS DOUBLE) / 11 AS covered FROM b), g AS (SELECT source, min(fold) AS lo, max(fold) AS hi FROM f GROUP BY source) "
+    "SELECT fold, count(*) AS n, round(avg(quality), 6) AS rate, round(avg(CAST(lo < hi AS INT)), 6) AS seen_group_share, round(avg(covered), 6) AS coverage FROM f JOIN g USING (source) GROUP BY fold",
+)
+def fold_coverage(spark, d):
+    rows = judged(spark, d).withColumns({"fold": F.col("doc_id") % 5, "covered": F.col("n_chars") % 11 / 11.0})
+    return rounded(aggregates.fold_composition(rows, "fold", "quality", "source", "covered"), "rate", "seen_group_share", "coverage")
+
+
 @register("duplicate_columns", "SELECT 'again' AS feature, 'n_chars' AS same_as UNION ALL SELECT 'n_letters', 'n_chars' WHERE (SELECT bool_and(n_chars IS NOT DISTINCT FROM length(text)) FROM documents) UNION ALL SELECT 'origin', 'lang' WHERE (SELECT bool_and(lang IS NOT DISTINCT FROM source) FROM documents)")
 def duplicate_columns(spark, d):
     rows = table(spark, d, "documents").select("n_chars", F.length("text").cast("bigint").alias("n_letters"), "lang", F.col("source").alias("origin"), F.col("n_chars").alias("again"))
