@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sectiva.operators.ordered import ranged, running
 from sectiva.operators.quantiles import quantiles
-from sectiva.operators.solver import MOST_SETS, Problem, number_moments, pack
+from sectiva.operators.solver import MOST_COEFFICIENTS, MOST_SETS, Problem, number_moments, pack
 from sectiva.sources.stages import written
 
 
@@ -45,6 +45,7 @@ def design(rows: DataFrame, key: str, label: str, sets: int, texts: list[Terms],
 
     Text blocks have smooth inverse document frequencies over the rows of a training set and unit length; a category's levels are those of the
     set, null is none; numbers are scaled by the set's mean and population deviation, nulls filled with its median, 0 where it has none.
+    What the driver and each worker hold, a factor for each column and set, is limited; more is an error.
     """
     if not 0 < sets <= MOST_SETS:
         raise ValueError(f"between 1 and {MOST_SETS} training sets")
@@ -58,6 +59,8 @@ def design(rows: DataFrame, key: str, label: str, sets: int, texts: list[Terms],
     if parts:
         cells = written(reduce(lambda a, b: a.unionByName(b), parts).groupBy("key", "train", "block", "term").agg(F.count("*").alias("tf")), "cells")
         vocabulary = written(_vocabulary(cells, texts, len(names), sets, n), "vocabulary")
+        if vocabulary.count() * sets > MOST_COEFFICIENTS:
+            raise ValueError(f"over {MOST_COEFFICIENTS} factors of columns and training sets: raise min_df, or set max_features")
         known = vocabulary.select("block", "index", "idf").collect()
         counts = np.bincount([r.block for r in known], minlength=len(names)) if known else np.zeros(len(names), int)
         scales = np.zeros((len(known), sets))
