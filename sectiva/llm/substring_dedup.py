@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ SHARD_BYTES = 2_000_000
 FREQUENT, SAMPLE, SALTS = 1 / 3000, 64, 64
 #: Rows of one key in a round of the merge that go to one shard: so many, or this share of all.
 HOT_ROWS, HOT_SHARE = 500, 1 / 10_000
+#: Rows of a batch that a shard sends on.
+SENT = 5000
 
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 BYTES = np.random.default_rng(1).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -329,12 +332,18 @@ def _shards(batches, doc_type, width):
     def solve(shard, split):
         row, place, again = shard.solve()
         rows = shard.rows
-        out = [(rows[k][0], rows[k][1], a, b, None, None, None, None) for k, a, b in runs(row, place, again)]
+        for k, a, b in runs(row, place, again):
+            yield rows[k][0], rows[k][1], a, b, None, None, None, None
         if split:
             whole = np.array([r[5] in split for r in rows])
             for k, a, b in runs(row, place, ~again & whole[row]):
-                out += [(rows[k][0], rows[k][1], lo, None, key, off, n, data) for key, lo, off, n, data in ranges_of(rows[k], a, b, width)]
-        return out
+                for key, lo, off, n, data in ranges_of(rows[k], a, b, width):
+                    yield rows[k][0], rows[k][1], lo, None, key, off, n, data
+
+    def emitted(rows):
+        """Batches of at most SENT rows: a shard may have a row for each window, and each holds LENGTH bytes."""
+        while out := list(islice(rows, SENT)):
+            yield emit(out)
 
     def emit(out):
         cols = list(zip(*out, strict=True)) if out else [()] * 8
@@ -348,14 +357,14 @@ def _shards(batches, doc_type, width):
                 whole = (key, salt) != current
                 if not whole:
                     split.add(key)
-                yield emit(solve(shard, split))
+                yield from emitted(solve(shard, split))
                 shard, split = Shard(), set() if whole else {key}
             current = (key, salt)
             if salt >= 0:
                 split.add(key)
             shard.add((doc, tkey, lo, n, data, key, off))
     if shard.rows:
-        yield emit(solve(shard, split))
+        yield from emitted(solve(shard, split))
 
 
 def merged(rows: DataFrame, kind: str) -> DataFrame:
