@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sectiva.functions import conditions, records, text, titles
@@ -434,8 +434,13 @@ def tfidf_weights(spark, d):
 
 @register("char_ngrams", "WITH w AS (SELECT p_partkey AS id, ' ' || unnest(string_split(lower(p_name), ' ')) || ' ' AS w FROM part), g AS (SELECT id, unnest(list_transform(range(1, greatest(length(w) - 2, 1) + 1), lambda i: substring(w, i, 3))) AS term FROM w) SELECT term, count(*) AS n, count(DISTINCT id) AS df FROM g GROUP BY term")
 def char_ngrams(spark, d):
-    rows = table(spark, d, "part").select("p_partkey", F.explode(vectorize.char_wb_ngrams(F.col("p_name"), 3, 3)).alias("term"))
-    return rows.groupBy("term").agg(F.count("*").alias("n"), F.count_distinct("p_partkey").alias("df"))
+    key, grams = F.col("p_partkey"), vectorize.char_wb_ngrams(F.col("p_name"), 3, 3)
+    rows = table(spark, d, "part").select(key, "p_name").withColumn("rows", F.when(key.isNull(), 1).otherwise(F.count("*").over(Window.partitionBy(key))))
+    # A key of one row counts its n-grams in that row, so no task holds pairs of key and term; pairs are left for repeated keys alone.
+    marks = lambda g: F.concat(F.transform(g, lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("df"))), F.transform(F.array_distinct(g), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"), key.isNotNull().cast("int").alias("df"))))
+    once = rows.filter("rows = 1").select(F.inline(text.let(grams, marks))).groupBy("term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+    more = rows.filter("rows > 1").select(key, F.explode(grams).alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.count_distinct("p_partkey").alias("df"))
+    return once.unionByName(more).groupBy("term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
 
 
 @register("scaled_numbers", "SELECT p_partkey, round((p_retailprice - m) / s, 4) AS price FROM part, (SELECT avg(p_retailprice) AS m, stddev_pop(p_retailprice) AS s FROM part)")
