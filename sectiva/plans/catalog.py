@@ -41,6 +41,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt over as many tasks as a shuffle has, evenly or by hash: a file of few narrow rows is read by one task, however much is computed on each."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)
+
+
 def judged(spark: SparkSession, d: str) -> DataFrame:
     """Labelled documents with a formula score and its prediction; texts are not read."""
     docs = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
@@ -546,7 +552,7 @@ def formula_records(spark: SparkSession, d: str) -> DataFrame:
     record = F.concat(F.when(k % 5 == 0, F.concat(F.lit("Пациент, "), s(k % 90), F.lit(" лет\n"))).otherwise(head), body)
     topic = F.when(k % 4 == 0, "беременных").when(k % 4 == 1, "предстательной простаты").when(k % 4 == 2, F.concat(F.lit("детей до "), s(k % 50), F.lit(" лет"))).otherwise("процесс")
     title = F.concat(F.lit('Рекомендации "Болезнь '), s(k % 30), F.lit('"\nВозраст: Взрослые\n# Лечение\n## Раздел\n'), F.repeat(F.lit("#"), (k % 3 + 1).cast("int")), F.lit(" тяжёлый случай у "), topic)
-    return table(spark, d, "customer").select(k.alias("id"), title.alias("title_text"), record.alias("protocol_text"))
+    return dealt(table(spark, d, "customer").select(k)).select(k.alias("id"), title.alias("title_text"), record.alias("protocol_text"))
 
 
 @register(

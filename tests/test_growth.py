@@ -40,3 +40,12 @@ def test_char_ngrams_moves_rows_not_pairs(spark, tmp_path, moved):
     rows, records = moved(catalog.queries()["char_ngrams"](spark, str(tmp_path)))
     assert sorted((r.term, r.n, r.df) for r in rows) == sorted((t, n[t], len(ids[t])) for t in n)
     assert records < 3 * len(parts)
+
+
+@pytest.mark.parametrize("name", ["record_presence"])
+def test_rows_of_one_file_are_dealt_over_tasks(spark, tmp_path, name):
+    spark.range(400).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("слово word "), F.col("id").cast("string")).alias("text")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.queries()[name](spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in got) == 400
+    assert len(got) >= 4 and max(r["count"] for r in got) < 200
