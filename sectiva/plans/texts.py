@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sectiva.functions import conditions, records, text, titles
 from sectiva.operators import aggregates, decode, metrics, models, relational, validation, vectorize
-from sectiva.plans.catalog import CLASS_COUNTS, JUDGED, fb, formula_records, judged, register, rounded, scaled, table
+from sectiva.plans.catalog import CLASS_COUNTS, JUDGED, dealt, fb, formula_records, judged, register, rounded, scaled, table
 from sectiva.sources import files
 from sectiva.sources.stages import shared_dir
 
@@ -99,7 +99,7 @@ def word_bigrams(spark, d):
 def span_places(spark, d):
     k = F.col("c_custkey")
     line = F.concat(F.repeat(F.lit("а "), (k % 40).cast("int")), F.lit("нет боли, "), F.repeat(F.lit("слой "), (k % 7).cast("int")), F.lit("не обнаружено метка"))
-    rows = table(spark, d, "customer").select(k.alias("id"), line.alias("line"), F.repeat(F.lit("о"), (k % 9 + 1).cast("int")).alias("row"))
+    rows = dealt(table(spark, d, "customer").select(k)).select(k.alias("id"), line.alias("line"), F.repeat(F.lit("о"), (k % 9 + 1).cast("int")).alias("row"))
     s = text.negation_spans(F.col("line"))
     first, last = F.get(s, F.lit(0)), F.element_at(s, -1)
     near = text.near_spans(F.col("line"), F.slice(s, 1, 1), F.lit("метка"), 40)
@@ -180,7 +180,7 @@ def record_presence(spark, d):
 def negation_distances(spark, d):
     k = F.col("c_custkey")
     line = F.concat(F.lit("сыпь"), F.repeat(F.lit("_"), (k % 80).cast("int")), F.lit(" нет боли"), F.when(k % 2 == 1, " отёк").otherwise(""))
-    rows = table(spark, d, "customer").select(k.alias("id"), line.alias("line"), F.array(F.lit("сыпь"), F.lit("отёк")).alias("terms"))
+    rows = dealt(table(spark, d, "customer").select(k)).select(k.alias("id"), line.alias("line"), F.array(F.lit("сыпь"), F.lit("отёк")).alias("terms"))
     return conditions.negation_geometry(rows, "terms", "line").withColumnRenamed("nearest_negation_distance", "nearest").drop("line", "terms")
 
 
