@@ -24,12 +24,17 @@ def documents(spark, d):
     return table(spark, d, "documents")
 
 
+def whole_texts(spark, d):
+    """Documents whose texts are read whole, dealt over tasks."""
+    return dealt(documents(spark, d).select("doc_id", "text"), "doc_id", "text")
+
+
 # --- plain texts ---------------------------------------------------------------------------------
 
 
 @register("normalised_texts", "SELECT doc_id, md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS digest FROM documents")
 def normalised_texts(spark, d):
-    return documents(spark, d).select("doc_id", F.md5(text.normalise(F.col("text"))).alias("digest"))
+    return whole_texts(spark, d).select("doc_id", F.md5(text.normalise(F.col("text"))).alias("digest"))
 
 
 @register(
@@ -42,7 +47,7 @@ def normalised_texts(spark, d):
 def word_digests(spark, d):
     c = F.col("text")
     joined = lambda x: F.md5(F.array_join(x, " "))
-    return documents(spark, d).select(
+    return whole_texts(spark, d).select(
         "doc_id", F.size(text.record_words(c, ())).cast("long").alias("n_all"), joined(text.record_words(c)).alias("record_words"), joined(text.title_words(c)).alias("title_words"), joined(text.hash_tokens(c)).alias("tokens")
     )
 
@@ -57,7 +62,7 @@ def word_digests(spark, d):
 def text_metadata(spark, d):
     c = F.col("text")
     damage = records.integrity_flags(c)
-    got = documents(spark, d).select("doc_id", *(x.alias(k) for k, x in titles.meta_features(c).items()), records.question_share(c).alias("question_share"), *(damage[k].alias(k) for k in ("ends_in_punctuation", "power_of_two")))
+    got = whole_texts(spark, d).select("doc_id", *(x.alias(k) for k, x in titles.meta_features(c).items()), records.question_share(c).alias("question_share"), *(damage[k].alias(k) for k in ("ends_in_punctuation", "power_of_two")))
     return rounded(got, "question_share")
 
 
@@ -90,7 +95,7 @@ def token_recall(spark, d):
     "SELECT doc_id, len(u) + greatest(len(u) - 1, 0) AS n, md5(array_to_string(list_concat(u, list_transform(range(1, len(u)), lambda i: u[i] || ' ' || u[i + 1])), '|')) AS terms FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{4,}') AS u FROM documents)",
 )
 def word_bigrams(spark, d):
-    rows = documents(spark, d).select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)).alias("u"))
+    rows = whole_texts(spark, d).select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)).alias("u"))
     grams = vectorize.word_ngrams(F.col("u"), 1, 2)
     return rows.select("doc_id", F.size(grams).cast("long").alias("n"), F.md5(F.array_join(grams, "|")).alias("terms"))
 

@@ -42,7 +42,7 @@ def test_char_ngrams_moves_rows_not_pairs(spark, tmp_path, moved):
     assert records < 3 * len(parts)
 
 
-@pytest.mark.parametrize("name", ["record_presence", "masked_shapes", "invariant_tokens", "span_places", "negation_distances"])
+@pytest.mark.parametrize("name", ["record_presence", "masked_shapes", "invariant_tokens", "span_places", "negation_distances", "word_digests", "normalised_texts", "text_metadata", "word_bigrams"])
 def test_rows_of_one_file_are_dealt_over_tasks(spark, tmp_path, name):
     spark.range(400).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
     spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("слово word "), F.col("id").cast("string")).alias("text")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
