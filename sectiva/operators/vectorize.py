@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sectiva.functions.text import let, text
@@ -58,11 +58,13 @@ class TfIdf:
 
     def weights(self, docs: DataFrame, key: str, terms: str) -> DataFrame:
         """(key, term, weight): unit-length weights of the known terms of each row."""
-        each = docs.select(F.col(key), F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+        rows = docs.select(F.col(key), F.col(terms).alias("_t")).filter(F.col(key).isNotNull())
+        each = rows.select(key, F.explode("_t").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
         tf = 1 + F.log("tf") if self.sublinear else F.col("tf").cast("double")
         raw = each.join(self.vocabulary, "term").select(key, "term", (tf * F.col("idf")).alias("_w"))
-        norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-        return raw.join(norms, key).select(key, "term", (F.col("_w") / F.col("_norm")).alias("weight"))
+        # Known terms go to their row once; its length is taken there.
+        norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
+        return raw.select(key, "term", (F.col("_w") / norm).alias("weight"))
 
 
 def feature_index(long: DataFrame, feature: str = "term") -> DataFrame:

@@ -49,3 +49,12 @@ def test_rows_of_one_file_are_dealt_over_tasks(spark, tmp_path, name):
     got = catalog.queries()[name](spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("task")).count().collect()
     assert sum(r["count"] for r in got) == 400
     assert len(got) >= 4 and max(r["count"] for r in got) < 200
+
+
+def test_marked_mass_moves_pairs_twice_at_most(spark, tmp_path, moved):
+    docs = [(k, " ".join(f"w{(k + j) % 90}" for j in range(50))) for k in range(300)] + [(None, "w1 w2"), (300, None)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    rows, records = moved(catalog.queries()["marked_mass"](spark, str(tmp_path)))
+    assert sorted((r.side, r.n, r.zero_rows) for r in rows if r.side is not None) == [(0, 151, 1), (1, 150, 0)]
+    assert [(r.n, r.zero_rows) for r in rows if r.side is None] == [(1, 1)]
+    assert records < 2.5 * 300 * 50
