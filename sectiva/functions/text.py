@@ -123,7 +123,7 @@ def spans(c: Column, pattern: str) -> Column:
         s = acc["at"] + x["gap"]
         return F.struct((s + x["n"]).alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), (s + x["n"]).alias("e")))).alias("out"))
 
-    return F.aggregate(sizes, start, step, lambda acc: acc["out"])
+    return F.when(~c.rlike(pattern), none).otherwise(F.aggregate(sizes, start, step, lambda acc: acc["out"]))
 
 
 def negation_count(c: Column) -> Column:

@@ -1,7 +1,8 @@
 """Feature tables of many training sets at once: terms are counted, numbered and written once, whatever the sets.
 
 Rows carry two masks, one bit for each training set: ``train`` where the row belongs to it, ``test`` where its score is wanted.  Document
-frequencies, levels, medians and class sizes of all sets come from the same aggregates.
+frequencies, levels, medians and class sizes of all sets come from the same aggregates.  Titles and records repeat across rows: a text
+is counted and numbered once with the number of rows that have it, and rows that are equal in everything but their key are packed once with a weight.
 """
 
 from __future__ import annotations
@@ -34,6 +35,11 @@ def bit(mask: Column, g: int) -> Column:
     return F.getbit(mask, F.lit(g)).cast("bigint")
 
 
+def _code(bag: Column) -> Column:
+    """128 bits that tell arrays of terms apart; null and empty are one, and null terms, which no column stands for, count as none."""
+    return F.concat_ws(",", *(F.xxhash64(F.lit(seed), bag).cast("string") for seed in (0, 1)))
+
+
 def fold_masks(fold: str, k: int) -> dict[str, Column]:
     """Masks of k-fold validation: a row trains the sets of the other folds and is tested by its own."""
     own = F.expr(f"shiftleft(1L, cast({fold} as int))")
@@ -50,14 +56,23 @@ def design(rows: DataFrame, key: str, label: str, sets: int, texts: list[Terms],
     if not 0 < sets <= MOST_SETS:
         raise ValueError(f"between 1 and {MOST_SETS} training sets")
     names = [t.block for t in texts] + list(categories)
-    base = rows.select(F.col(key).alias("key"), F.col(label).cast("int").alias("y"), "train", "test", *(F.col(t.column).alias(f"text_{i}") for i, t in enumerate(texts)), *(F.col(c).cast("string").alias(f"level_{i}") for i, c in enumerate(categories)), *(F.col(c).cast("double").alias(f"number_{i}") for i, c in enumerate(numbers)))
-    parts = [base.select("key", "train", F.lit(i).alias("block"), F.explode(f"text_{i}").alias("term")) for i in range(len(texts))]
-    parts += [base.filter(F.col(f"level_{i}").isNotNull()).select("key", "train", F.lit(len(texts) + i).alias("block"), F.col(f"level_{i}").alias("term")) for i in range(len(categories))]
+    bags = [F.col(t.column) for t in texts] + [F.when(F.col(c).isNotNull(), F.array(F.col(c).cast("string"))) for c in categories]
+    base = rows.select(F.col(key).alias("key"), F.col(label).cast("int").alias("y"), "train", "test", *(c.alias(f"bag_{i}") for i, c in enumerate(bags)), *(F.col(c).cast("double").alias(f"number_{i}") for i, c in enumerate(numbers)))
     sizes = base.agg(*(F.sum(bit(F.col("train"), g) * F.col("y")).alias(f"p{g}") for g in range(sets)), *(F.sum(bit(F.col("train"), g)).alias(f"n{g}") for g in range(sets)), F.count("*").alias("n"), *(F.count_if(F.col(f"number_{i}").isNull()).alias(f"null_{i}") for i in range(len(numbers)))).first()
     n = [sizes[f"n{g}"] or 0 for g in range(sets)]
     classes = np.array([[n[g] - (sizes[f"p{g}"] or 0), sizes[f"p{g}"] or 0] for g in range(sets)], float)
-    if parts:
-        cells = written(reduce(lambda a, b: a.unionByName(b), parts).groupBy("key", "train", "block", "term").agg(F.count("*").alias("tf")), "cells")
+    dense = F.array(*(F.col(f"number_{i}") for i in range(len(numbers)))) if numbers else F.array().cast("array<double>")
+    coded = base.select("key", "y", "train", "test", *(_code(F.col(f"bag_{i}")).alias(f"code_{i}") for i in range(len(names))), dense.alias("num"))
+    codes = [f"code_{i}" for i in range(len(names))]
+    said = F.concat_ws("|", *codes, *(F.col(c).cast("string") for c in ("y", "train", "test")), F.transform("num", lambda v: F.coalesce(v.cast("string"), F.lit("none"))))
+    coded = written(coded.withColumn("same", F.md5(said)), "coded")
+    unlike = written(coded.groupBy("same", "y", "train", "test", *codes, "num").agg(F.count("*").alias("weight")), "unlike")
+    vectors = []
+    if names:
+        # A text or level that many rows share is taken apart once.
+        each = (base.groupBy(F.lit(i).alias("block"), _code(F.col(f"bag_{i}")).alias("code"), F.col(f"bag_{i}").alias("bag")).agg(*(F.sum(bit(F.col("train"), g)).alias(f"n{g}") for g in range(sets))) for i in range(len(names)))
+        terms = reduce(lambda a, b: a.unionByName(b), each).select("block", "code", F.array(*(f"n{g}" for g in range(sets))).alias("ns"), F.explode("bag").alias("term"))
+        cells = written(terms.groupBy("block", "code", "ns", "term").agg(F.count("*").alias("tf")), "cells")
         vocabulary = written(_vocabulary(cells, texts, len(names), sets, n), "vocabulary")
         if vocabulary.count() * sets > MOST_COEFFICIENTS:
             raise ValueError(f"over {MOST_COEFFICIENTS} factors of columns and training sets: raise min_df, or set max_features")
@@ -68,17 +83,20 @@ def design(rows: DataFrame, key: str, label: str, sets: int, texts: list[Terms],
             scales[r["index"]] = [x or 0.0 for x in r.idf]
         sub = F.element_at(F.array(*(F.lit(i < len(texts) and texts[i].sublinear) for i in range(len(names)))), F.col("block") + 1)
         value = F.when(F.col("block") >= len(texts), F.lit(1.0)).when(sub, 1 + F.log("tf")).otherwise(F.col("tf").cast("double"))
-        found = cells.join(vocabulary.select(F.col("block").alias("block_"), F.col("term").alias("term_"), "index"), (F.col("block") == F.col("block_")) & (F.col("term") == F.col("term_"))).select("key", F.struct(F.col("index").cast("int").alias("i"), value.alias("v")).alias("x"))
-        vectors = found.groupBy(F.col("key").alias("key_")).agg(F.array_sort(F.collect_list("x")).alias("cells"))
-        joined = base.join(vectors, F.col("key") == F.col("key_"), "left")
-        x = F.coalesce("cells", F.array().cast("array<struct<i:int,v:double>>"))
+        found = cells.join(vocabulary.select(F.col("block").alias("block_"), F.col("term").alias("term_"), "index"), (F.col("block") == F.col("block_")) & (F.col("term") == F.col("term_"))).select("block", "code", F.struct(F.col("index").cast("int").alias("i"), value.alias("v")).alias("x"))
+        vectors = written(found.groupBy("block", "code").agg(F.array_sort(F.collect_list("x")).alias("cells")), "vectors")
+        # Apart by block, so that Spark knows the size of each and sends small ones to all tasks.
+        vectors = [written(vectors.filter(F.col("block") == i).select(F.col("code").alias(f"code_{i}"), F.col("cells").alias(f"cells_{i}")), f"vectors{i}") for i in range(len(names))]
     else:
-        counts, scales, joined, x = np.zeros(0, int), np.zeros((0, sets)), base, F.array().cast("array<struct<i:int,v:double>>")
-    dense = F.array(*(F.col(f"number_{i}") for i in range(len(numbers)))) if numbers else F.array().cast("array<double>")
-    packed, count = pack(joined.select("key", "y", "train", "test", F.transform(x, lambda e: e["i"]).alias("idx"), F.transform(x, lambda e: e["v"]).alias("tf"), dense.alias("num")), sizes.n)
+        counts, scales = np.zeros(0, int), np.zeros((0, sets))
+    joined = reduce(lambda a, b: a.join(b, b.columns[0], "left"), vectors, unlike)
+    none = F.array().cast("array<struct<i:int,v:double>>")
+    # Columns are numbered by block, so those of one block after another ascend.
+    x = F.concat(*(F.coalesce(f"cells_{i}", none) for i in range(len(names)))) if names else none
+    packed, count = pack(joined.select("same", "y", "train", "test", "weight", x.alias("x"), "num").select("*", F.transform("x", lambda e: e["i"]).alias("idx"), F.transform("x", lambda e: e["v"]).alias("tf")), unlike.count())
     medians = _medians(base, len(numbers), [i for i in range(len(numbers)) if sizes[f"null_{i}"]], sets)
     mean, sd = number_moments(packed, medians) if numbers else (medians, medians)
-    return Problem(packed, [*names, number_block], [int(s) for s in np.cumsum(counts) - counts], [i < len(texts) for i in range(len(names))], scales, (medians, mean, sd), classes, count, dict(base.dtypes)["key"])
+    return Problem(packed, [*names, number_block], [int(s) for s in np.cumsum(counts) - counts], [i < len(texts) for i in range(len(names))], scales, (medians, mean, sd), classes, count, coded.select("key", "same"))
 
 
 def _vocabulary(cells: DataFrame, texts: list[Terms], blocks: int, sets: int, n: list[int]) -> DataFrame:
@@ -87,8 +105,9 @@ def _vocabulary(cells: DataFrame, texts: list[Terms], blocks: int, sets: int, n:
     least = at([t.min_df for t in texts] + [1] * (blocks - len(texts)))
     df = lambda g: F.col(f"df{g}")
     ranked = {i: t.max_features for i, t in enumerate(texts) if t.max_features}
-    totals = [F.sum(bit(F.col("train"), g) * F.col("tf")).alias(f"total{g}") for g in range(sets)] if ranked else []
-    stats = cells.groupBy("block", "term").agg(*(F.sum(bit(F.col("train"), g)).alias(f"df{g}") for g in range(sets)), *totals)
+    rows = lambda g: F.get("ns", F.lit(g))
+    totals = [F.sum(rows(g) * F.col("tf")).alias(f"total{g}") for g in range(sets)] if ranked else []
+    stats = cells.groupBy("block", "term").agg(*(F.sum(rows(g)).alias(f"df{g}") for g in range(sets)), *totals)
     stats = written(stats.filter(reduce(lambda a, b: a | b, (df(g) >= least for g in range(sets)))), "terms")
     allowed = F.lit(True)
     if ranked:

@@ -1,6 +1,6 @@
 """Many linear models at once over the same sparse rows: folds, strengths and feature choices in one pass each step.
 
-Rows are packed into blocks of arrays, written once.  A model is a training set (a bit of each row's mask), a
+Rows are packed into blocks of arrays, written once; a packed row stands for all rows that are equal in everything but their key.  A model is a training set (a bit of each row's mask), a
 strength and a weight for each block of features.  What differs between training sets, inverse document frequencies, means and
 deviations, scales columns; unit lengths are taken inside the pass.  So all models
 share one copy of the data, and one job computes the losses, gradients and diagonal curvatures of all
@@ -11,7 +11,7 @@ in a tree of tasks where there are many.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +52,7 @@ class Problem:
     """Packed rows and what training sets know about features.
 
     ``blocks``: names of the feature blocks in order of their columns, the dense numbers last; ``starts``: their first columns; ``unit``: whether a row's part
-    of a block is scaled to unit length; ``scales``: (columns, sets) factors, 0 where a set lacks the column; ``numbers``: medians, means and deviations, (sets, numbers) each.
+    of a block is scaled to unit length; ``keys``: (key, same), the packed row of each row; ``scales``: (columns, sets) factors, 0 where a set lacks the column; ``numbers``: medians, means and deviations, (sets, numbers) each.
     """
 
     packed: DataFrame
@@ -63,8 +63,7 @@ class Problem:
     numbers: tuple[np.ndarray, np.ndarray, np.ndarray]
     classes: np.ndarray
     parts: int
-    key_type: str
-    extra: dict = field(default_factory=dict)
+    keys: DataFrame
 
     @property
     def columns(self) -> int:
@@ -79,26 +78,25 @@ class Problem:
 
 
 def _pack(batches):
-    names = ["keys", "y", "train", "test", "ends", "idx", "tf", "num"]
+    names = ["keys", "y", "train", "test", "weight", "ends", "idx", "tf", "num"]
     for batch in batches:
         for lo in range(0, batch.num_rows, PACK_ROWS):
             b = batch.slice(lo, PACK_ROWS)
             idx, num = b.column("idx"), b.column("num")
             parts = [
-                b.column("y").to_numpy(zero_copy_only=False).astype(np.int8), b.column("train").to_numpy(), b.column("test").to_numpy(), np.cumsum(pa.compute.list_value_length(idx).to_numpy()).astype(np.int64),
+                b.column("y").to_numpy(zero_copy_only=False).astype(np.int8), b.column("train").to_numpy(), b.column("test").to_numpy(), b.column("weight").to_numpy().astype(float), np.cumsum(pa.compute.list_value_length(idx).to_numpy()).astype(np.int64),
                 idx.flatten().to_numpy().astype(np.int32), b.column("tf").flatten().to_numpy().astype(float), num.flatten().to_numpy(zero_copy_only=False).astype(float),
             ]
-            keys = pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column("key"))
+            keys = pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column("same"))
             yield pa.RecordBatch.from_arrays([keys, *(pa.array([x.tobytes()], pa.binary()) for x in parts)], names=names)
 
 
 def pack(rows: DataFrame, n_rows: int) -> tuple[DataFrame, int]:
-    """(packed, partitions) of rows (key, y, train, test, idx, tf, num): masks of training and test sets, ascending columns with values, dense numbers with nulls."""
+    """(packed, partitions) of rows (same, y, train, test, weight, idx, tf, num): masks of training and test sets, how many rows it stands for, ascending columns with values, dense numbers with nulls."""
     parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-n_rows // PARTITION_ROWS))
-    kind = dict(rows.dtypes)["key"]
-    arrays = ", ".join(f"{c} binary" for c in ("y", "train", "test", "ends", "idx", "tf", "num"))
-    dealt = rows.select("key", "y", "train", "test", "idx", "tf", "num").repartition(parts)
-    return written(dealt.mapInArrow(_pack, f"keys array<{kind}>, {arrays}"), "packed").persist(StorageLevel.MEMORY_AND_DISK), parts
+    arrays = ", ".join(f"{c} binary" for c in ("y", "train", "test", "weight", "ends", "idx", "tf", "num"))
+    dealt = rows.select("same", "y", "train", "test", "weight", "idx", "tf", "num").repartition(parts)
+    return written(dealt.mapInArrow(_pack, f"keys array<string>, {arrays}"), "packed").persist(StorageLevel.MEMORY_AND_DISK), parts
 
 
 class Block:
@@ -107,6 +105,7 @@ class Block:
     def __init__(self, batch: pa.RecordBatch, at: int, starts: list[int], dense: int):
         get = lambda name, kind: np.frombuffer(batch.column(name)[at].as_buffer(), kind)
         self.y, self.train, self.test = get("y", np.int8), get("train", np.int64), get("test", np.int64)
+        self.weight = get("weight", float)
         self.n, self.idx, self.tf = len(self.y), get("idx", np.int32), get("tf", float)
         self.num = get("num", float).reshape(self.n, dense)
         ends = get("ends", np.int64)
@@ -174,7 +173,7 @@ def _gradients(batches, told):
             if not own.any():
                 continue
             v, x = b.cells(p["scales"][g], p["unit"]), b.dense(*(a[g] for a in p["numbers"]))
-            weight = np.where(b.y == 1, p["balance"][g][1], p["balance"][g][0]) * own
+            weight = np.where(b.y == 1, p["balance"][g][1], p["balance"][g][0]) * own * b.weight
             for k, m in enumerate(models):
                 if m["group"] != g:
                     continue
@@ -211,9 +210,11 @@ def _moments(batches, told):
     n, mean, m2 = np.zeros((sets, 1)), np.zeros((sets, dense)), np.zeros((sets, dense))
     for _, b in _blocks(batches, [], dense):
         for g in range(sets):
-            x = np.where(np.isnan(b.num), p["medians"][g], b.num)[(b.train >> g & 1).astype(bool)]
+            own = (b.train >> g & 1).astype(bool)
+            x, w = np.where(np.isnan(b.num), p["medians"][g], b.num)[own], b.weight[own]
             if len(x):
-                n[g], mean[g], m2[g] = merged((n[g], mean[g], m2[g]), (len(x), x.mean(axis=0), ((x - x.mean(axis=0)) ** 2).sum(axis=0)))
+                middle = w @ x / w.sum()
+                n[g], mean[g], m2[g] = merged((n[g], mean[g], m2[g]), (w.sum(), middle, w @ (x - middle) ** 2))
     yield pa.RecordBatch.from_arrays([pa.array([np.hstack([n, mean, m2]).tobytes()], pa.binary())], names=["x"])
 
 
@@ -376,12 +377,13 @@ def _scores(batches, told):
             for k, m in enumerate(models):
                 if m["group"] == g:
                     z, _ = _margins(b, v, x, m, w[k], p["columns"])
-                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(own)), pa.array(b.y[own].astype(np.int32)), pa.array(np.full(len(own), k, np.int32)), pa.array(z[own])], names=["key", "y", "fit", "margin"])
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(own)), pa.array(b.y[own].astype(np.int32)), pa.array(np.full(len(own), k, np.int32)), pa.array(z[own])], names=["same", "y", "fit", "margin"])
 
 
 def held_out(problem: Problem, fits: list[Fit], w: np.ndarray) -> DataFrame:
     """(key, y, fit, margin, proba): margins of the rows in each fit's test set; ``fit`` is the place in ``fits``."""
     sums = Sums(problem)
     told = sums.sc.broadcast(cloudpickle.dumps((sums.shared, [sums.model(f) for f in fits], w)))
-    rows = problem.packed.mapInArrow(lambda it: _scores(it, told), f"key {problem.key_type}, y int, fit int, margin double")
-    return rows.withColumn("proba", 1 / (1 + F.exp(-F.col("margin"))))
+    # Written, so that Spark knows whether the scores of unlike rows are few enough to be sent to all tasks.
+    scores = written(problem.packed.mapInArrow(lambda it: _scores(it, told), "same string, y int, fit int, margin double"), "margins")
+    return problem.keys.join(scores, "same").select("key", "y", "fit", "margin", (1 / (1 + F.exp(-F.col("margin")))).alias("proba"))

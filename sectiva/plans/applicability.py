@@ -159,6 +159,11 @@ def masked_frame(df: DataFrame, title: str = "title_text") -> DataFrame:
     return df.withColumns({"shape_terms": vectorize.word_ngrams(shapes, 1, 3, min_chars=1), **{f"k_{k}": c for k, c in skeleton_features(F.col(title)).items()}})
 
 
+def stage2_inputs(df: DataFrame, lemmas: dict[str, str] | Column | None = None, record: str = "protocol_text", title: str = "title_text", record_lemmas: dict[str, str] | Column | None = None) -> DataFrame:
+    """``df`` with the inputs of ``stage2_spec()`` alone, without those of its candidates."""
+    return applicability_frame(df, title, record, lemmas, record_lemmas if isinstance(record_lemmas, Column) else None)
+
+
 def stage2_frame(df: DataFrame, lemmas: dict[str, str] | DataFrame | None = None, record: str = "protocol_text", title: str = "title_text") -> DataFrame:
     """``df`` with the inputs of the second stage and of its candidates.
 
@@ -171,7 +176,7 @@ def stage2_frame(df: DataFrame, lemmas: dict[str, str] | DataFrame | None = None
         of_title, of_record = F.col("_title_lemmas"), F.col("_record_lemmas")
     cut = lambda c: lemma_map(record_words(c), of_record)
     costly = {"icd": icd_code(r), "diagnosis_lemma": cut(diagnosis_text(r)), "full_lemma": cut(clean_record(r))}
-    d = applicability_frame(df, title, record, of_title, of_record if isinstance(of_record, Column) else None)
+    d = stage2_inputs(df, of_title, record, title, of_record)
     d = d.withColumns(costly).drop("_title_lemmas", "_record_lemmas") if isinstance(lemmas, DataFrame) else once_per_text(d, record, lambda x: x.withColumns(costly))
     d = d.withColumn("icd_cat", icd_category(F.col("icd")))
     return d.withColumns({"guideline": guideline_name(F.col(title)), "title_x_icd": pair_key(F.col(title), F.col("icd")), "title_x_icd_cat": pair_key(F.col(title), F.col("icd_cat")), "has_icd": (F.col("icd") != "NA").cast("int")})
@@ -305,7 +310,8 @@ def _together(rows: DataFrame, specs: list[Spec], key: str, label: str, sets: in
 
 def evaluate(rows: DataFrame, spec: Spec, key: str = "id", label: str = "label", k: int = 5, seed: int = 0) -> DataFrame:
     """(key, label, fold, proba): out-of-fold scores on stratified folds, all folds fitted at once; ``key`` must be unique."""
-    folded = written(stratified_folds(rows, key, label, k, seed), "folds")
+    inputs = dict.fromkeys([key, label, *(b.terms for b in spec.texts), *spec.numbers, *spec.categories])
+    folded = written(stratified_folds(written(rows.select(*inputs), "inputs"), key, label, k, seed), "folds")
     got = evaluate_folds(folded, [spec], "fold", k, key, label)
     return got.select(key, label, F.col("fold").cast("int").alias("fold"), "proba")
 

@@ -621,7 +621,7 @@ def decoded_lines(spark, d):
 def applicability_oof(spark, d):
     from sectiva.plans import applicability
 
-    rows = applicability.stage2_frame(formula_records(spark, d)).withColumn("label", ((F.col("severity_match") == 1) & (F.col("age_contradiction") == 0)).cast("int"))
+    rows = applicability.stage2_inputs(formula_records(spark, d)).withColumn("label", ((F.col("severity_match") == 1) & (F.col("age_contradiction") == 0)).cast("int"))
     return applicability.evaluate(rows, applicability.stage2_spec(), k=3)
 
 

@@ -5,6 +5,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from sectiva.operators.design import Terms, design, fold_masks
+from sectiva.operators.solver import Fit, held_out, solve
 from sectiva.plans import catalog
 
 
@@ -58,3 +60,19 @@ def test_marked_mass_moves_pairs_twice_at_most(spark, tmp_path, moved):
     assert sorted((r.side, r.n, r.zero_rows) for r in rows if r.side is not None) == [(0, 151, 1), (1, 150, 0)]
     assert [(r.n, r.zero_rows) for r in rows if r.side is None] == [(1, 1)]
     assert records < 2.5 * 300 * 50
+
+
+def test_equal_rows_are_packed_and_taken_apart_once(spark):
+    rows = spark.range(600).select(
+        "id", (F.col("id") % 2).cast("int").alias("label"), F.split(F.concat_ws(" ", F.lit("same words"), F.when(F.col("id") % 4 > 1, "more")), " ").alias("terms"), F.when(F.col("id") % 4 != 3, "a").alias("kind"),
+        F.when(F.col("id") % 4 == 1, F.lit(-0.0)).when(F.col("id") % 4 == 2, F.lit(None)).otherwise(0.0).alias("x"), F.when(F.col("id") % 4 != 2, F.lit(1.5)).alias("z"), (F.floor(F.col("id") / 4) % 3).cast("int").alias("fold"),
+    )
+    rows = rows.unionByName(rows.limit(1).withColumns({"id": F.lit(600).cast("bigint"), "terms": F.lit(None).cast("array<string>")}))
+    problem = design(rows.withColumns(fold_masks("fold", 3)), "id", "label", 3, [Terms("t", "terms")], ["kind"], ["x", "z"])
+    assert problem.packed.select(F.explode("keys")).count() == 4 * 3 + 1
+    fits = [Fit(g) for g in range(3)]
+    got = held_out(problem, fits, solve(problem, fits)).collect()
+    assert sorted(r.key for r in got) == list(range(601))
+    assert all(r.fit == (r.key // 4 % 3 if r.key < 600 else 0) for r in got)
+    assert len({(r.fit, r.key % 4, r.margin) for r in got if r.key < 600}) == 4 * 3
+    assert problem.classes.sum() == 2 * 601
