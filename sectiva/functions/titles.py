@@ -109,12 +109,14 @@ def word_shape(w: Column) -> Column:
 
 def invariant_tokens(c: Column) -> Column:
     """Bag of tokens that masking leaves alone: depth, age line, sizes and word shapes."""
-    p = parse_title(mask_cyrillic(c))
-    body = p["body"]
-    ws = split_words(body)
     num = lambda tag, x: F.concat(F.lit(tag), x.cast("string"))
-    fixed = [
-        num("D", p["depth"]), F.concat(F.lit("AGE="), p["age_category"]), num("NW", F.least(F.size(ws), F.lit(20))), num("LEN", F.least(F.floor(F.length(body) / 10), F.lit(15))), num("NL", p["n_lines"]),
-        F.when(body.rlike(LATIN_RUN), F.lit("HASLATIN")), F.when(body.rlike(ANY_DIGIT), F.lit("HASDIGIT")),
-    ]
-    return F.concat_ws(" ", *fixed, F.transform(ws, word_shape))
+
+    def tokens(p: Column, body: Column, ws: Column) -> Column:
+        fixed = [
+            num("D", p["depth"]), F.concat(F.lit("AGE="), p["age_category"]), num("NW", F.least(F.size(ws), F.lit(20))), num("LEN", F.least(F.floor(F.length(body) / 10), F.lit(15))), num("NL", p["n_lines"]),
+            F.when(body.rlike(LATIN_RUN), F.lit("HASLATIN")), F.when(body.rlike(ANY_DIGIT), F.lit("HASDIGIT")),
+        ]
+        return F.concat_ws(" ", *fixed, F.transform(ws, word_shape))
+
+    # The title is parsed, and its body split, once; a lambda's body would do so again for each use.
+    return let(parse_title(mask_cyrillic(c)), lambda p: let(split_words(p["body"]), lambda ws: tokens(p, p["body"], ws)))

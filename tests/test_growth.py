@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from sectiva.functions import titles
 from sectiva.operators.design import Terms, design, fold_masks
 from sectiva.operators.solver import Fit, held_out, solve
 from sectiva.plans import catalog
@@ -76,3 +77,10 @@ def test_equal_rows_are_packed_and_taken_apart_once(spark):
     assert all(r.fit == (r.key // 4 % 3 if r.key < 600 else 0) for r in got)
     assert len({(r.fit, r.key % 4, r.margin) for r in got if r.key < 600}) == 4 * 3
     assert problem.classes.sum() == 2 * 601
+
+
+def test_invariant_tokens_parses_a_title_once(spark):
+    titles_ = spark.createDataFrame([("Рекомендации\nВозраст: Дети\n# Лечение\n## abc (слово, 7 слов",), ("одна",), ("",), (None,)], "t string")
+    got = titles_.select(titles.invariant_tokens(F.col("t")).alias("x"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("^[# ]+") == 1
+    assert [r.x for r in got.collect()] == ["D2 AGE=???????: ???? NW4 LEN1 NL4 HASLATIN HASDIGIT w3 w7pc w1d w4", "D0 AGE= NW0 LEN0 NL3", "D0 AGE= NW0 LEN0 NL3", "D0 AGE= NW0 LEN0 NL3"]
