@@ -13,6 +13,7 @@ import os
 import re
 import struct
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -126,6 +127,7 @@ class Pieces:
         alone = re.escape("".join(chr(c) for c in range(128) if chr(c) not in joined))
         inner = m.escape and not any(MARK in p.lstrip(MARK) for p in usual) and not any(kind == USER for *_, kind in m.pieces)
         self.cut = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+|[{alone}]") if inner else None
+        self.odd = np.array([kind not in (NORMAL, USER) or p.startswith("<0x") for p, _, kind in m.pieces], bool)
         self.forget()
 
     def forget(self):
@@ -156,14 +158,18 @@ class Pieces:
 
     def learn(self, new: list[str]):
         got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        back = self.tokenizer.decode_batch(got, skip_special_tokens=False)
-        self.sound = np.concatenate((self.sound, [b == s.replace(MARK, " ") for b, s in zip(back, new, strict=True)])).astype(bool)
-        for s in new:
-            self.memo[s] = len(self.memo)
-        n = np.array([len(x) for x in got], np.int64)
+        n = np.fromiter(map(len, got), np.int64, len(got))
+        ids = np.fromiter(chain.from_iterable(got), np.int32, int(n.sum()))
+        # Pieces that stand for themselves join to their segment; only the others are decoded.
+        odd = np.flatnonzero((np.bincount(np.repeat(np.arange(len(new)), n), self.odd[ids], len(new)) > 0) | (n == 0))
+        sound = np.ones(len(new), bool)
+        back = self.tokenizer.decode_batch([got[i] for i in odd], skip_special_tokens=False)
+        sound[odd] = [b == new[i].replace(MARK, " ") for b, i in zip(back, odd, strict=True)]
+        self.sound = np.concatenate((self.sound, sound))
+        self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new)), strict=True))
         self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(n) - n))
         self.lengths = np.concatenate((self.lengths, n))
-        self.flat = np.concatenate((self.flat, np.array([i for x in got for i in x], np.int32)))
+        self.flat = np.concatenate((self.flat, ids))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each text, whether decoding gives each text back)."""
@@ -171,10 +177,10 @@ class Pieces:
             self.forget()
         clean = [self.plain(t or "") for t in texts]
         cut = [self.segments(t) for t in clean]
-        new = list({s for x in cut for s in x if s not in self.memo})
+        new = list(set(chain.from_iterable(cut)).difference(self.memo))
         for k in range(0, len(new), SLICE):
             self.learn(new[k : k + SLICE])
-        at = np.fromiter((k for x in cut for k in map(self.memo.__getitem__, x)), np.int64)
+        at = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
         text_of = np.concatenate(([0], np.cumsum([len(x) for x in cut], dtype=np.int64)))
         n = self.lengths[at]
         ends = np.concatenate(([0], np.cumsum(n)))

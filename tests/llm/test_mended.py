@@ -55,3 +55,17 @@ def test_a_tokeniser_that_differs_gives_the_librarys_ids(spark, monkeypatch, sam
         monkeypatch.setattr(pieces, "verify_parity", lambda *a: (1, 0))
     assert {(r.doc_id, tuple(r.ids), r.restored) for r in pieces.encode_documents(docs).collect()} == want
     assert pieces.encode_documents(docs.limit(0)).count() == 0
+
+
+def test_pieces_that_stand_for_themselves_are_not_decoded():
+    from sectiva.llm import pieces as p
+
+    with open(p.MODEL_PATH, "rb") as f:
+        own = p.Pieces(f.read())
+    asked, real = [], own.tokenizer
+    own.tokenizer = type("Counted", (), {"encode_batch_fast": staticmethod(real.encode_batch_fast), "decode_batch": staticmethod(lambda ids, **kw: asked.extend(ids) or real.decode_batch(ids, **kw))})
+    texts = ["plain words, plain lines", "", "byte \U0001f9ff\x07 pieces", "a  b", "<0x41>"]
+    ids, ends, sound = own.encode(texts)
+    assert len(asked) < len(own.memo) / 2
+    back = real.decode_batch([ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)], skip_special_tokens=False)
+    assert all(b[1:] == t for b, t, s in zip(back, texts, sound, strict=True) if s) and sound[[0, 1, 2]].all()
