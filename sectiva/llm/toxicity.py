@@ -120,12 +120,17 @@ class Kernel:
             slot = np.repeat(self.starts[k] - (np.cumsum(count) - count), count) + np.arange(len(row))
             word = own[near][row]
             cell = word * len(self.landmarks) + self.owner[slot]
-            out[at : at + n] = np.bincount(cell, (weight / np.maximum(norm, 1e-9)[own])[near][row] * self.value[slot], n * len(self.landmarks)).reshape(n, -1)
-        return np.minimum(out, 1) ** POWER
+            cells = np.bincount(cell, (weight[near] / np.maximum(norm, 1e-9)[own[near]])[row] * self.value[slot], n * len(self.landmarks))
+            # Products cost a tenth of a general power.
+            np.minimum(cells, 1, out=cells)
+            out[at : at + n] = math.prod([cells] * (POWER - 1), start=cells).reshape(n, -1)
+        return out
 
 
 def _pieces(word: str) -> list[str]:
     """Windows of a word as it is compared, and of the word without signs inside it; a short word is one window."""
+    if len(word) <= PIECE and word.isalpha():
+        return [word]
     word = normal(word)
     forms = [word] if word.isalnum() or not word else [word, "".join(filter(str.isalnum, word))]
     return [f[i : i + PIECE] for f in forms for i in range(0, max(len(f) - PIECE // 2, 1), PIECE // 2)]
@@ -167,7 +172,8 @@ class Machine:
         out = [np.zeros(0)]
         for at in range(0, len(words), CHUNK):
             parts = [_pieces(w) for w in words[at : at + CHUNK]]
-            flat = self.kernel([p for x in parts for p in x]) @ self.direction + self.b
+            own = {p: i for i, p in enumerate(dict.fromkeys(p for x in parts for p in x))}
+            flat = (self.kernel(list(own)) @ self.direction + self.b)[[own[p] for x in parts for p in x]]
             n = np.array([len(x) for x in parts])
             out.append(np.maximum.reduceat(flat, np.cumsum(n) - n))
         return np.concatenate(out)

@@ -69,3 +69,14 @@ def test_pieces_that_stand_for_themselves_are_not_decoded():
     assert len(asked) < len(own.memo) / 2
     back = real.decode_batch([ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)], skip_special_tokens=False)
     assert all(b[1:] == t for b, t, s in zip(back, texts, sound, strict=True) if s) and sound[[0, 1, 2]].all()
+
+
+def test_kernel_sees_each_compared_form_once():
+    from sectiva.llm import toxicity as t
+
+    m = t.train([{"grubel", "haus"}, {"grubel", "baum"}, {"haus"}, {"baum"}], [1, 1, 0, 0])
+    asked, kernel = [], m.kernel
+    m.kernel = lambda words: asked.extend(words) or kernel(words)
+    got = m.decide(["haus", "haus,", "(haus)", "grubel", "gr.ubel", ""])
+    assert len(asked) == len(set(asked))
+    assert got[0] == got[1] == got[2] and got[3] <= got[4] + 1e-9
