@@ -46,8 +46,8 @@ def fold_masks(fold: str, k: int) -> dict[str, Column]:
     return {"train": F.lit((1 << k) - 1).cast("bigint").bitwiseXOR(own), "test": own}
 
 
-def design(rows: DataFrame, key: str, label: str, sets: int, texts: list[Terms], categories: list[str], numbers: list[str], number_block: str = "numbers") -> Problem:
-    """A problem for ``solver`` from rows with ``train`` and ``test`` masks; ``key`` must be unique, ``label`` 0 or 1.
+def design(rows: DataFrame, key: str, label: str, sets: int, texts: list[Terms], categories: list[str], numbers: list[str], number_block: str = "numbers", weight: str | None = None) -> Problem:
+    """A problem for ``solver`` from rows with ``train`` and ``test`` masks; ``key`` must be unique, ``label`` 0 or 1; a row stands for ``weight`` equal ones.
 
     Text blocks have smooth inverse document frequencies over the rows of a training set and unit length; a category's levels are those of the
     set, null is none; numbers are scaled by the set's mean and population deviation, nulls filled with its median, 0 where it has none.
@@ -57,20 +57,20 @@ def design(rows: DataFrame, key: str, label: str, sets: int, texts: list[Terms],
         raise ValueError(f"between 1 and {MOST_SETS} training sets")
     names = [t.block for t in texts] + list(categories)
     bags = [F.col(t.column) for t in texts] + [F.when(F.col(c).isNotNull(), F.array(F.col(c).cast("string"))) for c in categories]
-    base = rows.select(F.col(key).alias("key"), F.col(label).cast("int").alias("y"), "train", "test", *(c.alias(f"bag_{i}") for i, c in enumerate(bags)), *(F.col(c).cast("double").alias(f"number_{i}") for i, c in enumerate(numbers)))
-    sizes = base.agg(*(F.sum(bit(F.col("train"), g) * F.col("y")).alias(f"p{g}") for g in range(sets)), *(F.sum(bit(F.col("train"), g)).alias(f"n{g}") for g in range(sets)), F.count("*").alias("n"), *(F.count_if(F.col(f"number_{i}").isNull()).alias(f"null_{i}") for i in range(len(numbers)))).first()
+    base = rows.select(F.col(key).alias("key"), F.col(label).cast("int").alias("y"), "train", "test", (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("times"), *(c.alias(f"bag_{i}") for i, c in enumerate(bags)), *(F.col(c).cast("double").alias(f"number_{i}") for i, c in enumerate(numbers)))
+    sizes = base.agg(*(F.sum(bit(F.col("train"), g) * F.col("times") * F.col("y")).alias(f"p{g}") for g in range(sets)), *(F.sum(bit(F.col("train"), g) * F.col("times")).alias(f"n{g}") for g in range(sets)), F.count("*").alias("n"), *(F.count_if(F.col(f"number_{i}").isNull()).alias(f"null_{i}") for i in range(len(numbers)))).first()
     n = [sizes[f"n{g}"] or 0 for g in range(sets)]
     classes = np.array([[n[g] - (sizes[f"p{g}"] or 0), sizes[f"p{g}"] or 0] for g in range(sets)], float)
     dense = F.array(*(F.col(f"number_{i}") for i in range(len(numbers)))) if numbers else F.array().cast("array<double>")
-    coded = base.select("key", "y", "train", "test", *(_code(F.col(f"bag_{i}")).alias(f"code_{i}") for i in range(len(names))), dense.alias("num"))
+    coded = base.select("key", "y", "train", "test", "times", *(_code(F.col(f"bag_{i}")).alias(f"code_{i}") for i in range(len(names))), dense.alias("num"))
     codes = [f"code_{i}" for i in range(len(names))]
     said = F.concat_ws("|", *codes, *(F.col(c).cast("string") for c in ("y", "train", "test")), F.transform("num", lambda v: F.coalesce(v.cast("string"), F.lit("none"))))
     coded = written(coded.withColumn("same", F.md5(said)), "coded")
-    unlike = written(coded.groupBy("same", "y", "train", "test", *codes, "num").agg(F.count("*").alias("weight")), "unlike")
+    unlike = written(coded.groupBy("same", "y", "train", "test", *codes, "num").agg(F.sum("times").alias("weight")), "unlike")
     vectors = []
     if names:
         # A text or level that many rows share is taken apart once.
-        each = (base.groupBy(F.lit(i).alias("block"), _code(F.col(f"bag_{i}")).alias("code"), F.col(f"bag_{i}").alias("bag")).agg(*(F.sum(bit(F.col("train"), g)).alias(f"n{g}") for g in range(sets))) for i in range(len(names)))
+        each = (base.groupBy(F.lit(i).alias("block"), _code(F.col(f"bag_{i}")).alias("code"), F.col(f"bag_{i}").alias("bag")).agg(*(F.sum(bit(F.col("train"), g) * F.col("times")).alias(f"n{g}") for g in range(sets))) for i in range(len(names)))
         terms = reduce(lambda a, b: a.unionByName(b), each).select("block", "code", F.array(*(f"n{g}" for g in range(sets))).alias("ns"), F.explode("bag").alias("term"))
         cells = written(terms.groupBy("block", "code", "ns", "term").agg(F.count("*").alias("tf")), "cells")
         vocabulary = written(_vocabulary(cells, texts, len(names), sets, n), "vocabulary")
@@ -133,6 +133,6 @@ def _medians(base: DataFrame, numbers: int, gaps: list[int], sets: int) -> np.nd
     if gaps:
         values = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"number_{i}").alias("x")) for i in gaps))).alias("v")
         own = F.explode(F.filter(F.sequence(F.lit(0), F.lit(sets - 1)), lambda g: F.getbit("train", g) == 1)).alias("g")
-        for r in quantiles(base.select("train", values).select("v.i", "v.x", own), "x", [0.5], ["g", "i"]).collect():
+        for r in quantiles(base.select("train", "times", values).select("v.i", "v.x", "times", own), "x", [0.5], ["g", "i"], weight="times").collect():
             out[r.g, r.i] = r.q0
     return out

@@ -142,15 +142,20 @@ def stage1_frame(df: DataFrame, title: str = "title_text", lemmas: dict[str, str
     t = F.col(title)
     if isinstance(lemmas, DataFrame):
         return stage1_frame(own_lemmas(df, title, title_words(t), lemmas, "_lemmas"), title, F.col("_lemmas")).drop("_lemmas")
+    inputs = stage1_inputs(t, lemmas)
+    if isinstance(lemmas, Column):
+        return df.withColumns(inputs)
+    return once_per_text(df, title, lambda d: d.withColumns(inputs))
+
+
+def stage1_inputs(t: Column, lemmas: dict[str, str] | Column | None = None) -> dict[str, Column]:
+    """The inputs of the first stage from a title."""
     p = parse_title(t)
     words = lambda c: lemma_map(title_words(c), lemmas)
-    inputs = {
+    return {
         "sub_terms": vectorize.word_ngrams(words(p["body"]), 1, 2), "ctx_terms": vectorize.word_ngrams(words(title_context(p)), 1, 2), "char_terms": vectorize.char_wb_ngrams(p["body"]),
         **{f"s_{k}": c for k, c in struct_features(t, lemmas).items()},
     }
-    if isinstance(lemmas, Column):
-        return df.withColumns(inputs)
-    return once_per_text(df, title, lambda d: d.withColumns(inputs))
 
 
 def masked_frame(df: DataFrame, title: str = "title_text") -> DataFrame:
@@ -264,14 +269,14 @@ def fitter(spec: Spec, key: str = "id", label: str = "label") -> Callable[[DataF
     return lambda train: fit(train, spec, key, label).score
 
 
-def _shared(rows: DataFrame, specs: list[Spec], key: str, label: str, sets: int) -> Problem:
+def _shared(rows: DataFrame, specs: list[Spec], key: str, label: str, sets: int, weight: str | None = None) -> Problem:
     """One problem for specifications that may differ in blocks, weights and strength, over rows with training and test masks."""
     texts = {_block(b): Terms(_block(b), b.terms, b.min_df, b.max_features, b.sublinear) for s in specs for b in s.texts if b.name not in s.off}
     numbers = list(dict.fromkeys(x for s in specs if "numbers" not in s.off for x in s.numbers))
     categories = list(dict.fromkeys(c for s in specs for c in s.categories if c not in s.off))
     if len({frozenset(s.numbers) for s in specs if "numbers" not in s.off}) > 1:
         raise ValueError("specifications that are fitted together must share their numbers")
-    return design(rows, key, label, sets, list(texts.values()), categories, numbers)
+    return design(rows, key, label, sets, list(texts.values()), categories, numbers, weight=weight)
 
 
 def _block(b: TextBlock) -> str:
@@ -287,7 +292,7 @@ def _fit(problem: Problem, spec: Spec, group: int) -> Fit:
     return Fit(group, spec.c, tuple((b, own.get(b, 0.0)) for b in problem.blocks), spec.loss, spec.loss == LOG)
 
 
-def _together(rows: DataFrame, specs: list[Spec], key: str, label: str, sets: int, tol: float = TOLERANCE) -> DataFrame:
+def _together(rows: DataFrame, specs: list[Spec], key: str, label: str, sets: int, tol: float = TOLERANCE, weight: str | None = None) -> DataFrame:
     """(key, y, fit, proba): test rows scored by every specification on every training set, all fitted at once; ``fit`` is specification * sets + set.
 
     Specifications whose numbers differ are designed apart.
@@ -297,7 +302,7 @@ def _together(rows: DataFrame, specs: list[Spec], key: str, label: str, sets: in
         by_numbers.setdefault(() if "numbers" in s.off else tuple(s.numbers), []).append(i)
     scored = []
     for own in by_numbers.values():
-        problem = _shared(rows, [specs[i] for i in own], key, label, sets)
+        problem = _shared(rows, [specs[i] for i in own], key, label, sets, weight)
         fits = [_fit(problem, specs[i], g) for i in own for g in range(sets)]
         numbered = F.element_at(F.array(*(F.lit(i * sets) for i in own)), F.floor(F.col("fit") / sets).cast("int") + 1) + F.col("fit") % sets
         found = held_out(problem, fits, solve(problem, fits, tol))
@@ -316,9 +321,25 @@ def evaluate(rows: DataFrame, spec: Spec, key: str = "id", label: str = "label",
     return got.select(key, label, F.col("fold").cast("int").alias("fold"), "proba")
 
 
-def evaluate_folds(rows: DataFrame, specs: list[Spec], fold: str, k: int, key: str = "id", label: str = "label", tol: float = TOLERANCE) -> DataFrame:
-    """(spec, key, label, fold, proba): out-of-fold scores of several specifications on given folds 0 to k - 1, all fitted at once."""
-    got = _together(rows.withColumns(fold_masks(fold, k)), specs, key, label, k, tol)
+def evaluate_texts(rows: DataFrame, text: str, columns: Callable[[DataFrame], DataFrame], spec: Spec, key: str = "id", label: str = "label", k: int = 5, seed: int = 0) -> DataFrame:
+    """``evaluate`` for inputs that depend on one text alone: ``columns`` takes a frame with the column ``text`` and adds them to it.
+
+    Inputs are made for distinct texts; rows travel with the digest of theirs, and rows of one text, label and fold are fitted and scored as one with a weight.
+    """
+    said = written(rows.select(key, label, text), "inputs")
+    inputs = dict.fromkeys([*(b.terms for b in spec.texts), *spec.numbers, *spec.categories])
+    found = columns(said.select(text).distinct()).select(F.md5(text).alias("_text"), *inputs)
+    parts = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("none")) for c in ("_digest", label, "fold")))
+    folded = written(stratified_folds(said.select(key, label, F.md5(text).alias("_digest")), key, label, k, seed).withColumn("_same", F.md5(parts)), "folds")
+    alike = folded.groupBy("_same", "_digest", label, "fold").agg(F.count("*").alias("_times"))
+    wide = written(alike.join(found, F.col("_digest").eqNullSafe(F.col("_text"))).drop("_digest", "_text"), "texts")
+    got = evaluate_folds(wide, [spec], "fold", k, "_same", label, weight="_times")
+    return folded.join(got.select("_same", "proba"), "_same").select(key, label, F.col("fold").cast("int").alias("fold"), "proba")
+
+
+def evaluate_folds(rows: DataFrame, specs: list[Spec], fold: str, k: int, key: str = "id", label: str = "label", tol: float = TOLERANCE, weight: str | None = None) -> DataFrame:
+    """(spec, key, label, fold, proba): out-of-fold scores of several specifications on given folds 0 to k - 1, all fitted at once; a row stands for ``weight`` equal ones."""
+    got = _together(rows.withColumns(fold_masks(fold, k)), specs, key, label, k, tol, weight)
     return got.select(F.floor(F.col("fit") / k).cast("int").alias("spec"), F.col("key").alias(key), F.col("y").cast(dict(rows.dtypes)[label]).alias(label), (F.col("fit") % k).alias("fold"), "proba")
 
 

@@ -629,8 +629,8 @@ def applicability_oof(spark, d):
 def general_titles_oof(spark, d):
     from sectiva.plans import applicability
 
-    rows = applicability.stage1_frame(formula_records(spark, d)).withColumn("label", F.col("title_text").contains("простаты").cast("int"))
-    return applicability.evaluate(rows, applicability.stage1_spec(), k=3)
+    rows = formula_records(spark, d).withColumn("label", F.col("title_text").contains("простаты").cast("int"))
+    return applicability.evaluate_texts(rows, "title_text", lambda x: x.withColumns(applicability.stage1_inputs(F.col("title_text"))), applicability.stage1_spec(), k=3)
 
 
 from sectiva.plans import fits, reports, texts  # noqa: E402, F401

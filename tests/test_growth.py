@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sectiva.functions import titles
 from sectiva.operators.design import Terms, design, fold_masks
 from sectiva.operators.solver import Fit, held_out, solve
-from sectiva.plans import catalog
+from sectiva.plans import applicability, catalog
 
 
 @pytest.fixture
@@ -84,3 +84,40 @@ def test_invariant_tokens_parses_a_title_once(spark):
     got = titles_.select(titles.invariant_tokens(F.col("t")).alias("x"))
     assert got._jdf.queryExecution().optimizedPlan().toString().count("^[# ]+") == 1
     assert [r.x for r in got.collect()] == ["D2 AGE=???????: ???? NW4 LEN1 NL4 HASLATIN HASDIGIT w3 w7pc w1d w4", "D0 AGE= NW0 LEN0 NL3", "D0 AGE= NW0 LEN0 NL3", "D0 AGE= NW0 LEN0 NL3"]
+
+
+def test_rows_of_one_title_are_one_row_of_the_design(spark, tmp_path, monkeypatch):
+    spark.range(1500).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    dealt, designed = [], []
+    folds, designs = applicability.stratified_folds, applicability.design
+    monkeypatch.setattr(applicability, "stratified_folds", lambda df, *more: dealt.append(df) or folds(df, *more))
+    monkeypatch.setattr(applicability, "design", lambda rows, *more, **named: designed.append(rows.count()) or designs(rows, *more, **named))
+    got = {r.id: r for r in catalog.queries()["general_titles_oof"](spark, str(tmp_path)).collect()}
+    assert not any(kind.startswith("array") for _, kind in dealt[0].dtypes)  # words and n-grams don't travel with rows
+    assert designed[0] <= 3 * 300  # three folds of 300 titles
+    rows = applicability.stage1_frame(catalog.formula_records(spark, str(tmp_path))).withColumn("label", F.col("title_text").contains("простаты").cast("int"))
+    want = applicability.evaluate(rows, applicability.stage1_spec(), k=3).collect()
+    assert len(want) == len(got) == 1500
+    assert all((r.label, r.fold) == (got[r.id].label, got[r.id].fold) and abs(r.proba - got[r.id].proba) < 1e-6 for r in want)
+
+
+def test_a_row_with_a_weight_is_as_many_rows(spark):
+    rows = spark.range(40).select(
+        "id", (F.col("id") % 2).cast("int").alias("label"), F.split(F.concat_ws(" ", F.lit("some"), F.concat(F.lit("w"), F.col("id") % 7)), " ").alias("terms"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("k"), F.col("id") % 3)).alias("kind"),
+        F.when(F.col("id") % 5 > 0, F.col("id").cast("double")).alias("x"), (F.col("id") % 4 / 4.0).alias("z"), (F.col("id") % 3).cast("int").alias("fold"), (1 + F.col("id") % 6).alias("times"),
+    ).withColumns(fold_masks("fold", 3))
+    apart = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).withColumn("id", F.col("id") * 10 + F.col("copy"))
+    a, b = (design(df, "id", "label", 3, [Terms("t", "terms", 2, 5)], ["kind"], ["x", "z"], **more) for df, more in ((rows, {"weight": "times"}), (apart, {})))
+    assert (a.classes == b.classes).all() and a.starts == b.starts and abs(a.scales - b.scales).max() < 1e-12
+    assert all(abs(x - y).max() < 1e-9 for x, y in zip(a.numbers, b.numbers, strict=True))
+    fits = [Fit(g) for g in range(3)]
+    one, many = ({r.key: r.margin for r in held_out(p, fits, solve(p, fits)).collect()} for p in (a, b))
+    assert len(one) == 40 and len(many) == apart.count()
+    assert all(abs(one[k // 10] - m) < 1e-4 for k, m in many.items())
+
+
+def test_texts_that_are_null_or_empty_are_scored(spark):
+    rows = spark.createDataFrame([(i, None if i % 5 == 0 else "" if i % 5 == 1 else f"слово {i % 5}", int(i % 5 > 2)) for i in range(90)], "id bigint, t string, label int")
+    got = applicability.evaluate_texts(rows, "t", lambda x: x.withColumn("words", F.split("t", " ")), applicability.Spec((applicability.TextBlock("t", "words"),)), k=3).collect()
+    assert sorted(r.id for r in got) == list(range(90)) and all(0 < r.proba < 1 for r in got)
+    assert len({(r.fold, r.id % 5) for r in got}) == len({(r.fold, r.id % 5, r.proba) for r in got})
