@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sectiva.functions import conditions, records, text, titles
 from sectiva.operators import aggregates, decode, metrics, relational, validation, vectorize
+from sectiva.sources.stages import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -555,6 +556,17 @@ def formula_records(spark: SparkSession, d: str) -> DataFrame:
     return dealt(table(spark, d, "customer").select(k)).select(k.alias("id"), title.alias("title_text"), record.alias("protocol_text"))
 
 
+def from_titles(spark: SparkSession, d: str, made: dict[str, Column]) -> DataFrame:
+    """(id, ...) of columns made of ``title_text`` alone: titles repeat, so each distinct one is taken apart once and joined back by digest.
+
+    What is made is written first, so that Spark knows whether it is little enough to be sent to all tasks.
+    """
+    rows = formula_records(spark, d)
+    found = rows.select("title_text").distinct().select(F.md5("title_text").alias("_text"), *(c.alias(k) for k, c in made.items()))
+    own = rows.select("id", F.md5("title_text").alias("_digest"))
+    return own.join(written(found, "titles"), F.col("_digest").eqNullSafe(F.col("_text"))).select("id", *made)
+
+
 @register(
     "record_fields",
     "SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS gender, CAST(CASE WHEN c_custkey % 5 = 0 THEN c_custkey % 90 ELSE c_custkey % 100 END AS DOUBLE) AS age, "
@@ -586,7 +598,7 @@ def clean_records(spark, d):
 def title_parts(spark, d):
     t = F.col("title_text")
     p, f = titles.parse_title(t), titles.struct_features(t)
-    return formula_records(spark, d).select("id", p["guideline"].alias("guideline"), p["age_category"].alias("age_category"), f["depth"].alias("depth"), f["n_lines"].alias("n_lines"), f["n_quotes"].alias("n_quotes"), (f["n_words_guideline"] - 1).alias("n_words_guideline_less_one"), f["has_digit"].alias("has_digit"))
+    return from_titles(spark, d, {**{k: p[k] for k in ("guideline", "age_category")}, **{k: f[k] for k in ("depth", "n_lines", "n_quotes")}, "n_words_guideline_less_one": f["n_words_guideline"] - 1, "has_digit": f["has_digit"]})
 
 
 @register("masked_shapes", "SELECT c_custkey AS id, c_custkey % 3 + 1 AS depth, 2 AS n_quotes_guideline, 0 AS cyrillic_left, 'D' || (c_custkey % 3 + 1) AS first_token FROM customer")
@@ -594,7 +606,7 @@ def masked_shapes(spark, d):
     t = F.col("title_text")
     s = titles.skeleton_features(t)
     masked = text.mask_cyrillic(t)
-    return formula_records(spark, d).select("id", s["depth"].alias("depth"), text.count_of(titles.parse_title(masked)["guideline"], '"').alias("n_quotes_guideline"), text.flag(masked.rlike(text.CYRILLIC)).alias("cyrillic_left"), F.get(F.split(titles.invariant_tokens(t), " "), F.lit(0)).alias("first_token"))
+    return from_titles(spark, d, {"depth": s["depth"], "n_quotes_guideline": text.count_of(titles.parse_title(masked)["guideline"], '"'), "cyrillic_left": text.flag(masked.rlike(text.CYRILLIC)), "first_token": F.get(F.split(titles.invariant_tokens(t), " "), F.lit(0))})
 
 
 @register(

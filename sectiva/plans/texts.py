@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sectiva.functions import conditions, records, text, titles
 from sectiva.operators import aggregates, decode, metrics, models, relational, validation, vectorize
-from sectiva.plans.catalog import CLASS_COUNTS, JUDGED, dealt, fb, formula_records, judged, register, rounded, scaled, table
+from sectiva.plans.catalog import CLASS_COUNTS, JUDGED, dealt, fb, formula_records, from_titles, judged, register, rounded, scaled, table
 from sectiva.sources import files
 from sectiva.sources.stages import shared_dir
 
@@ -127,7 +127,7 @@ _LETTERS = "regexp_extract_all(lower({0}), '\\pL+')"
     f"{_GROUPS(_LETTERS.format('body'))} AS n_cond_groups_sub, {_GROUPS(_LETTERS.format('title[: length(title) - length(body)]'))} AS n_cond_groups_ctx FROM w",
 )
 def title_structure(spark, d):
-    return formula_records(spark, d).select("id", *(c.alias(k) for k, c in titles.struct_features(F.col("title_text")).items()))
+    return from_titles(spark, d, titles.struct_features(F.col("title_text")))
 
 
 @register(
@@ -138,8 +138,7 @@ def title_structure(spark, d):
     "round(len(list_filter(z, lambda x: x >= 10)) / len(z), 6) AS long_word_ratio FROM n",
 )
 def skeletons(spark, d):
-    got = formula_records(spark, d).select("id", *(c.alias(k) for k, c in titles.skeleton_features(F.col("title_text")).items()))
-    return rounded(got, "mean_word_len", "long_word_ratio")
+    return rounded(from_titles(spark, d, titles.skeleton_features(F.col("title_text"))), "mean_word_len", "long_word_ratio")
 
 
 @register(
@@ -148,7 +147,7 @@ def skeletons(spark, d):
     "array_to_string(list_transform(words, lambda x: 'w' || length(x) || CASE WHEN regexp_matches(x, '[0-9]') THEN 'd' ELSE '' END), ' ') AS tokens FROM w",
 )
 def invariant_tokens(spark, d):
-    return formula_records(spark, d).select("id", titles.invariant_tokens(F.col("title_text")).alias("tokens"))
+    return from_titles(spark, d, {"tokens": titles.invariant_tokens(F.col("title_text"))})
 
 
 @register(
