@@ -71,6 +71,52 @@ def test_pieces_that_stand_for_themselves_are_not_decoded():
     assert all(b[1:] == t for b, t, s in zip(back, texts, sound, strict=True) if s) and sound[[0, 1, 2]].all()
 
 
+def test_segments_share_texts_of_a_call_and_give_the_librarys_ids():
+    """op4: the library is asked for far fewer texts than there are segments; runs of blanks, bytes and empty texts come out as its own encoding."""
+    with open(pieces.MODEL_PATH, "rb") as f:
+        blob = f.read()
+    own, theirs = pieces.Pieces(blob), pieces.reference(blob)
+    asked, real = [], own.tokenizer
+    own.tokenizer = type("Counted", (), {"encode_batch_fast": staticmethod(lambda texts, **kw: asked.extend(texts) or real.encode_batch_fast(texts, **kw)), "decode_batch": staticmethod(real.decode_batch)})
+    texts = [" ".join(f"word{i * 7 + k:x}" for k in range(7)) for i in range(600)]
+    texts += [None, "", "   ", " a   b ", "x  ", "\u2581", "a\u2581 b\u2581\u2581 c", "\x00\x07 \U0001f9ff\n\n 12\t34", "<0x41> <s>", "\u65e5\u672c\u8a9e" * 40] * 3
+    ids, ends, sound = own.encode(texts)
+    assert len(asked) < len(own.memo) / 50
+    for k, t in enumerate(texts):
+        assert ids[ends[k] : ends[k + 1]].tolist() == theirs.encode(t or "")
+        assert sound[k] == ("\u2581" not in (t or ""))
+
+
+def test_batches_encoded_together_give_each_its_own_rows(monkeypatch):
+    import pyarrow as pa
+
+    with open(pieces.MODEL_PATH, "rb") as f:
+        blob = f.read()
+    own, theirs = pieces.Pieces(blob), pieces.reference(blob)
+    texts = [["the same words", "", None], [], ["the same words  again"], [None], ["other words", "the same"]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(len(x)), pa.int64()), pa.array(x, pa.string())], names=["doc_id", "text"]) for x in texts]
+    for most, rebuilt in ((1, True), (30, True), (1 << 24, True), (1 << 24, False)):
+        monkeypatch.setattr(pieces, "TOGETHER", most)
+        got = list(pieces._encode(iter(batches), blob, own, rebuilt))
+        assert [b.column(2).to_pylist() for b in got] == [[theirs.encode(t or "") for t in x] for x in texts]
+        assert [b.column(0).to_pylist() for b in got] == [list(range(len(x))) for x in texts]
+        assert [b.column(1).to_pylist() for b in got] == [[len(theirs.encode(t or "")) for t in x] for x in texts]
+        assert all(all(b.column(3).to_pylist()) for b in got)
+
+
+def test_unknown_characters_are_one_piece_across_segments_ends():
+    """op4: without byte pieces a run of unknown characters is one piece, as in the model format's own library."""
+    from tests.llm.test_scans import written_model
+
+    known = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), ("ab", -3.0, 1), ("\u2581a", -4.0, 1), ("\u2581", -30.0, 1), ("a", -31.0, 1), ("b", -32.0, 1)]
+    for kind in (pieces.BPE, pieces.UNIGRAM):
+        blob = written_model(known, kind, byte_fallback=False, squeeze=False)
+        own, theirs = pieces.Pieces(blob), pieces.reference(blob)
+        texts = ["ab  ab", "..,, ab", "a\n\n5 b", "", "\u65e5. a"]
+        ids, ends, _ = own.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == [theirs.encode(t) for t in texts]
+
+
 def test_kernel_sees_each_compared_form_once():
     from sectiva.llm import toxicity as t
 
