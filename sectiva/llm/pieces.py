@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sectiva.llm._common import ship, shipped, small_batches
+from sectiva.llm._common import small_batches
 
 #: Where the model lies unless a caller names another.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -285,11 +285,11 @@ def _decode(batches, pieces):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pieces.decode([x or [] for x in batch.column(1).to_pylist()]), pa.string())], names=["doc_id", "text"])
 
 
-def verify_parity(docs: DataFrame, text: str = "text", model_path: str = MODEL_PATH, rows: int = PARITY_ROWS, ours: Pieces | None = None) -> tuple[int, int]:
+def verify_parity(docs: DataFrame, text: str = "text", model_path: str = MODEL_PATH, rows: int = PARITY_ROWS) -> tuple[int, int]:
     """(rows compared, rows that differ): ids and decoded texts against the model's own library on ``rows`` rows."""
     with open(model_path, "rb") as f:
         blob = f.read()
-    theirs, ours = reference(blob), ours or Pieces(blob)
+    theirs, ours = reference(blob), Pieces(blob)
     texts = [r[0] or "" for r in docs.select(F.col(text).cast("string")).limit(rows).collect()]
     ids, ends, sound = ours.encode(texts)
     return len(texts), sum(bool(differs(ours, theirs, t, ids[ends[k] : ends[k + 1]].tolist(), bool(sound[k]))) for k, t in enumerate(texts))
@@ -300,24 +300,22 @@ def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     Null and empty texts have no ids; ``restored`` is false where the text holds the marker
     character itself or the model's normaliser changes it.  Repeated rows and null ids are kept;
-    other columns are ignored; an empty table gives no rows.  The model is read and rebuilt on the
-    driver and sent along, so executors need no file.  Where the model's own library segments a text differently (segmentations of
+    other columns are ignored; an empty table gives no rows.  The model is read on the driver
+    and sent along, so executors need no file.  Where the model's own library segments a text differently (segmentations of
     equal score), its ids count: if a row of the sample differs, that library encodes everything, and if the row looked at
     in a batch differs, it encodes that batch; no difference ends a run.
     """
     small_batches(docs.sparkSession)
     with open(model_path, "rb") as f:
         blob = f.read()
-    pieces = Pieces(blob)
-    rebuilt = not verify_parity(docs, text, model_path, PARITY_ROWS, pieces)[1]
-    sent = ship(docs.sparkSession, (blob, pieces))
+    rebuilt = not verify_parity(docs, text, model_path)[1]
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(lambda it: _encode(it, *shipped(sent), rebuilt), f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens bigint, ids array<int>, restored boolean")
+    return rows.mapInArrow(lambda it: _encode(it, blob, Pieces(blob), rebuilt), f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens bigint, ids array<int>, restored boolean")
 
 
 def decode_documents(encoded: DataFrame, doc_id: str = "doc_id", ids: str = "ids", model_path: str = MODEL_PATH) -> DataFrame:
     """(doc_id, text) of arrays of ids; null or empty arrays give an empty text."""
     with open(model_path, "rb") as f:
-        sent = ship(encoded.sparkSession, Pieces(f.read()))
+        blob = f.read()
     rows = encoded.select(F.col(doc_id).alias("doc_id"), F.col(ids).cast("array<int>").alias("ids"))
-    return rows.mapInArrow(lambda it: _decode(it, shipped(sent)), f"doc_id {dict(rows.dtypes)['doc_id']}, text string")
+    return rows.mapInArrow(lambda it: _decode(it, Pieces(blob)), f"doc_id {dict(rows.dtypes)['doc_id']}, text string")
